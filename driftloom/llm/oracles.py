@@ -22,3 +22,39 @@ SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM judged GROUP BY doc_id
 """
+
+ORACLES["op3_source_mixing"] = r"""
+WITH sizes AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+         row_number() OVER (ORDER BY source NULLS LAST) - 1 AS nth
+  FROM sizes GROUP BY source),
+weighed AS (SELECT *, CASE nth % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM sources),
+levels AS (
+  SELECT *, sum(source_size) OVER () AS total, sum(weight) OVER () AS all_weight,
+         coalesce(sum(source_size) OVER before, 0) AS gone, coalesce(sum(weight) OVER before, 0) AS gone_weight
+  FROM weighed
+  WINDOW before AS (ORDER BY CAST(source_size AS DOUBLE) / weight, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+full_ AS (
+  SELECT *, CAST(total - 3 * gone AS DOUBLE) / CAST(all_weight - gone_weight AS DOUBLE) * weight > CAST(3 * source_size AS DOUBLE) AS is_full
+  FROM levels),
+held AS (
+  SELECT *, coalesce(sum(source_size) FILTER (is_full) OVER (), 0) AS held,
+         coalesce(sum(weight) FILTER (is_full) OVER (), 0) AS held_weight
+  FROM full_),
+targets AS (
+  SELECT source, source_size,
+         CASE WHEN is_full THEN CAST(3 * source_size AS DOUBLE)
+              ELSE CAST(total - 3 * held AS DOUBLE) / CAST(all_weight - held_weight AS DOUBLE) * weight END AS target
+  FROM held),
+placed AS (
+  SELECT s.doc_id, s.size, t.source_size, t.target,
+         CASE WHEN t.source_size > 0 THEN t.target / CAST(t.source_size AS DOUBLE) ELSE 0.0 END AS rate,
+         CAST(CAST('0x' || substr(md5(coalesce(s.source, '') || 'mix'), 1, 8) AS UBIGINT) AS DOUBLE) / 4294967296.0 AS shift,
+         row_number() OVER (PARTITION BY s.source ORDER BY s.size, s.doc_id) AS rank
+  FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+       CAST(size * least(floor(rate * rank + shift) - floor(rate * (rank - 1) + shift), 3) AS BIGINT) AS taken
+FROM placed
+"""
