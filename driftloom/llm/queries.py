@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .byte_bpe import ByteBpe
 from .common import read
 from .line_dedup import dedup_lines
 from .mixing import mix_plan
@@ -27,8 +28,23 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
+def byte_bpe_50k() -> ByteBpe:
+    """The public 50k vocabulary, from where it is installed."""
+    import public_tokenizers
+
+    return ByteBpe(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bpe = byte_bpe_50k()
+    rows = bpe.decode(bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), offsets=False).drop("text"))
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op3_source_mixing": op3_source_mixing,
     "op6_quality_classifier": op6_quality_classifier,
+    "op10_byte_bpe": op10_byte_bpe,
 }
