@@ -1,9 +1,9 @@
 """Byte-level BPE encoding and decoding with the tokenizers library over Arrow batches.
 
 The merges are worked out once on the driver from a rank file (the vocabulary alone bounds its size) and sent as one
-tokenizer definition. Bytes stand as characters in the library's vocabulary by the usual byte table; texts are cut
-at places where the pattern always ends a match (before a space that follows a letter or digit), so that no
-piece needs more than PIECE characters' worth of memory however long the text is. Decoding takes token bytes by id and joins
+tokenizer definition. Bytes stand as characters in the library's vocabulary by the usual byte table. The pattern always ends a match
+before a space that follows something else than white space, so texts are cut there: the library encodes every distinct piece of
+a batch once, and a text's ids are its pieces' ids in a row, whatever its length. Decoding takes token bytes by id and joins
 them, so characters that are split over tokens come out whole.
 
 Defined cases: null text encodes as empty, no ids; special tokens' strings are ordinary text; null id lists
@@ -13,8 +13,8 @@ decode to empty, ids outside the vocabulary (or null) to U+FFFD. Columns named l
 from __future__ import annotations
 
 import base64
-import functools
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +23,12 @@ from pyspark.sql import types as T
 
 from .common import binary, over_batches, replaced
 
-#: Characters of a piece, pieces' bytes that are encoded at once.
-PIECE, AT_ONCE = 1 << 16, 1 << 19
+#: Pieces that a worker remembers, and that the library gets at once.
+KNOWN, AT_ONCE = 1 << 18, 1 << 12
+#: Texts with white space, in the widest sense, before a space need a closer look.
+LOOSE, LOOSE_END = re.compile(r"^ |[\s\x00-\x20\u200b-\u200f\u2028-\u202f\u180e\ufeff] "), re.compile(r"[\s\x00-\x20\u200b-\u200f\u2028-\u202f\u180e\ufeff]$")
 
 
-@functools.cache
 def byte_chars() -> list[str]:
     """The byte table: printable bytes stand for themselves, the others for the characters from 256 on."""
     own = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -63,49 +64,40 @@ def tokenizer_json(ranks: dict[bytes, int], pattern: str) -> str:
     return made.to_str()
 
 
-@functools.lru_cache(maxsize=2)
-def _loaded(definition: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one worker for each core
-    from tokenizers import Tokenizer
+class Encoder:
+    """The library's tokenizer with a bounded memory of pieces; a worker makes its own."""
 
-    return Tokenizer.from_str(definition)
+    def __init__(self, definition: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one worker for each core
+        from tokenizers import Tokenizer
 
+        self.tokenizer, self.known = Tokenizer.from_str(definition), {}
 
-def pieces_of(text: str) -> list[str]:
-    """Cuts before a space after a letter or digit; no match of the pattern goes across, whatever stands around."""
-    out, start = [], 0
-    while len(text) - start > PIECE:
-        at = text.find(" ", start + PIECE // 2)
-        while at > 0 and not text[at - 1].isalnum():
-            at = text.find(" ", at + 1)
-        if at < 0:
-            break
-        out.append(text[start:at])
-        start = at
-    out.append(text[start:])
-    return out
-
-
-def encode_texts(definition: str, texts: list[str]) -> list[np.ndarray]:
-    tok = _loaded(definition)
-    out: list[list[np.ndarray]] = [[] for _ in texts]
-    group, size = [], 0
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        cut = [pieces_of(t) for t in texts]
+        new = sorted(set().union(*cut) - self.known.keys())
+        if len(self.known) + len(new) > KNOWN:
+            self.known = {}
+            new = sorted(set().union(*cut))
+        for start in range(0, len(new), AT_ONCE):
+            part = new[start : start + AT_ONCE]
+            for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.known[piece] = np.array(e.ids, np.int32).tobytes()
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), np.int32) for pieces in cut]
 
-    def flush() -> None:
-        nonlocal group, size
-        for (i, _), e in zip(group, tok.encode_batch_fast([p for _, p in group], add_special_tokens=False), strict=True):
-            out[i].append(np.array(e.ids, np.int32))
-        group, size = [], 0
 
-    for i, text in enumerate(texts):
-        for piece in pieces_of(text):
-            if piece:
-                group.append((i, piece))
-                size += len(piece)
-                if size >= AT_ONCE:
-                    flush()
-    flush()
-    return [np.concatenate(x) if x else np.zeros(0, np.int32) for x in out]
+def pieces_of(text: str) -> list[str]:
+    """Cuts before each space that follows something else than white space."""
+    first, *rest = text.split(" ")
+    if not LOOSE.search(text):
+        return [first, *[" " + x for x in rest]]
+    out = [first]
+    for x in rest:
+        if out[-1] and not LOOSE_END.search(out[-1]):
+            out.append(" " + x)
+        else:
+            out[-1] += " " + x
+    return out
 
 
 def lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
@@ -137,10 +129,14 @@ class ByteBpe:
         ints = T.ArrayType(T.IntegerType())
         schema = replaced(docs, ids=ints, **({"starts": ints} if offsets else {}))
 
+        made: list[Encoder] = []
+
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             data = binary(batch.column("text"))
             definition, sizes = sent.value
-            ids = encode_texts(definition, [d.decode("utf-8", "replace") for d in data])
+            if not made:
+                made.append(Encoder(definition))
+            ids = made[0].encode([d.decode("utf-8", "replace") for d in data])
             new = {"ids": lists(ids, pa.int32())}
             if offsets:
                 new["starts"] = lists([char_starts(d, i, sizes) for d, i in zip(data, ids, strict=True)], pa.int32())
