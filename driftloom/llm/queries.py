@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .byte_bpe import ByteBpe
 from .common import read
+from .fingerprints import edited_fingerprints, likeness, packed
 from .jaccard_join import jaccard_groups
 from .line_dedup import dedup_lines
 from .mixing import mix_plan
@@ -33,6 +34,11 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = edited_fingerprints(read(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), packed("bins").alias("fingerprint"), packed("edited_bins").alias("edited_fingerprint"), likeness("bins", "edited_bins").alias("near_edited"), likeness("bins", "next_bins").alias("near_next"))
+
+
 def byte_bpe_50k() -> ByteBpe:
     """The public 50k vocabulary, from where it is installed."""
     import public_tokenizers
@@ -52,5 +58,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_source_mixing": op3_source_mixing,
     "op6_quality_classifier": op6_quality_classifier,
+    "op9_document_fingerprints": op9_document_fingerprints,
     "op10_byte_bpe": op10_byte_bpe,
 }
