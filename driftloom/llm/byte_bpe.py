@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import os
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import types as T
 from .common import binary, over_batches, replaced
 
 #: Pieces that a worker remembers, and that the library gets at once.
-KNOWN, AT_ONCE = 1 << 18, 1 << 12
+KNOWN, AT_ONCE = 1 << 19, 1 << 12
 #: Texts with white space, in the widest sense, before a space need a closer look.
 LOOSE, LOOSE_END = re.compile(r"^ |[\s\x00-\x20\u200b-\u200f\u2028-\u202f\u180e\ufeff] "), re.compile(r"[\s\x00-\x20\u200b-\u200f\u2028-\u202f\u180e\ufeff]$")
 
@@ -75,14 +76,14 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [pieces_of(t) for t in texts]
-        new = sorted(set().union(*cut) - self.known.keys())
+        new = list(set().union(*cut).difference(self.known))
         if len(self.known) + len(new) > KNOWN:
             self.known = {}
-            new = sorted(set().union(*cut))
+            new = list(set().union(*cut))
         for start in range(0, len(new), AT_ONCE):
             part = new[start : start + AT_ONCE]
             for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[piece] = np.array(e.ids, np.int32).tobytes()
+                self.known[piece] = array("i", e.ids).tobytes()
         return [np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), np.int32) for pieces in cut]
 
 
