@@ -78,3 +78,20 @@ reach(doc_id, root) AS (
 SELECT r.doc_id, CAST(coalesce(any_value(s.n), 0) AS BIGINT) AS n_shingles, min(r.root) AS component_id
 FROM reach r LEFT JOIN sizes s ON s.doc_id = r.doc_id GROUP BY r.doc_id
 """
+
+ORACLES["op8_substring_dedup"] = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM words WHERE len(w) >= 35),
+windows AS (SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 34), ' ')) AS h FROM starts),
+again AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
+hit AS (SELECT DISTINCT doc_id, i FROM windows WHERE h IN (SELECT h FROM again)),
+gone AS (SELECT DISTINCT doc_id, i + k AS pos FROM hit, (SELECT unnest(range(0, 35)) AS k)),
+placed AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM words),
+judged AS (
+  SELECT p.doc_id, p.pos, p.word, g.pos IS NOT NULL AS is_gone
+  FROM placed p LEFT JOIN gone g ON g.doc_id = p.doc_id AND g.pos = p.pos)
+SELECT d.doc_id, CAST(count(j.pos) AS BIGINT) AS n_words, CAST(count(*) FILTER (j.is_gone) AS BIGINT) AS n_removed,
+       sha256(coalesce(string_agg(j.word, ' ' ORDER BY j.pos) FILTER (NOT j.is_gone), '')) AS kept_sha256
+FROM documents d LEFT JOIN judged j ON j.doc_id = d.doc_id GROUP BY d.doc_id
+"""

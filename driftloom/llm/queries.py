@@ -14,6 +14,7 @@ from .jaccard_join import jaccard_groups
 from .line_dedup import dedup_lines
 from .mixing import mix_plan
 from .quality import fit_quality, score_quality
+from .substring_dedup import substring_dedup
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +35,11 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = edited_fingerprints(read(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), packed("bins").alias("fingerprint"), packed("edited_bins").alias("edited_fingerprint"), likeness("bins", "edited_bins").alias("near_edited"), likeness("bins", "next_bins").alias("near_next"))
@@ -58,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_source_mixing": op3_source_mixing,
     "op6_quality_classifier": op6_quality_classifier,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_document_fingerprints": op9_document_fingerprints,
     "op10_byte_bpe": op10_byte_bpe,
 }
