@@ -9,7 +9,8 @@ single row go at once. Then:
   tiles of TILE n-grams, and each pair of tiles is a block: a task multiplies it in memory, row by row, discards counts
   below the bound that the sizes ask for and emits only links that join something, at most as many as the block has rows;
 * the other columns accumulate overlap counts for pairs of rows of different clusters; pairs whose count in the shared part
-  cannot reach their bound are discarded, what passes is verified on the full rows.
+  cannot reach their bound are discarded, what passes is verified on the full rows, first one partner of each row, then
+  those pairs whose rows are not yet in one component.
 
 Both are exhaustive: a linked pair shares a dense column, and so a cluster, or its count is complete without them.
 
@@ -278,7 +279,15 @@ def jaccard_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT)
 
     wanted = clusters.select("sid").unionByName(pairs.select(F.col("a").alias("sid"))).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
     rows = full_rows(wanted, docs, names, size)
-    labels = components(verified(pairs, rows, percent).unionByName(multiplied(clusters, rows, percent)))
+    #: Each row is held against its first partner; other pairs only if they are still apart.
+    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = stage(verified(first, rows, percent).unionByName(multiplied(clusters, rows, percent)), "links")
+    labels = components(links)
+    rest = pairs.join(first, ["a", "b"], "left_anti")
+    for end in "ab":
+        rest = rest.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"l{end}")), end, "left")
+    rest = stage(rest.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b"), "apart")
+    labels = components(links.unionByName(verified(rest, rows, percent)))
     sets = sets.join(labels, sets["sid"] == labels["node"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("label", "sid")).alias("label"))
     ids = sets.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return sets.join(ids, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
