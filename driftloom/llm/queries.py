@@ -15,6 +15,7 @@ from .line_dedup import dedup_lines
 from .mixing import mix_plan
 from .quality import fit_quality, score_quality
 from .substring_dedup import substring_dedup
+from .toxicity import fit_toxicity, score_toxicity
 from .vector_dedup import vector_groups
 
 
@@ -30,6 +31,12 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op4_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = fit_toxicity(docs, read(spark, sf_dir, "labels"))
+    return score_toxicity(docs, chain).select("doc_id", "held_out", *chain.categories[:-1], "score", "predicted")
+
+
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_groups(read(spark, sf_dir, "embeddings"))
 
@@ -68,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_source_mixing": op3_source_mixing,
+    "op4_toxicity_chain": op4_toxicity_chain,
     "op5_embedding_dedup": op5_embedding_dedup,
     "op6_quality_classifier": op6_quality_classifier,
     "op8_substring_dedup": op8_substring_dedup,
