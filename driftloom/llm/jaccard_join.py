@@ -9,8 +9,7 @@ single row go at once. Then:
   tiles of TILE n-grams, and each pair of tiles is a block: a task multiplies it in memory, row by row, discards counts
   below the bound that the sizes ask for and emits only links that join something, at most as many as the block has rows;
 * the other columns accumulate overlap counts for pairs of rows of different clusters; pairs whose count in the shared part
-  cannot reach their bound are discarded, what passes is verified on the full rows, first one partner of each row, then
-  those pairs whose rows are not yet in one component.
+  cannot reach their bound are discarded, what passes is verified on the full rows.
 
 Both are exhaustive: a linked pair shares a dense column, and so a cluster, or its count is complete without them.
 
@@ -159,7 +158,7 @@ def products(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def full_rows(wanted: DataFrame, docs: DataFrame, names: DataFrame, size: int) -> DataFrame:
-    """(sid, n, row: the sorted n-grams as bytes) of the wanted sids, from the documents that name them; a bit set picks those."""
+    """(sid, n, row: the sorted n-grams as bytes) of the wanted sids and a few others, from the documents that name them; a bit set picks those."""
     ids = stage(names.join(wanted, "sid").select("doc_id", "sid"), "candidates")
     chosen = docs.sparkSession.sparkContext.broadcast(bloom_of(ids.select(F.xxhash64("doc_id").alias("k")), "k", ids.count()))
 
@@ -176,14 +175,16 @@ def full_rows(wanted: DataFrame, docs: DataFrame, names: DataFrame, size: int) -
         return pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(ns, pa.int64()), pa.array(sets, pa.binary())], names=["sid", "n", "row"])
 
     rows = over_batches(docs.select(F.xxhash64(F.col("doc_id").cast("long")), "text"), full, "sid long, n long, row binary")
-    return stage(rows.join(ids.select("sid"), "sid", "left_semi"), "rows")
+    return stage(rows, "rows")
 
 
 def verified(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full rows link. A row travels once for each pair as b, as a once for each PARTNERS pairs."""
     spread = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).alias("parts"))
-    lead = rows.join(spread, rows["sid"] == spread["a"]).select("a", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"), F.lit(None).cast("long").alias("b"), "row")
-    tail = pairs.join(spread, "a").withColumn("part", F.pmod(F.xxhash64("b", F.lit("part")), "parts")).join(rows, F.col("b") == rows["sid"]).select("a", "part", "b", "row")
+    lead = spread.select(F.col("a").alias("sid"), "a", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"), F.lit(None).cast("long").alias("b"))
+    tail = pairs.join(spread, "a").select(F.col("b").alias("sid"), "a", F.pmod(F.xxhash64("b", F.lit("part")), "parts").alias("part"), "b")
+    #: Rows and routes meet by a shuffle at every size.
+    routed = rows.join(lead.unionByName(tail).hint("merge"), "sid").select("a", "part", "b", "row")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, row = None, None
@@ -202,7 +203,7 @@ def verified(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], names=["a", "b"])
 
     #: Rows repeated by copies in other batches do no harm.
-    return lead.unionByName(tail).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).mapInArrow(compare, "a long, b long").distinct()
+    return routed.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).mapInArrow(compare, "a long, b long").distinct()
 
 
 def block_product(rows: list[np.ndarray], tiles: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -279,15 +280,7 @@ def jaccard_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT)
 
     wanted = clusters.select("sid").unionByName(pairs.select(F.col("a").alias("sid"))).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
     rows = full_rows(wanted, docs, names, size)
-    #: Each row is held against its first partner; other pairs only if they are still apart.
-    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = stage(verified(first, rows, percent).unionByName(multiplied(clusters, rows, percent)), "links")
-    labels = components(links)
-    rest = pairs.join(first, ["a", "b"], "left_anti")
-    for end in "ab":
-        rest = rest.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"l{end}")), end, "left")
-    rest = stage(rest.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b"), "apart")
-    labels = components(links.unionByName(verified(rest, rows, percent)))
+    labels = components(verified(pairs, rows, percent).unionByName(multiplied(clusters, rows, percent)))
     sets = sets.join(labels, sets["sid"] == labels["node"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("label", "sid")).alias("label"))
     ids = sets.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return sets.join(ids, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
