@@ -14,6 +14,7 @@ from .jaccard_join import jaccard_groups
 from .line_dedup import dedup_lines
 from .mixing import mix_plan
 from .quality import fit_quality, score_quality
+from .secret_scan import scan_secrets, train
 from .substring_dedup import substring_dedup
 from .toxicity import fit_toxicity, score_toxicity
 from .vector_dedup import vector_groups
@@ -47,6 +48,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(read(spark, sf_dir, "documents"), train(spark))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = substring_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity_chain": op4_toxicity_chain,
     "op5_embedding_dedup": op5_embedding_dedup,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_secret_scan": op7_secret_scan,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_document_fingerprints": op9_document_fingerprints,
     "op10_byte_bpe": op10_byte_bpe,
