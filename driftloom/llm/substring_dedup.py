@@ -6,9 +6,9 @@ Which suffixes can matter: each window elects its ANCHOR-word n-gram of smallest
 offsets. Counting elected n-grams over all documents leaves those that occur twice; a bounded bit set of them (it only ever lets too many
 pass) picks the places where suffixes start. A place carries its context: the words from which and to which a window over it can reach.
 
-Partition by prefix: places are grouped by their n-gram, a prefix of ANCHOR words. N-grams of more than GROUP places are
-split by longer prefixes, all WINDOW words of each window, so that no group outgrows memory: equal contexts of a batch travel as one
-row with its places, and a long-prefix group gets no more than one row of each batch.
+Partition by prefix: places are grouped by their n-gram, a prefix of ANCHOR words; equal contexts of a task travel as one row with its
+places. N-grams of more than GROUP such rows are split by longer prefixes, all WINDOW words of each window, so that no group outgrows
+memory: a long-prefix group gets no more than one row of each task.
 
 Subtrees: in each group the contexts' suffixes from the anchor on are sorted, neighbours' common prefix lengths make the suffix tree (a node
 of depth d is a run of neighbours that share d words), and the same is done with the words before the anchor, read backwards. A window
@@ -35,8 +35,8 @@ from .common import binary, bounded_batches, mix, over_batches, replaced, spare,
 from .shingles import WordCodes, window_hashes
 
 WINDOW, ANCHOR = 35, 8
-#: Places of a short-prefix group; rows that a task takes up at once.
-GROUP, ROWS = 1 << 13, 1 << 13
+#: Rows of a short-prefix group; rows that a task takes up at once; bytes of contexts that are collected before they go.
+GROUP, ROWS, CONTEXTS = 1 << 15, 1 << 13, 24 << 20
 BACK = WINDOW - ANCHOR
 LOWEST = -(2**63)
 
@@ -46,8 +46,15 @@ def anchors(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if len(codes) < WINDOW:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     grams = window_hashes(codes, ANCHOR)
-    best = np.lib.stride_tricks.sliding_window_view(grams, BACK + 1).argmin(axis=1) + np.arange(len(codes) - WINDOW + 1)
-    at = np.unique(best)
+    bits = np.uint64((1 << len(grams).bit_length()) - 1)
+    low = (grams & ~bits) | np.arange(len(grams), dtype=np.uint64)  # the place takes the low bits, so ties go to the first
+    reach = 1
+    while 2 * reach <= BACK + 1:
+        low, reach = np.minimum(low[:-reach], low[reach:]), 2 * reach
+    if rest := BACK + 1 - reach:
+        low = np.minimum(low[:-rest], low[rest:])
+    at = (low & bits).astype(np.int64)
+    at = at[np.concatenate([[True], at[1:] != at[:-1]])]  # elected places ascend with the window
     return at, grams[at]
 
 
@@ -55,72 +62,117 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("kid"), F.xxhash64("text").alias("th"), "text")
 
 
+def context_hashes(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash of each place's context, from prefix sums of codes times powers of an odd number (which has an inverse)."""
+    with np.errstate(over="ignore"):
+        odd, inverse = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+        powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(codes), odd)]))
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(codes * powers[:-1])])
+        back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(codes), inverse)]))
+        start, end = np.maximum(at - BACK, 0), np.minimum(at + WINDOW, len(codes))
+        return (sums[end] - sums[start]) * back[start] + mix(start + BACK - at, 3)
+
+
 def anchor_counts(docs: DataFrame) -> DataFrame:
-    """(gram, n) of the elected n-grams with at least two places."""
+    """(gram, n, contexts) of the elected n-grams with at least two places: places, and contexts counted once for each batch."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        codes = WordCodes()
-        found = [anchors(codes.of(data.split()))[1] for data in binary(batch.column(0))]
-        grams, n = np.unique(np.concatenate(found), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(n.astype(np.int64))], names=["gram", "n"])
+        codes, found = WordCodes(), [np.zeros((2, 0), np.uint64)]
+        for data in binary(batch.column(0)):
+            own = codes.of(data.split())
+            at, grams = anchors(own)
+            if len(at):
+                found.append(np.stack([grams, context_hashes(own, at)]))
+        both = np.concatenate(found, axis=1)
+        both = both[:, np.lexsort(both[::-1])]
+        first = np.concatenate([[True], both[0, 1:] != both[0, :-1]])[: both.shape[1]]
+        starts = np.flatnonzero(first)
+        new = first | np.concatenate([[True], both[1, 1:] != both[1, :-1]])[: both.shape[1]]
+        n = np.diff(np.append(starts, both.shape[1]))
+        contexts = np.add.reduceat(new.astype(np.int64), starts) if len(starts) else n
+        return pa.RecordBatch.from_arrays([pa.array(both[0, starts].view(np.int64)), pa.array(n.astype(np.int64)), pa.array(contexts.astype(np.int64))], names=["gram", "n", "contexts"])
 
-    return over_batches(docs.select("text"), run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).filter("n > 1")
+    rows = over_batches(docs.select("text"), run, "gram long, n long, contexts long")
+    return rows.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("contexts").alias("contexts")).filter("n > 1")
 
 
 def places(docs: DataFrame, shared: Bloom, hot: Bloom) -> DataFrame:
-    """(key, back, context, kid, th, at): a context once for each batch, with the documents and places that have it."""
+    """(key, back, context, kid, th, at): a context once for each CONTEXTS bytes, with the documents and places that have it."""
     sent = docs.sparkSession.sparkContext.broadcast((shared, hot))
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        shared, hot = sent.value
-        codes, rows = WordCodes(), {}
-        for kid, th, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), binary(batch.column(2)), strict=True):
-            words = data.split()
-            own = codes.of(words)
-            at, grams = anchors(own)
-            keep = shared.has(grams)
-            at, grams = at[keep], grams[keep]
-            long_ = hot.has(grams)
-            for p, g in zip(at[~long_].tolist(), grams[~long_].view(np.int64).tolist(), strict=True):
-                start = max(0, p - BACK)
-                rows.setdefault((g, p - start, b" ".join(words[start : p + WINDOW])), []).append((kid, th, p))
-            if long_.any():
-                whole = mix(window_hashes(own, WINDOW), 5).view(np.int64)
-                for p in at[long_].tolist():
-                    for s in range(max(0, p - BACK), min(p, len(words) - WINDOW) + 1):
-                        rows.setdefault((int(whole[s]), p - s, b" ".join(words[s : s + WINDOW])), []).append((kid, th, p))
+    def packed(rows: dict) -> pa.RecordBatch:
         ends = np.cumsum([0, *map(len, rows.values())])
         flat = [x for v in rows.values() for x in v]
         lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array([x[i] for x in flat], pa.int64())) for i in range(3)]
         keys = [pa.array([k[i] for k in rows], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.binary()))]
         return pa.RecordBatch.from_arrays([*keys, *lists], names=["key", "back", "context", "kid", "th", "at"])
 
-    return over_batches(keyed(docs), run, "key long, back int, context binary, kid array<long>, th array<long>, at array<long>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared, hot = sent.value
+        codes, rows, size = WordCodes(), {}, 0
+        for batch in batches:
+            for kid, th, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), binary(batch.column(2)), strict=True):
+                words = data.split()
+                own = codes.of(words)
+                at, grams = anchors(own)
+                keep = shared.has(grams)
+                at, grams = at[keep], grams[keep]
+                long_ = hot.has(grams)
+                plain = b" ".join(words)
+                offset = np.cumsum(np.fromiter((len(w) + 1 for w in words), np.int64, len(words)))
+                first, until = np.maximum(at - BACK, 0), np.minimum(at + WINDOW, len(words)) - 1
+                spans = zip((at - first)[~long_].tolist(), np.where(first > 0, offset[first - 1], 0)[~long_].tolist(), (offset[until] - 1)[~long_].tolist(), strict=True) if len(at) else ()
+                for p, g, (back, s, e) in zip(at[~long_].tolist(), grams[~long_].view(np.int64).tolist(), spans, strict=True):
+                    context = plain[s:e]
+                    if not (held := rows.setdefault((g, back, context), [])):
+                        size += len(context)
+                    held.append((kid, th, p))
+                if long_.any():
+                    whole = mix(window_hashes(own, WINDOW), 5).view(np.int64)
+                    for p in at[long_].tolist():
+                        for s in range(max(0, p - BACK), min(p, len(words) - WINDOW) + 1):
+                            context = b" ".join(words[s : s + WINDOW])
+                            if not (held := rows.setdefault((int(whole[s]), p - s, context), [])):
+                                size += len(context)
+                            held.append((kid, th, p))
+                if size > CONTEXTS:
+                    yield packed(rows)
+                    rows, size = {}, 0
+        if rows:
+            yield packed(rows)
+
+    bounded_batches(docs.sparkSession)
+    return keyed(docs).mapInArrow(run, "key long, back int, context binary, kid array<long>, th array<long>, at array<long>")
 
 
 def tree_nodes(group: np.ndarray, words: np.ndarray) -> np.ndarray:
     """The suffix tree of the rows of words within their groups: n x (depth + 1) names of the node that a row passes at each depth."""
-    order = np.lexsort([*(words[:, j] for j in range(words.shape[1] - 1, -1, -1)), group])
-    g, w = group[order], words[order]
-    same = np.c_[g[1:] == g[:-1], w[1:] == w[:-1]]
-    common = np.logical_and.accumulate(same, axis=1).sum(axis=1)  # 1 + length of the common prefix with the row before, 0: another group
-    parts = common[:, None] <= np.arange(words.shape[1] + 1)[None, :]
-    nodes = np.empty((len(group), words.shape[1] + 1), np.int64)
-    nodes[order] = np.concatenate([np.zeros((1, words.shape[1] + 1), np.int64), np.cumsum(parts, axis=0)])
+    rows = np.ascontiguousarray(np.c_[group, words], ">u4")
+    order = np.argsort(rows.view(f"S{rows.strides[0]}").ravel(), kind="stable")
+    rows = rows[order]
+    common = np.logical_and.accumulate(rows[1:] == rows[:-1], axis=1).sum(axis=1)  # 1 + length of the common prefix with the row before, 0: another group
+    parts = common[:, None] <= np.arange(rows.shape[1])[None, :]
+    nodes = np.zeros(rows.shape, np.int64)
+    nodes[order[1:]] = np.cumsum(parts, axis=0)
     return nodes
 
 
+class Numbers(dict):
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self) + 1
+        return n
+
+
 def repeated_words(group: np.ndarray, back: np.ndarray, contexts: list[bytes], weight: np.ndarray) -> np.ndarray:
     """For each context a bit for each word from BACK before the anchor on: set if a repeated window covers it."""
-    ids: dict[bytes, int] = {}
-    n, width = len(contexts), BACK + WINDOW
-    words = -np.arange(1, n * width + 1, dtype=np.int64).reshape(n, width)  # outside a text all words differ
-    ahead = np.zeros(n, np.int64)
-    for i, c in enumerate(contexts):
-        got = [ids.setdefault(w, len(ids)) for w in c.split(b" ")]
-        words[i, BACK - back[i] : BACK - back[i] + len(got)] = got
-        ahead[i] = len(got) - back[i]
-    right, left = tree_nodes(group, words[:, BACK:]), tree_nodes(group, words[:, BACK - 1 :: -1] if BACK else words[:, :0])
+    n, width, numbers = len(contexts), BACK + WINDOW, Numbers()
+    long_ = np.fromiter((c.count(b" ") + 1 for c in contexts), np.int64, n)
+    flat = np.fromiter(map(numbers.__getitem__, b" ".join(contexts).split(b" ")), np.int64, long_.sum())
+    words = (1 << 32) - 1 - np.arange(n * width, dtype=np.int64).reshape(n, width)  # outside a text all words differ
+    row = np.repeat(np.arange(n), long_)
+    words[row, np.arange(len(flat)) - np.repeat(np.cumsum(long_) - long_, long_) + (BACK - back)[row]] = flat
+    ahead = long_ - back
+    right, left = tree_nodes(group, words[:, BACK:]), tree_nodes(group, words[:, BACK - 1 :: -1])
     out = np.zeros(n, np.uint64)
     for a in range(BACK + 1):
         ok = np.flatnonzero((back >= a) & (ahead >= WINDOW - a))
@@ -163,8 +215,8 @@ def covered(placed: DataFrame) -> DataFrame:
 def substring_dedup(docs: DataFrame) -> DataFrame:
     """docs with text reduced to the kept words, n_words, n_removed and removed: array<array<int>> of [first, end) words."""
     counts = stage(anchor_counts(docs), "anchors")
-    n = counts.agg(F.count("*").alias("n"), F.count_if(F.col("n") > GROUP).alias("hot")).first()
-    shared, hot = bloom_of(counts, "gram", n["n"]), bloom_of(counts.filter(F.col("n") > GROUP), "gram", n["hot"])
+    n = counts.agg(F.count("*").alias("n"), F.count_if(F.col("contexts") > GROUP).alias("hot")).first()
+    shared, hot = bloom_of(counts, "gram", n["n"]), bloom_of(counts.filter(F.col("contexts") > GROUP), "gram", n["hot"])
     bounded_batches(docs.sparkSession)
     kid, th, gone = spare(docs, "kid", "th", "gone")
     marks = covered(places(docs, shared, hot)).groupBy(F.col("kid").alias(kid), F.col("th").alias(th)).agg(F.collect_list(F.struct("at", "words")).alias(gone))
