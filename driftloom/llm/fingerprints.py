@@ -18,9 +18,6 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
-from .ranks import ranked
-
 BIN_BITS, LOW_BITS, SHINGLE, PROBES = 8, 8, 5, 12
 BINS = 1 << BIN_BITS
 LOWEST = -(2**63)
@@ -77,26 +74,34 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return with_bins(docs, "text", "bins_").withColumn("fingerprint", packed("bins_")).drop("bins_")
 
 
-def next_documents(keys: DataFrame) -> DataFrame:
-    """(kid, th, n) of distinct documents, each with next_kid, next_th: the next by descending doc_id (ties: by hash), after the last the first."""
-    placed = stage(ranked(keys, [], ["kid", "th"], "place"), "places")
-    count = placed.count()
-    after = placed.select(F.col("kid").alias("next_kid"), F.col("th").alias("next_th"), (F.col("place") % F.lit(count) + 1).alias("place"))
-    return placed.join(after, "place").drop("place")
+def _buckets(kids: DataFrame, most: int) -> Column:
+    """A bucket number that ascends with kid: at most `most` ** 2 ranges between approximate quantiles, found in two steps."""
+    n = min(most * most, 4 * int(kids.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cuts = kids.agg(F.percentile_approx("kid", [i / n for i in range(1, n)], 100 * n).alias("q")).first()["q"] or []
+    cuts = sorted(set(cuts)) or [LOWEST]
+    groups = [cuts[i : i + most] for i in range(0, len(cuts), most)]
+    coarse = F.size(F.filter(F.lit([g[0] for g in groups]), lambda x: x <= F.col("kid")))
+    fine = F.get(F.array(*(F.lit(g) for g in groups)), coarse - 1)
+    return F.when(coarse == 0, F.lit(0)).otherwise((coarse - 1) * most + F.size(F.filter(fine, lambda x: x <= F.col("kid"))))
 
 
-def edited_fingerprints(docs: DataFrame, part: int = 3) -> DataFrame:
+def edited_fingerprints(docs: DataFrame, part: int = 3, most: int = 64) -> DataFrame:
     """Each document beside its edited text, whose last n_chars / part code points are the first of the next document:
     doc_id, n_chars, edited, bins, edited_bins, next_bins.
 
-    A document travels once with its text and bins, and once as the next one's neighbour with no more text than is taken from it. Repeated
-    rows count once in the order."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("kid"), F.xxhash64("text").alias("th"), "text")
-    order = next_documents(rows.select("kid", "th", F.char_length("text").alias("n")).distinct())
-    rows = with_bins(rows, "text", "bins").repartition("kid", "th")
-    first = rows.withColumn("nth", F.row_number().over(Window.partitionBy("kid", "th").orderBy("kid"))).filter("nth = 1")
-    given = first.join(order.select(F.col("kid").alias("to_kid"), F.col("th").alias("to_th"), "n", F.col("next_kid").alias("kid"), F.col("next_th").alias("th")), ["kid", "th"])
-    given = given.select(F.col("to_kid").alias("kid"), F.col("to_th").alias("th"), "n", F.expr(f"substring(text, 1, cast(n div {part} as int))").alias("head"), F.col("bins").alias("next_bins"))
-    out = rows.join(given, ["kid", "th"])
-    out = out.select("doc_id", F.col("n").cast("long").alias("n_chars"), F.concat(F.expr(f"substring(text, 1, n - cast(n div {part} as int))"), "head").alias("edited"), "bins", "next_bins")
+    The next document is that of the next smaller doc_id (ties: by hash; repeated rows follow each other; null is last), after the last the
+    first. Documents travel once, to buckets of neighbouring doc_ids, in which the next one is the next row; the first document of each bucket
+    (at most most ** 2 of them, known by their keys) travels to the end of the bucket above as well."""
+    keyed = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("kid"), F.coalesce("text", F.lit("")).alias("text"))
+    keyed = keyed.withColumn("th", F.xxhash64("text")).withColumn("bucket", _buckets(keyed.select("kid"), most))
+    heads = keyed.groupBy("bucket").agg(F.max(F.struct("kid", "th")).alias("top")).select("bucket", "top.*").orderBy(F.desc("bucket")).collect()
+    ends = [(h["kid"], h["th"], heads[k - 1]["bucket"]) for k, h in enumerate(heads)]  # the first one ends the last bucket
+    ends = docs.sparkSession.createDataFrame(ends, "kid long, th long, bucket int")
+    rows = with_bins(keyed, "text", "bins").withColumn("extra", F.lit(0))
+    more = with_bins(keyed.drop("bucket").join(F.broadcast(ends), ["kid", "th"]).select(*keyed.columns), "text", "bins").withColumn("extra", F.lit(1))
+    order = Window.partitionBy("bucket").orderBy("extra", F.desc("kid"), F.desc("th"))
+    rows = rows.unionByName(more).withColumn("next", F.lead(F.struct("text", "bins")).over(order)).filter("extra = 0")
+    n = F.char_length("text")
+    rows = rows.select("doc_id", "text", "next", "bins", n.alias("n")).withColumn("m", F.expr(f"cast(n div {part} as int)"))
+    out = rows.select("doc_id", F.col("n").cast("long").alias("n_chars"), F.concat(F.expr("substring(text, 1, n - m)"), F.expr("substring(next.text, 1, m)")).alias("edited"), "bins", F.col("next.bins").alias("next_bins"))
     return with_bins(out, "edited", "edited_bins")
