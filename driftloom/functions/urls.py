@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,6 +14,11 @@ URL = r"^(https?)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
 SPACE = r"(?U)\s+"
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x evaluated once: as a lambda's variable it isn't repeated in the plan wherever f uses it."""
+    return F.get(F.transform(F.array(x), lambda v: f(v)), F.lit(0))
+
+
 def part(url: Column, n: int) -> Column:
     """1 scheme, 2 host with port, 3 path, 4 query with its mark, 5 fragment with its mark."""
     return F.regexp_extract(url, URL, n)
@@ -64,31 +69,39 @@ def _encoded(x: Column, unsafe: str) -> Column:
 
 def _without_dots(path: Column) -> Column:
     """Dot segments resolved; the last one leaves its slash."""
-    parts = F.split(F.regexp_replace(path, r"(?i)%2e", "."), "/")
-    stack = F.aggregate(
-        F.slice(parts, 2, F.size(parts)),
-        F.array().cast("array<string>"),
-        lambda s, p: F.when(p == "..", F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0)))).when(p == ".", s).otherwise(F.concat(s, F.array(p))),
-    )
-    last = F.element_at(parts, -1)
-    whole = F.concat(F.lit("/"), F.array_join(stack, "/"), F.when(last.isin(".", "..") & (F.size(stack) > 0), "/").otherwise(""))
-    return F.when(path.rlike(r"(?i)(^|/)(\.|%2e){1,2}(/|$)"), whole).otherwise(path)
+
+    def resolved(parts: Column) -> Column:
+        step = lambda s, p: F.when(p == "..", F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0)))).when(p == ".", s).otherwise(F.concat(s, F.array(p)))
+        stack = F.aggregate(F.slice(parts, 2, F.size(parts)), F.array().cast("array<string>"), step)
+        return let(stack, lambda s: F.concat(F.lit("/"), F.array_join(s, "/"), F.when(F.element_at(parts, -1).isin(".", "..") & (F.size(s) > 0), "/").otherwise("")))
+
+    return F.when(path.rlike(r"(?i)(^|/)(\.|%2e){1,2}(/|$)"), let(F.split(F.regexp_replace(path, r"(?i)%2e", "."), "/"), resolved)).otherwise(path)
+
+
+def _canonical(u: Column) -> Column:
+    """An absolute URL without fragment: host and port, dot segments, escapes; null if it isn't one."""
+    host = let(F.lower(part(u, 2)), lambda h: F.when(part(u, 1) == "http", F.regexp_replace(h, ":(80)?$", "")).otherwise(F.regexp_replace(h, ":(443)?$", "")))
+    path = let(part(u, 3), lambda p: F.when(p == "", F.lit("/")).otherwise(let(_without_dots(p), lambda x: _encoded(x, r"[^\x21-\x7e]|[\"<>`{}]"))))
+    query = let(part(u, 4), lambda q: _encoded(q, r"[^\x21-\x7e]|[\"<>']"))
+    fine = r"^([^\s\x00-\x20#/<>?@\[\\\]^|%\x7f-\x{10FFFF}]+@)?(\[[0-9a-f:.]+\]|[^\s\x00-\x20#/:<>?@\[\\\]^|%\x7f-\x{10FFFF}]+)(:[0-9]{1,5})?$"
+    return let(host, lambda h: F.when(h.rlike(fine), F.concat(part(u, 1), F.lit("://"), h, path, query)))
 
 
 def normalize(ref: Column, base: Column | None = None) -> Column:
     """The absolute http(s) URL of ref without fragment, canonical; null for other schemes and what can't be parsed.
 
     Hosts beyond ASCII give null here; functions.weburl resolves those exactly."""
-    r = F.regexp_replace(F.regexp_replace(ref, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\n\r]", "")
-    r = F.when(F.contains(r, F.lit("\\")), F.concat(F.replace(F.regexp_extract(r, r"^([^?#]*)", 1), F.lit("\\"), F.lit("/")), F.regexp_extract(r, r"^[^?#]*(.*)$", 1))).otherwise(r)
-    scheme = F.lower(F.regexp_extract(r, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
-    own = F.concat(scheme, F.lit("://"), F.regexp_replace(r, r"^[A-Za-z]+:/*", ""))
-    if base is None:
-        absolute = F.when(scheme.isin("http", "https"), own)
-    else:
+    bare = F.regexp_replace(F.regexp_replace(ref, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\n\r]", "")
+    slashed = lambda r: F.when(F.contains(r, F.lit("\\")), F.concat(F.replace(F.regexp_extract(r, r"^([^?#]*)", 1), F.lit("\\"), F.lit("/")), F.regexp_extract(r, r"^[^?#]*(.*)$", 1))).otherwise(r)
+
+    def absolute(r: Column) -> Column:
+        scheme = F.lower(F.regexp_extract(r, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
+        own = F.concat(scheme, F.lit("://"), F.regexp_replace(r, r"^[A-Za-z]+:/*", ""))
+        if base is None:
+            return F.when(scheme.isin("http", "https"), own)
         origin = F.concat(part(base, 1), F.lit("://"), part(base, 2))
         path = F.when(part(base, 3) == "", F.lit("/")).otherwise(part(base, 3))
-        absolute = (
+        return (
             F.when(scheme.isin("http", "https"), own)
             .when(scheme != "", None)
             .when(~base.rlike(r"^https?://[^/?#]"), None)
@@ -98,19 +111,14 @@ def normalize(ref: Column, base: Column | None = None) -> Column:
             .when((r == "") | r.startswith("#"), F.concat(origin, path, part(base, 4)))
             .otherwise(F.concat(origin, F.regexp_extract(path, r"^(.*/)", 1), r))
         )
-    u = F.regexp_extract(absolute, r"^([^#]*)", 1)
-    host = F.lower(part(u, 2))
-    host = F.when(part(u, 1) == "http", F.regexp_replace(host, ":(80)?$", "")).otherwise(F.regexp_replace(host, ":(443)?$", ""))
-    path = F.when(part(u, 3) == "", F.lit("/")).otherwise(_encoded(_without_dots(part(u, 3)), r"[^\x21-\x7e]|[\"<>`{}]"))
-    query = F.when(part(u, 4) == "?", F.lit("?")).otherwise(_encoded(part(u, 4), r"[^\x21-\x7e]|[\"<>']"))
-    fine = host.rlike(r"^([^\s\x00-\x20#/<>?@\[\\\]^|%\x7f-\x{10FFFF}]+@)?(\[[0-9a-f:.]+\]|[^\s\x00-\x20#/:<>?@\[\\\]^|%\x7f-\x{10FFFF}]+)(:[0-9]{1,5})?$")
-    return F.when(fine, F.concat(part(u, 1), F.lit("://"), host, path, query))
+
+    return let(let(let(bare, slashed), lambda r: F.regexp_extract(absolute(r), r"^([^#]*)", 1)), _canonical)
 
 
 def decoded(seg: Column) -> Column:
     """Percent-decoded; what isn't a valid escape stays as it is."""
     plain = F.try_url_decode(F.replace(seg, F.lit("+"), F.lit("%2B")))
-    return F.when(plain.isNull() | (F.contains(plain, F.lit("�")) & ~F.contains(seg, F.lit("�"))), seg).otherwise(plain)
+    return let(plain, lambda p: F.when(p.isNull() | (F.contains(p, F.lit("\ufffd")) & ~F.contains(seg, F.lit("\ufffd"))), seg).otherwise(p))
 
 
 def _safe(x: Column) -> Column:
@@ -136,54 +144,64 @@ def is_page_extension(ext: Column) -> Column:
 
 
 def before_extension(name: Column, mark: Column) -> Column:
-    ext = extname(name)
-    return F.concat(F.substring(name, F.lit(1), F.length(name) - F.length(ext)), mark, ext)
+    """The mark put before the extension."""
+    return F.concat(F.regexp_extract(name, r"^(.+?)(\.[^.]*)?$", 1), mark, extname(name))
+
+
+def _cut_name(safe: Column, seg: Column) -> Column:
+    return F.concat(F.substring(safe, 1, 91), F.lit("_"), hash8(seg))
 
 
 def sanitize_host(seg: Column) -> Column:
-    safe = _safe(decoded(seg))
-    return F.when(F.length(safe) > 100, F.concat(F.substring(safe, 1, 91), F.lit("_"), hash8(seg))).otherwise(safe)
+    return let(_safe(decoded(seg)), lambda safe: F.when(F.length(safe) > 100, _cut_name(safe, seg)).otherwise(safe))
 
 
 def sanitize_segment(seg: Column) -> Column:
     """Like a host's, but a changed name carries a hash, so that different names stay different."""
-    plain = decoded(seg)
-    safe = _safe(plain)
-    return (
-        F.when(F.length(safe) > 100, F.concat(F.substring(safe, 1, 91), F.lit("_"), hash8(seg)))
-        .when(safe == plain, safe)
-        .otherwise(before_extension(safe, F.concat(F.lit("_h"), hash8(plain))))
-    )
+
+    def named(plain: Column) -> Column:
+        return let(
+            _safe(plain),
+            lambda safe: F.when(F.length(safe) > 100, _cut_name(safe, seg)).when(safe == plain, safe).otherwise(before_extension(safe, F.concat(F.lit("_h"), hash8(plain)))),
+        )
+
+    return let(decoded(seg), named)
 
 
 def local_path(url: Column, kind: Column) -> Column:
     """The path of a URL's copy: [_assets/]host/segments/file, the same for the same URL everywhere; null for what isn't a URL."""
     path, query = part(url, 3), part(url, 4)
-    names = F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), sanitize_segment)
     folder = (path == "") | path.endswith("/")
-    last = F.coalesce(F.try_element_at(names, F.lit(-1)), F.lit("index.html"))
-    last = F.when(folder, F.lit("index.html")).when((kind == "asset") | extension(last).isin("html", "htm"), last).otherwise(F.concat(last, F.lit(".html")))
-    last = F.when(F.length(query) > 1, before_extension(last, F.concat(F.lit("_q"), hash8(F.substring(query, 2, 1 << 20))))).otherwise(last)
-    above = F.when(folder, names).otherwise(F.slice(names, 1, F.greatest(F.size(names) - 1, F.lit(0))))
-    whole = F.concat(F.when(kind == "asset", F.array(F.lit("_assets"))).otherwise(F.array().cast("array<string>")), F.array(sanitize_host(part(url, 2))), above, F.array(last))
-    return F.when(part(url, 2) != "", F.array_join(whole, "/"))
+    names = F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), lambda s: sanitize_segment(s))
+    ruled = lambda f: F.when((kind == "asset") | extension(f).isin("html", "htm"), f).otherwise(F.concat(f, F.lit(".html")))
+    queried = lambda f: F.when(F.length(query) > 1, before_extension(f, F.concat(F.lit("_q"), hash8(F.substring(query, 2, 1 << 20))))).otherwise(f)
+
+    def whole(n: Column) -> Column:
+        file = F.when(folder, F.lit("index.html")).otherwise(let(F.coalesce(F.try_element_at(n, F.lit(-1)), F.lit("index.html")), ruled))
+        above = F.when(folder, n).otherwise(F.slice(n, 1, F.greatest(F.size(n) - 1, F.lit(0))))
+        top = F.when(kind == "asset", F.array(F.lit("_assets"))).otherwise(F.array().cast("array<string>"))
+        return F.array_join(F.concat(top, F.array(sanitize_host(part(url, 2))), above, F.array(let(file, queried))), "/")
+
+    return F.when(part(url, 2) != "", let(names, whole))
 
 
 def relative_ref(source: Column, target: Column) -> Column:
     """POSIX path from the folder of one local path to another."""
-    a, b = F.split(source, "/"), F.split(target, "/")
-    up = F.slice(a, 1, F.size(a) - 1)
-    shared = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(F.least(F.size(up), F.size(b) - 1), F.lit(1))),
-        F.lit(0),
-        lambda k, i: F.when((k == i - 1) & (F.get(up, i - 1) == F.get(b, i - 1)), i).otherwise(k),
-    )
-    return F.concat(F.repeat(F.lit("../"), F.size(up) - shared), F.array_join(F.slice(b, shared + 1, F.size(b)), "/"))
+
+    def between(a: Column, b: Column) -> Column:
+        shared = F.aggregate(
+            F.sequence(F.lit(1), F.greatest(F.least(F.size(a), F.size(b)) - 1, F.lit(1))),
+            F.lit(0),
+            lambda k, i: F.when((k == i - 1) & (i < F.least(F.size(a), F.size(b))) & (F.get(a, i - 1) == F.get(b, i - 1)), i).otherwise(k),
+        )
+        return let(shared, lambda k: F.concat(F.repeat(F.lit("../"), F.size(a) - 1 - k), F.array_join(F.slice(b, k + 1, F.size(b)), "/")))
+
+    return let(F.split(source, "/"), lambda a: let(F.split(target, "/"), lambda b: between(a, b)))
 
 
 def joined_path(source: Column, ref: Column) -> Column:
     """The local path that a relative ref means in the file at source; null if it leaves the root."""
-    parts = F.concat(F.slice(F.split(source, "/"), 1, F.size(F.split(source, "/")) - 1), F.split(ref, "/"))
+    parts = let(F.split(source, "/"), lambda a: F.concat(F.slice(a, 1, F.size(a) - 1), F.split(ref, "/")))
     stack = F.aggregate(
         parts,
         F.array().cast("array<string>"),
