@@ -17,7 +17,7 @@ MARKERS = (
     ("<title>access denied</title>", "akamai"),
 )
 SNIFFED, VISIBLE = 4096, 150
-MOUNT = r"(?is)<(\w+)[^>]*(?:id\s*=\s*[\"'](?:root|app|__next|__nuxt)[\"']|data-reactroot)[^>]*>\s*</\1\s*>"
+MOUNT = r"(?is)<(\w+)[^>]*(?:\sid\s*=\s*[\"']?(?:root|app|__next|__nuxt)(?=[\"'\s>])|data-reactroot)[^>]*>\s*</\1\s*>"
 
 
 def error_kind(name: Column, code: Column) -> Column:

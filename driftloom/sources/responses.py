@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import time
 import urllib.error
 import urllib.request
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,9 +90,19 @@ def robots_texts(frontier: DataFrame, responses: DataFrame) -> DataFrame:
 
 
 def saved_tree(spark: SparkSession, root: str) -> DataFrame:
-    """(path, content) of a mirror's files."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return files.select(F.regexp_replace("path", "^.*?" + "/".join(p for p in root.rstrip("/").split("/")[-1:]) + "/", "").alias("path"), "content")
+    """(path, content) of a mirror's files. Listings skip names that begin with _, so the assets' folder is named as well."""
+    root = root.rstrip("/")
+    inside = "^.*?/" + re.escape(root.rsplit("/", 1)[-1]) + "/"
+
+    def below(folder: str) -> DataFrame:
+        return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(F.regexp_replace("path", inside, "").alias("path"), "content")
+
+    try:
+        return below(root).unionByName(below(f"{root}/_assets"))
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return below(root)
 
 
 def rescanned(manifest: DataFrame, saved: DataFrame, kind: Column | None = None) -> DataFrame:
