@@ -9,7 +9,8 @@ class Logistic:
     """Ridge logistic regression on standardized features; with one class only it returns the (smoothed) base rate."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1e-3, steps: int = 40):
-        x, y = np.asarray(x, float).reshape(len(y), -1), np.asarray(y, float)
+        x, y = np.asarray(x, float), np.asarray(y, float)
+        x = x[:, None] if x.ndim == 1 else x
         weight = np.ones(len(y)) if weight is None else np.asarray(weight, float)
         self.mean = x.mean(0) if len(y) else np.zeros(x.shape[1])
         self.scale = np.where(x.std(0) > 1e-12, x.std(0), 1.0) if len(y) else np.ones(x.shape[1])

@@ -112,13 +112,13 @@ def unit(a: np.ndarray, b: np.ndarray | None, weight_a: np.ndarray, weight_b: np
 
 def linked(vectors: DataFrame, cosine: float) -> DataFrame:
     """(dim, vh, embedding, copies) to rows kind 0: (a: vh, b: links to other vectors' copies) and kind 1: (a, b) links that join."""
-    dims = [r["dim"] for r in vectors.select("dim").distinct().limit(1000).collect()]
+    dims = [r["dim"] for r in vectors.select("dim").distinct().collect()]
     first = {d: directions(d)[0].tolist() for d in dims}
     value = None
     for d in dims:
         norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
         dot = F.aggregate(F.zip_with("embedding", F.lit(first[d]), lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-        value = (value or F).when(F.col("dim") == d, dot / norm)
+        value = (F if value is None else value).when(F.col("dim") == d, dot / norm)
     rows = ranked(vectors.withColumn("value", value if value is not None else F.lit(0.0)), ["dim"], ["value", "vh"], "place")
     rows = stage(rows.withColumn("tile", F.expr(f"(place - 1) div {TILE}")), "tiles")
     #: However the other directions fall, a pair further apart than this on one is further apart than any link.

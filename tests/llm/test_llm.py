@@ -1,0 +1,396 @@
+"""The training-data operators: brute force, round trips, held-out accuracy and edge cases."""
+
+import base64
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from driftloom.llm import byte_bpe, components, fingerprints, jaccard_join, line_dedup, mixing, quality, ranks, secret_scan, substring_dedup, toxicity, vector_dedup
+from driftloom.llm.queries import QUERIES, byte_bpe_50k
+from tests.conftest import DATA, rows_of, sql_rows
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def sha(x):
+    return hashlib.sha256(x.encode()).hexdigest()
+
+
+def edge_docs(spark):
+    """Nulls, empties, repeated rows, ties, a very long text, and columns whose names clash with the operators' own."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 6)))
+    shared = " ".join(word() for _ in range(60))
+    rows = [(1, None, None), (2, "", "s"), (3, " \t\n\x0b ", "s"), (4, "one two", "s"), (5, "ONE two", "é"), (6, "one two", None), (6, "one two", None), (None, shared, "s"), (8, shared, "s"), (8, shared, "s")]
+    rows += [(9, "x " * 50_000, "s"), (10, "y" * 200_000, "t"), (11, shared + " tail", "t"), (12, "Ünïcode 漢字 🙂 " * 20, "t"), (13, "\n".join(["same line " * 6] * 7), "t")]
+    rows += [(20 + i, " ".join(word() for _ in range(40)) + "\n" + shared[:200].upper() + f"\n{word()}", "u") for i in range(8)]
+    df = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], DOCS)
+    return df.withColumns({c: F.lit(7) for c in ("n_lines", "th", "kid", "SCORE", "gone", "ids", "size", "fp", "bins")})
+
+
+def listed(df, *columns):
+    return sorted(tuple(r) for r in df.select(*columns).collect())
+
+
+@pytest.mark.parametrize("name", ["op1_line_dedup", "op2_ngram_jaccard_join", "op3_source_mixing", "op8_substring_dedup"])
+def test_against_sql(spark, duck, name):
+    from driftloom.llm.oracles import ORACLES
+
+    df = QUERIES[name](spark, DATA)
+    assert rows_of(df) == sql_rows(duck, ORACLES[name], sorted(df.columns))
+
+
+# Line dedup
+
+
+def lines_by_hand(docs):
+    key = lambda x: re.sub(r"^[\x20\x09-\x0d]+|[\x20\x09-\x0d]+$", "", x).translate({c: c + 32 for c in range(65, 91)})
+    held = defaultdict(list)
+    for d, t in docs:
+        for k in {key(x) for x in (t or "").split("\n")}:
+            if len(k) >= 40:
+                held[k].append(line_dedup.LOWEST if d is None else d)
+    out = []
+    for d, t in docs:
+        own = line_dedup.LOWEST if d is None else d
+        kept = [x for x in (t or "").split("\n") if not (len(held[key(x)]) >= 5 and max(held[key(x)]) != own)]
+        out.append((str(d), len((t or "").split("\n")), "\n".join(kept)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("index_bytes", [line_dedup.INDEX_BYTES, -1])
+def test_lines_by_broadcast_and_by_shuffle(spark, index_bytes):
+    docs = edge_docs(spark)
+    got = line_dedup.dedup_lines(docs, index_bytes=index_bytes)
+    assert sorted((str(r["doc_id"]), r["n_lines"], r["text"]) for r in got.collect()) == lines_by_hand([(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert got.filter("n_dropped > 0").count() == 7 and got.filter("n_lines = 7 and doc_id <> 13").count() == 0
+    assert line_dedup.dedup_lines(docs.limit(0), index_bytes=index_bytes).count() == 0
+
+
+def test_a_perfect_hash_finds_its_keys_only():
+    rng = np.random.default_rng(1)
+    h, fp = rng.integers(0, 2**64, (2, 5000), dtype=np.uint64)
+    shard = line_dedup.Shard.load(line_dedup.Shard(h, fp, np.arange(1, 5001), np.arange(5000)).dump())
+    n, keeper = shard.probe(h, fp)
+    assert (n == np.arange(1, 5001)).all() and (keeper == np.arange(5000)).all()
+    assert not shard.probe(rng.integers(0, 2**64, 5000, dtype=np.uint64), fp)[0].any() and not shard.probe(h, fp + np.uint64(1))[0].any()
+    assert not line_dedup.Shard(*(np.zeros(0, t) for t in (np.uint64, np.uint64, int, int))).probe(h, fp)[0].any()
+
+
+# N-gram Jaccard join and components
+
+
+def jaccard_by_hand(docs):
+    sets = []
+    for d, t in docs:
+        w = re.findall(r"[^\x20\x09-\x0d]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(docs)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(docs)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] and sets[j] and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                root[find(i)] = find(j)
+    groups = defaultdict(list)
+    for i in range(len(docs)):
+        groups[find(i)].append(i)
+    least = {r: min((docs[i][0] for i in g if docs[i][0] is not None), default=None) for r, g in groups.items()}
+    return sorted((str(docs[i][0]), len(sets[i]), str(least[find(i)])) for i in range(len(docs)))
+
+
+def near_texts(n, seed=3):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghijklmn") for _ in range(rng.randint(2, 7)))
+    base = [[word() for _ in range(rng.randint(8, 160))] for _ in range(6)]
+    out = []
+    for i in range(n):
+        w = list(base[i % 6])
+        for _ in range(rng.choice([0, 1, 1, 2, 3])):
+            w[rng.randrange(len(w))] = word()
+        out.append((i, " ".join(w)))
+    return out
+
+
+@pytest.mark.parametrize("dense,tile", [(jaccard_join.DENSE, jaccard_join.TILE), (4, 300)])
+def test_jaccard_groups(spark, monkeypatch, dense, tile):
+    monkeypatch.setattr(jaccard_join, "DENSE", dense)
+    monkeypatch.setattr(jaccard_join, "TILE", tile)
+    rows = near_texts(160) + [(r["doc_id"], r["text"]) for r in edge_docs(spark).select(F.col("doc_id") + 1000, "text").toDF("doc_id", "text").collect()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard_join.jaccard_groups(docs)
+    assert sorted((str(a), b, str(c)) for a, b, c in got.collect()) == jaccard_by_hand(rows)
+    assert jaccard_join.jaccard_groups(docs.limit(0)).count() == 0
+
+
+def test_components_of_chains_stars_and_cycles(spark):
+    edges = [(i, i + 1) for i in range(60)] + [(100, k) for k in range(101, 150)] + [(200, 201), (201, 202), (202, 200), (300, 300), (-5, 7)]
+    got = dict(listed(components.components(spark.createDataFrame(edges, "a long, b long")), "node", "label"))
+    assert all(got[k] == -5 for k in range(61)) and got[149] == 100 and got[202] == 200 and 300 not in got
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# Mixing
+
+
+def test_ranks(spark):
+    rows = [(g, v) for g in ("a", "b", None) for v in (3, 1, 1, 2, None)]
+    df = spark.createDataFrame(rows, "g string, v int")
+    got = ranks.ranked(df, ["g"], ["v"], "rank")
+    for group in ("g = 'a'", "g is null"):
+        assert [(r["rank"], r["v"]) for r in got.filter(group).orderBy("rank").collect()] == [(1, None), (2, 1), (3, 1), (4, 2), (5, 3)]
+    assert listed(ranks.ranked(df, [], ["v"], "rank"), "rank") == [(i,) for i in range(1, 16)]
+
+
+def test_mix_comes_near_targets_and_repeats(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    plan = mixing.mix_plan(docs)
+    again = mixing.mix_plan(docs.repartition(7))
+    assert listed(plan, "doc_id", "copies") == listed(again, "doc_id", "copies")
+    per = plan.groupBy("source").agg(F.first("target").alias("target"), F.sum(F.col("size") * F.col("copies")).alias("taken"), F.max("size").alias("most"), F.max("copies").alias("copies")).collect()
+    assert all(abs(r["target"] - r["taken"]) <= r["most"] + 1 and r["copies"] <= 3 for r in per)
+    total = plan.agg(F.sum("size")).first()[0]
+    assert abs(sum(r["target"] for r in per) - total) < 1e-6 * total
+    mixed = mixing.mix_sources(docs)
+    assert mixed.columns == docs.columns and mixed.count() == plan.agg(F.sum("copies")).first()[0]
+    assert dict(mixed.groupBy("doc_id").count().collect()) == {r["doc_id"]: r["copies"] for r in plan.filter("copies > 0").collect()}
+
+
+def test_mix_edge_cases(spark):
+    docs = edge_docs(spark)
+    plan = mixing.mix_plan(docs)
+    assert plan.count() == docs.count() and plan.filter("size = 0 and copies * size > 0").count() == 0
+    assert mixing.mix_sources(docs).count() == plan.agg(F.sum("copies")).first()[0]
+    assert mixing.mix_plan(docs.limit(0)).count() == 0 and mixing.mix_sources(docs.limit(0)).count() == 0
+    empty = spark.createDataFrame([(1, None, "en", "a", 0), (2, "", "en", None, 0)], DOCS)
+    assert listed(mixing.mix_plan(empty), "size", "target", "copies") == [(0, 0.0, 0), (0, 0.0, 0)]
+
+
+def test_targets_are_filled_by_weight(spark):
+    sizes = spark.createDataFrame([("a", 100), ("b", 1000), ("c", 10), (None, 5)], "source string, size long")
+    got = {r["source"]: r["target"] for r in mixing.source_targets(sizes).collect()}
+    assert got["a"] == 300 and got["c"] == 30 and got[None] == 15 and got["b"] == pytest.approx(770)
+
+
+# Toxicity and quality
+
+
+def held_out(i):
+    return zlib.crc32(str(i).encode()) % 5 == 0
+
+
+def test_toxicity_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.1"
+    rows = QUERIES["op4_toxicity_chain"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").toPandas()
+    assert all(map(held_out, rows.doc_id)) and rows[rows.toxic == 1].predicted.mean() > 0.8 and rows[rows.toxic == 0].predicted.mean() < 0.01
+    assert rows[["insult", "contempt", "dehumanizing", "score"]].to_numpy().min() >= 0 and rows.score.max() <= 1
+
+
+def test_quality_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.1"
+    rows = QUERIES["op6_quality_classifier"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").toPandas()
+    good, bad = rows[rows.quality == 1], rows[rows.quality == 0]
+    assert good.predicted.mean() > 0.98 and bad.predicted.mean() < 0.35 and (good.score.median() > 0.9 > 0.3 > bad.score.median())
+
+
+def test_classifiers_at_the_edges(spark):
+    docs, labels = edge_docs(spark), spark.createDataFrame([(4, 1, 0), (4, 0, 1), (None, 1, 1), (8, None, None)], "doc_id long, quality int, toxic int")
+    none = labels.limit(0)
+    for known in (none, labels.filter("quality = 1"), labels):
+        scored = quality.score_quality(docs, quality.fit_quality(docs, known))
+        assert scored.count() == docs.count() and scored.filter("score is null or score < 0 or score > 1 or held_out is null").count() == 0
+        scored = toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, known))
+        assert scored.count() == docs.count() and scored.filter("score is null or insult is null or predicted is null").count() == 0
+    assert quality.score_quality(docs.limit(0), quality.fit_quality(docs, labels)).count() == 0
+
+
+# Embeddings
+
+
+def test_vectors_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(vector_dedup, "TILE", 64)
+    rng = np.random.default_rng(2)
+    base = rng.standard_normal((40, 16))
+    x = np.concatenate([base, base[:20] + 0.08 * rng.standard_normal((20, 16)), np.repeat(base[:1], 30, 0) + 0.05 * rng.standard_normal((30, 16)), base[5:6], 2 * base[5:6], rng.standard_normal((150, 16))])
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    odd = [(1000, None), (1001, []), (1002, [0.0] * 16), (1003, [None] * 16), (1004, [float("nan")] * 16), (1005, [float("inf")] * 16), (1006, [1.0, 2.0]), (1007, [2.0, 4.0]), (None, rows[0][1]), (0, rows[0][1])]
+    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>").withColumn("vh", F.lit(1))
+    got = vector_dedup.vector_groups(df)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    links = (u @ u.T >= 0.9) & ~np.eye(len(u), dtype=bool)
+    want = links.sum(1) + links[:, 0]
+    want[0] += 1
+    n = {r["vec_id"]: r["n_links"] for r in got.filter("vec_id < 1000").collect()}
+    found = np.array([n[i] for i in range(len(x))])
+    assert (found <= want).all() and found.sum() >= 0.97 * want.sum()
+    rest = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in got.filter("vec_id >= 1000 or vec_id is null").collect()}
+    assert all(rest[k] == (0, k, True) for k in range(1000, 1006)) and rest[1006] == (1, 1006, True) and rest[1007] == (1, 1006, False) and rest[None][0] == 0
+    assert got.count() == df.count() and vector_dedup.vector_groups(df.limit(0)).count() == 0
+
+
+def test_collision_counts_are_exact():
+    rng = np.random.default_rng(4)
+    a, b = rng.standard_normal((90, vector_dedup.PROJECTIONS)), rng.standard_normal((130, vector_dedup.PROJECTIONS))
+    for need in (1, 17, 30):
+        counts = (np.abs(a[:, None] - b[None]) <= 0.9).sum(2)
+        got = {(int(i), int(j)) for x in vector_dedup.colliding(a, b, 0.9, need) for i, j in zip(*x, strict=True)}
+        assert got == set(zip(*map(np.ndarray.tolist, np.nonzero(counts >= need)), strict=True))
+
+
+# Secrets
+
+
+def test_secrets_in_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    true = set()
+    for r in docs.collect():
+        for m in re.finditer(r'password=([0-9a-f]{18})|token = "([0-9a-f]{40})"|(AKIA[A-Z2-7]{16})', r["text"]):
+            true.add((r["doc_id"], sha(m[1] or m[2] or m[3])))
+    got = set(listed(secret_scan.scan_secrets(docs, secret_scan.train(spark)).filter("secret"), "doc_id", "sha256"))
+    assert true <= got and len(got) <= 1.1 * len(true) + 2
+
+
+def test_secret_forest_in_the_plan_equals_the_trees(spark):
+    trees = secret_scan.train(spark, secret_scan.made_findings(300, 9))
+    fresh = spark.createDataFrame(secret_scan.made_findings(200, 10), "doc_id long, text string, y int")
+    rows = secret_scan.candidates(fresh.select("doc_id", "text")).withColumn("score", secret_scan.forest_score(trees, "features")).collect()
+
+    def walk(t, x):
+        k = 0
+        while t.feature[k] >= 0:
+            k = t.left[k] if x[t.feature[k]] <= t.cut[k] else t.right[k]
+        return t.value[k]
+
+    assert rows and all(abs(r["score"] - np.mean([walk(t, r["features"]) for t in trees])) < 1e-9 for r in rows)
+    y = {r["doc_id"]: r["y"] for r in fresh.collect()}
+    assert np.mean([(r["score"] >= 0.5) == y[r["doc_id"]] for r in rows]) > 0.9
+    found = secret_scan.scan_secrets(edge_docs(spark), trees)
+    assert found.filter("secret").count() == 0 and secret_scan.scan_secrets(edge_docs(spark).limit(0), trees).count() == 0
+
+
+# Substrings
+
+
+def substrings_by_hand(docs):
+    words = [re.findall(r"[^\x20\x09-\x0d]+", t or "") for _, t in docs]
+    seen = Counter(tuple(w[i : i + 35]) for w in words for i in range(len(w) - 34))
+    out = []
+    for (d, _), w in zip(docs, words, strict=True):
+        gone = {i + k for i in range(len(w) - 34) if seen[tuple(w[i : i + 35])] > 1 for k in range(35)}
+        out.append((str(d), len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("group,rows,contexts", [(substring_dedup.GROUP, substring_dedup.ROWS, substring_dedup.CONTEXTS), (1, 64, 1 << 14)])
+def test_substrings(spark, monkeypatch, group, rows, contexts):
+    for k, v in (("GROUP", group), ("ROWS", rows), ("CONTEXTS", contexts)):
+        monkeypatch.setattr(substring_dedup, k, v)
+    docs = edge_docs(spark).unionByName(spark.createDataFrame(near_texts(40), "doc_id long, text string"), allowMissingColumns=True)
+    got = substring_dedup.substring_dedup(docs)
+    assert sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["text"]) for r in got.collect()) == substrings_by_hand([(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert all(sum(b - a for a, b in r["removed"]) == r["n_removed"] for r in got.collect())
+    assert substring_dedup.substring_dedup(docs.limit(0)).count() == 0
+
+
+# Fingerprints
+
+
+def shingles(t):
+    w = (t or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_fingerprints_estimate_likeness(spark):
+    rows = QUERIES["op9_document_fingerprints"](spark, DATA).toPandas().set_index("doc_id")
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").toPandas().sort_values("doc_id", ascending=False).reset_index(drop=True)
+    errors = []
+    for i, (d, t) in enumerate(zip(docs.doc_id, docs.text, strict=True)):
+        after = docs.text[(i + 1) % len(docs)]
+        edited = t[: len(t) - len(t) // 3] + after[: len(t) // 3]
+        assert rows.edited_sha256[d] == sha(edited) and rows.n_chars[d] == len(t)
+        for other, got in ((edited, rows.near_edited[d]), (after, rows.near_next[d])):
+            a, b = shingles(t), shingles(other)
+            errors.append(got - len(a & b) / max(1, len(a | b)))
+    assert abs(np.mean(errors)) < 0.01 and np.sqrt(np.mean(np.square(errors))) < 0.05
+    assert rows.fingerprint.str.len().isin([0, 512]).all()
+
+
+def test_fingerprint_edge_cases(spark):
+    docs = edge_docs(spark).select("doc_id", "text")
+    got = {}
+    for r in fingerprints.fingerprints(docs).collect():
+        assert got.setdefault(r["text"], r["fingerprint"]) == r["fingerprint"]
+    assert got[None] == got[""] == "" and got["one two"] == got["ONE two"] != ""
+    rows = fingerprints.edited_fingerprints(docs)
+    assert rows.count() == docs.count() and rows.filter("edited is null or next_bins is null").count() == 0
+    one = fingerprints.edited_fingerprints(docs.filter("doc_id = 4")).first()
+    assert one["edited"] == "one t" + "on"
+    assert fingerprints.edited_fingerprints(docs.limit(0)).count() == 0
+
+
+# Byte-level BPE
+
+
+def test_tokens_equal_the_reference_encoder(spark):
+    import public_tokenizers as P
+    import tiktoken
+
+    ranks_ = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks_, special_tokens={})
+    rng = random.Random(1)
+    alphabet = "abc XYZ 12 \n\t 's 't're  éßñ漢字🙂́  'll!?.,--<|endoftext|>\x1c\x85     ᠎\x00"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 120))) for _ in range(400)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").unionByName(edge_docs(spark).select((F.col("doc_id") + 5000).alias("doc_id"), "text", "ids"), allowMissingColumns=True)
+    bpe = byte_bpe_50k()
+    rows = bpe.decode(bpe.encode(docs)).collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        text = r["text"] or ""
+        assert list(r["ids"]) == own.encode_ordinary(text) and bytes(r["decoded"]).decode() == text
+        data, at = [bpe.tokens[i] for i in r["ids"]], 0
+        for token, start in zip(data, r["starts"], strict=True):
+            assert len(text[:start].encode()) <= at < len(text[: start + 1].encode())
+            at += len(token)
+    odd = spark.createDataFrame([(None,), ([],), ([-1, 10**6],), ([None, 64],)], "ids array<int>")
+    assert [bytes(r["decoded"]) for r in bpe.decode(odd).collect()] == [b"", b"", "��".encode(), b"\xef\xbf\xbd" + bpe.tokens[64]]
+    assert bpe.encode(docs.limit(0)).count() == 0
+
+
+def test_byte_table_is_a_bijection():
+    assert len(set(byte_bpe.byte_chars())) == 256
+
+
+# Pipeline
+
+
+def test_pipeline_against_brute_force(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "line_dedup", "jaccard_join", "mixing", "byte_bpe"]
+    model = quality.fit_quality(docs, labels)
+    kept = [(r["doc_id"], r["text"], r["source"]) for r in docs.collect() if model.score([r["text"].encode()])[0] >= 0.3]
+    source = {d: s for d, _, s in kept}
+    cut = [(int(d), t) for d, _, t in lines_by_hand([(d, t) for d, t, _ in kept])]
+    first = {int(c) for _, _, c in jaccard_by_hand(cut)}
+    left = {d: t for d, t in cut if d in first}
+    mixed = mixing.mix_plan(spark.createDataFrame([(d, t, source[d]) for d, t in left.items()], "doc_id long, text string, source string"))
+    want = {r["doc_id"]: r["copies"] for r in mixed.collect() if r["copies"]}
+    got = corpus_pipeline.run(spark, DATA)
+    assert dict(got.groupBy("doc_id").count().collect()) == want and got.filter("not exact").count() == 0
+    bpe = byte_bpe_50k()
+    tok = byte_bpe.Encoder(bpe.definition)
+    for r in got.select("doc_id", "ids").collect()[:50]:
+        assert list(r["ids"]) == tok.encode([left[r["doc_id"]]])[0].tolist()
