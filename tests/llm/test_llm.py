@@ -46,6 +46,16 @@ def test_against_sql(spark, duck, name):
     assert rows_of(df) == sql_rows(duck, ORACLES[name], sorted(df.columns))
 
 
+def test_staged_tables_can_be_dropped(spark):
+    from driftloom.llm import common
+
+    common.stage(spark.range(3), "x")
+    path = common._staged[-1].removeprefix("file://").removeprefix("file:")
+    import os
+
+    assert os.path.isdir(path) and common.drop_staged(spark) >= 1 and not os.path.exists(path)
+
+
 # Line dedup
 
 
