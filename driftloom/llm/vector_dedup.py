@@ -25,12 +25,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bounded_batches, stage
 from .components import components
 from .ranks import ranked
 
-COSINE, PROJECTIONS, RECALL, TILE = 0.9, 48, 0.995, 4096
+COSINE, PROJECTIONS, RECALL, TILE = 0.9, 32, 0.995, 4096
 #: Half width of a window in standard deviations of the difference of a pair at the threshold.
 WIDTH = 1.0
 
@@ -132,7 +133,8 @@ def linked(vectors: DataFrame, cosine: float) -> DataFrame:
         partners += [(s["dim"], s["tile"], s["tile"], spans[m]["tile"]) for m in range(k, last + 1)]
         partners += [(s["dim"], spans[m]["tile"], s["tile"], spans[m]["tile"]) for m in range(k + 1, last + 1)]
     plan = vectors.sparkSession.createDataFrame(partners, "dim int, tile long, i long, j long")
-    dealt = rows.select("dim", "tile", "vh", "copies", F.transform("embedding", lambda x: x.cast("double")).alias("embedding")).join(plan, ["dim", "tile"])
+    sent = F.col("embedding") if rows.schema["embedding"].dataType.elementType == T.FloatType() else F.col("embedding").cast("array<double>")  # floats become doubles where they are used
+    dealt = rows.select("dim", "tile", "vh", "copies", sent.alias("embedding")).join(plan, ["dim", "tile"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts = None, []
@@ -142,7 +144,7 @@ def linked(vectors: DataFrame, cosine: float) -> DataFrame:
             if parts:
                 table = pa.Table.from_batches(parts)
                 tile, vh, copies = (table.column(k).to_numpy() for k in ("tile", "vh", "copies"))
-                x = unit_rows(table.column("embedding").combine_chunks().flatten().to_numpy().reshape(len(tile), -1))
+                x = unit_rows(table.column("embedding").combine_chunks().flatten().to_numpy().astype(np.float64).reshape(len(tile), -1))
                 mine = tile == now[1]
                 two = now[1] != now[2]
                 la, lb, joins = unit(x[mine], x[~mine] if two else None, copies[mine], copies[~mine] if two else copies[mine], cosine)
