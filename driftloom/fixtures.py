@@ -48,6 +48,22 @@ NORMALIZE = [
 ]
 
 
+MARKUP = [
+    ("http://m.test/d/p.html", "<base href='/base/'><a href='in.php?x=1#f'>1</a><a href=http://other.test/out>2</a><a href=\"file.zip\">3</a><iframe src='frame.bin'></iframe><iframe src='//other.test/f'></iframe>"),
+    ("http://m.test/q", "<img src=a.png srcset='b.png 1x, c.png 2x'><script src=//cdn.test/s.js></script><video src=v.mp4 poster=v.jpg><source src=w.mp4><track src=t.vtt></video><audio src=x.mp3></audio>"),
+    ("http://m.test/r/", "<embed src=e.swf><object data=o.pdf></object><link rel='shortcut icon' href=i.ico><link rel=canonical href=/c><link rel='PRELOAD foo' href=p.woff><div style='background:url(bg.png)'></div>"),
+    ("http://www.m.test/s", "<style>@import 'n.css'; .a{background:url( 'u.png' )} .b{background:url(data:x)}</style><textarea><img src=hidden.png></textarea><a href='mailto:a@b'>m</a><a href='a.png'>x</a><a href='a.png'>y</a>"),
+]
+ASSETS = [
+    ("http://m.test/d/p.html", "http://m.test/base/in.php?x=1", "page"), ("http://m.test/d/p.html", "http://m.test/base/file.zip", "asset"), ("http://m.test/d/p.html", "http://m.test/base/frame.bin", "page"),
+    *(("http://m.test/q", f"http://m.test/{n}", "asset") for n in ("a.png", "b.png", "c.png", "v.mp4", "v.jpg", "w.mp4", "t.vtt", "x.mp3")), ("http://m.test/q", "http://cdn.test/s.js", "asset"),
+    *(("http://m.test/r/", f"http://m.test/r/{n}", "asset") for n in ("e.swf", "o.pdf", "i.ico", "p.woff", "bg.png")),
+    ("http://www.m.test/s", "http://www.m.test/u.png", "asset"), ("http://www.m.test/s", "http://www.m.test/a.png", "asset"),
+]
+BASES = [("http://m.test/d/p.html", "http://m.test/base/"), ("http://m.test/q", "http://m.test/q"), ("http://m.test/r/", "http://m.test/r/"), ("http://www.m.test/s", "http://www.m.test/s")]
+INERT = [("", True), ("  ", True), ("#top", True), (" #x", True), ("data:,x", True), ("MAILTO:a@b", True), ("tel:1", True), ("javascript:void(0)", True), ("blob:x", True), ("about:blank", True), ("/x", False), ("x#y", False), ("https://e.c", False), ("database", False)]
+
+
 def frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
@@ -58,6 +74,8 @@ def values(rows: list[tuple], columns: str) -> str:
     def lit(x) -> str:
         if x is None:
             return "NULL"
+        if isinstance(x, bool):
+            return "true" if x else "false"
         return str(x) if isinstance(x, (int, float)) else "'" + x.replace("'", "''") + "'"
 
     return f"(SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) AS v({columns}))"

@@ -55,8 +55,9 @@ def crawl(spark: SparkSession, seed: str, links: DataFrame, outcomes: DataFrame,
         rows = rows.withColumn("host", part(F.col("url"), 2)).withColumn("pathname", part(F.col("url"), 3))
         rows = allowed(rows, rules) if rules is not None and gates.respect_robots else rows.withColumn("allowed", F.lit(True))
         rows = rows.withColumn("state", F.when(F.col("x"), "excluded").when(F.col("saved").isNotNull(), "done").when(~F.col("allowed"), "robots").otherwise("fetch"))
-        rows = cut(rows.drop("x", "host", "pathname", "allowed"), "level")
+        rows = rows.drop("x", "host", "pathname", "allowed")
         if gates.max_pages:
+            rows = cut(rows, "level")
             fetched = rows.filter("state = 'fetch'")
             left = gates.max_pages - attempts
             cutoff = fetched.orderBy("seq").limit(left).agg(F.count("*").alias("n"), F.max("seq").alias("last")).first()
@@ -81,7 +82,7 @@ def crawl(spark: SparkSession, seed: str, links: DataFrame, outcomes: DataFrame,
         parents = judged.filter("harvest").filter(within_depth(F.col("depth") + 1, gates.max_depth)).select(F.col("url").alias("src_url"), F.col("seq").alias("parent"), "depth")
         fresh = parents.join(pages, "src_url").select("url", (F.col("depth") + 1).alias("depth"), "parent", "ord")
         fresh = first_seen(fresh, ["parent", "ord"]).join(seen, "url", "left_anti")
-        level = cut(numbered(fresh, ["parent", "ord", "url"], "seq", number).select("url", "depth", "seq"), "frontier")
+        level = numbered(fresh, ["parent", "ord", "url"], "seq", number).select("url", "depth", "seq")  # over a written table
         if not (found := level.count()):
             break
         number += found

@@ -130,6 +130,14 @@ SELECT source, target, {_REL} AS ref FROM same"""
 
 ORACLES["extract_links"] = ORACLES["extract_links_exact"] = f"WITH {LINKS} SELECT src_url, abs_url, kind FROM links"
 
+ORACLES["extract_assets"] = f"SELECT * FROM {fx.values(fx.ASSETS, 'src_url, abs_url, kind')}"
+ORACLES["effective_base"] = f"SELECT * FROM {fx.values(fx.BASES, 'url, base_url')}"
+ORACLES["inert_refs"] = f"SELECT * FROM {fx.values(fx.INERT, 'ref, inert')}"
+ORACLES["display_forms"] = """
+WITH e AS (SELECT event_id, event_id * event_id * 37 AS n, event_id * event_id * 37 // 1000 AS s FROM events)
+SELECT event_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', floor(n * 10 / 1024.0 + 0.5) / 10) WHEN n < 1073741824 THEN printf('%.1f MB', floor(n * 10 / 1048576.0 + 0.5) / 10) ELSE printf('%.1f GB', floor(n * 10 / 1073741824.0 + 0.5) / 10) END AS size,
+  CASE WHEN s >= 3600 THEN (s // 3600) || 'h ' || (s // 60 % 60) || 'm ' || (s % 60) || 's' WHEN s >= 60 THEN (s // 60) || 'm ' || (s % 60) || 's' ELSE s || 's' END AS duration FROM e"""
+
 _SHEETS = [
     ("https://site.test/css/main.css", "https://site.test/img/a.png"), ("https://site.test/css/main.css", "https://site.test/css/b.png"), ("https://site.test/css/main.css", "https://site.test/css/base.css"),
     ("https://site.test/css/base.css", "https://cdn.test/c.png"), ("https://site.test/css/base.css", "https://site.test/img/a.png"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import fixtures as fx
 from .functions import css, urls
-from .operators import crawl, links, manifest, responses, rewrite, robots
+from .operators import crawl, links, manifest, responses, rewrite, robots, tables
 from .plans import catalog
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -127,6 +127,30 @@ def extract_links_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.links(links.page_references(rows), urls.scope_root(C("src_url"))).select("src_url", "abs_url", "kind")
 
 
+@query
+def extract_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every extraction rule on markup that pages don't have."""
+    refs = links.page_references(fx.frame(spark, fx.MARKUP, "url string, html string"))
+    return links.links(refs, urls.scope_root(C("src_url"))).select("src_url", "abs_url", "kind")
+
+
+@query
+def effective_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return links.page_references(fx.frame(spark, fx.MARKUP, "url string, html string")).select(C("src_url").alias("url"), "base_url").distinct()
+
+
+@query
+def inert_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.frame(spark, fx.INERT, "ref string, expected boolean").select("ref", urls.is_inert(C("ref")).alias("inert"))
+
+
+@query
+def display_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and durations as people read them, over events."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", (C("event_id") * C("event_id") * 37).alias("n"))
+    return rows.select("event_id", urls.human_bytes(C("n")).alias("size"), urls.format_duration(C("n")).alias("duration"))
+
+
 @query
 def css_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.stylesheet_links(fx.frame(spark, fx.SHEETS, "url string, css string")).select("src_url", "abs_url")
@@ -244,7 +268,7 @@ def asset_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def site_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.site_links(spark, sf_dir).select(C("src_url").alias("src"), C("abs_url").alias("dst"))
+    return site_links(spark, sf_dir).select(C("src_url").alias("src"), C("abs_url").alias("dst"))
 
 
 @query
@@ -253,14 +277,19 @@ def bfs_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def site_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return responses.judged_pages(catalog.site_responses(spark, sf_dir), "auto", 2900)
+    """Written once, as every level of a crawl looks outcomes up."""
+    return tables.cut(responses.judged_pages(catalog.site_responses(spark, sf_dir), "auto", 2900), "outcomes")
+
+
+def site_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.cut(catalog.site_links(spark, sf_dir), "links")
 
 
 @query
 def bfs_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 300 pages in breadth-first order."""
     gates = crawl.Gates(max_pages=300)
-    rows = crawl.crawl(spark, catalog.HOME, catalog.site_links(spark, sf_dir), site_outcomes(spark, sf_dir), gates)
+    rows = crawl.crawl(spark, catalog.HOME, site_links(spark, sf_dir), site_outcomes(spark, sf_dir), gates)
     return rows.select("url", "depth", "seq", "status")
 
 
@@ -269,7 +298,7 @@ def crawl_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A crawl of the site with robots, excludes and a depth limit."""
     rules, _ = robots.parsed(catalog.robots(spark), AGENT)
     gates = crawl.Gates(max_depth=6, exclude=("/NATION/7", "/order/5"))
-    rows = crawl.crawl(spark, catalog.HOME, catalog.site_links(spark, sf_dir), site_outcomes(spark, sf_dir), gates, rules)
+    rows = crawl.crawl(spark, catalog.HOME, site_links(spark, sf_dir), site_outcomes(spark, sf_dir), gates, rules)
     return rows.select("url", "depth", "status", C("out_kind").alias("kind"), C("why").alias("error"))
 
 
@@ -277,7 +306,7 @@ def crawl_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def resume_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Resuming after the regions and even nations were saved: what is left to fetch, to depth 5."""
     done = catalog.site_responses(spark, sf_dir).filter(C("url").rlike("/region/|/nation/[0-9]*[02468]$")).select("url", F.lit(True).alias("harvest"))
-    rows = crawl.crawl(spark, catalog.HOME, catalog.site_links(spark, sf_dir), site_outcomes(spark, sf_dir), crawl.Gates(max_depth=5), done=done)
+    rows = crawl.crawl(spark, catalog.HOME, site_links(spark, sf_dir), site_outcomes(spark, sf_dir), crawl.Gates(max_depth=5), done=done)
     return rows.select("url", "depth", "status")
 
 
