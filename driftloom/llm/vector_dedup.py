@@ -31,7 +31,7 @@ from .common import bounded_batches, stage
 from .components import components
 from .ranks import ranked
 
-COSINE, PROJECTIONS, RECALL, TILE = 0.9, 32, 0.995, 4096
+COSINE, PROJECTIONS, RECALL, TILE = 0.9, 32, 0.995, 8192
 #: Half width of a window in standard deviations of the difference of a pair at the threshold.
 WIDTH = 1.0
 
