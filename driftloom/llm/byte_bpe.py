@@ -16,16 +16,17 @@ import base64
 import os
 import re
 from array import array
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from .common import binary, over_batches, replaced
 
-#: Pieces that a worker remembers, and that the library gets at once.
-KNOWN, AT_ONCE = 1 << 19, 1 << 12
+#: Pieces of a generation that a worker remembers, pieces that the library gets at once, characters whose pieces are looked up together.
+KNOWN, AT_ONCE, SLICE = 1 << 17, 1 << 12, 1 << 19
 #: Texts with white space, in the widest sense, before a space need a closer look.
 LOOSE, LOOSE_END = re.compile(r"^ |[\s\x00-\x20\u200b-\u200f\u2028-\u202f\u180e\ufeff] "), re.compile(r"[\s\x00-\x20\u200b-\u200f\u2028-\u202f\u180e\ufeff]$")
 
@@ -66,25 +67,38 @@ def tokenizer_json(ranks: dict[bytes, int], pattern: str) -> str:
 
 
 class Encoder:
-    """The library's tokenizer with a bounded memory of pieces; a worker makes its own."""
+    """The library's tokenizer with a bounded memory of pieces (two generations of KNOWN); a worker makes its own."""
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one worker for each core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_str(definition), {}
+        self.tokenizer, self.known, self.older = Tokenizer.from_str(definition), {}, {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [pieces_of(t) for t in texts]
-        new = list(set().union(*cut).difference(self.known))
-        if len(self.known) + len(new) > KNOWN:
-            self.known = {}
-            new = list(set().union(*cut))
-        for start in range(0, len(new), AT_ONCE):
-            part = new[start : start + AT_ONCE]
+        out, start, size = [], 0, 0
+        for k, t in enumerate(texts):
+            size += len(t)
+            if size >= SLICE or k == len(texts) - 1:
+                out += self._encode(texts[start : k + 1])
+                start, size = k + 1, 0
+        return out
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.known) > KNOWN:
+            self.known, self.older = {}, self.known
+        known, older, cut = self.known, self.older, [pieces_of(t) for t in texts]
+        new = []
+        for piece in set().union(*cut).difference(known):
+            if piece in older:
+                known[piece] = older[piece]
+            else:
+                new.append(piece)
+        for at in range(0, len(new), AT_ONCE):
+            part = new[at : at + AT_ONCE]
             for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[piece] = array("i", e.ids).tobytes()
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), np.int32) for pieces in cut]
+                known[piece] = array("i", e.ids).tobytes()
+        return [np.frombuffer(b"".join(map(known.__getitem__, pieces)), np.int32) for pieces in cut]
 
 
 def pieces_of(text: str) -> list[str]:
@@ -123,13 +137,8 @@ class ByteBpe:
         for token, rank in ranks.items():
             self.tokens[rank] = token
 
-    def encode(self, docs: DataFrame, offsets: bool = True) -> DataFrame:
-        """docs with ids array<int> and, if asked for, starts array<int> (each token's first character, 0-based)."""
-        spark = docs.sparkSession
+    def _encoding(self, spark: SparkSession, schema: T.StructType) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         sent = spark.sparkContext.broadcast((self.definition, np.array([len(t) for t in self.tokens], np.int64)))
-        ints = T.ArrayType(T.IntegerType())
-        schema = replaced(docs, ids=ints, **({"starts": ints} if offsets else {}))
-
         made: list[Encoder] = []
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -139,28 +148,53 @@ class ByteBpe:
                 made.append(Encoder(definition))
             ids = made[0].encode([d.decode("utf-8", "replace") for d in data])
             new = {"ids": lists(ids, pa.int32())}
-            if offsets:
+            if "starts" in schema.names:
                 new["starts"] = lists([char_starts(d, i, sizes) for d, i in zip(data, ids, strict=True)], pa.int32())
             return pa.RecordBatch.from_arrays([new[n] if n in new else batch.column(n) for n in schema.names], names=schema.names)
 
-        return over_batches(docs.select(*(f"`{n}`" for n in schema.names if n not in ("ids", "starts")[: 1 + offsets])), run, schema)
+        return run
 
-    def decode(self, rows: DataFrame) -> DataFrame:
-        """rows (with ids) with decoded binary: the exact bytes."""
-        sent = rows.sparkSession.sparkContext.broadcast(self.tokens)
-        schema = replaced(rows, decoded=T.BinaryType())
+    def _decoding(self, spark: SparkSession, schema: T.StructType) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        sent = spark.sparkContext.broadcast(self.tokens)
+        table: list[pa.Array] = []
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            table = pa.array(sent.value, pa.binary())
-            column = batch.column("ids")
+            if not table:
+                table.append(pa.array(sent.value, pa.binary()))
+            column, last = batch.column("ids"), len(table[0]) - 1
             ends = np.cumsum(np.concatenate([[0], column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)])).astype(np.int64)
-            ids = column.flatten().to_numpy(zero_copy_only=False)
-            ids = np.where(np.isnan(ids), -1, ids).astype(np.int64) if ids.dtype.kind == "f" else ids.astype(np.int64)
-            ids = np.where((ids < 0) | (ids >= len(table) - 1), len(table) - 1, ids)
-            joined = table.take(pa.array(ids))
+            ids = column.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+            ids = np.where((ids < 0) | (ids >= last), last, ids)
+            joined = table[0].take(pa.array(ids, pa.int32()))
             at = np.frombuffer(joined.buffers()[1], np.int32)[: len(ids) + 1][ends] if len(ids) else np.zeros(len(ends), np.int32)
             data = joined.buffers()[2] if len(ids) else pa.py_buffer(b"")
             decoded = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(np.ascontiguousarray(at, np.int32)), data])
             return pa.RecordBatch.from_arrays([decoded if n == "decoded" else batch.column(n) for n in schema.names], names=schema.names)
 
-        return over_batches(rows.select(*(f"`{n}`" for n in schema.names if n != "decoded")), run, schema)
+        return run
+
+    @staticmethod
+    def _schema(docs: DataFrame, offsets: bool) -> T.StructType:
+        ints = T.ArrayType(T.IntegerType())
+        return replaced(docs, ids=ints, **({"starts": ints} if offsets else {}))
+
+    @staticmethod
+    def _without(docs: DataFrame, schema: T.StructType, *new: str) -> DataFrame:
+        return docs.select(*(f"`{n}`" for n in schema.names if n not in new))
+
+    def encode(self, docs: DataFrame, offsets: bool = True) -> DataFrame:
+        """docs with ids array<int> and, if asked for, starts array<int> (each token's first character, 0-based)."""
+        schema = self._schema(docs, offsets)
+        return over_batches(self._without(docs, schema, "ids", *["starts"] * offsets), self._encoding(docs.sparkSession, schema), schema)
+
+    def decode(self, rows: DataFrame) -> DataFrame:
+        """rows (with ids) with decoded binary: the exact bytes."""
+        schema = replaced(rows, decoded=T.BinaryType())
+        return over_batches(self._without(rows, schema, "decoded"), self._decoding(rows.sparkSession, schema), schema)
+
+    def round_trip(self, docs: DataFrame, offsets: bool = False) -> DataFrame:
+        """decode(encode(docs)) in one pass: a batch goes through both in the same worker."""
+        first = self._schema(docs, offsets)
+        second = T.StructType([*(f for f in first if f.name.lower() != "decoded"), T.StructField("decoded", T.BinaryType())])
+        encode, decode = self._encoding(docs.sparkSession, first), self._decoding(docs.sparkSession, second)
+        return over_batches(self._without(docs, first, "ids", *["starts"] * offsets), lambda batch: decode(encode(batch)), second)

@@ -59,7 +59,10 @@ def described(docs: DataFrame, size: int) -> DataFrame:
         codes, held, total = WordCodes(), [], 0
 
         def often():
-            values, counts = np.unique(np.concatenate(held), return_counts=True)
+            values = np.concatenate(held)
+            values.sort()
+            starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])[: len(values)])
+            counts, values = np.diff(np.append(starts, len(values))), values[starts]
             keep = counts >= OFTEN
             k = int(keep.sum())
             return pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.nulls(k, pa.int64()), pa.array(counts[keep].astype(np.int64)), pa.array(values[keep].view(np.int64))], names=names)

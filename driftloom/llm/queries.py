@@ -70,8 +70,7 @@ def byte_bpe_50k() -> ByteBpe:
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bpe = byte_bpe_50k()
-    rows = bpe.decode(bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), offsets=False).drop("text"))
+    rows = byte_bpe_50k().round_trip(read(spark, sf_dir, "documents").select("doc_id", "text"))
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -16,7 +16,7 @@ class WordCodes(dict):
     """Word to 64-bit hash; forgets all when it has grown."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1 << 17:
+        if len(self) > 1 << 16:
             self.clear()
         code = self[word] = xxhash.xxh3_64_intdigest(word)
         return code
