@@ -45,8 +45,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens, ids and whether the ids decode to the very bytes of the text."""
-    bpe = byte_bpe_50k()
-    rows = bpe.decode(bpe.encode(docs.select("doc_id", "source", "text"), offsets=False))
+    rows = byte_bpe_50k().round_trip(docs.select("doc_id", "source", "text"))
     exact = F.coalesce(F.col("text"), F.lit("")).cast("binary") == F.col("decoded")
     return rows.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", exact.alias("exact"))
 
