@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from .common import binary, over_batches, replaced
 
 #: Pieces of a generation that a worker remembers, pieces that the library gets at once, characters whose pieces are looked up together.
-KNOWN, AT_ONCE, SLICE = 1 << 17, 1 << 12, 1 << 19
+KNOWN, AT_ONCE, SLICE = 3 << 16, 1 << 12, 1 << 19
 #: Texts with white space, in the widest sense, before a space need a closer look.
 LOOSE, LOOSE_END = re.compile(r"^ |[\s\x00-\x20\u200b-\u200f\u2028-\u202f\u180e\ufeff] "), re.compile(r"[\s\x00-\x20\u200b-\u200f\u2028-\u202f\u180e\ufeff]$")
 
