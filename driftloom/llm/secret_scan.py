@@ -1,13 +1,13 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest, in DataFrame functions only.
 
-A candidate is a run of at least LEAST characters [A-Za-z0-9+/_=-] with a digit inside a word. Its features are length, shares of character
-kinds, transitions between kinds, coverage by dictionary words, signs of a path or address around it, and what its neighbouring words are. The
+A candidate is a run of at least LEAST characters [A-Za-z0-9+/_-] (and = at its end) with a digit; a word has as many as it has such runs. Its features are length, shares of character
+kinds, transitions between kinds, coverage by dictionary words, signs of a path or address around it, and what its own prefix in the word and the words before are. The
 forest is grown on the driver from labelled findings (a fixed number, made by a seeded generator of true secrets and of what is
 mistaken for them; other labelled findings can be passed), whose features come from the same expressions. Trees become literal arrays that a
 higher-order function walks, so scoring stays in the plan.
 
 Defined cases: null and empty texts have no findings; a text's findings are numbered by their word; repeated rows have findings of
-their own; words longer than LONGEST characters are judged by their first run of at most LONGEST. Findings carry a hash, not the secret.
+their own; runs of any length are judged whole, by at most NEAR pieces and SIDE characters of their word on either side. Findings carry a hash, not the secret.
 """
 
 from __future__ import annotations
@@ -21,7 +21,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LEAST, LONGEST, THRESHOLD, TREES, DEPTH = 16, 512, 0.5, 25, 7
+LEAST, THRESHOLD, TREES, DEPTH = 16, 0.5, 25, 7
+#: Characters of a run; a word's pieces: runs (with padding) and what is between; delimiters of a part; pieces and characters near a run.
+RUN = "A-Za-z0-9+/_-"
+PIECES = rf"[{RUN}]+(?:=+(?![={RUN}]))?|[^{RUN}]+"
+ENDS = r"""\s,;&?="'`{}<>()\[\]|\\"""
+NEAR, SIDE = 16, 256
 #: Words that name secrets, words that name other things, common words and syllables of the dictionary.
 KEYS = r"(?i)(passw|passwd|pwd|secret|token|api.?key|apikey|access.?key|auth|credential|bearer|private.?key)"
 OTHERS = r"(?i)(sha\d*|md5|hash|checksum|digest|commit|uuid|guid|etag|example|sample|dummy|test|placeholder|isbn|order|invoice|card|phone|version|id)\W*$"
@@ -34,19 +39,27 @@ def _share(x: Column, pattern: str) -> Column:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, word (its number), candidate, and the features."""
+    """doc_id, word (its number), candidate, and the features; one row for each plausible run of a word."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    run = rf"[A-Za-z0-9+/_=-]{{{LEAST},{LONGEST}}}"
     rows = docs.select("doc_id", text.alias("text")).filter(F.col("text").rlike("[0-9]")).withColumn("w", F.split("text", r"[\x20\x09-\x0D]+")).drop("text")
-    fits = lambda x: (F.length(x) >= LEAST) & x.rlike("[0-9]") & x.rlike(run)
+    plausible = lambda x: (F.length(x) >= LEAST) & x.rlike("[0-9]")
+    fits = lambda x: plausible(x) & x.rlike(f"[={RUN}]{{{LEAST}}}")
     rows = rows.withColumn("at", F.filter(F.transform("w", lambda x, i: F.when(fits(x), i)), lambda i: i.isNotNull()))
     around = lambda i, n: F.coalesce(F.get(F.col("w"), i + n), F.lit(""))
-    found = F.transform("at", lambda i: F.struct(i.alias("word"), F.get(F.col("w"), i).alias("whole"), F.concat_ws(" ", around(i, -3), around(i, -2), around(i, -1)).alias("before"), around(i, 1).alias("after")))
+    found = F.transform("at", lambda i: F.struct(i.alias("word"), F.get(F.col("w"), i).alias("whole"), F.concat_ws(" ", around(i, -3), around(i, -2), around(i, -1)).alias("before")))
     rows = rows.select("doc_id", F.explode(found).alias("f")).select("doc_id", "f.*")
-    #: The secret itself is what follows an assignment sign, without quotes.
-    value = F.regexp_extract("whole", rf"(?:[A-Za-z_.-]{{1,40}}[=:]+[\"']?)?({run})", 1)
-    rows = rows.withColumn("candidate", F.when(value == "", F.regexp_extract("whole", run, 0)).otherwise(value)).filter(F.col("candidate").rlike("[0-9]"))
-    c, whole, before = F.col("candidate"), F.col("whole"), F.col("before")
+    #: A word in pieces, runs and what lies between them; what is near a run is bounded, so that long words take no square of time.
+    rows = rows.select("doc_id", "word", "before", F.regexp_extract_all("whole", F.lit(PIECES), F.lit(0)).alias("p"))
+    rows = rows.withColumn("at", F.filter(F.transform("p", lambda x, i: F.when(plausible(x) & x.rlike(f"^[{RUN}]"), i)), lambda i: i.isNotNull()))
+    lead = lambda i: F.array_join(F.slice("p", F.greatest(i - NEAR, F.lit(0)) + 1, F.least(i, F.lit(NEAR))), "")
+    tail = lambda i: F.array_join(F.slice("p", i + 2, F.lit(NEAR)), "")
+    found = F.transform("at", lambda i: F.struct(F.get(F.col("p"), i).alias("candidate"), F.right(lead(i), F.lit(SIDE)).alias("lead"), F.left(tail(i), F.lit(SIDE)).alias("tail")))
+    rows = rows.select("doc_id", "word", "before", F.explode(found).alias("f")).select("doc_id", "word", "before", "f.*")
+    #: A run's own prefix begins after the last field of the word, its part lies between delimiters.
+    rows = rows.withColumn("whole", F.concat(F.regexp_extract("lead", rf"[^{ENDS}]*$", 0), "candidate", F.regexp_extract("tail", rf"^[^{ENDS}]*", 0)))
+    rows = rows.withColumn("lead", F.regexp_extract("lead", r"[^,;&?{}|]*$", 0))
+    c, whole, before, lead = F.col("candidate"), F.col("whole"), F.col("before"), F.col("lead")
+    named = lead.rlike("[A-Za-z0-9_][\"'`\\\\]*[=:]")  # the prefix has a name of its own
     flag = lambda x: x.cast("double")
     values = {
         "length": F.length(c).cast("double"),
@@ -60,11 +73,11 @@ def candidates(docs: DataFrame) -> DataFrame:
         "covered": (F.length(c) - F.length(F.regexp_replace(c, DICTIONARY, ""))).cast("double") / F.greatest(F.length(c), F.lit(1)),
         "path": flag(whole.rlike(r"(?i)^(\.{0,2}/|[a-z]:\\)|/.*/|\.(html?|php|js|css|png|jpe?g|gif|pdf|json|xml|txt|zip|gz|py|java)\b")),
         "address": flag(whole.rlike(r"(?i)://|www\.|@[a-z0-9.-]+\.[a-z]{2,}")),
-        "key_inside": flag(F.expr("substring_index(whole, candidate, 1)").rlike(KEYS)),
-        "key_before": flag(before.rlike(KEYS)),
-        "other_before": flag(before.rlike(OTHERS)),
-        "quoted": flag(whole.rlike("[\"'`]")),
-        "assigned": flag(F.expr("substring_index(whole, candidate, 1)").rlike("[=:][\"']?$") | before.rlike("(=|:|=>)$")),
+        "key_inside": flag(lead.rlike(KEYS)),
+        "key_before": flag(before.rlike(KEYS) & ~named),
+        "other_before": flag(F.concat_ws(" ", before, lead).rlike(OTHERS)),
+        "quoted": flag(lead.rlike("[\"'`]$") | F.col("tail").rlike("^[\"'`\\\\]")),
+        "assigned": flag(lead.rlike("[=:][\"'`\\\\]*$") | (before.rlike("(=|:|=>)$") & ~lead.rlike(r"\w"))),
         "known_prefix": flag(c.rlike(r"^(AKIA|ASIA|ghp_|gho_|ghs_|glpat-|xox[baprs]-|sk_live_|rk_live_|AIza|eyJ|npm_|SG)")),
         "dashes": _share(c, "-"),
     }
@@ -89,6 +102,8 @@ def made_findings(n: int = 2400, seed: int = 7) -> list[tuple[int, str, int]]:
         lambda: rng.choice(["ghp_", "gho_", "glpat-", "sk_live_", "npm_"]) + pick(word62, rng.randint(24, 40)),
         lambda: "Authorization: Bearer " + "eyJ" + pick(word62, rng.randint(30, 60)),
         lambda: "AIza" + pick(word62 + "_-", 35),
+        lambda: f'{{"{name()}":"{rng.randint(1, 999)}","{key()}":"{value()}"}}',
+        lambda: f"https://{pick('abcdefgh', 8)}.com/list?{name()}={rng.randint(1, 999)}&{key()}={value()}",
     ]
     others = [
         lambda: f"{name()} {pick(hexes, rng.choice([16, 32, 40, 64]))}",
@@ -104,6 +119,8 @@ def made_findings(n: int = 2400, seed: int = 7) -> list[tuple[int, str, int]]:
         lambda: f"{key()}={'x' * rng.randint(16, 30)}{rng.randint(0, 9)}",
         lambda: f"release-{rng.randint(1, 20)}.{rng.randint(1, 20)}-build-{rng.randint(1000, 99999)}-version",
         lambda: f"2024-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}-report-number-{rng.randint(1, 999)}",
+        lambda: f'{{"{key()}":"","{name()}":"{pick(hexes, rng.choice([16, 20, 32, 40, 64]))}"}}',
+        lambda: f"https://{pick('abcdefgh', 8)}.com/list?{name()}={pick(hexes, rng.choice([16, 32, 40]))}&page={rng.randint(1, 99)}",
     ]
     out = []
     for i in range(n):

@@ -289,6 +289,24 @@ def test_secret_forest_in_the_plan_equals_the_trees(spark):
     assert found.filter("secret").count() == 0 and secret_scan.scan_secrets(edge_docs(spark).limit(0), trees).count() == 0
 
 
+def test_every_run_of_a_word_is_judged(spark):
+    token = "ghp_a8Kd02nQx7Lm4ZpR9sTv1WyB3cE5fG6hJ0kU"
+    rng = random.Random(3)
+    long = "".join(rng.choice("abcdefghijkLMNOPQ0123456789") for _ in range(700))
+    cases = [
+        ('{"client_secret_production":"a1b2c3d4e5f60718a9b0c1d2"}', {"a1b2c3d4e5f60718a9b0c1d2": True}),
+        ('{"id":"0123456789abcdef0123","api_key":"Zx9Qw8Er7Ty6Ui5Op4As3"}', {"0123456789abcdef0123": False, "Zx9Qw8Er7Ty6Ui5Op4As3": True}),
+        (f"https://api.example.com/v1/projects/settings/list?token={token}", {token: True}),
+        ("[" + "{}," * 40_000 + f'{{"token":"{token}"}}]', {token: True}),
+        (f"private_key={long}", {long: True}),
+    ]
+    docs = spark.createDataFrame([(i, f"see {t} there") for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {(r["doc_id"], r["sha256"]): (r["word"], r["secret"]) for r in secret_scan.scan_secrets(docs, secret_scan.train(spark)).collect()}
+    for i, (_, wanted) in enumerate(cases):
+        for c, secret in wanted.items():
+            assert got.get((i, sha(c))) == (1, secret), c
+
+
 # Substrings
 
 
