@@ -1,7 +1,9 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest, in DataFrame functions only.
 
-A candidate is a run of at least LEAST characters [A-Za-z0-9+/_-] (and = at its end) with a digit; a word has as many as it has such runs. Its features are length, shares of character
-kinds, transitions between kinds, coverage by dictionary words, signs of a path or address around it, and what its own prefix in the word and the words before are. The
+A candidate is a run of characters [A-Za-z0-9+/_-] (and = at its end) inside a word: of at least LEAST with a digit or a known prefix, or of at
+least SHORT where an assignment or a key word is before it. Values of key words that other characters break are candidates as a whole as well. A
+word has as many candidates as it holds. Their features are length, shares of character
+kinds, transitions between kinds, coverage by dictionary words, signs of a path or address around it, and what the own prefix in the word and the words before are. The
 forest is grown on the driver from labelled findings (a fixed number, made by a seeded generator of true secrets and of what is
 mistaken for them; other labelled findings can be passed), whose features come from the same expressions. Trees become literal arrays that a
 higher-order function walks, so scoring stays in the plan.
@@ -21,14 +23,19 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LEAST, THRESHOLD, TREES, DEPTH = 16, 0.5, 25, 7
+LEAST, SHORT, THRESHOLD, TREES, DEPTH = 16, 6, 0.5, 25, 7
 #: Characters of a run; a word's pieces: runs (with padding) and what is between; delimiters of a part; pieces and characters near a run.
 RUN = "A-Za-z0-9+/_-"
 PIECES = rf"[{RUN}]+(?:=+(?![={RUN}]))?|[^{RUN}]+"
 ENDS = r"""\s,;&?="'`{}<>()\[\]|\\"""
 NEAR, SIDE = 16, 256
 #: Words that name secrets, words that name other things, common words and syllables of the dictionary.
+KNOWN = r"(AKIA|ASIA|ghp_|gho_|ghs_|glpat-|xox[baprs]-|sk_live_|rk_live_|AIza|eyJ|npm_|SG)"
 KEYS = r"(?i)(passw|passwd|pwd|secret|token|api.?key|apikey|access.?key|auth|credential|bearer|private.?key)"
+#: What may stand between a key word and its value; text that ends with a key word and no value yet; a key word, quote and value inside a word.
+QUOTES, FILLERS = r"""\"'`\\""", ("is", "was", "for", "of")
+FOLLOWS = rf"{KEYS}[\w.-]{{0,64}}[{QUOTES}]*( ?[=:]+>?)?( ({'|'.join(FILLERS)}))?$"
+VALUES = rf"({KEYS}[\w.-]{{0,64}}[{QUOTES}]*+[=:]++>?)([{QUOTES}]*+)((?<=[{QUOTES}])[^{QUOTES}]+|(?<![{QUOTES}])[^\s{QUOTES},;&<>{{}}]+)"
 OTHERS = r"(?i)(sha\d*|md5|hash|checksum|digest|commit|uuid|guid|etag|example|sample|dummy|test|placeholder|isbn|order|invoice|card|phone|version|id)\W*$"
 DICTIONARY = r"(?i)(example|sample|test|dummy|placeholder|changeme|your|here|user|name|page|image|index|article|section|chapter|version|release|build|report|item|order|number|date|time|data|file|main|home|news|post|blog|view|list|page|this|that|with|from|have|will|what|when|there|their|tion|ing|ment|able|ness)"
 FEATURES = ("length", "digits", "lowers", "uppers", "others", "turns", "hexes", "repeats", "covered", "path", "address", "key_inside", "key_before", "other_before", "quoted", "assigned", "known_prefix", "dashes")
@@ -39,22 +46,34 @@ def _share(x: Column, pattern: str) -> Column:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, word (its number), candidate, and the features; one row for each plausible run of a word."""
+    """doc_id, word (its number), candidate, and the features; one row for each plausible run or value of a word."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("text")).filter(F.col("text").rlike("[0-9]")).withColumn("w", F.split("text", r"[\x20\x09-\x0D]+")).drop("text")
-    plausible = lambda x: (F.length(x) >= LEAST) & x.rlike("[0-9]")
-    fits = lambda x: plausible(x) & x.rlike(f"[={RUN}]{{{LEAST}}}")
-    rows = rows.withColumn("at", F.filter(F.transform("w", lambda x, i: F.when(fits(x), i)), lambda i: i.isNotNull()))
+    rows = docs.select("doc_id", F.split(text, r"[\x20\x09-\x0D]+").alias("w"))
     around = lambda i, n: F.coalesce(F.get(F.col("w"), i + n), F.lit(""))
+    #: Words that may hold a plausible run or an assignment, or that follow one or a key word.
+    after = lambda i: around(i, -1).rlike(f"[=:>]$|{KEYS}") | (around(i, -1).isin(*FILLERS) & around(i, -2).rlike(KEYS))
+    fits = lambda x, i: (F.length(x) >= SHORT) & (x.rlike(rf"[=:].*\S{{{SHORT}}}") | (x.rlike(f"[={RUN}]{{{LEAST}}}") & x.rlike(f"[0-9]|{KNOWN}")) | after(i))
+    rows = rows.withColumn("at", F.filter(F.transform("w", lambda x, i: F.when(fits(x, i), i)), lambda i: i.isNotNull()))
     found = F.transform("at", lambda i: F.struct(i.alias("word"), F.get(F.col("w"), i).alias("whole"), F.concat_ws(" ", around(i, -3), around(i, -2), around(i, -1)).alias("before")))
     rows = rows.select("doc_id", F.explode(found).alias("f")).select("doc_id", "f.*")
     #: A word in pieces, runs and what lies between them; what is near a run is bounded, so that long words take no square of time.
-    rows = rows.select("doc_id", "word", "before", F.regexp_extract_all("whole", F.lit(PIECES), F.lit(0)).alias("p"))
-    rows = rows.withColumn("at", F.filter(F.transform("p", lambda x, i: F.when(plausible(x) & x.rlike(f"^[{RUN}]"), i)), lambda i: i.isNotNull()))
-    lead = lambda i: F.array_join(F.slice("p", F.greatest(i - NEAR, F.lit(0)) + 1, F.least(i, F.lit(NEAR))), "")
+    rows = rows.withColumn("follows", F.col("before").rlike(FOLLOWS)).withColumn("p", F.regexp_extract_all("whole", F.lit(PIECES), F.lit(0)))
+    lead = lambda i, n: F.array_join(F.slice("p", F.greatest(i - n, F.lit(0)) + 1, F.least(i, F.lit(n))), "")
     tail = lambda i: F.array_join(F.slice("p", i + 2, F.lit(NEAR)), "")
-    found = F.transform("at", lambda i: F.struct(F.get(F.col("p"), i).alias("candidate"), F.right(lead(i), F.lit(SIDE)).alias("lead"), F.left(tail(i), F.lit(SIDE)).alias("tail")))
-    rows = rows.select("doc_id", "word", "before", F.explode(found).alias("f")).select("doc_id", "word", "before", "f.*")
+    valued = lambda x, i: ~x.rlike(f"^//|^{KEYS}[a-z]*$") & (((i <= 1) & (F.col("follows") | F.col("before").rlike("[=:]>?$"))) | lead(i, 2).rlike(f"[=:]>?[{QUOTES}]*$"))
+    plausible = lambda x, i: x.rlike(f"^[{RUN}]{{{SHORT}}}") & (((F.length(x) >= LEAST) & x.rlike(f"[0-9]|^{KNOWN}")) | valued(x, i))
+    rows = rows.withColumn("at", F.filter(F.transform("p", lambda x, i: F.when(plausible(x, i), i)), lambda i: i.isNotNull()))
+    runs = F.transform("at", lambda i: F.struct(F.get(F.col("p"), i).alias("candidate"), F.right(lead(i, NEAR), F.lit(SIDE)).alias("lead"), F.left(tail(i), F.lit(SIDE)).alias("tail")))
+    #: Values of key words that hold other characters: in quotes up to the next quote, else up to a delimiter; or the word after a key word.
+    ends = F.lit(".,;:)]}>\"'`")
+    groups = [F.regexp_extract_all("whole", F.lit(VALUES), F.lit(k)).alias(n) for k, n in ((1, "key"), (3, "quote"), (4, "value"))]
+    broken = F.transform(F.arrays_zip(*groups), lambda v: F.struct(F.when(v["quote"] == "", F.rtrim(v["value"], ends)).otherwise(v["value"]).alias("candidate"), F.concat(v["key"], v["quote"]).alias("lead"), v["quote"].alias("tail")))
+    quote = F.regexp_extract("whole", f"^[{QUOTES}]*", 0)
+    own = F.when(quote == "", F.rtrim("whole", ends)).otherwise(F.regexp_extract("whole", f"^[{QUOTES}]*([^{QUOTES}]*)", 1))
+    own = F.array(F.struct(own.alias("candidate"), quote.alias("lead"), quote.alias("tail")))
+    broken = F.concat(broken, F.filter(own, lambda v: F.col("follows") & ~F.col("whole").rlike(f"{KEYS}|://") & (v["candidate"].rlike("[0-9]") | F.col("before").rlike("[=:]>?$"))))
+    broken = F.filter(broken, lambda v: (F.length(v["candidate"]) >= SHORT) & ~v["candidate"].rlike(f"^[{RUN}]+=*$") & v["candidate"].rlike(r"\w"))
+    rows = rows.select("doc_id", "word", "before", F.explode(F.concat(runs, broken)).alias("f")).select("doc_id", "word", "before", "f.*")
     #: A run's own prefix begins after the last field of the word, its part lies between delimiters.
     rows = rows.withColumn("whole", F.concat(F.regexp_extract("lead", rf"[^{ENDS}]*$", 0), "candidate", F.regexp_extract("tail", rf"^[^{ENDS}]*", 0)))
     rows = rows.withColumn("lead", F.regexp_extract("lead", r"[^,;&?{}|]*$", 0))
@@ -78,7 +97,7 @@ def candidates(docs: DataFrame) -> DataFrame:
         "other_before": flag(F.concat_ws(" ", before, lead).rlike(OTHERS)),
         "quoted": flag(lead.rlike("[\"'`]$") | F.col("tail").rlike("^[\"'`\\\\]")),
         "assigned": flag(lead.rlike("[=:][\"'`\\\\]*$") | (before.rlike("(=|:|=>)$") & ~lead.rlike(r"\w"))),
-        "known_prefix": flag(c.rlike(r"^(AKIA|ASIA|ghp_|gho_|ghs_|glpat-|xox[baprs]-|sk_live_|rk_live_|AIza|eyJ|npm_|SG)")),
+        "known_prefix": flag(c.rlike(f"^{KNOWN}")),
         "dashes": _share(c, "-"),
     }
     return rows.select("doc_id", F.col("word").cast("long").alias("word"), "candidate", F.array(*(values[k] for k in FEATURES)).alias("features"))
@@ -94,6 +113,10 @@ def made_findings(n: int = 2400, seed: int = 7) -> list[tuple[int, str, int]]:
     key = lambda: rng.choice(["password", "passwd", "secret", "token", "api_key", "apikey", "access_key", "auth_token", "client_secret"])
     name = lambda: rng.choice(["commit", "sha256", "md5", "checksum", "hash", "uuid", "etag", "order", "id", "version"])
     value = lambda: rng.choice([pick(hexes, rng.choice([16, 18, 20, 24, 32, 40, 64])), pick(word62, rng.randint(16, 48)), pick(word62 + "+/", rng.randint(24, 64))])
+    letters = string.ascii_letters
+    mixed = lambda k: rng.choice(string.ascii_uppercase) + pick(word62, k) + rng.choice("@!#$%^*") + rng.choice(string.digits) + pick(word62, k)
+    given = lambda v: rng.choice([f"{key()}={v}", f'{key()}="{v}"', f'{key()} = "{v}"', f"{key()}: {v}", f"{key()} is {v}"])
+    plain = lambda: pick("aeioulnrst", rng.randint(6, 14))
     secrets = [
         lambda: f"{key()}={value()}",
         lambda: f"{key()} = \"{value()}\"",
@@ -104,6 +127,10 @@ def made_findings(n: int = 2400, seed: int = 7) -> list[tuple[int, str, int]]:
         lambda: "AIza" + pick(word62 + "_-", 35),
         lambda: f'{{"{name()}":"{rng.randint(1, 999)}","{key()}":"{value()}"}}',
         lambda: f"https://{pick('abcdefgh', 8)}.com/list?{name()}={rng.randint(1, 999)}&{key()}={value()}",
+        lambda: "AKIA" + pick(string.ascii_uppercase, 16),
+        lambda: f"{rng.choice([key() + '=', key() + ': '])}{pick(rng.choice([letters, string.ascii_lowercase]), rng.randint(16, 32))}",
+        lambda: given(pick(letters, rng.randint(2, 5)) + pick(string.digits, rng.randint(1, 3)) + pick(word62, rng.randint(3, 7))),
+        lambda: given(mixed(rng.randint(3, 7))),
     ]
     others = [
         lambda: f"{name()} {pick(hexes, rng.choice([16, 32, 40, 64]))}",
@@ -121,6 +148,11 @@ def made_findings(n: int = 2400, seed: int = 7) -> list[tuple[int, str, int]]:
         lambda: f"2024-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}-report-number-{rng.randint(1, 999)}",
         lambda: f'{{"{key()}":"","{name()}":"{pick(hexes, rng.choice([16, 20, 32, 40, 64]))}"}}',
         lambda: f"https://{pick('abcdefgh', 8)}.com/list?{name()}={pick(hexes, rng.choice([16, 32, 40]))}&page={rng.randint(1, 99)}",
+        lambda: f"{key()} {plain()} {rng.choice(['is', 'was', 'of'])}",
+        lambda: f"{key()} {rng.choice(['is', 'was', 'of', 'for'])} {plain()}",
+        lambda: f"{plain()}: {plain()}",
+        lambda: f'{pick("abcdefgh", 5)}="{plain()}{rng.choice(["", "-", "_"])}{plain()}"',
+        lambda: f"{key()}={rng.choice(['changeme', 'example', 'placeholder', 'your_password', 'your-token-here', 'xxxxxxxx'])}",
     ]
     out = []
     for i in range(n):
