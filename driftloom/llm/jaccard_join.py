@@ -24,11 +24,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import bloom_of
-from .common import binary, bounded_batches, over_batches, stage
+from .common import binary, bounded_batches, over_batches, spare, stage, text_hash
 from .components import components
 from .shingles import SHINGLE, WordCodes, shingle_set
 
@@ -52,8 +52,8 @@ def overlap_bound(a, b, percent: int):
     return -(-percent * (a + b) // (100 + percent))
 
 
-def described(docs: DataFrame, size: int) -> DataFrame:
-    """A staged table: (doc_id, n, sid) of every document, and rows with kind 1 whose sid is an n-gram held n times by a chunk."""
+def described(docs: DataFrame, size: int, *more: Column) -> DataFrame:
+    """A staged table: (doc_id, n, sid, more long columns) of every document, and rows with kind 1 whose sid is an n-gram held n times by a chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, held, total = WordCodes(), [], 0
@@ -65,9 +65,9 @@ def described(docs: DataFrame, size: int) -> DataFrame:
             counts, values = np.diff(np.append(starts, len(values))), values[starts]
             keep = counts >= OFTEN
             k = int(keep.sum())
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.nulls(k, pa.int64()), pa.array(counts[keep].astype(np.int64)), pa.array(values[keep].view(np.int64))], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.nulls(k, pa.int64()), pa.array(counts[keep].astype(np.int64)), pa.array(values[keep].view(np.int64)), *(pa.nulls(k, pa.int64()) for _ in extra)], names=names)
 
-        names = ["kind", "doc_id", "n", "sid"]
+        names = ["kind", "doc_id", "n", "sid", *extra]
         for batch in batches:
             ns, sids = [], []
             for data in binary(batch.column(1)):
@@ -79,12 +79,14 @@ def described(docs: DataFrame, size: int) -> DataFrame:
                 if total >= CHUNK:
                     yield often()
                     held, total = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ns), np.int32)), batch.column(0), pa.array(ns, pa.int64()), pa.array(sids, pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ns), np.int32)), batch.column(0), pa.array(ns, pa.int64()), pa.array(sids, pa.int64()), *batch.columns[2:]], names=names)
         if held:
             yield often()
 
     bounded_batches(docs.sparkSession)
-    return stage(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "kind int, doc_id long, n long, sid long"), "sets")
+    rows = docs.select(F.col("doc_id").cast("long"), "text", *more)
+    extra = rows.columns[2:]
+    return stage(rows.mapInArrow(run, ", ".join(["kind int, doc_id long, n long, sid long", *(f"{c} long" for c in extra)])), "sets")
 
 
 def common_ngrams(rows: DataFrame) -> np.ndarray:
@@ -265,10 +267,10 @@ def multiplied(clusters: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     return rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(run, "a long, b long")
 
 
-def jaccard_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id), one row for each row of docs."""
-    described_ = described(docs, size)
-    sets = described_.filter("kind = 0").select("doc_id", "n", "sid")
+def labelled_sets(docs: DataFrame, size: int, percent: int, *more: Column) -> DataFrame:
+    """(doc_id, n, more, label), one row for each row of docs: rows of a component share a label, rows without words have none."""
+    described_ = described(docs, size, *more)
+    sets = described_.filter("kind = 0").drop("kind")
     names = sets.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
     part = stage(shared_columns(prefixes(docs, common_ngrams(described_), size, percent)), "columns")
 
@@ -284,12 +286,31 @@ def jaccard_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT)
     wanted = clusters.select("sid").unionByName(pairs.select(F.col("a").alias("sid"))).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
     rows = full_rows(wanted, docs, names, size)
     labels = components(verified(pairs, rows, percent).unionByName(multiplied(clusters, rows, percent)))
-    sets = sets.join(labels, sets["sid"] == labels["node"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("label", "sid")).alias("label"))
+    label = F.when(F.col("n") > 0, F.coalesce("label", "sid")).alias("label")
+    return sets.join(labels, sets["sid"] == labels["node"], "left").select(*(c for c in sets.columns if c != "sid"), label)
+
+
+def jaccard_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id), one row for each row of docs."""
+    sets = labelled_sets(docs, size, percent)
     ids = sets.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return sets.join(ids, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """docs with one document of each group: the one whose doc_id names it. Documents without doc_id stay."""
-    groups = jaccard_groups(docs, size, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias("gone_")).distinct()
-    return docs.join(groups, docs["doc_id"] == groups["gone_"], "left_anti")
+    """docs with one row of each group: of the least doc_id (null only where there is no other), then the least hash of the text.
+
+    Rows are named by doc_id and text hash; where the chosen name repeats, one of its rows stays. Rows without words all stay."""
+    th, d, t = spare(docs, "th", "d", "t")
+    keys = labelled_sets(docs, size, percent, text_hash("text").alias("text_hash")).filter("label is not null").groupBy("label", "doc_id", "text_hash").agg(F.count("*").alias("copies"))
+    name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    leads = keys.groupBy("label").agg(F.min(name).alias("lead"))
+    judged = keys.join(leads, "label").withColumn("kept", F.col("lead").eqNullSafe(name)).filter("not kept or copies > 1")
+    judged = stage(judged.select(F.col("doc_id").alias(d), F.col("text_hash").alias(t), "kept"), "judged")
+    repeated = stage(judged.filter("kept").drop("kept"), "repeated")
+
+    rows = docs.withColumn(th, text_hash("text"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.col(th) == F.col(t))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    once = rows.join(repeated, same, "left_semi").groupBy("doc_id", th).agg(F.min_by(row, F.to_json(row)).alias(d)).select(f"{d}.*")
+    return rows.join(judged.drop("kept"), same, "left_anti").drop(th).union(once)

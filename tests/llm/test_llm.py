@@ -419,6 +419,16 @@ def test_byte_table_is_a_bijection():
 # Pipeline
 
 
+def test_near_copies_where_ids_repeat(spark):
+    a, b, c, e, f = (" ".join(f"{k}{i}" for i in range(30)) for k in "abcef")
+    rows = [(1, a, "x"), (1, a, "y"), (1, a, "y"), (2, a, "x"), (2, b, "x"), (3, c, "x"), (3, e, "x"), (None, c.upper(), "x"), (None, f, "x"), (None, f, "x"), (4, "", "x"), (4, "", "x"), (5, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, th string")
+    got = jaccard_join.drop_near_copies(docs)
+    want = [(1, a), (2, b), (3, c), (3, e), (None, f), (4, ""), (4, ""), (5, None)]
+    assert got.columns == docs.columns and listed(got, "doc_id", "text") == sorted(want, key=str)
+    assert jaccard_join.drop_near_copies(docs.limit(0)).count() == 0
+
+
 def test_pipeline_against_brute_force(spark):
     import corpus_pipeline
 
