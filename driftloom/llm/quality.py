@@ -67,6 +67,12 @@ class Coder:
         return (bad - good) / (len(data) + 200), (bad - good) / (bad + good + 60)
 
 
+def spread(n: int, most: int = TRAIN_SEGMENTS) -> list[int]:
+    """Numbers of at most `most` of n segments, from the middles of equal parts of the text."""
+    k = min(n, most)
+    return [(2 * i + 1) * n // (2 * k) for i in range(k)]
+
+
 def dictionary(pieces: list[bytes]) -> bytes:
     """A zstandard dictionary from the pieces, or without enough of them their plain bytes."""
     kept, total = [], 0
@@ -101,8 +107,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Q
         out = []
         for data, y, fold in zip(binary(batch.column("text")), batch.column("y").to_pylist(), batch.column("fold").to_pylist(), strict=True):
             n = -(-len(data) // SEGMENT)
-            step = max(1, n // TRAIN_SEGMENTS)  # from all over the text
-            out += [(data[i * SEGMENT : (i + 1) * SEGMENT], y, fold) for i in range(0, n, step)][:TRAIN_SEGMENTS]
+            out += [(data[i * SEGMENT : (i + 1) * SEGMENT], y, fold) for i in spread(n)]
         cols = list(zip(*out, strict=True)) or [(), (), ()]
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32())], names=["piece", "y", "fold"])
 
