@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .urls import trimmed
 
+#: What counts as url(...), as @import of a string or url(, and as @import of a bare string; they decide which references there are.
 URL_CALL = r"(?i)url\(\s*(['\"]?)([^'\")]+)\1\s*\)"
 IMPORT = r"(?i)@import\s+(?:url\(\s*)?(['\"])([^'\"]+)\1"
 IMPORT_STRING = r"(?i)@import\s+(['\"])([^'\"]+)\1"
@@ -41,23 +42,25 @@ Resolver = Callable[[str], "tuple[str, bool] | None"]
 
 
 def rewrite_css(css: str, resolve: Resolver) -> str:
-    """url(...) and then @import strings; what the resolver declines stays as it was."""
-
-    def call(m: re.Match) -> str:
-        got = resolve(m[2].strip())
-        return m[0] if got is None else f"url({m[1]}{got[0]}{m[1]})"
-
-    def line(m: re.Match) -> str:
-        got = resolve(m[2].strip())
-        return m[0] if got is None else f"@import {m[1]}{got[0]}{m[1]}"
-
-    return re.sub(IMPORT_STRING, line, re.sub(URL_CALL, call, css))
+    """The sheet with references replaced where they stand: places of both forms are gathered from one pass over the text, the text between them is kept."""
+    places = sorted([(*m.span(2), m) for form in (URL_CALL, IMPORT_STRING) for m in re.finditer(form, css)], key=lambda p: p[0])
+    out, at = [], 0
+    for start, end, m in places:
+        if start < at or (got := resolve(m[2].strip())) is None:
+            continue
+        if m[0][0] == "@":
+            start, new = m.start(), f"@import {m[1]}{got[0]}{m[1]}"
+        else:
+            start, new = m.start(), f"url({m[1]}{got[0]}{m[1]})"
+        if start < at:
+            continue
+        out += [css[at:start], new]
+        at = m.end()
+    return "".join([*out, css[at:]])
 
 
 def rewrite_srcset(value: str, resolve: Resolver) -> str:
-    out = []
-    for part in filter(None, map(str.strip, value.split(","))):
-        url, *rest = part.split(None, 1)
-        got = resolve(url)
-        out.append(" ".join([got[0] if got else url, *(x.strip() for x in rest)]))
-    return ", ".join(out)
+    """Candidates joined by a comma and a space, blank ones out."""
+    candidates = [c.split(None, 1) for c in value.split(",") if c.strip()]
+    known = {c[0]: found[0] for c in candidates if (found := resolve(c[0]))}
+    return ", ".join(" ".join([known.get(url, url), *map(str.strip, descriptor)]) for url, *descriptor in candidates)

@@ -96,13 +96,15 @@ def references(text: str) -> tuple[str | None, list[tuple[str, str]]]:
     return base, [(rule, ref) for rule in RULES for ref in found[rule] if ref or rule in ("a", "iframe")]
 
 
-def all_references(text: str) -> list[str]:
-    """Every raw reference that rewriting asks for, each once."""
+def rewrite_references(text: str) -> tuple[str | None, list[str]]:
+    """The first base href, and every raw reference that rewriting asks for, each once: one scan."""
     out: dict[str, None] = {}
-    scan = Scan(text)
+    scan, base = Scan(text), None
     for _, _, tag, attrs in scan.tags:
         for k, v in attrs:
             v = v or ""
+            if base is None and tag == "base" and k == "href":
+                base = v
             if (tag, k) in URL_ATTRIBUTES:
                 out[v] = None
             elif k == "srcset" and tag in SRCSET_TAGS:
@@ -111,7 +113,7 @@ def all_references(text: str) -> list[str]:
                 out |= dict.fromkeys(css_strings(v))
     for _, css in scan.styles:
         out |= dict.fromkeys(css_strings(css))
-    return list(out)
+    return base, list(out)
 
 
 def css_strings(css: str) -> list[str]:

@@ -12,6 +12,8 @@ PAGE_EXTENSIONS = ("html", "htm", "xhtml", "php", "asp", "aspx", "jsp", "cfm", "
 INERT = r"(?i)^(#|data:|mailto:|tel:|javascript:|blob:|about:)"
 URL = r"^(https?)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
 SPACE = r"(?U)\s+"
+#: Fixed value: characters that file names can't have everywhere.
+FORBIDDEN = r'[<>:"/\\|?*]'
 
 
 def let(x: Column, f: Callable[[Column], Column]) -> Column:
@@ -216,14 +218,30 @@ def is_inert(ref: Column) -> Column:
     return (r == "") | r.rlike(INERT)
 
 
-def safe_filename(name: Column) -> Column:
-    """A name for any file system: forbidden characters out, at most 200 characters; the extension stays."""
-    plain = trimmed(F.regexp_replace(F.regexp_replace(name, r"[<>:\"/\\|?*\x00-\x1f]", "_"), SPACE, " "))
-    return F.when(F.length(plain) == 0, F.lit("file")).otherwise(F.substring(plain, 1, 200))
+def _tidy(name: Column, mark: str) -> Column:
+    return trimmed(F.regexp_replace(F.regexp_replace(name, FORBIDDEN, mark), SPACE, " "))
 
 
-def numbered_filename(n: Column, name: Column) -> Column:
-    return F.concat(F.lpad(n.cast("string"), 3, "0"), F.lit("_"), safe_filename(name))
+def safe_filename(name: Column, ext: Column | str = "", most: int = 120) -> Column:
+    """A name for any file system: forbidden characters out, white space collapsed, at most `most` characters before the extension."""
+    ext = ext if isinstance(ext, Column) else F.lit(ext)
+    return F.concat(let(_tidy(name, "_"), lambda x: F.when(F.length(x) > most, trimmed(F.substring(x, 1, most))).otherwise(x)), ext)
+
+
+def safe_dirname(name: Column) -> Column:
+    return _tidy(name, "-")
+
+
+def numbered_filename(url: Column, index: Column, suggested: Column | None = None) -> Column:
+    """0001_name.pdf for index 0: the suggested name, else the last segment of the URL's path, decoded, else document."""
+    given = F.nullif(suggested, F.lit("")) if suggested is not None else F.lit(None).cast("string")
+    last = F.nullif(F.regexp_extract(url, r"^https?://[^/?#]*(?:/[^/?#]*)*/([^/?#]*)", 1), F.lit(""))
+    malformed = last.rlike("%(?![0-9A-Fa-f]{2})")
+    own = F.when(~malformed, F.try_url_decode(F.replace(last, F.lit("+"), F.lit("%2B"))))
+    name = F.regexp_replace(F.coalesce(given, own, F.lit("document")), FORBIDDEN, "_")
+    number = (index + 1).cast("string")
+    whole = F.when(F.lower(name).endswith(".pdf"), name).otherwise(F.concat(name, F.lit(".pdf")))
+    return F.concat(F.when(F.length(number) < 4, F.lpad(number, 4, "0")).otherwise(number), F.lit("_"), whole)
 
 
 def format_duration(ms: Column) -> Column:

@@ -6,18 +6,21 @@ page limit, outcome, harvest."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.urls import excluded, part, within_depth
 from .robots import allowed
-from .tables import cut, numbered
+from .tables import cut, numbered, running
 
 #: Requests of a redirect chain, levels of style sheets that are followed.
 MOST_REQUESTS, CSS_DEPTH = 10, 5
+#: Tables of seen URLs before they are written as one.
+MOST_SEEN = 12
 
 
 @dataclass(frozen=True)
@@ -37,15 +40,21 @@ def first_seen(rows: DataFrame, order: list[str]) -> DataFrame:
     return rows.groupBy("url").agg(F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("r")).select("r.*")
 
 
-def crawl(spark: SparkSession, seed: str, links: DataFrame, outcomes: DataFrame, gates: Gates, rules: DataFrame | None = None, done: DataFrame | None = None) -> DataFrame:
-    """(url, kind, depth, seq, status, out_kind, fetcher, why): what happens to each page URL, in breadth-first order.
+#: A level's rows to what became of them: outcomes of those to fetch, and links of those whose copies give some.
+Visit = Callable[[DataFrame], tuple[DataFrame, DataFrame]]
+
+
+def crawl(
+    spark: SparkSession, seed: str, links: DataFrame | None, outcomes: DataFrame | None, gates: Gates, rules: DataFrame | Callable[[DataFrame], DataFrame] | None = None,
+    done: DataFrame | None = None, visit: Visit | None = None, on_level: Callable[[DataFrame, int], None] | None = None,
+) -> DataFrame:
+    """(url, kind, depth, seq, parent, status, out_kind, fetcher, why, size, harvest): what happens to each page URL, in breadth-first order.
 
     links hold kind 'page' rows for the walk; outcomes are judged responses (missing ones fail as network errors); done is a relation of
-    URLs that an earlier run has, with harvest: whether their saved copy gives links."""
-    level = spark.createDataFrame([(seed, 1, 1)], "url string, depth int, seq long")
-    seen, out, attempts, number = level.select("url"), [], 0, 1
-    pages = links.filter("kind = 'page'").select("src_url", "ord", F.col("abs_url").alias("url"))
-    outcomes = outcomes.select("url", "status", "out_kind", "fetcher", "why", "harvest")
+    URLs that an earlier run has, with harvest: whether their saved copy gives links. Where these aren't known beforehand, visit makes them
+    level by level, and rules may be a function of a level's rows (url, host, pathname). on_level is told each level's rows and how many wait."""
+    level = spark.createDataFrame([(seed, 1, 1, None)], "url string, depth int, seq long, parent long")
+    seen, out, attempts, number = [level.select("url")], [], 0, 1
     while True:
         rows = level.withColumn("x", excluded(F.col("url"), list(gates.exclude)))
         if done is not None and not gates.fresh:
@@ -53,40 +62,54 @@ def crawl(spark: SparkSession, seed: str, links: DataFrame, outcomes: DataFrame,
         else:
             rows = rows.withColumn("saved", F.lit(None).cast("boolean"))
         rows = rows.withColumn("host", part(F.col("url"), 2)).withColumn("pathname", part(F.col("url"), 3))
-        rows = allowed(rows, rules) if rules is not None and gates.respect_robots else rows.withColumn("allowed", F.lit(True))
+        known = rules(rows) if callable(rules) and gates.respect_robots else rules
+        rows = allowed(rows, known) if known is not None and gates.respect_robots else rows.withColumn("allowed", F.lit(True))
         rows = rows.withColumn("state", F.when(F.col("x"), "excluded").when(F.col("saved").isNotNull(), "done").when(~F.col("allowed"), "robots").otherwise("fetch"))
         rows = rows.drop("x", "host", "pathname", "allowed")
-        if gates.max_pages:
+        if gates.max_pages or visit:
             rows = cut(rows, "level")
+        if gates.max_pages:
             fetched = rows.filter("state = 'fetch'")
             left = gates.max_pages - attempts
             cutoff = fetched.orderBy("seq").limit(left).agg(F.count("*").alias("n"), F.max("seq").alias("last")).first()
             attempts += cutoff["n"]
             if cutoff["n"] >= left:  # the limit is looked at before each page, so later rows are left alone; excluded ones never wait
                 rows = rows.filter((F.col("seq") <= cutoff["last"]) | (F.col("state") == "excluded"))
-        judged = rows.join(outcomes, "url", "left")
+        if visit:
+            outcomes, links = visit(rows)
+        answers = outcomes.select("url", "status", "out_kind", "fetcher", "why", "harvest", (F.col("size") if "size" in outcomes.columns else F.lit(0)).cast("long").alias("size"))
+        judged = rows.join(answers, "url", "left")
         fetch = F.col("state") == "fetch"
         judged = judged.select(
-            "url", "depth", "seq", "state", "saved", F.lit("page").alias("kind"),
+            "url", "depth", "seq", "parent", "state", "saved", F.lit("page").alias("kind"),
             F.when(fetch, F.coalesce("status", F.lit("failed"))).otherwise(F.col("state")).alias("status"),
             F.when(fetch, F.coalesce("out_kind", F.lit("page"))).otherwise(F.lit("page")).alias("out_kind"),
             F.when(fetch, F.coalesce("fetcher", F.lit("none"))).otherwise(F.lit("none")).alias("fetcher"),
             F.when(fetch, F.when(F.col("status").isNull(), "network").otherwise(F.col("why"))).alias("why"),
+            F.when(fetch & (F.col("status") == "ok"), F.coalesce("size", F.lit(0))).otherwise(F.lit(0)).alias("size"),
             F.when(fetch, F.coalesce("harvest", F.lit(False))).otherwise((F.col("state") == "done") & F.coalesce("saved", F.lit(False))).alias("harvest"),
         )
         judged = cut(judged, "judged")
         out.append(judged)
-        stopped = gates.stop is not None and gates.stop.is_set()
-        if stopped or (gates.max_pages and attempts >= gates.max_pages):
-            break
-        parents = judged.filter("harvest").filter(within_depth(F.col("depth") + 1, gates.max_depth)).select(F.col("url").alias("src_url"), F.col("seq").alias("parent"), "depth")
-        fresh = parents.join(pages, "src_url").select("url", (F.col("depth") + 1).alias("depth"), "parent", "ord")
-        fresh = first_seen(fresh, ["parent", "ord"]).join(seen, "url", "left_anti")
-        level = numbered(fresh, ["parent", "ord", "url"], "seq", number).select("url", "depth", "seq")  # over a written table
-        if not (found := level.count()):
+        stopped = (gates.stop is not None and gates.stop.is_set()) or (gates.max_pages and attempts >= gates.max_pages)
+        found = 0
+        if not stopped:
+            pages = links.filter("kind = 'page'").select("src_url", "ord", F.col("abs_url").alias("url"))
+            parents = judged.filter("harvest").filter(within_depth(F.col("depth") + 1, gates.max_depth)).select(F.col("url").alias("src_url"), F.col("seq").alias("parent"), "depth")
+            fresh = parents.join(pages, "src_url").select("url", (F.col("depth") + 1).alias("depth"), "parent", "ord")
+            fresh = first_seen(fresh, ["parent", "ord"]).join(reduce(DataFrame.unionByName, seen), "url", "left_anti")
+            fresh = cut(fresh, "fresh")
+            found = fresh.count()  # of a written table
+        if on_level:
+            on_level(judged, found)
+            stopped = stopped or (gates.stop is not None and gates.stop.is_set())
+        if stopped or not found:
             break
+        level = numbered(fresh, ["parent", "ord", "url"], "seq", number).select("url", "depth", "seq", "parent")
         number += found
-        seen = seen.unionByName(level.select("url"))
+        seen.append(fresh.select("url"))
+        if len(seen) > MOST_SEEN:
+            seen = [cut(reduce(DataFrame.unionByName, seen), "seen")]
     return reduce(DataFrame.unionByName, out).drop("state", "saved")
 
 
@@ -101,18 +124,30 @@ def depths(spark: SparkSession, seeds: DataFrame, edges: DataFrame, most: int =
     return out
 
 
-def asset_jobs(spark: SparkSession, found: DataFrame, nested: DataFrame, outcomes: DataFrame, exclude: tuple[str, ...] = ()) -> DataFrame:
+def asset_jobs(
+    spark: SparkSession, found: DataFrame, nested: DataFrame | None, outcomes: DataFrame | None, exclude: tuple[str, ...] = (),
+    rules: DataFrame | Callable[[DataFrame], DataFrame] | None = None, done: DataFrame | None = None, visit: Visit | None = None, stop: object = None,
+) -> DataFrame:
     """Assets (url) and what their style sheets (nested: src_url, abs_url) need, each at the depth of its first enqueueing: (url, depth, state).
 
-    Style sheets are followed below depth CSS_DEPTH only, so there are at most CSS_DEPTH + 1 rounds."""
+    A round asks for excludes, for what is done, for robots, and follows only sheets that pass (or are done) and are judged `follow`.
+    visit makes outcomes and nested round by round where they aren't known beforehand. Style sheets are followed below depth CSS_DEPTH
+    only, so there are at most CSS_DEPTH + 1 rounds."""
     level = found.select("url").distinct().withColumn("depth", F.lit(0))
     out = None
     for depth in range(CSS_DEPTH + 1):
-        level = cut(level.withColumn("state", F.when(excluded(F.col("url"), list(exclude)), "excluded").otherwise("fetch")), "assets")
+        rows = level.withColumn("x", excluded(F.col("url"), list(exclude))).withColumn("host", part(F.col("url"), 2)).withColumn("pathname", part(F.col("url"), 3))
+        rows = rows.join(done.select("url", F.lit(True).alias("there")), "url", "left") if done is not None else rows.withColumn("there", F.lit(False))
+        known = rules(rows) if callable(rules) else rules
+        rows = allowed(rows, known) if known is not None else rows.withColumn("allowed", F.lit(True))
+        state = F.when(F.col("x"), "excluded").when(F.coalesce("there", F.lit(False)), "done").when(~F.col("allowed"), "robots").otherwise("fetch")
+        level = cut(rows.select("url", "depth", state.alias("state")), "assets")
         out = level if out is None else out.unionByName(level)
-        if depth == CSS_DEPTH:
+        if visit:
+            outcomes, nested = visit(level)
+        if depth == CSS_DEPTH or (stop is not None and stop.is_set()):
             break
-        sheets = level.filter("state = 'fetch'").join(outcomes.filter("follow").select("url"), "url", "left_semi")
+        sheets = level.filter("state in ('fetch', 'done')").join(outcomes.filter("follow").select("url"), "url", "left_semi")
         more = sheets.join(nested, F.col("url") == F.col("src_url")).select(F.col("abs_url").alias("url")).distinct()
         level = more.join(out.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth + 1))
     return out
@@ -140,8 +175,7 @@ def redirects(hops: DataFrame, starts: DataFrame, resolve: Column | None = None)
 
 def delay_schedule(rows: DataFrame, delay_ms: Column, scope: list[str] | None = None) -> DataFrame:
     """rows (seq) with earliest_ms: the sum of the delays of the rows before, within each scope."""
-    before = Window.partitionBy(*(scope or [])).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("earliest_ms", F.coalesce(F.sum(delay_ms).over(before), F.lit(0.0)))
+    return running(rows, "seq", {"earliest_ms": delay_ms.cast("double")}, scope or [], -1).withColumn("earliest_ms", F.col("earliest_ms").cast("double"))
 
 
 def jittered(least: Column, seed: int) -> Column:

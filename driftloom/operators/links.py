@@ -29,21 +29,36 @@ def _each_replaced(values: Column, old: str, new: str) -> Column:
     return F.transform(values, lambda v: F.replace(v, F.lit(old), F.lit(new)))
 
 
-def page_references(pages: DataFrame) -> DataFrame:
-    """(url, html) to (src_url, base_url, source, ord, raw_ref, abs_url) by a full scan of the markup, one parse a page."""
+SCANNED = "src_url string, shell boolean, base_url string, refs array<struct<source: string, ord: int, raw_ref: string, abs_url: string>>"
+
+
+def scanned(pages: DataFrame) -> DataFrame:
+    """(url, html) to SCANNED, one row and one parse for each page: whether it is a shell, its base, its references resolved."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["src_url", "base_url", "source", "ord", "raw_ref", "abs_url"]
+        item = pa.struct([("source", pa.string()), ("ord", pa.int32()), ("raw_ref", pa.string()), ("abs_url", pa.string())])
         for batch in batches:
-            out = []
-            for url, text in zip(*(batch.column(k).to_pylist() for k in ("url", "html")), strict=True):
+            shells, bases, found = [], [], []
+            urls, texts = (batch.column(k).to_pylist() for k in ("url", "html"))
+            for url, text in zip(urls, texts, strict=True):
                 base, refs = html.references(text or "")
                 at = (weburl.normalize(base, url) if base else None) or url
-                out += [(url, at, rule, k, ref, weburl.normalize(ref, at)) for k, (rule, ref) in enumerate(refs)]
-            kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
+                shells.append(html.needs_rendering(text or ""))
+                bases.append(at)
+                found.append([(rule, k, ref, weburl.normalize(ref, at)) for k, (rule, ref) in enumerate(refs)])
+            yield pa.RecordBatch.from_arrays([pa.array(urls, pa.string()), pa.array(shells, pa.bool_()), pa.array(bases, pa.string()), pa.array(found, pa.list_(item))], names=["src_url", "shell", "base_url", "refs"])
+
+    return pages.select("url", "html").mapInArrow(run, SCANNED)
 
-    return pages.select("url", "html").mapInArrow(run, "src_url string, base_url string, source string, ord int, raw_ref string, abs_url string")
+
+def flat(scans: DataFrame) -> DataFrame:
+    """SCANNED to one row for each reference: src_url, base_url, source, ord, raw_ref, abs_url."""
+    return scans.select("src_url", "base_url", F.inline("refs"))
+
+
+def page_references(pages: DataFrame) -> DataFrame:
+    """(url, html) to (src_url, base_url, source, ord, raw_ref, abs_url) by a full scan of the markup, one parse a page."""
+    return flat(scanned(pages))
 
 
 def regular_references(pages: DataFrame) -> DataFrame:

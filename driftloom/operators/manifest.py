@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import tables
+
 #: Reasons shown for statuses without an error text.
 REASONS = {
     "failed": "Fetch failed",
@@ -59,10 +61,11 @@ def failures(manifest: DataFrame) -> DataFrame:
     return rows.select("url", F.col("status").alias("category"), F.coalesce(F.nullif("error", F.lit("")), F.try_element_at(reasons, F.col("status")), F.col("status")).alias("reason"))
 
 
-def progress(log: DataFrame, scope: list[str] | None = None) -> DataFrame:
+def progress(log: DataFrame, scope: list[str] | None = None, phase: str = "crawl") -> DataFrame:
     """Counters after each event of a log in which a URL may be written again (then its earlier row stops counting).
 
-    scope: columns whose values number events of their own (a host, a run); it deals the running sums over the cluster."""
+    scope: columns whose values number events of their own (a host, a run). Logs with `enqueued` (URLs that the event put into the queue, which
+    starts with one) have queue_size: what waits after the event."""
     scope = scope or []
     own = Window.partitionBy(*scope, "url").orderBy("seq")
     delta = lambda now, was: (now.cast("long") - F.coalesce(was.cast("long"), F.lit(0)))
@@ -76,6 +79,9 @@ def progress(log: DataFrame, scope: list[str] | None = None) -> DataFrame:
         rows = rows.withColumn(f"d_{name}", delta(flag, F.lag(flag).over(own)))
     size = F.when(F.col("status") == "ok", F.col("size_bytes")).otherwise(F.lit(0))
     rows = rows.withColumn("d_bytes", size - F.coalesce(F.lag(size).over(own), F.lit(0)))
-    upto = Window.partitionBy(*scope).orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = [F.sum(f"d_{n}").over(upto).cast("long").alias(n) for n in (*flags, "bytes")]
-    return rows.select(*scope, "seq", *sums, F.col("url").alias("current_url"))
+    sums = {n: F.col(f"d_{n}") for n in (*flags, "bytes")}
+    if "enqueued" in log.columns:
+        sums["queued"] = F.col("enqueued").cast("long") - 1
+    rows = tables.running(rows, "seq", sums, scope)
+    queue = [(F.col("queued") + 1).cast("long").alias("queue_size")] if "queued" in sums else []
+    return rows.select(*scope, "seq", F.lit(phase).alias("phase"), *(F.col(n).cast("long").alias(n) for n in (*flags, "bytes")), *queue, F.col("url").alias("current_url"))

@@ -22,9 +22,8 @@ def content_references(files: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for url, path, kind, text in zip(*(batch.column(k).to_pylist() for k in ("url", "path", "type", "content")), strict=True):
-                base = html_fn.references(text or "")[0] if kind == "html" else None
+                base, refs = html_fn.rewrite_references(text or "") if kind == "html" else (None, html_fn.css_strings(text or ""))
                 at = (weburl.normalize(base, url) if base else None) or url
-                refs = html_fn.all_references(text or "") if kind == "html" else html_fn.css_strings(text or "")
                 out += [(url, path, at, r) for r in refs]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.string()) for i in range(4)], names=["url", "path", "base_url", "raw_ref"])
 
@@ -42,7 +41,7 @@ def plan(refs: DataFrame, manifest: DataFrame) -> DataFrame:
     relative = ~raw.rlike(r"^([A-Za-z][A-Za-z0-9+.-]*:|/)")
     rows = rows.withColumn("own_path", F.when(F.col("target").isNull() & F.col("abs_url").isNotNull() & relative, joined_path(F.col("path"), F.regexp_extract(raw, r"^([^?#]*)", 1))))
     rows = rows.join(ok.select(F.col("path").alias("own_path"), F.lit(True).alias("there")).distinct(), "own_path", "left")
-    fragment = F.regexp_extract(raw, r"(#.*)$", 1)
+    fragment = F.regexp_extract(raw, r"(#.+)$", 1)
     action = (
         F.when(F.col("abs_url").isNull(), "skipped")
         .when(F.col("target").isNotNull(), "localized")

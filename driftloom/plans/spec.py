@@ -111,8 +111,24 @@ def seconds(text: str) -> float:
     return float(text)
 
 
-def parse_args(argv: list[str]) -> MirrorSpec:
-    p = argparse.ArgumentParser(prog="driftloom", description="Mirror a site from a table of responses.")
+def port(text: str) -> int:
+    if not 0 <= whole(text) < 1 << 16:
+        raise argparse.ArgumentTypeError(f"not a port: {text}")
+    return int(text)
+
+
+def parse_ui_args(argv: list[str]) -> argparse.Namespace:
+    """Settings of the control panel: port (0: any free one), no_open."""
+    p = argparse.ArgumentParser(prog="driftloom ui", description="A local control panel.")
+    p.add_argument("--port", type=port, default=0)
+    p.add_argument("--no-open", action="store_true")
+    return p.parse_args(argv)
+
+
+def parse_args(argv: list[str]) -> tuple[MirrorSpec, str | None]:
+    """A command line to a spec and, if one is named, the table of responses."""
+    p = argparse.ArgumentParser(prog="driftloom", description="Mirror a site, from the web or from a table of responses.")
+    p.add_argument("--responses")
     p.add_argument("url")
     p.add_argument("--out", default="")
     for name in ("max-pages", "max-depth"):
@@ -134,7 +150,8 @@ def parse_args(argv: list[str]) -> MirrorSpec:
     if not urlsplit(url).hostname:
         p.error(f"not a URL: {a.url}")
     low = round(a.delay_min * 1000) if a.delay_min is not None else 0 if a.delay_max is not None else a.delay
-    return MirrorSpec(
+    spec = MirrorSpec(
         url=url, out=a.out or default_out(url), max_pages=a.max_pages, max_depth=a.max_depth, exclude=tuple(a.exclude), delay=low, delay_max=None if a.delay_max is None else round(a.delay_max * 1000),
         browser=a.browser, subdomains=not a.no_subdomains, respect_robots=not a.no_robots, max_file_size=a.max_file_size * MB, user_agent=a.user_agent, fresh=a.fresh,
     )
+    return spec, a.responses

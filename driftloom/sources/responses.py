@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import http.client
 import json
 import os
+import random
 import re
 import time
 import urllib.error
 import urllib.request
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -16,11 +18,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import weburl
+from ..functions.html import needs_rendering
 from ..functions.urls import part
 from ..operators.crawl import MOST_REQUESTS
-from ..schemas import MANIFEST
+from ..operators.responses import MARKERS, SNIFFED
+from ..schemas import MANIFEST, RESPONSES
 
-FETCHED = "url string, final_url string, http_status int, content_type string, headers map<string,string>, body binary, redirect_chain array<string>, error_kind string, error_message string"
+#: Milliseconds that a robots.txt may take; most bytes of one.
+ROBOTS_TIMEOUT, ROBOTS_BYTES = 10.0, 1 << 20
+#: A random delay is a whole number of these milliseconds above the least one.
+STEP = 100
 
 
 class _Stay(urllib.request.HTTPRedirectHandler):
@@ -40,8 +47,9 @@ def _failure(e: BaseException) -> str:
     return "connection" if isinstance(reason, ConnectionError) else "network"
 
 
-def fetch(url: str, user_agent: str, timeout: float = 30.0, most: int = MOST_REQUESTS) -> tuple:
-    """One URL with its redirects followed by hand: a row of FETCHED."""
+def fetch(url: str, user_agent: str, timeout: float = 30.0, most: int = MOST_REQUESTS, most_bytes: int = 0) -> tuple:
+    """One URL with its redirects followed by hand: a row of RESPONSES without rendered_html. Of a body larger than most_bytes (0: any) one byte
+    more than that is read, which is enough to know."""
     opener, now, chain = urllib.request.build_opener(_Stay), url, []
     for _ in range(most):
         request = urllib.request.Request(now, headers={"User-Agent": user_agent, "Accept": "*/*", "Accept-Language": "en"})
@@ -56,29 +64,69 @@ def fetch(url: str, user_agent: str, timeout: float = 30.0, most: int = MOST_REQ
                     chain.append(f"{status} {now}")
                     target = weburl.normalize(headers["location"], now) if "location" in headers else None
                     if not target:
-                        return (url, now, status, "", headers, None, chain, "bad-redirect", f"no usable Location at {now}")
+                        return (url, now, status, "", headers, None, chain, ("bad-redirect", f"no usable Location at {now}"))
                     now = target
                     continue
-                return (url, now, status, headers.get("content-type", ""), headers, answer.read(), chain, None, None)
-        except (OSError, ValueError) as e:
-            return (url, now, None, "", {}, None, chain, _failure(e), str(e))
-    return (url, now, None, "", {}, None, chain, "redirect-limit", f"more than {most} requests")
+                body = answer.read(most_bytes + 1) if most_bytes else answer.read()
+                return (url, now, status, headers.get("content-type", ""), headers, body, chain, None)
+        except (OSError, ValueError, http.client.HTTPException) as e:
+            return (url, now, None, "", {}, None, chain, (_failure(e), str(e)))
+    return (url, now, None, "", {}, None, chain, ("redirect-limit", f"more than {most} requests"))
 
 
-def live(frontier: DataFrame, user_agent: str, timeout: float = 30.0, delay_ms: float = 500.0) -> DataFrame:
-    """Fetch a frontier (url): hosts are dealt to tasks, so that each host is asked by one task, one request after another."""
+def pause_ms(least: float, most: float | None) -> float:
+    """Milliseconds to wait: from least to most in steps, or where there is no most, from least to below 1.75 times it."""
+    if most is None:
+        return least + random.random() * (int(least * 1.75) - least)
+    return least + STEP * random.randrange(int((max(least, most) - least) // STEP) + 1)
+
+
+def wants_rendering(row: tuple, mode: str) -> bool:
+    """Whether a browser mode asks for a fetched page (a row of fetch) to be rendered."""
+    _, _, status, kind, headers, body, _, failure = row
+    if mode == "never" or failure or body is None:
+        return False
+    markup = "text/html" in kind.lower() or "application/xhtml" in kind.lower()
+    challenged = any(headers.get(k, "").lower() == "challenge" for k in ("cf-mitigated", "x-amzn-waf-action")) or (markup and any(m in body[:SNIFFED].decode("latin-1").lower() for m, _ in MARKERS))
+    return challenged or (status < 400 and markup and (mode == "always" or needs_rendering(body.decode("utf-8", "replace"))))
+
+
+def live(
+    frontier: DataFrame, user_agent: str, timeout: float = 30.0, max_ms: float | None = None, most_bytes: int = 0,
+    renderer: Callable[[str], str | None] | None = None, mode: str = "never",
+) -> DataFrame:
+    """Fetch a frontier (url, host, seq, delay_ms) to RESPONSES: hosts are dealt to tasks, each host is asked by one task, one request after
+    another in the order of seq, with a random pause of at least delay_ms (pause_ms) before each but the first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text = pa.string()
+        kinds = [text, text, pa.int32(), text, pa.map_(text, text), pa.binary(), pa.list_(text), pa.struct([("kind", text), ("message", text)]), text]
+        names, last = ["url", "final_url", "http_status", "content_type", "headers", "body", "redirect_chain", "error", "rendered_html"], None
         for batch in batches:
-            for url in batch.column("url").to_pylist():
-                row = fetch(url, user_agent, timeout)
-                time.sleep(delay_ms / 1000)
-                kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.binary(), pa.list_(pa.string()), pa.string(), pa.string()]
-                values = [[list(x.items()) if isinstance(x, dict) else x] for x in row]
-                names = [f.split(" ")[0] for f in FETCHED.split(", ")]
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=names)
-
-    return frontier.select("url", part(F.col("url"), 2).alias("host")).repartition("host").sortWithinPartitions("host").mapInArrow(run, FETCHED)
+            for url, host, delay in zip(*(batch.column(k).to_pylist() for k in ("url", "host", "delay_ms")), strict=True):
+                if host == last:
+                    time.sleep(pause_ms(delay, max_ms) / 1000)
+                last = host
+                row = fetch(url, user_agent, timeout, most_bytes=most_bytes)
+                page = renderer(url) if renderer and wants_rendering(row, mode) else None
+                values = [*row[:4], list(row[4].items()), *row[5:7], {"kind": row[7][0], "message": row[7][1]} if row[7] else None, page]
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=names)
+
+    return frontier.select("url", "host", "seq", "delay_ms").repartition("host").sortWithinPartitions("host", "seq").mapInArrow(run, RESPONSES)
+
+
+def fetched_robots(hosts: DataFrame, user_agent: str, timeout: float = ROBOTS_TIMEOUT) -> DataFrame:
+    """(host, scheme) to (host, text) of each host's robots.txt, redirects followed; what can't be had is empty, which allows all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, texts = batch.column("host").to_pylist(), []
+            for host, scheme in zip(names, batch.column("scheme").to_pylist(), strict=True):
+                row = fetch(f"{scheme}://{host}/robots.txt", user_agent, timeout, most_bytes=ROBOTS_BYTES)
+                texts.append(row[5].decode("utf-8", "replace") if row[7] is None and 200 <= row[2] < 300 else "")
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.string())], names=["host", "text"])
+
+    return hosts.select("host", "scheme").repartition("host").mapInArrow(run, "host string, text string")
 
 
 def robots_texts(frontier: DataFrame, responses: DataFrame) -> DataFrame:

@@ -1,13 +1,18 @@
 """Whole runs over fixture sites, resuming, stopping, sources, sinks and the progress stream."""
 
 import json
+import os
 import threading
+import time
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
 
+from driftloom.__main__ import engine
 from driftloom.operators import crawl, rewrite
 from driftloom.plans.mirror import Run, mirror
-from driftloom.plans.spec import MirrorSpec, default_out, parse_args, validate
+from driftloom.plans.spec import MirrorSpec, default_out, parse_args, parse_ui_args, validate
+from driftloom.plans.web import LiveWeb
 from driftloom.schemas import MANIFEST, RESPONSES
 from driftloom.sources import sinks
 from driftloom.sources import responses as sources
@@ -124,8 +129,12 @@ def test_options():
     assert validate({"url": "e.c", "delayFromS": "3", "delayToS": "2"})[1] and validate({"url": "e.c", "browser": "maybe"})[1]
     spec = validate({"url": "e.c", "delayToS": "1.5", "exclude": " a \n\nb", "mode": "fresh", "subdomains": False})[0]
     assert (spec.delay, spec.delay_max, spec.exclude, spec.fresh, spec.subdomains, spec.max_file_size) == (0, 1500, ("a", "b"), True, False, 200 << 20)
-    cli = parse_args(["ex.com", "--exclude", "x", "--exclude", "y", "--max-depth", "3", "--delay-min", "0.5", "--delay-max", "2", "--no-robots"])
+    cli, table = parse_args(["ex.com", "--responses", "t", "--exclude", "x", "--exclude", "y", "--max-depth", "3", "--delay-min", "0.5", "--delay-max", "2", "--no-robots"])
     assert (cli.url, cli.exclude, cli.max_depth, cli.delay, cli.delay_max, cli.respect_robots) == ("https://ex.com", ("x", "y"), 3, 500, 2000, False)
+    assert table == "t" and parse_args(["ex.com"])[1] is None and parse_ui_args(["--port", "80", "--no-open"]).no_open
+    for wrong in (["--port", "x"], ["--port", "70000"], ["extra"]):
+        with pytest.raises(SystemExit):
+            parse_ui_args(wrong)
     for wrong in (["ex.com", "--max-depth", "-1"], ["ex.com", "--delay-min", "2", "--delay-max", "1"], []):
         with pytest.raises(SystemExit):
             parse_args(wrong)
@@ -156,9 +165,14 @@ def test_saved_copies_are_scanned_again(spark, tmp_path):
 
 def test_failed_fetches_are_rows(spark):
     row = sources.fetch("http://127.0.0.1:9/x", "t", timeout=2)
-    assert row[7] in ("connection", "network", "timeout") and row[2] is None
-    got = sources.live(spark.createDataFrame([("http://127.0.0.1:9/x",)], "url string"), "t", 2, 0).first()
-    assert got["error_kind"] == row[7]
+    assert row[7][0] in ("connection", "network", "timeout") and row[2] is None
+    got = sources.live(spark.createDataFrame([("http://127.0.0.1:9/x", "127.0.0.1:9", 1, 0.0)], "url string, host string, seq long, delay_ms double"), "t", 2).first()
+    assert got["error"]["kind"] == row[7][0]
+
+
+def test_pauses():
+    assert all(500 <= sources.pause_ms(500, None) < 875 for _ in range(300))
+    assert {sources.pause_ms(300, 900) for _ in range(900)} == {300, 400, 500, 600, 700, 800, 900} and sources.pause_ms(400, 200) == 400
 
 
 def test_progress_stream(spark, tmp_path):
@@ -174,3 +188,99 @@ def test_progress_stream(spark, tmp_path):
     following.awaitTermination(60)
     assert said[0] == {"pages": 1, "assets": 0, "bytes": 10, "robots_skipped": 0, "excluded": 0, "failures": 1}
     assert said[-1]["pages"] == 2 and said[-1]["failures"] == 0
+    spark.createDataFrame([outcome("u3", "ok", 4)], MANIFEST).write.mode("append").parquet(folder)
+    other, heard = str(stream.where), []
+    restarted = ProgressStream(spark, folder, heard.append, other)  # a new process: nothing but the folder is left
+    restarted.start(once=True).awaitTermination(60)
+    assert heard[-1]["pages"] == 3 and restarted.current().count() == 3
+    batch = spark.createDataFrame([outcome("u4", "ok", 5)], MANIFEST)
+    for n in (14, 15, 16, 16):  # a snapshot at 15; a batch that comes again counts once
+        restarted.merge(batch, n)
+    assert heard[-1]["pages"] == 4 and restarted._finished("snapshot") == [15]
+
+
+def test_robots_are_asked_before_sheets_are_followed(spark):
+    pages = {"/": ("text/html", f'<link rel=stylesheet href="/no/s.css"><link rel=stylesheet href="/yes.css">{LONG}'), "/no/s.css": ("text/css", "a{background:url(/n.png)}"), "/yes.css": ("text/css", "a{background:url(/y.png)}"), "/n.png": ("image/png", "N"), "/y.png": ("image/png", "Y")}
+    got = statuses(mirror(spark, MirrorSpec(url=A + "/"), site(spark, pages, "User-agent: *\nDisallow: /no/")))
+    assert got["/no/s.css"] == ("robots", "asset") and got["/y.png"] == ("ok", "asset") and "/n.png" not in got
+
+
+def test_resume_from_saved_files_only(spark, tmp_path):
+    """The second run's table lacks what the first one saved: links, and assets of a saved sheet, come from the files."""
+    first = mirror(spark, MirrorSpec(url=A + "/", max_depth=1, rewrite=False), site(spark, PAGES))
+    body = first.answers.join(first.manifest.filter("status = 'ok'").select("url", "path"), "url").selectExpr("path", "body as content")
+    sinks.write_tree(body, str(tmp_path / "copy"))
+    saved = sources.saved_tree(spark, str(tmp_path / "copy"))
+    rest = site(spark, {p: x for p, x in PAGES.items() if p not in ("/", "/style.css", "/img/seed.png")})
+    again = mirror(spark, MirrorSpec(url=A + "/"), rest, previous=first.manifest.filter("url not like '%/img/a.png'"), saved=saved)
+    got = statuses(again)
+    assert again.report["pages"] == 5 and got["/img/a.png"] == ("ok", "asset") and got["/style.css"] == ("ok", "asset")
+    assert A + "/" in {r["url"] for r in again.rewritten.collect()}
+
+
+def test_progress_events(spark):
+    done = mirror(spark, MirrorSpec(url=A + "/"), site(spark, PAGES), on_progress=(said := []).append)
+    rows = done.progress.orderBy("seq").collect()
+    assert rows[0]["queue_size"] >= 3 and rows[-1]["queue_size"] == 0 and rows[-1]["pages_done"] == 5 and rows[-1]["assets_done"] == done.report["assets"]
+    assert len(rows) == done.manifest.count() and said[0]["phase"] == "crawl" and said[0]["queue_size"] == 3 and said[-1]["phase"] == "rewrite"
+
+
+class Server:
+    """The site over HTTP: PAGES, robots, a redirect, a scripted page; what was asked, when."""
+
+    def __init__(self, robots=""):
+        self.asked = asked = []
+
+        class Handler(BaseHTTPRequestHandler):
+            def log_message(self, *args):
+                pass
+
+            def do_GET(self):
+                asked.append((self.path, time.monotonic()))
+                kind, text = {**PAGES, "/robots.txt": ("text/plain", robots), "/shell": ("text/html", "<div id=root></div><script>1</script>")}.get(self.path, ("404", "no"))
+                moved = self.path == "/a"
+                self.send_response(302 if moved else 404 if kind == "404" else 200)
+                if moved:
+                    self.send_header("Location", "/moved")
+                    text = ""
+                if self.path == "/b":
+                    text += '<a href="/shell">s</a>'
+                self.send_header("Content-Type", kind if kind != "404" else "text/html")
+                self.send_header("Content-Length", str(len(text.encode())))
+                self.end_headers()
+                self.wfile.write(text.encode())
+
+        self.server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+        self.url = f"http://127.0.0.1:{self.server.server_address[1]}"
+        threading.Thread(target=self.server.serve_forever, daemon=True).start()
+
+
+def test_live_crawl(spark, tmp_path):
+    """Stop after the seed, go on from the files, to the end: robots, redirects, errors, delays, rendering, a browsable copy."""
+    web = Server("User-agent: *\nDisallow: /secret\nCrawl-delay: 0.2")
+    out = str(tmp_path / "copy")
+    spec = MirrorSpec(url=f"{web.url}/", out=out, delay=10, delay_max=50, max_file_size=100_000)
+    stop, run = threading.Event(), engine(spark)
+    first = run(spec, stop, lambda p: stop.set() if p["pages_done"] else None)
+    assert first["pages"] == 1 and not os.path.exists(f"{out}/index.html") and [p for p, _ in web.asked] == ["/robots.txt", "/"]
+    web.asked.clear()
+    rendered = LiveWeb(spark, spec, lambda url: "<body>rendered <a href='/a-deep'>d</a></body>" if url.endswith("/shell") else None)
+    record, saved = sources.read_manifest(spark, f"{out}/manifest.json"), sources.saved_tree(spark, out)
+    done = mirror(spark, spec, None, record, saved=saved, web=rendered)
+    got = {r["url"].removeprefix(web.url): r for r in done.manifest.collect()}
+    paths = [p for p, _ in web.asked]
+    assert "/" not in paths and paths.count("/robots.txt") == 1 and "/secret/hidden" not in paths
+    assert got["/secret/hidden"]["status"] == "robots" and got["/missing"]["error"] == "HTTP 404" and got["/a"]["status"] == "failed"
+    assert got["/shell"]["fetcher"] == "playwright" and got["/a-deep"]["status"] == "ok" and got["/img/a.png"]["status"] == "ok"
+    ats = [t for p, t in web.asked if p in ("/a", "/b", "/moved")]
+    assert max(ats) - min(ats) >= 0.2  # the host's own delay
+    report = run(spec, threading.Event(), lambda p: None)
+    assert report["pages"] == 3 and os.path.exists(f"{out}/index.html") and len(json.load(open(f"{out}/report.json"))["failures"]) == report["failures"]
+
+
+def test_exports():
+    import driftloom
+
+    assert all(getattr(driftloom, name) for name in driftloom.__all__)
+    with pytest.raises(AttributeError):
+        driftloom.nothing
