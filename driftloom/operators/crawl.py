@@ -178,11 +178,11 @@ def delay_schedule(rows: DataFrame, delay_ms: Column, scope: list[str] | None =
     return running(rows, "seq", {"earliest_ms": delay_ms.cast("double")}, scope or [], -1).withColumn("earliest_ms", F.col("earliest_ms").cast("double"))
 
 
-def jittered(least: Column, seed: int) -> Column:
-    """A whole number from least to below 1.75 times least."""
-    return least + F.floor(F.rand(seed) * (F.floor(least * 1.75) - least))
+def jittered(least: Column, draw: Column) -> Column:
+    """A whole number from least to below 1.75 times least; draw is from 0 to below 1 (F.rand())."""
+    return least + F.floor(draw * (F.floor(least * 1.75) - least))
 
 
-def stepped(least: Column, most: Column, step: Column, seed: int) -> Column:
-    """least plus a random number of steps, at most up to most (or least, if that is more)."""
-    return least + step * F.floor(F.rand(seed) * (F.floor((F.greatest(most, least) - least) / step) + 1))
+def stepped(least: Column, most: Column, step: Column, draw: Column) -> Column:
+    """least plus a drawn number of steps, at most up to most (or least, if that is more)."""
+    return least + step * F.floor(draw * (F.floor((F.greatest(most, least) - least) / step) + 1))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from . import fixtures as fx
 
 ORACLES: dict[str, str] = {}
@@ -95,8 +97,8 @@ ORACLES["url_resolve_cases"] = f"SELECT * FROM {fx.values([(*c, r) for c, r in z
 _H = root("url")
 ORACLES["scope_filter"] = f"""
 SELECT url, root, coalesce({_H} = root OR ends_with({_H}, '.' || root), false) AS with_sub, coalesce({_H} = root, false) AS without_sub
-FROM {fx.values(fx.SCOPE, 'url, root')}"""
-ORACLES["scope_filter_pages"] = f"SELECT page_id, url FROM pages WHERE {_H} = (SELECT {_H} FROM pages WHERE page_id = 0)"
+FROM (SELECT * FROM {fx.values(fx.SCOPE, 'url, root')} UNION ALL SELECT url, root FROM pages, {fx.values([(r,) for r in ("example.com", "example.net", "example.org", "www.example.com", "com")], 'root')})"""
+ORACLES["scope_filter_pages"] = f"SELECT page_id, url FROM pages, (SELECT min({_H}) AS r FROM pages WHERE page_id = 0) WHERE {_H} = r OR ends_with({_H}, '.' || r)"
 
 ORACLES["exclude_gate"] = f"""
 SELECT name, page_id FROM pages, {fx.values(fx.EXCLUDES, 'name, pattern')} AS e
@@ -111,7 +113,7 @@ WITH {LINKS}, src AS (SELECT abs_url AS url, 'page' AS kind FROM links WHERE kin
 SELECT url, path FROM mapped"""
 ORACLES["url_to_path_asset"] = f"WITH src AS (SELECT {PAGE_URL} AS url, 'asset' AS kind FROM pages), {mapped('src')} SELECT url, path FROM mapped"
 
-ORACLES["segment_sanitize"] = f"SELECT seg, {host_segment('seg')} AS host_form, {segment('seg')} AS path_form, {extension('seg')} AS ext FROM {fx.values(fx.SEGMENTS, 'seg')}"
+ORACLES["segment_sanitize"] = f"WITH {LINKS}, s AS (SELECT * FROM {fx.values(fx.SEGMENTS, 'seg')} UNION SELECT unnest(list_filter(string_split(regexp_extract(abs_url, '^https?://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '')) FROM links) SELECT seg, {host_segment('seg')} AS host_form, {segment('seg')} AS path_form, {extension('seg')} AS ext FROM s"
 
 ORACLES["path_collisions"] = f"""
 WITH {LINKS}, base AS (SELECT src_url AS url FROM own UNION SELECT abs_url FROM links),
@@ -130,20 +132,59 @@ SELECT source, target, {_REL} AS ref FROM same"""
 
 ORACLES["extract_links"] = ORACLES["extract_links_exact"] = f"WITH {LINKS} SELECT src_url, abs_url, kind FROM links"
 
-ORACLES["extract_assets"] = f"SELECT * FROM {fx.values(fx.ASSETS, 'src_url, abs_url, kind')}"
-ORACLES["effective_base"] = f"SELECT * FROM {fx.values(fx.BASES, 'url, base_url')}"
+
+
+def resolved(ref: str, base: str) -> str:
+    """A reference of the fixtures against a base: no query-only ones, one .. at most."""
+    plain = f"regexp_replace(trim({ref}), '#.*$', '')"
+    origin, folder = f"regexp_extract({base}, '^(https?://[^/?#]*)', 1)", f"regexp_extract({base}, '^(https?://[^/?#]*(?:/[^/?#]*)*/)', 1)"
+    whole = f"CASE WHEN regexp_matches({plain}, '^(?i)https?:') THEN lower(regexp_extract({plain}, '^([A-Za-z]+://[^/?#]*)', 1)) || regexp_replace({plain}, '^[A-Za-z]+://[^/?#]*', '') WHEN starts_with({plain}, '//') THEN regexp_extract({base}, '^([a-z]+:)', 1) || {plain} WHEN starts_with({plain}, '/') THEN {origin} || {plain} WHEN regexp_matches({plain}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL ELSE {folder} || {plain} END"
+    return rf"regexp_replace(regexp_replace({whole}, '/[^/.]+/\.\./', '/'), '(://[^/]*)(/\.\.)+/', '\1/')"
+
+
+def attribute(name: str) -> str:
+    value = lambda k: f"regexp_extract(t, '(?i)\\s{name}\\s*=\\s*(?:''([^'']*)''|\"([^\"]*)\"|([^\\s>]+))', {k})"
+    return f"({value(1)} || {value(2)} || {value(3)})"
+
+
+_URLS = r"list_filter(list_transform(regexp_extract_all({css}, '(?i)url\(\s*[''\"]?([^''\")]+?)\s*[''\"]?\s*\)', 1), lambda r: trim(r)), lambda r: NOT starts_with(r, 'data:'))"
+_MARKUP = rf"""
+pages_ AS (SELECT url, regexp_replace(html, '(?is)<textarea>.*?</textarea>', '') AS h FROM {fx.values(fx.MARKUP, 'url, html')}),
+tags AS (SELECT url, unnest(regexp_extract_all(h, '<[a-z]+[^>]*>')) AS t FROM pages_),
+parts AS (SELECT url, t, regexp_extract(t, '^<([a-z]+)', 1) AS tag FROM tags),
+bases AS (SELECT p.url, coalesce((SELECT min({resolved(attribute('href'), 'q.url')}) FROM parts q WHERE q.url = p.url AND tag = 'base'), p.url) AS base_url FROM pages_ p),
+found AS (
+  SELECT url, 'a' AS source, {attribute('href')} AS ref FROM parts WHERE tag = 'a' UNION ALL SELECT url, 'iframe', {attribute('src')} FROM parts WHERE tag = 'iframe'
+  UNION ALL SELECT url, 'other', {attribute('src')} FROM parts WHERE tag IN ('img', 'script', 'source', 'video', 'audio', 'track', 'embed')
+  UNION ALL SELECT url, 'other', {attribute('poster')} FROM parts WHERE tag = 'video' UNION ALL SELECT url, 'other', {attribute('data')} FROM parts WHERE tag = 'object'
+  UNION ALL SELECT url, 'other', {attribute('href')} FROM parts WHERE tag = 'link' AND (lower(trim({attribute('rel')})) = 'shortcut icon' OR len(list_filter(string_split(lower({attribute('rel')}), ' '), lambda r: r IN ('stylesheet', 'icon', 'preload', 'prefetch', 'manifest', 'mask-icon', 'apple-touch-icon'))) > 0)
+  UNION ALL SELECT url, 'other', regexp_extract(trim(unnest(string_split({attribute('srcset')}, ','))), '^(\S+)', 1) FROM parts WHERE tag IN ('img', 'source')
+  UNION ALL SELECT url, 'other', unnest({_URLS.format(css=attribute('style'))}) FROM parts
+  UNION ALL SELECT url, 'other', unnest({_URLS.format(css="array_to_string(regexp_extract_all(h, '(?is)<style>(.*?)</style>', 1), ' ')")}) FROM pages_),
+absolute AS (SELECT f.url AS src_url, source, {resolved('ref', 'base_url')} AS abs_url FROM found f JOIN bases b ON b.url = f.url WHERE ref <> '')"""
+ORACLES["extract_assets"] = f"""
+WITH {_MARKUP}, judged AS (SELECT *, {root('src_url')} = {root('abs_url')} AS inside, {extension("regexp_extract(abs_url, '^https?://[^/?#]*[^?#]*?([^/?#]*)(?:[?]|$)', 1)")} AS ext FROM absolute WHERE abs_url IS NOT NULL),
+kinds AS (SELECT src_url, abs_url, CASE source WHEN 'a' THEN CASE WHEN inside THEN CASE WHEN ext IN ('', 'html', 'htm', 'xhtml', 'php', 'asp', 'aspx', 'jsp', 'cfm', 'shtml') THEN 'page' ELSE 'asset' END END
+  WHEN 'iframe' THEN CASE WHEN inside THEN 'page' END ELSE 'asset' END AS kind FROM judged)
+SELECT DISTINCT src_url, abs_url, kind FROM kinds WHERE kind IS NOT NULL"""
+ORACLES["effective_base"] = f"WITH {_MARKUP} SELECT url, base_url FROM bases"
 ORACLES["inert_refs"] = f"SELECT * FROM {fx.values(fx.INERT, 'ref, inert')}"
 ORACLES["display_forms"] = """
 WITH e AS (SELECT event_id, event_id * event_id * 37 AS n, event_id * event_id * 37 // 1000 AS s FROM events)
 SELECT event_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', floor(n * 10 / 1024.0 + 0.5) / 10) WHEN n < 1073741824 THEN printf('%.1f MB', floor(n * 10 / 1048576.0 + 0.5) / 10) ELSE printf('%.1f GB', floor(n * 10 / 1073741824.0 + 0.5) / 10) END AS size,
   CASE WHEN s >= 3600 THEN (s // 3600) || 'h ' || (s // 60 % 60) || 'm ' || (s % 60) || 's' WHEN s >= 60 THEN (s // 60) || 'm ' || (s % 60) || 's' ELSE s || 's' END AS duration FROM e"""
 
-_SHEETS = [
-    ("https://site.test/css/main.css", "https://site.test/img/a.png"), ("https://site.test/css/main.css", "https://site.test/css/b.png"), ("https://site.test/css/main.css", "https://site.test/css/base.css"),
-    ("https://site.test/css/base.css", "https://cdn.test/c.png"), ("https://site.test/css/base.css", "https://site.test/img/a.png"),
-    ("https://site.test/x/y.css", "https://site.test/x/z.css"), ("https://site.test/x/y.css", "https://site.test/root.png"),
-]
-ORACLES["css_refs"] = f"SELECT * FROM {fx.values(_SHEETS, 'src_url, abs_url')}"
+_SHEET_REFS = rf"""
+sheets AS (SELECT * FROM {fx.values(fx.SHEETS, 'url, css')}),
+called AS (SELECT url, css, unnest({_URLS.format(css='css')}) AS ref FROM sheets UNION SELECT url, css, unnest(regexp_extract_all(css, '(?i)@import\s+(?:url\(\s*)?[''"]([^''"]+)[''"]', 1)) FROM sheets),
+refs AS (SELECT url, css, ref, {resolved('ref', 'url')} AS abs_url FROM called)"""
+ORACLES["css_refs"] = f"WITH {_SHEET_REFS} SELECT DISTINCT url AS src_url, abs_url FROM refs"
+ORACLES["safe_names"] = r"""
+WITH n AS (SELECT page_id, url, url || '  a:b*' || chr(9) || '?' || repeat(' long|name', (page_id % 15)::INT) AS name FROM pages),
+t AS (SELECT page_id, url, trim(regexp_replace(regexp_replace(name, '[<>:"/\\|?*]', '_', 'g'), '\s+', ' ', 'g')) AS f, trim(regexp_replace(regexp_replace(name, '[<>:"/\\|?*]', '-', 'g'), '\s+', ' ', 'g')) AS d,
+  coalesce(nullif(url_decode(string_split(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '/')[-1]), ''), 'document') AS last FROM n)
+SELECT page_id, trim(substr(f, 1, 120)) || '.html' AS file, d AS folder, printf('%04d', page_id + 1) || '_' || regexp_replace(last, '[<>:"/\\|?*]', '_', 'g') || CASE WHEN lower(last) LIKE '%.pdf' THEN '' ELSE '.pdf' END AS numbered,
+  printf('%04d', page_id + 1) || '_' || CASE WHEN page_id % 2 = 0 THEN 'Re_port_.PDF' ELSE regexp_replace(last, '[<>:"/\\|?*]', '_', 'g') || CASE WHEN lower(last) LIKE '%.pdf' THEN '' ELSE '.pdf' END END AS suggested FROM t"""
 
 _CANDIDATES = r"""
 parts AS (SELECT value, list_filter(list_transform(string_split(value, ','), lambda c: regexp_replace(c, '^\s+|\s+$', '', 'g')), lambda c: c <> '') AS cs FROM {v})"""
@@ -162,6 +203,11 @@ cleared AS (SELECT page_id, html, regexp_replace(regexp_replace(regexp_replace(r
 texts AS (SELECT page_id, html, trim(regexp_replace(replace(replace(replace(replace(t, '&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS v FROM cleared)
 SELECT page_id, length(v) AS visible, length(v) < 150 AND contains(lower(html), '<script') AS shell FROM texts"""
 
+ORACLES["js_shell_cases"] = f"""
+SELECT id, (length(trim(CASE WHEN inner_ LIKE '<%' THEN regexp_replace(inner_, '<[^>]*>', '', 'g') ELSE inner_ END || repeat('word ', words))) < 150 AND script = 1)
+  OR (regexp_matches(attribute, 'data-reactroot|id=[''"]?(root|app|__next|__nuxt)[''"]?$') AND trim(regexp_replace(inner_, '<!--.*?-->', '', 'g')) = '') AS shell
+FROM (SELECT CAST(id AS INTEGER) AS id, attribute, inner_, script, words FROM {fx.values(fx.SHELLS, 'id, attribute, inner_, script, words')})"""
+
 _SOURCE = """CASE WHEN contains(h, '<title>just a moment') THEN 'cloudflare' WHEN contains(h, 'awswafcookiedomainlist') THEN 'aws-waf' WHEN contains(h, 'window.gokuprops') THEN 'aws-waf'
   WHEN contains(h, 'cf-mitigated') THEN 'cloudflare-header' WHEN contains(h, 'challenges.cloudflare.com') THEN 'cloudflare' WHEN contains(h, 'attention required! | cloudflare') THEN 'cloudflare'
   WHEN contains(h, 'checking your browser before accessing') THEN 'cloudflare-legacy' WHEN contains(h, '<title>access denied</title>') THEN 'akamai' END"""
@@ -170,7 +216,11 @@ WITH b AS (SELECT *, lower(substr(body, 1, 4096)) AS h FROM {fx.values(fx.BODIES
 SELECT CAST(id AS INTEGER) AS id, CASE header WHEN 'cf-mitigated' THEN 'cloudflare-header' WHEN 'x-amzn-waf-action' THEN 'aws-waf-header'
   ELSE CASE WHEN regexp_matches(content_type, 'text/html|application/xhtml') THEN {_SOURCE} END END AS challenge,
   CASE WHEN starts_with(body, '%PDF-') THEN NULL ELSE coalesce({_SOURCE}, 'content-mismatch') END AS as_pdf FROM b"""
-ORACLES["challenge_pages"] = f"WITH b AS (SELECT lower(text) AS h FROM documents) SELECT {_SOURCE} AS source, count(*) AS documents FROM b GROUP BY 1"
+#: What ends within the first 4096 bytes: the characters up to the end of the marker are counted in bytes.
+_WITHIN = re.sub(r"contains\(h, ('[^']*')\)", r"(instr(h, \1) > 0 AND strlen(substr(t, 1, CAST(instr(h, \1) AS BIGINT) - 1)) + length(\1) <= 4096)", _SOURCE)
+ORACLES["challenge_pages"] = f"""
+WITH b AS (SELECT text || CASE doc_id % 3 WHEN 0 THEN ' CF-Mitigated' WHEN 1 THEN ' <Title>Access denied</title>' ELSE '' END AS t FROM documents), l AS (SELECT t, lower(t) AS h FROM b)
+SELECT {_WITHIN} AS source, count(*) AS documents FROM l GROUP BY 1"""
 
 _ROBOTS = rf"""
 lines AS (SELECT host, unnest(range(0, len(string_split(text, chr(10))))) AS ord, unnest(string_split(text, chr(10))) AS raw FROM {fx.values(fx.ROBOTS, 'host, text')}),
@@ -266,7 +316,9 @@ log AS (SELECT event_id AS seq, 'https://host' || user_id || '.test' AS host, 'h
 latest AS (SELECT url, max(seq) AS seq, arg_max(status, seq) AS status, arg_max(kind, seq) AS kind, arg_max(size_bytes, seq) AS size_bytes FROM log GROUP BY url)"""
 ORACLES["delay_schedule"] = f"""
 WITH {_LOG} SELECT seq, host, coalesce(sum(CASE WHEN status = 'robots' THEN 0.0::DOUBLE ELSE 500.0::DOUBLE END) OVER (PARTITION BY host ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS earliest_ms FROM log"""
-ORACLES["delay_bounds"] = "SELECT true AS jitter_inside, true AS steps_inside"
+ORACLES["delay_bounds"] = """
+WITH d AS (SELECT event_id, (event_id * 7919 % 1000) / 1000.0::DOUBLE AS u, user_id % 2000 AS least FROM events)
+SELECT event_id, least + CAST(floor(u * (floor(least * 1.75::DOUBLE) - least)) AS BIGINT) AS jittered, least + 100 * CAST(floor(u * (greatest(900 - least, 0) // 100 + 1)) AS BIGINT) AS stepped FROM d"""
 
 ORACLES["error_taxonomy"] = f"""
 SELECT CAST(id AS INTEGER) AS id, CASE WHEN name IN ('AbortError', 'TimeoutError') THEN 'timeout' WHEN code IN ('ENOTFOUND', 'EAI_AGAIN') THEN 'dns' WHEN regexp_matches(code, 'CERT|TLS|SSL') THEN 'tls'
@@ -306,8 +358,9 @@ WITH {_LOG}, d AS (SELECT *, lag(status) OVER w AS s0, lag(kind) OVER w AS k0, l
 f AS (SELECT host, seq, url, (status = 'ok' AND kind = 'page')::INT - coalesce((s0 = 'ok' AND k0 = 'page')::INT, 0) AS p, (status = 'ok' AND kind = 'asset')::INT - coalesce((s0 = 'ok' AND k0 = 'asset')::INT, 0) AS a,
   (status IN ('failed', 'too-large', 'challenge'))::INT - coalesce((s0 IN ('failed', 'too-large', 'challenge'))::INT, 0) AS x,
   CASE WHEN status = 'ok' THEN size_bytes ELSE 0 END - CASE WHEN coalesce(s0, '') = 'ok' THEN b0 ELSE 0 END AS b FROM d)
-SELECT host, seq, CAST(sum(p) OVER r AS BIGINT) AS pages_done, CAST(sum(a) OVER r AS BIGINT) AS assets_done, CAST(sum(x) OVER r AS BIGINT) AS failures, CAST(sum(b) OVER r AS BIGINT) AS bytes, url AS current_url
+SELECT host, seq, CAST(sum(p) OVER r AS BIGINT) AS pages_done, CAST(sum(a) OVER r AS BIGINT) AS assets_done, CAST(sum(x) OVER r AS BIGINT) AS failures, CAST(sum(b) OVER r AS BIGINT) AS bytes, CAST(1 + sum(seq % 3 - 1) OVER r AS BIGINT) AS queue_size, 'crawl' AS phase, url AS current_url
 FROM f WINDOW r AS (PARTITION BY host ORDER BY seq)"""
+ORACLES["progress_whole"] = ORACLES["progress_running"].replace("PARTITION BY host ORDER", "ORDER").replace("SELECT host, seq, CAST", "SELECT seq, CAST").replace("CAST(1 + sum(seq % 3 - 1) OVER r AS BIGINT) AS queue_size, 'crawl' AS phase, ", "")
 ORACLES["mirror_report"] = f"""
 WITH {_LOG} SELECT count(*) FILTER (status = 'ok' AND kind = 'page') AS pages, count(*) FILTER (status = 'ok' AND kind = 'asset') AS assets, CAST(coalesce(sum(size_bytes) FILTER (status = 'ok'), 0) AS BIGINT) AS bytes,
   count(*) FILTER (status = 'robots') AS robots_skipped, count(*) FILTER (status = 'excluded') AS excluded, count(*) FILTER (status NOT IN ('ok', 'robots', 'excluded')) AS failures FROM latest"""
@@ -321,14 +374,35 @@ WITH {_MIRROR}, refs AS (SELECT l.*, s.path AS a_path, m.path AS target FROM lin
 cut AS (SELECT *, string_split(a_path, '/') AS a, string_split(target, '/') AS b FROM refs),
 same AS (SELECT *, coalesce(list_min(list_filter(range(1, least(len(a), len(b))), lambda i: a[i] <> b[i])) - 1, least(len(a), len(b)) - 1) AS k FROM cut)
 SELECT src_url AS url, raw_ref, CASE WHEN target IS NULL THEN 'absolutized' ELSE 'localized' END AS action, CASE WHEN target IS NULL THEN abs_url ELSE {_REL} END AS value FROM same"""
-ORACLES["broken_links"] = "SELECT '' AS path, '' AS raw_ref WHERE false"
-
-_CSS = [
-    (fx.SHEETS[0][0], "@import 'base.css';\n.a{background:url(../img/a.png)} .b{background:url(\"https://site.test/css/b.png\")}", True),
-    (fx.SHEETS[1][0], fx.SHEETS[1][1], False),
-    (fx.SHEETS[2][0], "", False),
-    (fx.SHEETS[3][0], "@import url(\"https://site.test/x/z.css\"); .f{background:url(https://site.test/root.png)}", True),
-]
-ORACLES["rewrite_css"] = f"SELECT url, content, changed = 'y' AS changed FROM {fx.values([(u, c, 'y' if x else 'n') for u, c, x in _CSS], 'url, content, changed')}"
+_PLANNED = f"""
+{_MIRROR}, refs AS (SELECT l.*, s.path AS a_path, m.path AS target FROM links l JOIN mirror s ON s.url = l.src_url LEFT JOIN mirror m ON m.url = l.abs_url),
+cut AS (SELECT *, string_split(a_path, '/') AS a, string_split(target, '/') AS b FROM refs),
+same AS (SELECT *, coalesce(list_min(list_filter(range(1, least(len(a), len(b))), lambda i: a[i] <> b[i])) - 1, least(len(a), len(b)) - 1) AS k FROM cut),
+valued AS (SELECT src_url AS url, a_path AS path, raw_ref, target, CASE WHEN target IS NULL THEN abs_url ELSE {_REL} END AS value FROM same)"""
+#: Every page's edits one after another; a mark keeps what was replaced from being replaced again.
+ORACLES["rewrite_html"] = rf"""
+WITH {_PLANNED}, edits AS (SELECT url, list(raw_ref || chr(1) || value) AS es FROM valued GROUP BY url),
+texts AS (SELECT o.src_url AS url, o.html, replace(list_reduce(list_prepend(o.html, coalesce(e.es, [])), lambda acc, e: replace(acc, 'href="' || string_split(e, chr(1))[1] || '"', 'href=' || chr(2) || '"' || string_split(e, chr(1))[2] || '"')), chr(2), '') AS content
+  FROM own o LEFT JOIN edits e ON e.url = o.src_url)
+SELECT t.url, m.path, sha256(content) AS sha256, content <> html AS changed FROM texts t JOIN mirror m ON m.url = t.url"""
+ORACLES["broken_links"] = f"WITH {_PLANNED} SELECT path, value AS raw_ref FROM valued WHERE length(target) % 3 = 0"
+ORACLES["rewrite_cases"] = f"""
+WITH refs AS (SELECT raw_ref, trim(raw_ref) AS r FROM {fx.values(fx.KEPT_REFS, 'raw_ref')}), files AS (SELECT * FROM {fx.values(fx.KEPT_FILES, 'url, path')}),
+known AS (SELECT *, regexp_matches(r, '^(#|mailto:)') AS inert, NOT regexp_matches(r, '^([A-Za-z][A-Za-z0-9+.-]*:|/)') AS relative, {resolved('r', "'https://h.test/d/p'")} AS abs_url, regexp_extract(r, '(#.+)$', 1) AS fragment,
+  regexp_replace(regexp_replace('h.test/d/' || regexp_extract(r, '^([^?#]*)', 1), '^h.test/d/[.][.]/[.][.]/', ''), '^h.test/d/[.][.]/', 'h.test/') AS own FROM refs),
+found AS (SELECT k.*, f.path AS target, g.path AS there FROM known k LEFT JOIN files f ON f.url = k.abs_url AND NOT inert LEFT JOIN files g ON g.path = k.own AND relative AND NOT inert)
+SELECT raw_ref, CASE WHEN inert THEN 'skipped' WHEN target IS NOT NULL THEN 'localized' WHEN there IS NOT NULL OR (NOT relative AND NOT regexp_matches(r, '^/([^/]|$)')) THEN 'kept' ELSE 'absolutized' END AS action,
+  CASE WHEN inert THEN NULL WHEN target IS NOT NULL THEN CASE WHEN starts_with(target, 'h.test/d/') THEN substr(target, 10) WHEN starts_with(target, 'h.test/') THEN '../' || substr(target, 8) ELSE '../../' || target END || fragment
+  WHEN there IS NOT NULL OR (NOT relative AND NOT regexp_matches(r, '^/([^/]|$)')) THEN NULL ELSE abs_url || fragment END AS value FROM found"""
+
+_SHEET_FILES = f"sheet_urls AS (SELECT url, 'asset' AS kind FROM sheets UNION SELECT abs_url, 'asset' FROM refs), {mapped('sheet_urls', 'sheet_paths')}"
+ORACLES["rewrite_css"] = f"""
+WITH {_SHEET_REFS}, {_SHEET_FILES}, wanted AS (SELECT r.*, s.path AS a_path, CASE WHEN r.abs_url IN ('https://site.test/css/base.css', 'https://site.test/img/a.png') THEN t.path END AS target FROM refs r JOIN sheet_paths s ON s.url = r.url JOIN sheet_paths t ON t.url = r.abs_url),
+cut AS (SELECT *, string_split(a_path, '/') AS a, string_split(target, '/') AS b FROM wanted),
+same AS (SELECT *, coalesce(list_min(list_filter(range(1, least(len(a), len(b))), lambda i: a[i] <> b[i])) - 1, least(len(a), len(b)) - 1) AS k FROM cut),
+edits AS (SELECT url, list(ref || chr(1) || CASE WHEN target IS NOT NULL THEN {_REL} WHEN regexp_matches(ref, '^(https?:|//)') THEN ref ELSE abs_url END) AS es FROM same GROUP BY url),
+texts AS (SELECT s.url, s.css, list_reduce(list_prepend(s.css, coalesce(e.es, [])), lambda acc, e: regexp_replace(acc, '(?i)(url[(]\\s*[''"]?|@import\\s+[''"])' || regexp_escape(string_split(e, chr(1))[1]) || '([''"]?\\s*[)]|[''"])',
+  '\\1' || string_split(e, chr(1))[2] || '\\2')) AS content FROM sheets s LEFT JOIN edits e ON e.url = s.url)
+SELECT url, regexp_replace(content, '(?i)url[(]\\s*([''"]?)([^''")]+?)([''"]?)\\s*[)]', 'url(\\1\\2\\3)', 'g') AS content, regexp_replace(content, '(?i)url[(]\\s*([''"]?)([^''")]+?)([''"]?)\\s*[)]', 'url(\\1\\2\\3)', 'g') <> css AS changed FROM texts"""
 _INDEX = '<!doctype html>\n<meta charset="utf-8">\n<meta http-equiv="refresh" content="0; url={0}">\n<a href="{0}">Open the mirrored site</a>\n'
 ORACLES["entry_index"] = f"SELECT * FROM {fx.values([('index.html', _INDEX.format('https://absent.example.com/?q=%22x%22')), ('index.html', _INDEX.format('host/index.html'))], 'path, content')}"

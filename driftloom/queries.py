@@ -14,6 +14,7 @@ from .plans import catalog
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+SCOPE_ROOTS = ("example.com", "example.net", "example.org", "www.example.com", "com")
 AGENT = "Mozilla/5.0 (compatible; Driftloom/1.0)"
 C = F.col
 
@@ -28,9 +29,9 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links of pages, whose only references are a[href]; each page's own host is its scope."""
+    """Links of pages by the full markup scan; each page's own host is its scope."""
     rows = pages(spark, sf_dir).select(F.regexp_replace("url", "#.*$", "").alias("url"), "html")
-    return links.links(links.regular_references(rows), urls.scope_root(C("src_url")))
+    return links.links(links.page_references(rows), urls.scope_root(C("src_url")))
 
 
 @query
@@ -56,16 +57,18 @@ def url_resolve_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def scope_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages and hard cases against several roots, with and without subdomains."""
     rows = fx.frame(spark, fx.SCOPE, "url string, root string")
+    roots = F.explode(F.array(*(F.lit(r) for r in SCOPE_ROOTS)))
+    rows = rows.unionByName(pages(spark, sf_dir).select("url", roots.alias("root")))
     return rows.select("url", "root", urls.in_scope(C("url"), C("root"), True).alias("with_sub"), urls.in_scope(C("url"), C("root"), False).alias("without_sub"))
 
 
 @query
 def scope_filter_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages within the host of page 0, per host."""
-    seed = pages(spark, sf_dir).filter("page_id = 0").select(urls.scope_root(C("url")).alias("root"))
-    rows = pages(spark, sf_dir).select("page_id", "url", urls.bare_host(C("url")).alias("root"))
-    return rows.join(F.broadcast(seed.limit(1)), "root", "left_semi").select("page_id", "url")
+    """Pages within the scope of page 0, subdomains included."""
+    root = pages(spark, sf_dir).filter("page_id = 0").agg(F.min(urls.scope_root(C("url")))).first()[0]
+    return pages(spark, sf_dir).filter(urls.in_scope(C("url"), F.lit(root), True)).select("page_id", "url")
 
 
 @query
@@ -96,7 +99,9 @@ def url_to_path_asset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def segment_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.frame(spark, fx.SEGMENTS, "seg string").select("seg", urls.sanitize_host(C("seg")).alias("host_form"), urls.sanitize_segment(C("seg")).alias("path_form"), urls.extension(C("seg")).alias("ext"))
+    """Hard cases and every segment of the paths that pages link to."""
+    found = page_links(spark, sf_dir).select(F.explode(F.split(urls.part(C("abs_url"), 3), "/")).alias("seg")).filter("seg <> ''").distinct()
+    return fx.frame(spark, fx.SEGMENTS, "seg string").union(found).distinct().select("seg", urls.sanitize_host(C("seg")).alias("host_form"), urls.sanitize_segment(C("seg")).alias("path_form"), urls.extension(C("seg")).alias("ext"))
 
 
 @query
@@ -117,14 +122,15 @@ def relative_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def extract_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return page_links(spark, sf_dir).select("src_url", "abs_url", "kind")
+    """Links of regular markup without leaving the plan."""
+    rows = pages(spark, sf_dir).select(F.regexp_replace("url", "#.*$", "").alias("url"), "html")
+    return links.links(links.regular_references(rows), urls.scope_root(C("src_url"))).select("src_url", "abs_url", "kind")
 
 
 @query
 def extract_links_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same relation by the full markup scan."""
-    rows = pages(spark, sf_dir).select(F.regexp_replace("url", "#.*$", "").alias("url"), "html")
-    return links.links(links.page_references(rows), urls.scope_root(C("src_url"))).select("src_url", "abs_url", "kind")
+    return page_links(spark, sf_dir).select("src_url", "abs_url", "kind")
 
 
 @query
@@ -151,6 +157,14 @@ def display_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", urls.human_bytes(C("n")).alias("size"), urls.format_duration(C("n")).alias("duration"))
 
 
+@query
+def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page addresses as names of files, folders and numbered downloads."""
+    rows = pages(spark, sf_dir).select("page_id", "url", F.concat(C("url"), F.lit("  a:b*\t?"), F.repeat(F.lit(" long|name"), F.pmod("page_id", F.lit(15)).cast("int"))).alias("name"))
+    number = urls.numbered_filename(C("url"), C("page_id").cast("int")), urls.numbered_filename(C("url"), C("page_id").cast("int"), F.when(C("page_id") % 2 == 0, F.lit("Re<port>.PDF")))
+    return rows.select("page_id", urls.safe_filename(C("name"), ".html").alias("file"), urls.safe_dirname(C("name")).alias("folder"), number[0].alias("numbered"), number[1].alias("suggested"))
+
+
 @query
 def css_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.stylesheet_links(fx.frame(spark, fx.SHEETS, "url string, css string")).select("src_url", "abs_url")
@@ -174,6 +188,14 @@ def js_shell(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).select("page_id", F.length(text).cast("long").alias("visible"), responses.is_shell(C("html")).alias("shell"))
 
 
+@query
+def js_shell_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mounts, scripts and little text by the full markup scan."""
+    rows = fx.frame(spark, fx.SHELLS, "id int, attribute string, inner string, script int, words int")
+    body = F.concat(F.lit("<html><body><div "), "attribute", F.lit(">"), "inner", F.lit("</div><p>"), F.repeat(F.lit("word "), C("words")), F.lit("</p>"), F.when(C("script") == 1, "<script>go()</script>").otherwise(""), F.lit("</body></html>"))
+    return links.scanned(rows.select(C("id").cast("string").alias("url"), body.alias("html"))).select(C("src_url").cast("int").alias("id"), "shell")
+
+
 @query
 def challenge_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fx.frame(spark, fx.BODIES, "id int, header string, body string, content_type string")
@@ -184,8 +206,9 @@ def challenge_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def challenge_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Markers over whole tables: documents that would pass for a challenge."""
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", responses.body_challenge(C("text").cast("binary")).alias("source"))
+    """Markers over whole tables; some documents end with one, which counts if it lies within the bytes that are looked at."""
+    body = F.concat(C("text"), F.when(C("doc_id") % 3 == 0, " CF-Mitigated").when(C("doc_id") % 3 == 1, " <Title>Access denied</title>").otherwise(""))
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", responses.body_challenge(body.cast("binary")).alias("source"))
     return rows.groupBy("source").agg(F.count("*").alias("documents"))
 
 
@@ -235,8 +258,9 @@ def delay_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def delay_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.range(2000).select("id", crawl.jittered(F.lit(500), 3).alias("jittered"), crawl.stepped(F.lit(300), F.lit(900), F.lit(100), 4).alias("stepped"))
-    return rows.agg(F.bool_and((C("jittered") >= 500) & (C("jittered") < 875)).alias("jitter_inside"), F.bool_and((C("stepped") >= 300) & (C("stepped") <= 900) & (C("stepped") % 100 == 0)).alias("steps_inside"))
+    """Delays for draws that events give."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", (F.pmod(C("event_id") * 7919, F.lit(1000)) / 1000).alias("draw"), (C("user_id") % 2000).cast("int").alias("least"))
+    return rows.select("event_id", crawl.jittered(C("least"), C("draw")).alias("jittered"), crawl.stepped(C("least"), F.lit(900), F.lit(100), C("draw")).alias("stepped"))
 
 
 @query
@@ -338,7 +362,13 @@ def manifest_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def progress_running(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return manifest.progress(event_log(spark, sf_dir), ["host"])
+    return manifest.progress(event_log(spark, sf_dir).withColumn("enqueued", C("seq") % 3), ["host"])
+
+
+@query
+def progress_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One log without scopes: sums of ranges of its events."""
+    return manifest.progress(event_log(spark, sf_dir)).drop("phase")
 
 
 @query
@@ -388,9 +418,18 @@ def rewrite_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def broken_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Navigability: local references of rewritten pages that lead nowhere (none)."""
+    """Local references of rewritten pages that lead nowhere once the files with a path length that 3 divides are gone."""
     files = rewritten_pages(spark, sf_dir).select("url", "path", F.lit("html").alias("type"), "content")
-    return rewrite.broken(rewrite.content_references(files), page_manifest(spark, sf_dir)).select("path", "raw_ref")
+    left = page_manifest(spark, sf_dir).filter(F.length("path") % 3 != 0)
+    return rewrite.broken(rewrite.content_references(files), left).select("path", "raw_ref")
+
+
+@query
+def rewrite_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References of one saved file: to mirrored URLs, to files that are there, to neither."""
+    saved = fx.frame(spark, fx.KEPT_FILES, "url string, path string").withColumn("status", F.lit("ok"))
+    refs = fx.frame(spark, fx.KEPT_REFS, "raw_ref string").select(F.lit(fx.KEPT_FILES[0][0]).alias("url"), F.lit(fx.KEPT_FILES[0][1]).alias("path"), F.lit(fx.KEPT_FILES[0][0]).alias("base_url"), "raw_ref")
+    return rewrite.plan(refs, saved).select("raw_ref", "action", "value")
 
 
 @query

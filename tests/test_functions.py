@@ -60,9 +60,14 @@ def test_joined_path_stays_inside(spark):
 def test_sizes_durations_names(spark):
     row = spark.range(1).select(
         urls.human_bytes(F.lit(512)).alias("a"), urls.human_bytes(F.lit(1536)).alias("b"), urls.format_duration(F.lit(3_723_000)).alias("c"), urls.format_duration(F.lit(900)).alias("d"),
-        urls.safe_filename(F.lit('a/b:"c"')).alias("e"), urls.numbered_filename(F.lit(7), F.lit("x")).alias("f"), urls.is_inert(F.lit(" #x")).alias("g"), urls.is_inert(F.lit("/x")).alias("h"),
+        urls.safe_filename(F.lit('a/b:"c"')).alias("e"), urls.numbered_filename(F.lit("https://e.c/a/b%20c.PDF?x"), F.lit(6)).alias("f"), urls.is_inert(F.lit(" #x")).alias("g"), urls.is_inert(F.lit("/x")).alias("h"),
     ).first()
-    assert tuple(row) == ("512 B", "1.5 KB", "1h 2m 3s", "0s", "a_b__c_", "007_x", True, False)
+    assert tuple(row) == ("512 B", "1.5 KB", "1h 2m 3s", "0s", "a_b__c_", "0007_b c.PDF", True, False)
+    row = spark.range(1).select(
+        urls.safe_filename(F.lit("n" * 130), ".html").alias("a"), urls.safe_dirname(F.lit(" a/b\t c ")).alias("b"), urls.numbered_filename(F.lit("https://e.c/%zz"), F.lit(0)).alias("c"),
+        urls.numbered_filename(F.lit("https://e.c/"), F.lit(12344), F.lit("x?y")).alias("d"), urls.numbered_filename(F.lit("https://e.c"), F.lit(1)).alias("e"),
+    ).first()
+    assert tuple(row) == ("n" * 120 + ".html", "a-b c", "0001_document.pdf", "12345_x_y.pdf", "0002_document.pdf")
 
 
 def test_css_rewrite_keeps_quotes_and_declined_refs():
