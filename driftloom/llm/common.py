@@ -20,15 +20,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset (tests) an own one."""
-    if not (where := spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir(where := tempfile.mkdtemp(prefix="driftloom-"))
-        where = spark.sparkContext.getCheckpointDir() or where
-    return where
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a run in one process takes an own one, a cluster refuses."""
+    context = spark.sparkContext
+    if where := context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir():
+        return where
+    if not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="driftloom-"))
+    return context.getCheckpointDir()
 
 
-#: Tables that this process has staged.
-_staged: list[str] = []
+#: Tables that this process has staged, by application.
+_staged: dict[str, list[str]] = {}
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -36,17 +39,45 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/driftloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _staged.append(path)
+    _staged.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_staged(spark: SparkSession) -> int:
-    """Remove the staged tables, when no result that reads them is needed any more. Returns how many there were."""
-    n = len(_staged)
-    while _staged:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_staged.pop())
+    """Remove the application's staged tables, when no result that reads them is needed any more. Returns how many there were."""
+    paths = _staged.pop(spark.sparkContext.applicationId, [])
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return n
+    return len(paths)
+
+
+#: A key is hot if it holds more than one SHARE-th of the rows (and more than HOT_ROWS): so there are fewer than SHARE such keys.
+SHARE, HOT_ROWS = 2048, 64
+
+
+def hot_keys(counts: DataFrame, key: str) -> list[int]:
+    """The hot ones of counts (key: long, n: rows that have it), fewer than SHARE."""
+    total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
+    return [r[key] for r in counts.filter(F.col("n") > max(HOT_ROWS, total // SHARE)).select(key).collect()]
+
+
+def spread_join(rows: DataFrame, one: DataFrame, key: str, hot: list[int]) -> DataFrame:
+    """rows left join one (a row for each key) on key: rows of hot keys meet them by broadcast where they are, all others by a shuffle.
+
+    rows and one are read twice where there are hot keys, so they should be written tables."""
+    if not hot:
+        return rows.join(one, key, "left")
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    rest = rows.filter(~is_hot).join(one.filter(~is_hot).hint("merge"), key, "left")
+    return rest.unionByName(rows.filter(is_hot).join(F.broadcast(one.filter(is_hot)), key, "left"))
+
+
+def aside(df: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """df with columns named like these (any case) renamed out of the way, and how they were: new name to old."""
+    clash = [c for c in df.columns if c.lower() in names]
+    new = dict(zip(spare(df, *(f"{c}_given" for c in clash)), clash, strict=True))
+    return df.withColumnsRenamed({old: n for n, old in new.items()}), new
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -6,9 +6,13 @@ Which suffixes can matter: each window elects its ANCHOR-word n-gram of smallest
 offsets. Counting elected n-grams over all documents leaves those that occur twice; a bounded bit set of them (it only ever lets too many
 pass) picks the places where suffixes start. A place carries its context: the words from which and to which a window over it can reach.
 
-Partition by prefix: places are grouped by their n-gram, a prefix of ANCHOR words; equal contexts of a task travel as one row with its
-places. N-grams of more than GROUP such rows are split by longer prefixes, all WINDOW words of each window, so that no group outgrows
-memory: a long-prefix group gets no more than one row of each task.
+Partition by prefix: places are grouped by their n-gram, a prefix of ANCHOR words. Where the counted group of a prefix outgrows a step of
+GROUPS, longer prefixes split it: the windows over a place are parted by how many words they reach back (lo to hi), and all of a part share
+the words from lo before the place to WINDOW - hi after its start, 22, 29 or at last all WINDOW words, which become the part's prefix. So
+a group has at most GROUPS[-1] different contexts, or, with whole windows as prefixes, WINDOW - ANCHOR + 1.
+
+Contexts that a task meets twice are repeated as they are: their places are marked there and then, and only the context travels, so a passage
+that very many documents share sends one row for each task, not its places. The same is done to groups that fill batches.
 
 Subtrees: in each group the contexts' suffixes from the anchor on are sorted, neighbours' common prefix lengths make the suffix tree (a node
 of depth d is a run of neighbours that share d words), and the same is done with the words before the anchor, read backwards. A window
@@ -26,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,12 +40,27 @@ from .common import binary, bounded_batches, mix, over_batches, replaced, spare,
 from .shingles import WordCodes, window_hashes
 
 WINDOW, ANCHOR = 35, 8
-#: Rows of a short-prefix group; rows that a task takes up at once; bytes of contexts that are collected before they go.
-GROUP, ROWS, CONTEXTS = 1 << 15, 1 << 13, 24 << 20
+#: Contexts of a group that its prefixes may have, step by step; rows that a task takes up at once; bytes of contexts that are collected before they go.
+GROUPS, ROWS, CONTEXTS = (1 << 14, 1 << 16, 1 << 17), 1 << 13, 24 << 20
 BACK = WINDOW - ANCHOR
 LOWEST = -(2**63)
 
 
+def parted(size: int) -> list[tuple[int, int]]:
+    """The numbers of words that windows reach back, 0 to BACK, in parts of `size`."""
+    return [(lo, min(lo + size - 1, BACK)) for lo in range(0, BACK + 1, size)]
+
+
+#: Parts for each step: one, two, four, and every window on its own.
+PARTS = [parted(BACK + 1), parted((BACK + 1) // 2), parted((BACK + 1) // 4), parted(1)]
+#: Bits of the words that go when a context with so many words before and from its anchor on is repeated as it is.
+WHOLE = np.zeros((BACK + 1, WINDOW + 1), np.uint64)
+for _back in range(BACK + 1):
+    for _ahead in range(WINDOW + 1):
+        for _a in range(max(0, WINDOW - _ahead), _back + 1):
+            WHOLE[_back, _ahead] |= np.uint64(((1 << WINDOW) - 1) << (BACK - _a))
+
+
 def anchors(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places that some window elects, in ascending order, and their n-grams' hashes."""
     if len(codes) < WINDOW:
@@ -96,19 +116,32 @@ def anchor_counts(docs: DataFrame) -> DataFrame:
     return rows.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("contexts").alias("contexts")).filter("n > 1")
 
 
-def places(docs: DataFrame, shared: Bloom, hot: Bloom) -> DataFrame:
-    """(key, back, context, kid, th, at): a context once for each CONTEXTS bytes, with the documents and places that have it."""
-    sent = docs.sparkSession.sparkContext.broadcast((shared, hot))
+def places(docs: DataFrame, shared: Bloom, steps: list[Bloom]) -> DataFrame:
+    """Two kinds of rows. (key, back, context, weight, kid, th, at): a context once for each CONTEXTS bytes, with its place, or with weight 2 and
+    without; and (kid, th, at, words) of places whose context came twice: the words that go. The latter have a key by document."""
+    sent = docs.sparkSession.sparkContext.broadcast((shared, steps))
 
     def packed(rows: dict) -> pa.RecordBatch:
-        ends = np.cumsum([0, *map(len, rows.values())])
-        flat = [x for v in rows.values() for x in v]
-        lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array([x[i] for x in flat], pa.int64())) for i in range(3)]
-        keys = [pa.array([k[i] for k in rows], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.binary()))]
-        return pa.RecordBatch.from_arrays([*keys, *lists], names=["key", "back", "context", "kid", "th", "at"])
+        keys, held = list(rows), list(rows.values())
+        twice = np.fromiter((len(h) > 3 for h in held), bool, len(held))
+        own = np.array([h[:3] for h in held], np.int64).reshape(-1, 3)
+        none = pa.nulls(len(keys), pa.int64())
+        cols = [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.binary()), pa.array(np.where(twice, 2, 1).astype(np.int32))]
+        cols += [pa.array(own[:, i], mask=twice) for i in range(3)] + [none]
+        context = pa.RecordBatch.from_arrays(cols, names=names)
+        at = np.flatnonzero(twice)
+        if not len(at):
+            return context
+        marks = np.array([x for i in at for x in held[i]], np.int64).reshape(-1, 3)
+        bits = np.array([WHOLE[keys[i][1], keys[i][2].count(b" ") + 1 - keys[i][1]] for i in at], np.uint64).repeat([len(held[i]) // 3 for i in at])
+        n = len(marks)
+        cols = [pa.array(marks[:, 0] ^ marks[:, 1]), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(np.zeros(n, np.int32)), *(pa.array(marks[:, i]) for i in range(3)), pa.array(bits.view(np.int64))]
+        return pa.Table.from_batches([context, pa.RecordBatch.from_arrays(cols, names=names)]).combine_chunks().to_batches()[0]
+
+    names = ["key", "back", "context", "weight", "kid", "th", "at", "words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shared, hot = sent.value
+        shared, steps = sent.value
         codes, rows, size = WordCodes(), {}, 0
         for batch in batches:
             for kid, th, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), binary(batch.column(2)), strict=True):
@@ -117,24 +150,28 @@ def places(docs: DataFrame, shared: Bloom, hot: Bloom) -> DataFrame:
                 at, grams = anchors(own)
                 keep = shared.has(grams)
                 at, grams = at[keep], grams[keep]
-                long_ = hot.has(grams)
-                plain = b" ".join(words)
-                offset = np.cumsum(np.fromiter((len(w) + 1 for w in words), np.int64, len(words)))
-                first, until = np.maximum(at - BACK, 0), np.minimum(at + WINDOW, len(words)) - 1
-                spans = zip((at - first)[~long_].tolist(), np.where(first > 0, offset[first - 1], 0)[~long_].tolist(), (offset[until] - 1)[~long_].tolist(), strict=True) if len(at) else ()
-                for p, g, (back, s, e) in zip(at[~long_].tolist(), grams[~long_].view(np.int64).tolist(), spans, strict=True):
-                    context = plain[s:e]
-                    if not (held := rows.setdefault((g, back, context), [])):
-                        size += len(context)
-                    held.append((kid, th, p))
-                if long_.any():
-                    whole = mix(window_hashes(own, WINDOW), 5).view(np.int64)
-                    for p in at[long_].tolist():
-                        for s in range(max(0, p - BACK), min(p, len(words) - WINDOW) + 1):
-                            context = b" ".join(words[s : s + WINDOW])
-                            if not (held := rows.setdefault((int(whole[s]), p - s, context), [])):
+                if not len(at):
+                    continue
+                step = np.zeros(len(at), np.int64)
+                for k, s in enumerate(steps, 1):
+                    step[s.has(grams)] = k
+                plain, n = b" ".join(words), len(words)
+                ends = np.cumsum(np.fromiter((len(w) + 1 for w in words), np.int64, n))
+                begins = np.concatenate([[0], ends[:-1]])
+                for k in np.unique(step):
+                    for lo, hi in PARTS[k]:
+                        p = at[(step == k) & (at >= lo) & (at + WINDOW - hi <= n)]
+                        if not len(p):
+                            continue
+                        key = window_hashes(own, lo + WINDOW - hi)[p - lo]
+                        if k:
+                            key = mix(key, 100 * int(k) + lo)
+                        first, until = np.maximum(p - hi, 0), np.minimum(p + WINDOW - lo, n) - 1
+                        for g, back, s, e, place in zip(key.view(np.int64).tolist(), (p - first).tolist(), begins[first].tolist(), (ends[until] - 1).tolist(), p.tolist(), strict=True):
+                            context = plain[s:e]
+                            if not (held := rows.setdefault((g, back, context), [])):
                                 size += len(context)
-                            held.append((kid, th, p))
+                            held += (kid, th, place)
                 if size > CONTEXTS:
                     yield packed(rows)
                     rows, size = {}, 0
@@ -142,7 +179,7 @@ def places(docs: DataFrame, shared: Bloom, hot: Bloom) -> DataFrame:
             yield packed(rows)
 
     bounded_batches(docs.sparkSession)
-    return keyed(docs).mapInArrow(run, "key long, back int, context binary, kid array<long>, th array<long>, at array<long>")
+    return keyed(docs).mapInArrow(run, "key long, back int, context binary, weight int, kid long, th long, at long, words long")
 
 
 def tree_nodes(group: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -185,29 +222,57 @@ def repeated_words(group: np.ndarray, back: np.ndarray, contexts: list[bytes], w
 
 def covered(placed: DataFrame) -> DataFrame:
     """(kid, th, at, words): for each place the bits of words that go."""
+    names = ["kid", "th", "at", "words"]
+
+    def marked(table: pa.Table, bits: np.ndarray) -> pa.Table:
+        """Marks of the rows that have a place and bits."""
+        keep = (bits != 0) & table.column("at").is_valid().to_numpy()
+        out = table.select(names[:3]).append_column("words", pa.array(bits.view(np.int64)))
+        return out.filter(pa.array(keep))
+
+    def judged(table: pa.Table) -> pa.Table:
+        group = np.unique(table.column("key").to_numpy(), return_inverse=True)[1]
+        weight = table.column("weight").to_numpy()
+        return marked(table, repeated_words(group, table.column("back").to_numpy().astype(np.int64), table.column("context").to_pylist(), weight))
+
+    def squeezed(table: pa.Table) -> tuple[pa.Table, pa.Table]:
+        """A part of one group: each context once, and the marks of those that came twice."""
+        back, context = table.column("back").to_numpy(), table.column("context").combine_chunks().dictionary_encode()
+        context = context.combine_chunks() if isinstance(context, pa.ChunkedArray) else context
+        _, first, of = np.unique(back.astype(np.int64) << 32 | context.indices.to_numpy().astype(np.int64), return_index=True, return_inverse=True)
+        total = np.bincount(of, weights=table.column("weight").to_numpy())
+        long_ = np.fromiter((c.count(b" ") + 1 for c in context.dictionary.to_pylist()), np.int64, len(context.dictionary))[context.indices.to_numpy()]
+        twice = total[of] > 1
+        marks = marked(table, np.where(twice, WHOLE[back, long_ - back], np.uint64(0)))
+        once, gone = table.take(pa.array(first)), pa.array(total > 1)
+        for k in names[:3]:
+            at = once.schema.get_field_index(k)
+            once = once.set_column(at, k, pc.if_else(gone, pa.scalar(None, pa.int64()), once.column(k)))
+        return once.set_column(once.schema.get_field_index("weight"), "weight", pa.array(np.minimum(total, 2).astype(np.int32))), marks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kid", "th", "at", "words"]
-
-        def judged(table: pa.RecordBatch) -> pa.RecordBatch:
-            group = np.unique(table.column("key").to_numpy(), return_inverse=True)[1]
-            weight = table.column("at").value_lengths().to_numpy()
-            bits = repeated_words(group, table.column("back").to_numpy().astype(np.int64), table.column("context").to_pylist(), weight)
-            out = pa.RecordBatch.from_arrays([*(table.column(k).flatten() for k in names[:3]), pa.array(np.repeat(bits, weight).view(np.int64))], names=names)
-            return out.filter(pa.array(np.repeat(bits != 0, weight)))
-
-        rest = None
+        held, rows, limit = [], 0, ROWS
         for batch in batches:
-            batch = pa.concat_batches([rest, batch]) if rest is not None else batch
-            key = batch.column("key").to_numpy()
-            last = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))[-1]  # whole groups only
-            if batch.num_rows < ROWS or not last:
-                rest = batch
+            ready = batch.column("words").is_valid()
+            yield batch.select(names).filter(ready)
+            batch = batch.filter(pc.invert(ready))
+            held.append(pa.Table.from_batches([batch]))
+            rows += batch.num_rows
+            if rows < limit:
                 continue
-            yield judged(batch.slice(0, last))
-            rest = batch.slice(last)
-        if rest is not None and rest.num_rows:
-            yield judged(rest)
+            table = pa.concat_tables(held)
+            key = table.column("key").to_numpy()
+            last = int(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))[-1])  # the last group may go on
+            if last:
+                yield from judged(table.slice(0, last)).to_batches()
+                table = table.slice(last)
+            if table.num_rows >= 4 * ROWS:  # a group that fills batches
+                table, marks = squeezed(table)
+                yield from marks.to_batches()
+            held, rows = [table], table.num_rows
+            limit = max(ROWS, 2 * rows)
+        if rows:
+            yield from judged(pa.concat_tables(held)).to_batches()
 
     return placed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "kid long, th long, at long, words long")
 
@@ -215,11 +280,12 @@ def covered(placed: DataFrame) -> DataFrame:
 def substring_dedup(docs: DataFrame) -> DataFrame:
     """docs with text reduced to the kept words, n_words, n_removed and removed: array<array<int>> of [first, end) words."""
     counts = stage(anchor_counts(docs), "anchors")
-    n = counts.agg(F.count("*").alias("n"), F.count_if(F.col("contexts") > GROUP).alias("hot")).first()
-    shared, hot = bloom_of(counts, "gram", n["n"]), bloom_of(counts.filter(F.col("contexts") > GROUP), "gram", n["hot"])
+    n = counts.agg(F.count("*").alias("n"), *(F.count_if(F.col("contexts") > g).alias(f"over_{g}") for g in GROUPS)).first()
+    shared = bloom_of(counts, "gram", n["n"])
+    steps = [bloom_of(counts.filter(F.col("contexts") > g), "gram", n[f"over_{g}"]) for g in GROUPS if n[f"over_{g}"]]
     bounded_batches(docs.sparkSession)
     kid, th, gone = spare(docs, "kid", "th", "gone")
-    marks = covered(places(docs, shared, hot)).groupBy(F.col("kid").alias(kid), F.col("th").alias(th)).agg(F.collect_list(F.struct("at", "words")).alias(gone))
+    marks = covered(places(docs, shared, steps)).groupBy(F.col("kid").alias(kid), F.col("th").alias(th)).agg(F.collect_list(F.struct("at", "words")).alias(gone))
     added = {"n_words": T.LongType(), "n_removed": T.LongType(), "removed": T.ArrayType(T.ArrayType(T.IntegerType()))}
     schema = replaced(docs, **added)
     left = docs.select(*(f"`{x}`" for x in schema.names if x not in added), F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias(kid), F.xxhash64("text").alias(th))

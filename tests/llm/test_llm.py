@@ -50,7 +50,7 @@ def test_staged_tables_can_be_dropped(spark):
     from driftloom.llm import common
 
     common.stage(spark.range(3), "x")
-    path = common._staged[-1].removeprefix("file://").removeprefix("file:")
+    path = common._staged[spark.sparkContext.applicationId][-1].removeprefix("file://").removeprefix("file:")
     import os
 
     assert os.path.isdir(path) and common.drop_staged(spark) >= 1 and not os.path.exists(path)
@@ -160,7 +160,7 @@ def test_ranks(spark):
     got = ranks.ranked(df, ["g"], ["v"], "rank")
     for group in ("g = 'a'", "g is null"):
         assert [(r["rank"], r["v"]) for r in got.filter(group).orderBy("rank").collect()] == [(1, None), (2, 1), (3, 1), (4, 2), (5, 3)]
-    assert listed(ranks.ranked(df, [], ["v"], "rank"), "rank") == [(i,) for i in range(1, 16)]
+    assert sorted(r["rank"] for r in ranks.ranked(df, [], ["v"], "rank").collect()) == list(range(1, 16))
 
 
 def test_mix_comes_near_targets_and_repeats(spark):
@@ -336,9 +336,9 @@ def substrings_by_hand(docs):
     return sorted(out)
 
 
-@pytest.mark.parametrize("group,rows,contexts", [(substring_dedup.GROUP, substring_dedup.ROWS, substring_dedup.CONTEXTS), (1, 64, 1 << 14)])
-def test_substrings(spark, monkeypatch, group, rows, contexts):
-    for k, v in (("GROUP", group), ("ROWS", rows), ("CONTEXTS", contexts)):
+@pytest.mark.parametrize("groups,rows,contexts", [(substring_dedup.GROUPS, substring_dedup.ROWS, substring_dedup.CONTEXTS), ((1, 1 << 20, 1 << 20), 64, 1 << 14), ((1, 3, 1 << 20), 2, 1 << 12), ((1, 1, 1), 1, 1 << 10)])
+def test_substrings(spark, monkeypatch, groups, rows, contexts):
+    for k, v in (("GROUPS", groups), ("ROWS", rows), ("CONTEXTS", contexts)):
         monkeypatch.setattr(substring_dedup, k, v)
     docs = edge_docs(spark).unionByName(spark.createDataFrame(near_texts(40), "doc_id long, text string"), allowMissingColumns=True)
     got = substring_dedup.substring_dedup(docs)
