@@ -41,7 +41,9 @@ from .shingles import WordCodes, window_hashes
 
 WINDOW, ANCHOR = 35, 8
 #: Contexts of a group that its prefixes may have, step by step; rows that a task takes up at once; bytes of contexts that are collected before they go.
-GROUPS, ROWS, CONTEXTS = (1 << 14, 1 << 16, 1 << 17), 1 << 13, 24 << 20
+GROUPS, ROWS, CONTEXTS = (1 << 14, 1 << 16, 1 << 17), 1 << 13, 16 << 20
+#: Contexts, or marked places of a text, whose words are looked at together.
+AT_ONCE = 1 << 11
 BACK = WINDOW - ANCHOR
 LOWEST = -(2**63)
 
@@ -184,13 +186,13 @@ def places(docs: DataFrame, shared: Bloom, steps: list[Bloom]) -> DataFrame:
 
 def tree_nodes(group: np.ndarray, words: np.ndarray) -> np.ndarray:
     """The suffix tree of the rows of words within their groups: n x (depth + 1) names of the node that a row passes at each depth."""
-    rows = np.ascontiguousarray(np.c_[group, words], ">u4")
+    rows = np.empty((len(words), words.shape[1] + 1), ">u4")
+    rows[:, 0], rows[:, 1:] = group, words
     order = np.argsort(rows.view(f"S{rows.strides[0]}").ravel(), kind="stable")
     rows = rows[order]
-    common = np.logical_and.accumulate(rows[1:] == rows[:-1], axis=1).sum(axis=1)  # 1 + length of the common prefix with the row before, 0: another group
-    parts = common[:, None] <= np.arange(rows.shape[1])[None, :]
-    nodes = np.zeros(rows.shape, np.int64)
-    nodes[order[1:]] = np.cumsum(parts, axis=0)
+    same = np.logical_and.accumulate(rows[1:] == rows[:-1], axis=1)  # the path to a depth is that of the row before
+    nodes = np.zeros(rows.shape, np.int32)
+    nodes[order[1:]] = np.cumsum(~same, axis=0, dtype=np.int32)
     return nodes
 
 
@@ -204,17 +206,19 @@ def repeated_words(group: np.ndarray, back: np.ndarray, contexts: list[bytes], w
     """For each context a bit for each word from BACK before the anchor on: set if a repeated window covers it."""
     n, width, numbers = len(contexts), BACK + WINDOW, Numbers()
     long_ = np.fromiter((c.count(b" ") + 1 for c in contexts), np.int64, n)
-    flat = np.fromiter(map(numbers.__getitem__, b" ".join(contexts).split(b" ")), np.int64, long_.sum())
-    words = (1 << 32) - 1 - np.arange(n * width, dtype=np.int64).reshape(n, width)  # outside a text all words differ
-    row = np.repeat(np.arange(n), long_)
-    words[row, np.arange(len(flat)) - np.repeat(np.cumsum(long_) - long_, long_) + (BACK - back)[row]] = flat
+    words = (2**32 - 1 - np.arange(n * width, dtype=np.int64)).astype(np.uint32).reshape(n, width)  # outside a text all words differ
+    for k in range(0, n, AT_ONCE):
+        size, row = long_[k : k + AT_ONCE], np.arange(k, min(k + AT_ONCE, n))
+        flat = np.fromiter(map(numbers.__getitem__, b" ".join(contexts[k : k + AT_ONCE]).split(b" ")), np.uint32, size.sum())
+        first = np.repeat(BACK - back[row] - np.cumsum(size) + size, size)
+        words[np.repeat(row, size), np.arange(len(flat)) + first] = flat
     ahead = long_ - back
     right, left = tree_nodes(group, words[:, BACK:]), tree_nodes(group, words[:, BACK - 1 :: -1])
     out = np.zeros(n, np.uint64)
     for a in range(BACK + 1):
         ok = np.flatnonzero((back >= a) & (ahead >= WINDOW - a))
         if len(ok):
-            _, node = np.unique(left[ok, a] * (n + 1) + right[ok, WINDOW - a], return_inverse=True)
+            _, node = np.unique(left[ok, a].astype(np.int64) * (n + 1) + right[ok, WINDOW - a], return_inverse=True)
             again = np.bincount(node, weights=weight[ok])[node] > 1
             out[ok[again]] |= np.uint64(((1 << WINDOW) - 1) << (BACK - a))
     return out
@@ -290,7 +294,7 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     schema = replaced(docs, **added)
     left = docs.select(*(f"`{x}`" for x in schema.names if x not in added), F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias(kid), F.xxhash64("text").alias(th))
     joined = left.join(marks, [kid, th], "left").drop(kid, th)
-    reach = np.arange(BACK + WINDOW)
+    reach = np.arange(BACK + WINDOW, dtype=np.uint64)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, totals, removed, spans = [], [], [], []
@@ -301,8 +305,9 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
             if column[i].is_valid:
                 got = column[i].values
                 at, bits = got.field("at").to_numpy(), got.field("words").to_numpy().view(np.uint64)
-                rows, cols = np.nonzero((bits[:, None] >> reach.astype(np.uint64)) & np.uint64(1))
-                out[at[rows] - BACK + cols + 1] = True
+                for k in range(0, len(at), AT_ONCE):
+                    rows, cols = np.nonzero((bits[k : k + AT_ONCE, None] >> reach) & np.uint64(1))
+                    out[at[k : k + AT_ONCE][rows] - BACK + cols + 1] = True
             edges = np.flatnonzero(out[1:] != out[:-1]).reshape(-1, 2).astype(np.int32)
             kept = words if not len(edges) else [w for w, x in zip(words, out[1:-1].tolist(), strict=True) if not x]
             texts.append(b" ".join(kept))
