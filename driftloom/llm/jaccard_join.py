@@ -5,20 +5,24 @@ Two sets with Jaccard >= t must share a column among their first n - ceil(t n) +
 order puts n-grams that very many rows hold last. Only that part of the matrix is shuffled, in blocks by column, and columns of a
 single row go at once. Then:
 
-* columns of DENSE rows or more tie their rows into clusters (large groups of near copies). A cluster's full rows are dealt into
-  tiles of TILE n-grams, and each pair of tiles is a block: a task multiplies it in memory, row by row, discards counts
-  below the bound that the sizes ask for and emits only links that join something, at most as many as the block has rows;
+* columns of DENSE rows or more tie their rows into clusters (large groups of near copies, and what common text chains together). A cluster's full
+  rows are parted by size, as sizes further apart than the threshold can't link, and dealt into tiles of TILE n-grams; pairs of tiles are
+  blocks that a task multiplies in memory, row by row, discarding counts below the bound that the sizes ask for. First every
+  tile meets itself and one of its part, which joins most of a group of near copies; then rows outside their part's largest group
+  meet all tiles of their part and of its neighbours. A block emits only links that join something, fewer than it has rows;
 * the other columns accumulate overlap counts for pairs of rows of different clusters; pairs whose count in the shared part
   cannot reach their bound are discarded, what passes is verified on the full rows.
 
-Both are exhaustive: a linked pair shares a dense column, and so a cluster, or its count is complete without them.
+Both are exhaustive: a linked pair shares a dense column, and so a cluster, or its count is complete without them; rows that don't meet are of
+one group already. A part in which nothing links costs the square of its tiles.
 
 Defined cases: texts without words have the empty set and no links; fewer words than a shingle are one shingle; null doc_ids are
-never a component's id unless it has no other; repeated rows are copies. Sets are named by 64 bits of hash.
+never a component's id unless it has no other; repeated rows are copies. Sets are told apart by 128 bits of hash, n-grams by 64.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import bloom_of
-from .common import binary, bounded_batches, over_batches, spare, stage, text_hash
+from .common import binary, bounded_batches, hot_keys, over_batches, spare, spread_join, stage, text_hash
 from .components import components
 from .shingles import SHINGLE, WordCodes, shingle_set
 
@@ -39,8 +43,16 @@ CHUNK, OFTEN, LAST = 1 << 21, 3, 1 << 17
 DENSE, TILE, PARTNERS = 64, 1 << 19, 512
 
 
-def set_name(shingles: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(shingles.tobytes())
+def set_names(shingles: np.ndarray) -> tuple[int, int]:
+    """Two names of a set, signed 64-bit halves of one hash."""
+    both = xxhash.xxh3_128_intdigest(shingles.tobytes())
+    return signed(both & (1 << 64) - 1), signed(both >> 64)
+
+
+def set_name(shingles: np.ndarray, shared: frozenset[int]) -> int:
+    """The first name, or where different sets share that, the second."""
+    name, other = set_names(shingles)
+    return other if name in shared else name
 
 
 def signed(x: int) -> int:
@@ -53,7 +65,7 @@ def overlap_bound(a, b, percent: int):
 
 
 def described(docs: DataFrame, size: int, *more: Column) -> DataFrame:
-    """A staged table: (doc_id, n, sid, more long columns) of every document, and rows with kind 1 whose sid is an n-gram held n times by a chunk."""
+    """A staged table: (doc_id, n, sid, other, more long columns) of every document, and rows with kind 1 whose sid is an n-gram held n times by a chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, held, total = WordCodes(), [], 0
@@ -65,28 +77,28 @@ def described(docs: DataFrame, size: int, *more: Column) -> DataFrame:
             counts, values = np.diff(np.append(starts, len(values))), values[starts]
             keep = counts >= OFTEN
             k = int(keep.sum())
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.nulls(k, pa.int64()), pa.array(counts[keep].astype(np.int64)), pa.array(values[keep].view(np.int64)), *(pa.nulls(k, pa.int64()) for _ in extra)], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.nulls(k, pa.int64()), pa.array(counts[keep].astype(np.int64)), pa.array(values[keep].view(np.int64)), pa.nulls(k, pa.int64()), *(pa.nulls(k, pa.int64()) for _ in extra)], names=names)
 
-        names = ["kind", "doc_id", "n", "sid", *extra]
+        names = ["kind", "doc_id", "n", "sid", "other", *extra]
         for batch in batches:
             ns, sids = [], []
             for data in binary(batch.column(1)):
                 s = shingle_set(data, codes, size)
                 ns.append(len(s))
-                sids.append(signed(set_name(s)))
+                sids.append(set_names(s))
                 held.append(s)
                 total += len(s)
                 if total >= CHUNK:
                     yield often()
                     held, total = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ns), np.int32)), batch.column(0), pa.array(ns, pa.int64()), pa.array(sids, pa.int64()), *batch.columns[2:]], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ns), np.int32)), batch.column(0), pa.array(ns, pa.int64()), *(pa.array([x[i] for x in sids], pa.int64()) for i in (0, 1)), *batch.columns[2:]], names=names)
         if held:
             yield often()
 
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), "text", *more)
     extra = rows.columns[2:]
-    return stage(rows.mapInArrow(run, ", ".join(["kind int, doc_id long, n long, sid long", *(f"{c} long" for c in extra)])), "sets")
+    return stage(rows.mapInArrow(run, ", ".join(["kind int, doc_id long, n long, sid long, other long", *(f"{c} long" for c in extra)])), "sets")
 
 
 def common_ngrams(rows: DataFrame) -> np.ndarray:
@@ -95,7 +107,7 @@ def common_ngrams(rows: DataFrame) -> np.ndarray:
     return top.orderBy("n", "sid").toArrow().column("sid").to_numpy().view(np.uint64)
 
 
-def prefixes(docs: DataFrame, last: np.ndarray, size: int, percent: int) -> DataFrame:
+def prefixes(docs: DataFrame, last: np.ndarray, size: int, percent: int, shared: frozenset[int]) -> DataFrame:
     """(gram, sid, n): the part of the incidence matrix that a linked pair must share a column of."""
     by_value = np.argsort(last)
     sent = docs.sparkSession.sparkContext.broadcast((last[by_value], by_value))
@@ -105,7 +117,7 @@ def prefixes(docs: DataFrame, last: np.ndarray, size: int, percent: int) -> Data
         codes, grams, sids, ns, seen = WordCodes(), [], [], [], set()
         for data in binary(batch.column(0)):
             s = shingle_set(data, codes, size)
-            n, sid = len(s), signed(set_name(s))
+            n, sid = len(s), set_name(s, shared)
             if not n or sid in seen:
                 continue
             seen.add(sid)
@@ -162,7 +174,7 @@ def products(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.filter((most >= bound) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)).select("a", "b")
 
 
-def full_rows(wanted: DataFrame, docs: DataFrame, names: DataFrame, size: int) -> DataFrame:
+def full_rows(wanted: DataFrame, docs: DataFrame, names: DataFrame, size: int, shared: frozenset[int]) -> DataFrame:
     """(sid, n, row: the sorted n-grams as bytes) of the wanted sids and a few others, from the documents that name them; a bit set picks those."""
     ids = stage(names.join(wanted, "sid").select("doc_id", "sid"), "candidates")
     chosen = docs.sparkSession.sparkContext.broadcast(bloom_of(ids.select(F.xxhash64("doc_id").alias("k")), "k", ids.count()))
@@ -172,7 +184,7 @@ def full_rows(wanted: DataFrame, docs: DataFrame, names: DataFrame, size: int) -
         codes, sids, ns, sets, seen = WordCodes(), [], [], [], set()
         for data in binary(batch.column(1)):
             s = shingle_set(data, codes, size)
-            if (sid := signed(set_name(s))) not in seen:
+            if (sid := set_name(s, shared)) not in seen:
                 seen.add(sid)
                 sids.append(sid)
                 ns.append(len(s))
@@ -211,8 +223,9 @@ def verified(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     return routed.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).mapInArrow(compare, "a long, b long").distinct()
 
 
-def block_product(rows: list[np.ndarray], tiles: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links (positions in rows) that join what was apart: pairs of rows of either tile, or of the one tile there is."""
+def block_product(rows: list[np.ndarray], labels: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links (positions in rows) that join rows of different labels. What ends up in the largest group needn't be looked at row by row: any
+    pair of different groups has a row outside of it."""
     sizes = np.array([len(r) for r in rows])
     grams, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), sizes)
     order = np.argsort(grams, kind="stable")
@@ -221,58 +234,108 @@ def block_product(rows: list[np.ndarray], tiles: np.ndarray, percent: int) -> li
     column = np.empty(len(grams), np.int64)
     column[order] = np.repeat(np.arange(len(ends)), ends - starts)
     held, at = owner[order], np.concatenate([[0], np.cumsum(sizes)])
-    label, links, one = np.arange(len(rows)), [], len(np.unique(tiles)) == 1
-    for r in range(len(rows)):
+    label, links, done = np.unique(labels, return_inverse=True)[1], [], np.zeros(len(rows), bool)
+    while len(left := np.flatnonzero(~done & (label != np.bincount(label).argmax()))):
+        r = left[0]
+        done[r] = True
         c = column[at[r] : at[r + 1]]
         c = c[ends[c] - starts[c] > 1]
         width = ends[c] - starts[c]
         places = np.repeat(starts[c] - np.concatenate([[0], np.cumsum(width)[:-1]]) if len(c) else starts[:0], width) + np.arange(width.sum())
         counts = np.bincount(held[places], minlength=len(rows))
         linked = (100 * counts >= percent * (sizes + sizes[r] - counts)) & (label != label[r])
-        if not one:
-            linked &= tiles != tiles[r]
         for x in np.flatnonzero(linked):
             if label[x] != label[r]:
-                links.append((r, int(x)))
+                links.append((int(r), int(x)))
                 label[label == label[x]] = label[r]
     return links
 
 
-def multiplied(clusters: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) within the clusters (sid, cluster) that join what was apart, block by block."""
-    rows = rows.join(clusters, "sid")
-    tiles = rows.groupBy("cluster").agg(F.ceil(F.sum("n") / TILE).alias("tiles"))
-    rows = rows.join(tiles, "cluster").withColumn("tile", F.pmod(F.xxhash64("sid", F.lit("tile")), "tiles"))
-    rows = rows.withColumn("other", F.explode(F.expr("sequence(0L, tiles - 1)")))
-    rows = rows.select("cluster", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "sid", "row")
+def multiplied(routes: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of blocks (i, j): routes (sid, label, i, j) say which rows meet in which."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, sids, tile, block = None, [], [], []
+        now, sids, labels, block = None, [], [], []
 
         def done() -> pa.RecordBatch:
-            links = block_product(block, np.array(tile), percent) if len(block) > 1 else []
+            links = block_product(block, np.array(labels), percent) if len(block) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([sids[k[i]] for k in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            cols = [batch.column(k).to_pylist() for k in ("cluster", "i", "j", "tile", "sid")]
-            for k, (*key, t, sid) in enumerate(zip(*cols, strict=True)):
-                if key != now:
+            cols = [batch.column(k).to_pylist() for k in ("i", "j", "label", "sid")]
+            for k, (i, j, label, sid) in enumerate(zip(*cols, strict=True)):
+                if (i, j) != now:
                     yield done()
-                    now, sids, tile, block = key, [], [], []
+                    now, sids, labels, block = (i, j), [], [], []
                 sids.append(sid)
-                tile.append(t)
+                labels.append(label)
                 block.append(np.frombuffer(batch.column("row")[k].as_buffer(), np.uint64).copy())
         yield done()
 
-    return rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(run, "a long, b long")
-
-
-def labelled_sets(docs: DataFrame, size: int, percent: int, *more: Column) -> DataFrame:
-    """(doc_id, n, more, label), one row for each row of docs: rows of a component share a label, rows without words have none."""
+    met = rows.select("sid", "row").join(routes.hint("merge"), "sid").select("i", "j", "label", "sid", "row")
+    return met.repartition("i", "j").sortWithinPartitions("i", "j").mapInArrow(run, "a long, b long")
+
+
+def cluster_links(clusters: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) within the clusters (sid, cluster) that join what was apart.
+
+    Parts (gid) are clusters by size, in steps a little wider than the threshold's ratio: links are within a part or between neighbours."""
+    step = math.log(100 / percent) * 1.001
+    members = rows.select("sid", "n").distinct().join(clusters, "sid").withColumn("band", F.floor(F.log("n") / step))
+    members = stage(members.withColumn("gid", F.xxhash64("cluster", "band")), "members")
+    tiles = lambda n: F.ceil(n / TILE)
+    parts = stage(members.groupBy("gid").agg(F.count("*").alias("n"), tiles(F.sum("n")).alias("tiles")), "parts")
+    hot = hot_keys(parts, "gid")
+    tile = F.pmod(F.xxhash64("sid", F.lit("tile")), "tiles")
+    hub = spread_join(members, parts.select("gid", "tiles"), "gid", hot).withColumn("tile", tile)
+    meets = F.when(F.col("tile") == 0, F.expr("sequence(0L, tiles - 1)")).otherwise(F.array("tile"))
+    first = stage(multiplied(hub.select("sid", F.col("sid").alias("label"), F.col("gid").alias("i"), F.explode(meets).alias("j")), rows, percent), "links")
+
+    found = components(first).withColumnRenamed("node", "sid")
+    members = stage(members.join(found, "sid", "left").withColumn("label", F.coalesce("label", "sid")), "labelled")
+    sums = members.groupBy("gid", "cluster", "band", "label").agg(F.sum("n").alias("n"))
+    mains = sums.groupBy("gid", "cluster", "band").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n"))
+    mains = stage(mains.select("gid", "cluster", "band", F.col("most.label").alias("main"), F.array(F.col("n") - F.col("most.n"), F.col("most.n")).alias("sizes"), tiles(F.col("n")).alias("whole")), "mains")
+    halves = mains.select("gid", "cluster", "band", "main", "whole", F.posexplode("sizes").alias("kind", "n")).filter("n > 0").withColumn("tiles", tiles(F.col("n")))
+    own, other = (halves.select(*(F.col(c).alias(f"{c}{k}") for c in halves.columns)) for k in ("", "_o"))
+    near = (F.col("cluster") == F.col("cluster_o")) & (F.abs(F.col("band") - F.col("band_o")) <= 1)
+    both = (F.col("kind") == 1) & (F.col("kind_o") == 1) & (F.col("main") == F.col("main_o"))
+    settled = (F.col("gid") == F.col("gid_o")) & (F.col("whole") == 1)
+    partners = own.join(other, near & ~both & ~settled).groupBy("gid", "kind", "tiles").agg(F.collect_list(F.struct("gid_o", "kind_o", "tiles_o")).alias("others"))  # 6 at most
+    partners = stage(partners.select(F.xxhash64("gid", "kind").alias("half"), "tiles", "others"), "partners")
+    if not partners.head(1):
+        return edges_of(found).unionByName(first.limit(0))
+    rest = spread_join(members, mains.select("gid", "main"), "gid", hot).withColumn("kind", (F.col("label") == F.col("main")).cast("int"))
+    rest = stage(rest.select("sid", "label", "gid", "kind", F.xxhash64("gid", "kind").alias("half")), "halves")
+    rest = spread_join(rest, partners, "half", hot_keys(rest.groupBy("half").agg(F.count("*").alias("n")), "half")).filter("others is not null")
+    mine = F.xxhash64("gid", "kind", tile)
+    rest = rest.select("sid", "label", mine.alias("mine"), F.inline("others"))
+    rest = rest.select("sid", "label", "mine", "gid_o", "kind_o", F.explode(F.expr("sequence(0L, tiles_o - 1)")).alias("tile_o")).withColumn("theirs", F.xxhash64("gid_o", "kind_o", "tile_o"))
+    rest = rest.select("sid", "label", F.least("mine", "theirs").alias("i"), F.greatest("mine", "theirs").alias("j")).distinct()
+    return edges_of(found).unionByName(multiplied(rest, rows, percent))
+
+
+def edges_of(labels: DataFrame) -> DataFrame:
+    return labels.select(F.col("sid").alias("a"), F.col("label").alias("b")).filter("a <> b")
+
+
+def labelled_sets(docs: DataFrame, size: int, percent: int, *more: Column) -> tuple[DataFrame, DataFrame, list[int]]:
+    """Staged tables: (doc_id, n, sid, more) of every row of docs; (sid, doc_id, copies, label) of each set that has words, with its least doc_id and
+    its component's label; and the sids that very many rows have."""
     described_ = described(docs, size, *more)
     sets = described_.filter("kind = 0").drop("kind")
-    names = sets.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
-    part = stage(shared_columns(prefixes(docs, common_ngrams(described_), size, percent)), "columns")
+
+    def named(sets: DataFrame) -> DataFrame:
+        return stage(sets.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.min("other").alias("low"), F.max("other").alias("high")), "names")
+
+    names = named(sets)
+    #: Different sets of one 64-bit name: of n sets about n^2 / 2^65.
+    shared = frozenset(r["sid"] for r in names.filter("low <> high").select("sid").collect())
+    if shared:
+        sets = sets.withColumn("sid", F.when(F.col("sid").isin(*shared), F.col("other")).otherwise(F.col("sid")))
+        names = named(sets)
+    sets = sets.drop("other")
+    part = stage(shared_columns(prefixes(docs, common_ngrams(described_), size, percent, shared)), "columns")
 
     columns = part.groupBy("gram").agg(F.count("*").alias("rows"), F.min("sid").alias("lead"))
     dense = part.join(columns.filter(F.col("rows") >= DENSE), "gram")
@@ -284,17 +347,19 @@ def labelled_sets(docs: DataFrame, size: int, percent: int, *more: Column) -> Da
     pairs = stage(products(left.join(right, "gram").filter(apart).select("a", "na", "b", "nb"), percent), "pairs")
 
     wanted = clusters.select("sid").unionByName(pairs.select(F.col("a").alias("sid"))).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-    rows = full_rows(wanted, docs, names, size)
-    labels = components(verified(pairs, rows, percent).unionByName(multiplied(clusters, rows, percent)))
-    label = F.when(F.col("n") > 0, F.coalesce("label", "sid")).alias("label")
-    return sets.join(labels, sets["sid"] == labels["node"], "left").select(*(c for c in sets.columns if c != "sid"), label)
+    rows = full_rows(wanted, docs, names, size, shared)
+    labels = components(verified(pairs, rows, percent).unionByName(cluster_links(clusters, rows, percent)))
+    names = names.select("sid", "doc_id", F.col("n").alias("copies")).join(labels.withColumnRenamed("node", "sid"), "sid", "left")
+    names = stage(names.withColumn("label", F.coalesce("label", "sid")), "named")
+    return sets, names, hot_keys(names.withColumnRenamed("copies", "n"), "sid")
 
 
 def jaccard_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row for each row of docs."""
-    sets = labelled_sets(docs, size, percent)
-    ids = sets.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return sets.join(ids, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    sets, names, hot = labelled_sets(docs, size, percent)
+    ids = stage(names.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")), "ids")
+    names = stage(spread_join(names.select("sid", "label"), ids.select("label", "component_id"), "label", hot_keys(ids, "label")).select("sid", "component_id"), "component-ids")
+    return spread_join(sets, names, "sid", hot).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -302,10 +367,12 @@ def drop_near_copies(docs: DataFrame, size: int = SHINGLE, percent: int = PERCEN
 
     Rows are named by doc_id and text hash; where the chosen name repeats, one of its rows stays. Rows without words all stay."""
     th, d, t = spare(docs, "th", "d", "t")
-    keys = labelled_sets(docs, size, percent, text_hash("text").alias("text_hash")).filter("label is not null").groupBy("label", "doc_id", "text_hash").agg(F.count("*").alias("copies"))
+    sets, names, hot = labelled_sets(docs, size, percent, text_hash("text").alias("text_hash"))
+    keys = spread_join(sets.filter("n > 0"), names.select("sid", "label"), "sid", hot).groupBy("label", "doc_id", "text_hash").agg(F.count("*").alias("copies"))
+    keys = stage(keys, "keys")
     name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    leads = keys.groupBy("label").agg(F.min(name).alias("lead"))
-    judged = keys.join(leads, "label").withColumn("kept", F.col("lead").eqNullSafe(name)).filter("not kept or copies > 1")
+    leads = stage(keys.groupBy("label").agg(F.min(name).alias("lead"), F.count("*").alias("n")), "leads")
+    judged = spread_join(keys, leads.drop("n"), "label", hot_keys(leads, "label")).withColumn("kept", F.col("lead").eqNullSafe(name)).filter("not kept or copies > 1")
     judged = stage(judged.select(F.col("doc_id").alias(d), F.col("text_hash").alias(t), "kept"), "judged")
     repeated = stage(judged.filter("kept").drop("kept"), "repeated")
 

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftloom.llm import byte_bpe, components, fingerprints, jaccard_join, line_dedup, mixing, quality, ranks, secret_scan, substring_dedup, toxicity, vector_dedup
+from driftloom.llm import byte_bpe, common, components, fingerprints, jaccard_join, line_dedup, mixing, quality, ranks, secret_scan, substring_dedup, toxicity, vector_dedup
 from driftloom.llm.queries import QUERIES, byte_bpe_50k
 from tests.conftest import DATA, rows_of, sql_rows
 
@@ -47,8 +47,6 @@ def test_against_sql(spark, duck, name):
 
 
 def test_staged_tables_can_be_dropped(spark):
-    from driftloom.llm import common
-
     common.stage(spark.range(3), "x")
     path = common._staged[spark.sparkContext.applicationId][-1].removeprefix("file://").removeprefix("file:")
     import os
@@ -139,6 +137,9 @@ def test_jaccard_groups(spark, monkeypatch, dense, tile):
     monkeypatch.setattr(jaccard_join, "TILE", tile)
     rows = near_texts(160) + [(r["doc_id"], r["text"]) for r in edge_docs(spark).select(F.col("doc_id") + 1000, "text").toDF("doc_id", "text").collect()]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
+    if tile == 300:  # every key that three rows have counts as hot
+        monkeypatch.setattr(common, "HOT_ROWS", 2)
+        monkeypatch.setattr(common, "SHARE", 1 << 20)
     got = jaccard_join.jaccard_groups(docs)
     assert sorted((str(a), b, str(c)) for a, b, c in got.collect()) == jaccard_by_hand(rows)
     assert jaccard_join.jaccard_groups(docs.limit(0)).count() == 0
