@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftloom.llm.common import read, stage
+from driftloom.llm.common import aside, read, stage
 from driftloom.llm.jaccard_join import drop_near_copies
 from driftloom.llm.line_dedup import dedup_lines
 from driftloom.llm.mixing import mix_sources
@@ -20,17 +20,35 @@ from driftloom.llm.quality import fit_quality, score_quality
 from driftloom.llm.queries import byte_bpe_50k
 
 
+def _kept(step: Callable[[DataFrame], DataFrame], docs: DataFrame, *names: str, only: Column | None = None) -> DataFrame:
+    """step(docs) with docs' columns and no others; columns of docs that are named like the step's own are put aside meanwhile."""
+    rows, were = aside(docs, *names)
+    rows = step(rows) if only is None else step(rows).filter(only)
+    back = {old: new for new, old in were.items()}
+    return rows.select(*(F.col(f"`{back.get(c, c)}`").alias(c) for c in docs.columns))
+
+
+def good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Documents that a classifier fitted with these labels predicts to be good."""
+    model = fit_quality(docs, labels)
+    return _kept(lambda rows: score_quality(rows, model), docs, "score", "held_out", "predicted", only=F.col("predicted") == 1)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier predicts to be good."""
-    model = fit_quality(docs, read(spark, sf_dir, "labels"))
-    return score_quality(docs, model).filter("predicted = 1").select(*(f"`{c}`" for c in docs.columns))
+    return good(docs, read(spark, sf_dir, "labels"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that many documents repeat; n_chars follows the text."""
-    out = dedup_lines(docs)
-    kept = {"n_chars": F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
-    return out.select(*(kept[c].alias(c) if kept.get(c) is not None else F.col(f"`{c}`") for c in docs.columns))
+
+    def cut(rows: DataFrame) -> DataFrame:
+        out = dedup_lines(rows)
+        if "n_chars" in out.columns:
+            kind = out.schema["n_chars"].dataType
+            out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
+        return out
+
+    return _kept(cut, docs, "n_lines", "n_dropped")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
