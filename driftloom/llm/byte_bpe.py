@@ -1,13 +1,13 @@
 """Byte-level BPE encoding and decoding with the tokenizers library over Arrow batches.
 
 The merges are worked out once on the driver from a rank file (the vocabulary alone bounds its size) and sent as one
-tokenizer definition. Bytes stand as characters in the library's vocabulary by the usual byte table. The pattern always ends a match
+tokenizer definition. Bytes stand as characters in the library's vocabulary by the usual byte table. The known pattern always ends a match
 before a space that follows something else than white space, so texts are cut there: the library encodes every distinct piece of
-a batch once, and a text's ids are its pieces' ids in a row, whatever its length. Decoding takes token bytes by id and joins
-them, so characters that are split over tokens come out whole.
+a batch once, and a text's ids are its pieces' ids in a row, whatever its length; with any other pattern texts are encoded whole. Decoding
+joins the tokens' characters by id and reverses the byte table over them, so characters that are split over tokens come out whole.
 
 Defined cases: null text encodes as empty, no ids; special tokens' strings are ordinary text; null id lists
-decode to empty, ids outside the vocabulary (or null) to U+FFFD. Columns named like the outputs are replaced, others pass through.
+decode to empty, ids outside the vocabulary (or null) to U+FFFD; decoded as text, bytes that are no character are U+FFFD. Columns named like the outputs are replaced, others pass through.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from .common import binary, over_batches, replaced
 
 #: Pieces of a generation that a worker remembers, pieces that the library gets at once, characters whose pieces are looked up together.
 KNOWN, AT_ONCE, SLICE = 3 << 16, 1 << 12, 1 << 19
+#: Fixed value: the pattern whose matches pieces_of() knows not to cut.
+CUT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Texts with white space, in the widest sense, before a space need a closer look.
 LOOSE, LOOSE_END = re.compile(r"^ |[\s\x00-\x20\u200b-\u200f\u2028-\u202f\u180e\ufeff] "), re.compile(r"[\s\x00-\x20\u200b-\u200f\u2028-\u202f\u180e\ufeff]$")
 
@@ -38,6 +40,29 @@ def byte_chars() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
+def chars_of(data: bytes) -> str:
+    """Bytes as the characters that stand for them."""
+    table = byte_chars()
+    return "".join(table[x] for x in data)
+
+
+#: The byte table reversed: the byte of each character below 512.
+BYTE_OF = np.zeros(512, np.uint8)
+for _byte, _char in enumerate(byte_chars()):
+    BYTE_OF[ord(_char)] = _byte
+
+
+def bytes_of(utf8: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Characters of the byte table, as UTF-8 of one or two bytes each, to the bytes that they stand for; and for each byte of UTF-8 how many characters begin before it."""
+    two = utf8 >= 0xC0
+    first = two | (utf8 < 0x80)
+    begin = np.flatnonzero(first)
+    codes = utf8[begin].astype(np.int32)
+    wide = two[begin]
+    codes[wide] = (codes[wide] & 0x1F) << 6 | utf8[begin[wide] + 1] & 0x3F
+    return BYTE_OF[codes], np.concatenate([[0], np.cumsum(first)])
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(None, map(bytes.strip, f)))}
@@ -57,10 +82,8 @@ def last_merge(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes] | N
 def tokenizer_json(ranks: dict[bytes, int], pattern: str) -> str:
     from tokenizers import Regex, Tokenizer, decoders, models, pre_tokenizers
 
-    table = byte_chars()
-    chars = lambda b: "".join(table[x] for x in b)
-    merges = [tuple(map(chars, m)) for t, _ in sorted(ranks.items(), key=lambda x: x[1]) if len(t) > 1 and (m := last_merge(t, ranks))]
-    made = Tokenizer(models.BPE(vocab={chars(t): r for t, r in ranks.items()}, merges=merges, ignore_merges=True))
+    merges = [tuple(map(chars_of, m)) for t, _ in sorted(ranks.items(), key=lambda x: x[1]) if len(t) > 1 and (m := last_merge(t, ranks))]
+    made = Tokenizer(models.BPE(vocab={chars_of(t): r for t, r in ranks.items()}, merges=merges, ignore_merges=True))
     made.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
     made.decoder = decoders.ByteLevel()
     return made.to_str()
@@ -69,7 +92,8 @@ def tokenizer_json(ranks: dict[bytes, int], pattern: str) -> str:
 class Encoder:
     """The library's tokenizer with a bounded memory of pieces (two generations of KNOWN); a worker makes its own."""
 
-    def __init__(self, definition: str):
+    def __init__(self, definition: str, cut: bool = True):
+        self.pieces = pieces_of if cut else lambda text: [text]
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one worker for each core
         from tokenizers import Tokenizer
 
@@ -87,7 +111,7 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > KNOWN:
             self.known, self.older = {}, self.known
-        known, older, cut = self.known, self.older, [pieces_of(t) for t in texts]
+        known, older, cut = self.known, self.older, [self.pieces(t) for t in texts]
         new = []
         for piece in set().union(*cut).difference(known):
             if piece in older:
@@ -132,20 +156,21 @@ class ByteBpe:
 
     def __init__(self, path: str, pattern: str):
         ranks = load_ranks(path)
-        self.definition = tokenizer_json(ranks, pattern)
-        self.tokens = [b"\xef\xbf\xbd"] * (max(ranks.values(), default=-1) + 2)  # the last stands for unknown ids
+        self.definition, self.cut = tokenizer_json(ranks, pattern), pattern == CUT_PATTERN
+        self.sizes = np.full(max(ranks.values(), default=-1) + 2, 3, np.int64)  # bytes of each token; the last stands for unknown ids
+        self.tokens = [chars_of(b"\xef\xbf\xbd")] * len(self.sizes)  # as the vocabulary has them
         for token, rank in ranks.items():
-            self.tokens[rank] = token
+            self.tokens[rank], self.sizes[rank] = chars_of(token), len(token)
 
     def _encoding(self, spark: SparkSession, schema: T.StructType) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        sent = spark.sparkContext.broadcast((self.definition, np.array([len(t) for t in self.tokens], np.int64)))
+        sent = spark.sparkContext.broadcast((self.definition, self.cut, self.sizes))
         made: list[Encoder] = []
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             data = binary(batch.column("text"))
-            definition, sizes = sent.value
+            definition, cut, sizes = sent.value
             if not made:
-                made.append(Encoder(definition))
+                made.append(Encoder(definition, cut))
             ids = made[0].encode([d.decode("utf-8", "replace") for d in data])
             new = {"ids": lists(ids, pa.int32())}
             if "starts" in schema.names:
@@ -154,21 +179,26 @@ class ByteBpe:
 
         return run
 
-    def _decoding(self, spark: SparkSession, schema: T.StructType) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+    def _decoding(self, spark: SparkSession, schema: T.StructType, text: bool = False) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         sent = spark.sparkContext.broadcast(self.tokens)
         table: list[pa.Array] = []
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             if not table:
-                table.append(pa.array(sent.value, pa.binary()))
+                table.append(pa.array(sent.value, pa.string()))
             column, last = batch.column("ids"), len(table[0]) - 1
             ends = np.cumsum(np.concatenate([[0], column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)])).astype(np.int64)
             ids = column.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
             ids = np.where((ids < 0) | (ids >= last), last, ids)
-            joined = table[0].take(pa.array(ids, pa.int32()))
-            at = np.frombuffer(joined.buffers()[1], np.int32)[: len(ids) + 1][ends] if len(ids) else np.zeros(len(ends), np.int32)
-            data = joined.buffers()[2] if len(ids) else pa.py_buffer(b"")
-            decoded = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(np.ascontiguousarray(at, np.int32)), data])
+            decoded = pa.array([b""] * batch.num_rows, pa.binary())
+            if len(ids):
+                joined = table[0].take(pa.array(ids, pa.int32()))
+                offsets = np.frombuffer(joined.buffers()[1], np.int32)[: len(ids) + 1]
+                data, before = bytes_of(np.frombuffer(joined.buffers()[2], np.uint8)[: offsets[-1]])
+                at = before[offsets[ends]].astype(np.int32)
+                decoded = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(at), pa.py_buffer(data)])
+            if text:
+                decoded = pa.array([d.decode("utf-8", "replace") for d in decoded.to_pylist()], pa.string())
             return pa.RecordBatch.from_arrays([decoded if n == "decoded" else batch.column(n) for n in schema.names], names=schema.names)
 
         return run
@@ -187,10 +217,10 @@ class ByteBpe:
         schema = self._schema(docs, offsets)
         return over_batches(self._without(docs, schema, "ids", *["starts"] * offsets), self._encoding(docs.sparkSession, schema), schema)
 
-    def decode(self, rows: DataFrame) -> DataFrame:
-        """rows (with ids) with decoded binary: the exact bytes."""
-        schema = replaced(rows, decoded=T.BinaryType())
-        return over_batches(self._without(rows, schema, "decoded"), self._decoding(rows.sparkSession, schema), schema)
+    def decode(self, rows: DataFrame, text: bool = False) -> DataFrame:
+        """rows (with ids) with decoded binary: the exact bytes; or as text."""
+        schema = replaced(rows, decoded=T.StringType() if text else T.BinaryType())
+        return over_batches(self._without(rows, schema, "decoded"), self._decoding(rows.sparkSession, schema, text), schema)
 
     def round_trip(self, docs: DataFrame, offsets: bool = False) -> DataFrame:
         """decode(encode(docs)) in one pass: a batch goes through both in the same worker."""

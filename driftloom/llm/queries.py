@@ -70,9 +70,9 @@ def byte_bpe_50k() -> ByteBpe:
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = byte_bpe_50k().round_trip(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = byte_bpe_50k().round_trip(read(spark, sf_dir, "documents").select("doc_id", "text"), True)
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), F.xxhash64("starts").alias("starts_hash"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
