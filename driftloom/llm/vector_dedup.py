@@ -5,12 +5,15 @@ vectors collide on a projection if either lies in the window of half width `reac
 threshold the number of collisions is nearly binomial; the count that a pair must have is the largest that such a pair reaches with probability
 RECALL, closer pairs reach it more often. Pairs with the count are verified by their cosine in double precision.
 
-Sorting by the first projection deals the vectors into tiles of TILE ranks; pairs of tiles further apart than any link can be are skipped, each
-other pair of tiles is one unit of work. In it every projection of one tile is sorted; a query's window is a range of that order, its
+Sorting by the first projection deals the vectors into tiles of TILE ranks; pairs of tiles further apart than any link can be are skipped.
+STRIPS neighbouring tiles, fewer where there are few, make a strip, and each pair of strips is one unit of work that takes its pairs of tiles one
+after another. In them every projection of one tile is sorted; a query's window is a range of that order, its
 members are the difference of two prefix bit sets, and bit-sliced counters add up the collisions of all queries with all members at once.
 A unit emits each vector's number of links and those links that join something, so that groups of near copies give no rows for their pairs.
 
-The units grow with the square of the vectors, less the skipped ones; bounds of tiles (one row for each TILE vectors) are read by the driver.
+The work grows with the square of the vectors, less the pairs of tiles that are skipped, whatever the plan, as a window of a pair at the threshold holds a fixed share of
+all vectors on each projection; a vector is sent once for each strip that its own meets. The driver reads the bounds of the tiles (one row for each
+TILE vectors) and gives each strip the range of its partners.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and rows without vec_id, link with nothing; vectors of
 different dimensions don't either; repeated rows and equal vectors link with each other. Other columns are left out.
@@ -27,11 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, stage
+from .common import bounded_batches, hot_keys, spread_join, stage
 from .components import components
 from .ranks import ranked
 
 COSINE, PROJECTIONS, RECALL, TILE = 0.9, 32, 0.995, 8192
+#: Most tiles of a strip and bytes of its vectors; strips that there are at least before they grow.
+STRIPS, STRIP_BYTES, LEAST_STRIPS = 16, 32 << 20, 64
 #: Half width of a window in standard deviations of the difference of a pair at the threshold.
 WIDTH = 1.0
 
@@ -124,17 +129,22 @@ def linked(vectors: DataFrame, cosine: float) -> DataFrame:
     rows = stage(rows.withColumn("tile", F.expr(f"(place - 1) div {TILE}")), "tiles")
     #: However the other directions fall, a pair further apart than this on one is further apart than any link.
     far = math.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-6
-    spans = rows.groupBy("dim", "tile").agg(F.min("value").alias("lo"), F.max("value").alias("hi")).orderBy("dim", "tile").collect()
-    partners = []
-    for k, s in enumerate(spans):
-        last = k
-        while last + 1 < len(spans) and spans[last + 1]["dim"] == s["dim"] and spans[last + 1]["lo"] <= s["hi"] + far:
-            last += 1
-        partners += [(s["dim"], s["tile"], s["tile"], spans[m]["tile"]) for m in range(k, last + 1)]
-        partners += [(s["dim"], spans[m]["tile"], s["tile"], spans[m]["tile"]) for m in range(k + 1, last + 1)]
-    plan = vectors.sparkSession.createDataFrame(partners, "dim int, tile long, i long, j long")
+    spans = rows.groupBy("dim", "tile").agg(F.min("value").alias("lo"), F.max("value").alias("hi")).orderBy("dim", "tile").toPandas()
+    plan, bounds = [], {}
+    for d, s in spans.groupby("dim"):
+        d, lo, hi = int(d), s["lo"].to_numpy(), s["hi"].to_numpy()  # both ascend
+        wide = int(max(1, min(STRIPS, STRIP_BYTES // (8 * d * TILE), len(s) // LEAST_STRIPS)))
+        bounds[d] = (wide, lo, hi)
+        lo, hi = lo[::wide], np.append(hi[wide - 1 :: wide], hi[-1:])[: len(lo[::wide])]
+        plan += [(d, k, int(a), int(b)) for k, (a, b) in enumerate(zip(np.searchsorted(hi, lo - far), np.searchsorted(lo, hi + far, "right") - 1, strict=True))]
+    plan = vectors.sparkSession.createDataFrame(plan, "dim int, strip long, first long, last long")
+    strips = F.lit(1).cast("long")
+    for d, (wide, _, _) in bounds.items():
+        strips = F.when(F.col("dim") == d, F.lit(wide).cast("long")).otherwise(strips)
     sent = F.col("embedding") if rows.schema["embedding"].dataType.elementType == T.FloatType() else F.col("embedding").cast("array<double>")  # floats become doubles where they are used
-    dealt = rows.select("dim", "tile", "vh", "copies", sent.alias("embedding")).join(plan, ["dim", "tile"])
+    dealt = rows.select("dim", "tile", F.expr("tile").alias("strip"), "vh", "copies", sent.alias("embedding")).withColumn("strip", F.floor(F.col("tile") / strips))
+    dealt = dealt.join(plan, ["dim", "strip"]).withColumn("other", F.explode(F.expr("sequence(first, last)")))
+    dealt = dealt.select("dim", F.least("strip", "other").alias("i"), F.greatest("strip", "other").alias("j"), "tile", "vh", "copies", "embedding")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts = None, []
@@ -143,18 +153,22 @@ def linked(vectors: DataFrame, cosine: float) -> DataFrame:
             kind, a, b = [], [], []
             if parts:
                 table = pa.Table.from_batches(parts)
+                dim, i, j = now
+                wide, lo, hi = bounds[dim]
                 tile, vh, copies = (table.column(k).to_numpy() for k in ("tile", "vh", "copies"))
                 x = unit_rows(table.column("embedding").combine_chunks().flatten().to_numpy().astype(np.float64).reshape(len(tile), -1))
-                mine = tile == now[1]
-                two = now[1] != now[2]
-                la, lb, joins = unit(x[mine], x[~mine] if two else None, copies[mine], copies[~mine] if two else copies[mine], cosine)
-                va, vb = vh[mine], vh[~mine] if two else vh[mine]
-                for v, n in ((va, la), (vb, lb)):
-                    a += v[n > 0].tolist()
-                    b += n[n > 0].tolist()
-                kind = [0] * len(a) + [1] * len(joins)
-                a += [int(va[s]) for s, _ in joins]
-                b += [int(vb[t]) for _, t in joins]
+                links, at = np.zeros(len(tile), np.int64), {t: np.flatnonzero(tile == t) for t in np.unique(tile).tolist()}
+                for t in (t for t in at if t // wide == i):
+                    for u in (u for u in at if u // wide == j and u >= t and lo[u] <= hi[t] + far):
+                        p, q = at[t], at[u]
+                        la, lb, joins = unit(x[p], x[q] if u != t else None, copies[p], copies[q], cosine)
+                        links[p] += la
+                        links[q] += lb
+                        a += vh[p[[s for s, _ in joins]]].tolist() if joins else []
+                        b += vh[q[[s for _, s in joins]]].tolist() if joins else []
+                some = np.flatnonzero(links)
+                kind = [1] * len(a) + [0] * len(some)
+                a, b = a + vh[some].tolist(), b + links[some].tolist()
             return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["kind", "a", "b"])
 
         for batch in batches:
@@ -169,14 +183,19 @@ def linked(vectors: DataFrame, cosine: float) -> DataFrame:
         yield done()
 
     bounded_batches(vectors.sparkSession)
-    units = max(1, len({(d, i, j) for d, _, i, j in partners}))
-    return dealt.repartition(min(units, 20000), "dim", "i", "j").sortWithinPartitions("dim", "i", "j").mapInArrow(run, "kind int, a long, b long")
+    units = plan.agg(F.coalesce(F.sum(F.col("last") - F.col("strip") + 1), F.lit(1)).alias("n")).first()["n"]
+    return dealt.repartition(max(1, min(units, 20000)), "dim", "i", "j").sortWithinPartitions("dim", "i", "j").mapInArrow(run, "kind int, a long, b long")
 
 
 def vector_groups(table: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row for each row of table (vec_id, embedding)."""
     fine = F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    rows = table.select("vec_id", "embedding").withColumn("vh", F.when(F.coalesce(fine, F.lit(False)), F.xxhash64("embedding", F.size("embedding"))))
+    fine = F.coalesce(fine, F.lit(False))
+    #: A vector is named by 64 bits of hash; where two share a name (of n about n^2 / 2^65 do), by 64 others.
+    rows = table.select("vec_id", "embedding").withColumn("vh", F.when(fine, F.xxhash64("embedding", F.size("embedding")))).withColumn("other", F.when(fine, F.xxhash64(F.lit("other"), "embedding", F.size("embedding"))))
+    named = rows.groupBy("vh").agg(F.min("other").alias("low"), F.max("other").alias("high")).filter("vh is not null and low <> high")
+    if shared := [r["vh"] for r in named.select("vh").collect()]:
+        rows = rows.withColumn("vh", F.when(F.col("vh").isin(shared), F.col("other")).otherwise(F.col("vh")))
     ids = stage(rows.select("vec_id", "vh"), "vectors")
     distinct = rows.filter("vh is not null").groupBy("vh").agg(F.first("embedding").alias("embedding"), F.count("*").alias("copies")).withColumn("dim", F.size("embedding"))
     links = stage(linked(stage(distinct, "distinct"), cosine), "links")
@@ -184,8 +203,10 @@ def vector_groups(table: DataFrame, cosine: float = COSINE) -> DataFrame:
     labels = components(links.filter("kind = 1").select("a", "b")).select(F.col("node").alias("vh"), "label")
     groups = ids.filter("vh is not null").groupBy("vh").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
     groups = groups.join(counts, "vh", "left").join(labels, "vh", "left").withColumn("label", F.coalesce("label", "vh"))
-    least = groups.groupBy("label").agg(F.min("least").alias("component_id"))
-    groups = groups.join(least, "label").select("vh", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
-    out = ids.join(groups, "vh", "left")
+    groups = stage(groups, "groups")
+    least = stage(groups.groupBy("label").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "least")
+    named = stage(spread_join(groups, least.drop("n"), "label", hot_keys(least, "label")).select("vh", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id"), "named")
+    out = spread_join(ids.filter("vh is not null"), named, "vh", hot_keys(groups.withColumnRenamed("copies", "n"), "vh"))
+    out = out.unionByName(ids.filter("vh is null").withColumns({"n_links": F.lit(0).cast("long"), "component_id": F.lit(None).cast(ids.schema["vec_id"].dataType)}))
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").cast("long").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
