@@ -359,7 +359,8 @@ def jaccard_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT)
     sets, names, hot = labelled_sets(docs, size, percent)
     ids = stage(names.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")), "ids")
     names = stage(spread_join(names.select("sid", "label"), ids.select("label", "component_id"), "label", hot_keys(ids, "label")).select("sid", "component_id"), "component-ids")
-    return spread_join(sets, names, "sid", hot).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    rows = spread_join(sets.filter("n > 0"), names, "sid", hot).unionByName(sets.filter("n = 0").withColumn("component_id", F.col("doc_id")))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

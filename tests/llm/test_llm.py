@@ -72,8 +72,9 @@ def lines_by_hand(docs):
     return sorted(out)
 
 
-@pytest.mark.parametrize("index_bytes", [line_dedup.INDEX_BYTES, -1])
-def test_lines_by_broadcast_and_by_shuffle(spark, index_bytes):
+@pytest.mark.parametrize("index_bytes,probes", [(line_dedup.INDEX_BYTES, line_dedup.PROBES), (-1, line_dedup.PROBES), (-1, 3)])
+def test_lines_by_broadcast_and_by_shuffle(spark, monkeypatch, index_bytes, probes):
+    monkeypatch.setattr(line_dedup, "PROBES", probes)
     docs = edge_docs(spark)
     got = line_dedup.dedup_lines(docs, index_bytes=index_bytes)
     assert sorted((str(r["doc_id"]), r["n_lines"], r["text"]) for r in got.collect()) == lines_by_hand([(r["doc_id"], r["text"]) for r in docs.collect()])
@@ -86,8 +87,11 @@ def test_a_perfect_hash_finds_its_keys_only():
     h, fp = rng.integers(0, 2**64, (2, 5000), dtype=np.uint64)
     shard = line_dedup.Shard.load(line_dedup.Shard(h, fp, np.arange(1, 5001), np.arange(5000)).dump())
     n, keeper = shard.probe(h, fp)
-    assert (n == np.arange(1, 5001)).all() and (keeper == np.arange(5000)).all()
-    assert not shard.probe(rng.integers(0, 2**64, 5000, dtype=np.uint64), fp)[0].any() and not shard.probe(h, fp + np.uint64(1))[0].any()
+    assert (n == np.minimum(np.arange(1, 5001), line_dedup.SATURATED)).all() and (keeper == np.arange(5000)).all()
+    assert not shard.probe(*rng.integers(0, 2**64, (2, 5000), dtype=np.uint64))[0].any() and not shard.probe(h, fp + np.uint64(1))[0].any()
+    same = line_dedup.Shard(np.full(3, 7, np.uint64), np.array([1, 2, 3], np.uint64), np.array([2, 300, 9]), np.array([-(2**63), 5, 2**63 - 1]))
+    n, keeper = line_dedup.Shard.load(same.dump()).probe(np.full(4, 7, np.uint64), np.array([3, 2, 1, 4], np.uint64))  # equal low halves are different keys
+    assert n.tolist() == [9, line_dedup.SATURATED, 2, 0] and keeper.tolist()[:3] == [2**63 - 1, 5, -(2**63)] and shard.n.dtype == np.uint8 and shard.keeper.dtype == np.uint16
     assert not line_dedup.Shard(*(np.zeros(0, t) for t in (np.uint64, np.uint64, int, int))).probe(h, fp)[0].any()
 
 
@@ -229,8 +233,11 @@ def test_classifiers_at_the_edges(spark):
 # Embeddings
 
 
-def test_vectors_against_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("strips", [64, 1])
+def test_vectors_against_brute_force(spark, monkeypatch, strips):
     monkeypatch.setattr(vector_dedup, "TILE", 64)
+    monkeypatch.setattr(vector_dedup, "LEAST_STRIPS", strips)
+    monkeypatch.setattr(common, "HOT_ROWS", strips)
     rng = np.random.default_rng(2)
     base = rng.standard_normal((40, 16))
     x = np.concatenate([base, base[:20] + 0.08 * rng.standard_normal((20, 16)), np.repeat(base[:1], 30, 0) + 0.05 * rng.standard_normal((30, 16)), base[5:6], 2 * base[5:6], rng.standard_normal((150, 16))])
@@ -250,6 +257,20 @@ def test_vectors_against_brute_force(spark, monkeypatch):
     assert got.count() == df.count() and vector_dedup.vector_groups(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("dim", [2, 16, 64, 384])
+def test_recall_at_the_threshold(dim):
+    """Pairs whose cosine is just above 0.9, the hardest there are."""
+    rng = np.random.default_rng(dim)
+    a, noise = rng.standard_normal((2, 2000, dim))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    noise -= (noise * a).sum(1)[:, None] * a
+    noise /= np.linalg.norm(noise, axis=1)[:, None]
+    b = 0.9000001 * a + np.sqrt(1 - 0.9000001**2) * noise
+    to, reach = vector_dedup.directions(dim).T, vector_dedup.WIDTH * np.sqrt(0.2 / dim) + 1e-9
+    found = (np.abs(a @ to - b @ to) <= reach).sum(1) >= vector_dedup.count_needed(0.9)
+    assert found.mean() >= 0.98
+
+
 def test_collision_counts_are_exact():
     rng = np.random.default_rng(4)
     a, b = rng.standard_normal((90, vector_dedup.PROJECTIONS)), rng.standard_normal((130, vector_dedup.PROJECTIONS))
@@ -387,12 +408,27 @@ def test_fingerprint_edge_cases(spark):
 # Byte-level BPE
 
 
-def test_tokens_equal_the_reference_encoder(spark):
+def plain_tokenizer():
     import public_tokenizers as P
     import tiktoken
 
     ranks_ = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
-    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks_, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks_, special_tokens={})
+
+
+def test_other_patterns_see_whole_texts(spark):
+    import public_tokenizers as P
+
+    whole = byte_bpe.ByteBpe(P.path("byte_bpe_50k.tiktoken"), r"[a-z ]+|[^a-z ]+")
+    docs = spark.createDataFrame([("in the house THE",), ("a b c",)], "text string")
+    got = {r["text"]: (r["ids"], r["decoded"]) for r in whole.round_trip(docs).collect()}
+    assert not whole.cut and byte_bpe_50k().cut and all(bytes(d).decode() == t for t, (_, d) in got.items())
+    known = whole.encode(spark.createDataFrame([("in the house ",), ("THE",)], "text string")).collect()
+    assert got["in the house THE"][0] == [i for r in sorted(known, key=lambda r: r["text"] == "THE") for i in r["ids"]]
+
+
+def test_tokens_equal_the_reference_encoder(spark):
+    own = plain_tokenizer()
     rng = random.Random(1)
     alphabet = "abc XYZ 12 \n\t 's 't're  éßñ漢字🙂́  'll!?.,--<|endoftext|>\x1c\x85     ᠎\x00"
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 120))) for _ in range(400)]
@@ -403,12 +439,17 @@ def test_tokens_equal_the_reference_encoder(spark):
     for r in rows:
         text = r["text"] or ""
         assert list(r["ids"]) == own.encode_ordinary(text) and bytes(r["decoded"]).decode() == text
-        data, at = [bpe.tokens[i] for i in r["ids"]], 0
-        for token, start in zip(data, r["starts"], strict=True):
+        at = 0
+        for i, start in zip(r["ids"], r["starts"], strict=True):
             assert len(text[:start].encode()) <= at < len(text[: start + 1].encode())
-            at += len(token)
+            at += int(bpe.sizes[i])
     odd = spark.createDataFrame([(None,), ([],), ([-1, 10**6],), ([None, 64],)], "ids array<int>")
-    assert [bytes(r["decoded"]) for r in bpe.decode(odd).collect()] == [b"", b"", "��".encode(), b"\xef\xbf\xbd" + bpe.tokens[64]]
+    assert [bytes(r["decoded"]) for r in bpe.decode(odd).collect()] == [b"", b"", "��".encode(), b"\xef\xbf\xbd" + own.decode_bytes([64])]
+    split = [[i] for i in own.encode_ordinary("🙂漢")]  # characters over several tokens: whole together, replaced apart
+    parts = spark.createDataFrame([(s,) for s in [[i for s in split for i in s], *split]], "ids array<int>")
+    assert [r["decoded"] for r in bpe.decode(parts, text=True).collect()] == ["🙂漢", *(own.decode_bytes(s).decode("utf-8", "replace") for s in split)]
+    clash = docs.limit(5).withColumns({"starts": F.lit("x"), "DECODED": F.lit(1)})
+    assert bpe.round_trip(clash, True).columns.count("starts") == 1 and "DECODED" not in bpe.round_trip(clash).columns
     assert bpe.encode(docs.limit(0)).count() == 0
     assert listed(bpe.round_trip(docs), "doc_id", "ids", "decoded") == listed(bpe.decode(bpe.encode(docs, offsets=False)), "doc_id", "ids", "decoded")
 
@@ -450,7 +491,26 @@ def test_pipeline_against_brute_force(spark):
     want = {r["doc_id"]: r["copies"] for r in mixed.collect() if r["copies"]}
     got = corpus_pipeline.run(spark, DATA)
     assert dict(got.groupBy("doc_id").count().collect()) == want and got.filter("not exact").count() == 0
-    bpe = byte_bpe_50k()
-    tok = byte_bpe.Encoder(bpe.definition)
-    for r in got.select("doc_id", "ids").collect()[:50]:
-        assert list(r["ids"]) == tok.encode([left[r["doc_id"]]])[0].tolist()
+    own = plain_tokenizer()
+    for r in got.select("doc_id", "ids", "n_tokens", "source").collect():
+        assert list(r["ids"]) == own.encode_ordinary(left[r["doc_id"]]) and r["n_tokens"] == len(r["ids"]) and r["source"] == source[r["doc_id"]]
+
+
+def test_pipeline_at_its_edges(spark):
+    """Nulls, empty and very long texts, repeated rows, columns named like the operators' own, no rows: every stage keeps documents' columns and rows as they are."""
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([(d, int(d % 3 > 0), 0) for d in range(1, 40)], "doc_id long, quality int, toxic int")
+    docs = edge_docs(spark).withColumns({"predicted": F.col("doc_id") * 2, "Held_Out": F.lit("mine"), "n_dropped": F.lit("nine"), "copies": F.lit(0.5)})
+    columns = docs.columns
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        before = docs
+        docs = common.stage(step(spark, docs, DATA) if name != "quality" else corpus_pipeline.good(docs, labels), f"edge-{name}")
+        assert docs.columns == columns and docs.dtypes == before.dtypes
+        assert docs.filter("not (Held_Out <=> 'mine' and n_dropped <=> 'nine' and copies <=> 0.5 and predicted <=> doc_id * 2 and SCORE <=> 7)").count() == 0
+        assert step(spark, before.limit(0), DATA).count() == 0
+        if name != "line_dedup":
+            assert {(r[0], r[1]) for r in docs.select("doc_id", "text").collect()} <= {(r[0], r[1]) for r in before.select("doc_id", "text").collect()}
+    out = corpus_pipeline.tokens(spark, docs, DATA)
+    assert out.count() == docs.count() and out.filter("not exact").count() == 0
+    assert corpus_pipeline.tokens(spark, docs.limit(0), DATA).count() == 0
