@@ -8,7 +8,8 @@ bins and copies the first one that isn't empty; after PROBES misses it copies th
 corrects the share of equal bins for those that are equal by chance.
 
 Defined cases: null is the empty text; a text without words has the fingerprint '' (likeness 1 to another such, else 0); fewer words than a
-shingle are one shingle; equal texts have equal fingerprints wherever they are computed.
+shingle are one shingle; equal texts have equal fingerprints wherever they are computed. Columns of the input keep their names and values, but for
+one named fingerprint, which is replaced. Documents of equal doc_id, or of none, are ordered by the hash of their text.
 """
 
 from __future__ import annotations
@@ -21,6 +22,10 @@ from pyspark.sql import functions as F
 BIN_BITS, LOW_BITS, SHINGLE, PROBES = 8, 8, 5, 12
 BINS = 1 << BIN_BITS
 LOWEST = -(2**63)
+#: What helper columns of an output are named: it and these behind its name.
+ENDS = ("", "_w", "_h", "_s", "_f", "_a")
+#: Documents of one doc_id (or none) beyond a bucket's share are dealt by their text's hash to as many ranges.
+RANGES = 64
 
 
 def _bin(x: Column) -> Column:
@@ -30,13 +35,13 @@ def _bin(x: Column) -> Column:
 
 def with_bins(rows: DataFrame, text: str, out: str) -> DataFrame:
     """rows with `out`: array<tinyint> of the low bits of each bin, empty for a text without words."""
-    w, h, s, f, a = (f"{out}_{k}" for k in "whsfa")
+    w, h, s, f, a = (f"{out}{end}" for end in ENDS[1:])
     plain = F.btrim(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(" \t\n\x0b\x0c\r"))
     rows = rows.withColumn(w, F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, r"[\x20\x09-\x0D]+")))
     rows = rows.withColumn(h, F.transform(w, lambda x: F.xxhash64(x))).drop(w)
     windows = F.transform(F.sequence(F.lit(0), F.size(h) - SHINGLE), lambda i: F.xxhash64(*(F.get(F.col(h), i + j) for j in range(SHINGLE))))
     rows = rows.withColumn(s, F.when(F.size(h) >= SHINGLE, windows).when(F.size(h) > 0, F.array(F.xxhash64(F.col(h), F.size(h)))).otherwise(F.array().cast("array<bigint>"))).drop(h)
-    rows = rows.withColumn(s, F.array_sort(s))
+    rows = rows.withColumn(s, F.sort_array(s))
     rows = rows.withColumn(f, F.filter(s, lambda x, i: (i == 0) | (_bin(x) != _bin(F.get(F.col(s), i - 1))))).drop(s)
     nulls = lambda n: F.array_repeat(F.lit(None).cast("bigint"), n)
     gaps = F.flatten(F.transform(f, lambda x, i: F.concat(F.array(x), nulls(F.coalesce(_bin(F.get(F.col(f), i + 1)), F.lit(BINS)) - _bin(x) - 1))))
@@ -71,18 +76,27 @@ def likeness(a: str, b: str) -> Column:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """docs with fingerprint."""
-    return with_bins(docs, "text", "bins_").withColumn("fingerprint", packed("bins_")).drop("bins_")
+    rows = docs.select(*(f"`{c}`" for c in docs.columns if c.lower() != "fingerprint"))
+    taken, bins = {c.lower() for c in rows.columns}, "bins"
+    while taken & {f"{bins}{end}" for end in ENDS}:
+        bins = f"_{bins}"
+    return with_bins(rows, "text", bins).withColumn("fingerprint", packed(bins)).drop(bins)
 
 
 def _buckets(kids: DataFrame, most: int) -> Column:
-    """A bucket number that ascends with kid: at most `most` ** 2 ranges between approximate quantiles, found in two steps."""
+    """A bucket number that ascends with (kid, th): at most `most` ** 2 ranges of kids between approximate quantiles, found in two steps; a kid that fills
+    ranges alone, as several quantiles are equal, has RANGES of its own by th."""
     n = min(most * most, 4 * int(kids.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cuts = kids.agg(F.percentile_approx("kid", [i / n for i in range(1, n)], 100 * n).alias("q")).first()["q"] or []
-    cuts = sorted(set(cuts)) or [LOWEST]
+    found = kids.agg(F.percentile_approx("kid", [i / n for i in range(1, n)], 100 * n).alias("q")).first()["q"] or []
+    cuts = sorted(set(found)) or [LOWEST]
     groups = [cuts[i : i + most] for i in range(0, len(cuts), most)]
     coarse = F.size(F.filter(F.lit([g[0] for g in groups]), lambda x: x <= F.col("kid")))
     fine = F.get(F.array(*(F.lit(g) for g in groups)), coarse - 1)
-    return F.when(coarse == 0, F.lit(0)).otherwise((coarse - 1) * most + F.size(F.filter(fine, lambda x: x <= F.col("kid"))))
+    bucket = F.when(coarse == 0, F.lit(0)).otherwise((coarse - 1) * most + F.size(F.filter(fine, lambda x: x <= F.col("kid"))))
+    hot = [k for k in cuts if found.count(k) > 1]
+    #: The bucket that begins with a hot kid has its rows of that kid first, then the others.
+    within = F.when(F.col("kid").isin(hot), F.floor((F.col("th").cast("double") / 2.0**64 + 0.5) * (RANGES - 1))).otherwise(F.lit(RANGES)) if hot else F.lit(0)
+    return (bucket * (RANGES + 1) + within).cast("int")
 
 
 def edited_fingerprints(docs: DataFrame, part: int = 3, most: int = 64) -> DataFrame:
@@ -91,9 +105,10 @@ def edited_fingerprints(docs: DataFrame, part: int = 3, most: int = 64) -> DataF
 
     The next document is that of the next smaller doc_id (ties: by hash; repeated rows follow each other; null is last), after the last the
     first. Documents travel once, to buckets of neighbouring doc_ids, in which the next one is the next row; the first document of each bucket
-    (at most most ** 2 of them, known by their keys) travels to the end of the bucket above as well."""
+    (a bounded number of them, known by their keys) travels to the end of the bucket above as well."""
     keyed = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("kid"), F.coalesce("text", F.lit("")).alias("text"))
-    keyed = keyed.withColumn("th", F.xxhash64("text")).withColumn("bucket", _buckets(keyed.select("kid"), most))
+    keyed = keyed.withColumn("th", F.xxhash64("text"))
+    keyed = keyed.withColumn("bucket", _buckets(keyed.select("kid"), most))
     heads = keyed.groupBy("bucket").agg(F.max(F.struct("kid", "th")).alias("top")).select("bucket", "top.*").orderBy(F.desc("bucket")).collect()
     ends = [(h["kid"], h["th"], heads[k - 1]["bucket"]) for k, h in enumerate(heads)]  # the first one ends the last bucket
     ends = docs.sparkSession.createDataFrame(ends, "kid long, th long, bucket int")
