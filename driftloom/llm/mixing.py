@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, spare
+from .common import WORD, spare, stage
 from .ranks import ranked
 
 WEIGHTS, MOST_COPIES, SEED = (5, 2, 1), 3, "mix"
@@ -50,7 +50,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: int
 def mix_plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST_COPIES, seed: str = SEED, more: dict[str, Column] | None = None) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies, and the columns of `more`."""
     sizes = docs.select("doc_id", "source", n_words().alias("size"), *(c.alias(k) for k, c in (more or {}).items()))
-    rows = ranked(sizes, ["source"], ["size", "doc_id"], "rank")
+    rows = ranked(stage(sizes, "sizes"), ["source"], ["size", "doc_id"], "rank")  # texts are read once, dealing by range looks at its rows twice
     goals = source_targets(rows.select("source", "size"), weights, most).withColumnRenamed("source", "source_t")
     rows = rows.join(goals, F.col("source").eqNullSafe(F.col("source_t"))).drop("source_t")
     offset = F.conv(F.substring(F.md5(F.concat(F.coalesce("source", F.lit("")), F.lit(seed))), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
