@@ -405,6 +405,79 @@ def test_fingerprint_edge_cases(spark):
     assert fingerprints.edited_fingerprints(docs.limit(0)).count() == 0
 
 
+def fingerprint_by_hand(text):
+    """Binning, densification and packing of one text, by loops."""
+    import xxhash
+
+    longs = lambda *xs: longs_(xs, 42)
+
+    def longs_(xs, seed):
+        for x in xs:
+            seed = xxhash.xxh64_intdigest((x & (2**64 - 1)).to_bytes(8 if not isinstance(x, Int) else 4, "little") if not isinstance(x, Int) else (x & (2**32 - 1)).to_bytes(4, "little"), seed)
+        return seed - 2**64 if seed >> 63 else seed
+
+    class Int(int):
+        pass
+
+    words = [longs_((), xxhash.xxh64_intdigest(w.encode(), 42)) for w in re.split(r"[\x20\x09-\x0d]+", (text or "").lower().strip(" \t\n\x0b\x0c\r")) if w]
+    if not words:
+        return ""
+    grams = [longs(*words[i : i + 5]) for i in range(len(words) - 4)]
+    if not grams:  # the whole array, then its size
+        grams = [longs_((*words, Int(len(words))), 42)]
+    bins = {}
+    for g in grams:
+        b = (g >> 56) + 128
+        bins[b] = min(bins.get(b, g), g)
+    rng, probes = random.Random(20), []
+    for _ in range(fingerprints.PROBES):
+        probes.append([rng.randrange(256) for _ in range(256)])
+    out = ""
+    for b in range(256):
+        value = bins.get(b)
+        if value is None:
+            donor = next((bins[p[b]] for p in probes if p[b] in bins), None)
+            if donor is None:
+                donor = min((longs_((Int(b), Int((v >> 56) + 128)), 42), v) for v in bins.values())[1]
+            value = longs_((donor, Int(b)), 42)
+        out += f"{value & 255:02x}"
+    return out
+
+
+def test_fingerprints_against_brute_force(spark):
+    docs = edge_docs(spark).withColumns({"bins": F.lit(1), "bins_w": F.lit("w"), "_bins_F": F.lit(2), "FINGERPRINT": F.lit("old")})
+    got = fingerprints.fingerprints(docs)
+    assert got.columns == [c for c in docs.columns if c != "FINGERPRINT"] + ["fingerprint"] and got.filter("bins <> 1 or bins_w <> 'w' or _bins_F <> 2").count() == 0
+    for r in got.collect():
+        assert r["fingerprint"] == fingerprint_by_hand(r["text"]), r["doc_id"]
+
+
+def test_edited_texts_where_one_doc_id_is_hot(spark):
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text {i} " * 3) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = fingerprints.edited_fingerprints(docs).select("doc_id", "edited").collect()
+    hashes = {r["text"]: r["h"] for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (fingerprints.LOWEST if r[0] is None else r[0], hashes[r[1]]), reverse=True)
+    want = [(d, t[: len(t) - len(t) // 3] + order[(k + 1) % len(order)][1][: len(t) // 3]) for k, (d, t) in enumerate(order)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_chain_scores_as_its_matrices_do(spark):
+    """Sums at the present features are the models' dense products; ties and columns named like the outputs."""
+    rng = np.random.default_rng(3)
+    features = toxicity.Features(["bad", "good", "word"])
+    models = [toxicity.Linear(np.r_[rng.integers(0, 2, (50, 3 + k))].astype(float), rng.integers(0, 2, 50).astype(float), np.ones(50)) for k in range(2)]
+    chain = toxicity.Chain(features, ["insult", "toxic"], models)
+    texts = [b"", b"Bad bad, good", b"word word", b"none"]
+    x, want = features.matrix([features.of(t) for t in texts]), np.zeros((4, 0))
+    for m in models:
+        want = np.c_[want, m.predict(np.c_[x, want])]
+    assert np.allclose(chain.predict(texts), want)
+    docs = spark.createDataFrame([(1, "bad"), (2, "bad"), (3, None)], "doc_id long, text string").withColumns({"Score": F.lit("x"), "insult": F.lit("y"), "held_out": F.lit("z")})
+    got = {r["doc_id"]: r for r in toxicity.score_toxicity(docs, chain).collect()}
+    assert got[1]["score"] == got[2]["score"] and 0 <= got[3]["insult"] <= 1 and got[1]["held_out"] in (True, False)
+
+
 # Byte-level BPE
 
 
