@@ -14,7 +14,7 @@ from .jaccard_join import jaccard_groups
 from .line_dedup import dedup_lines
 from .mixing import mix_plan
 from .quality import fit_quality, score_quality
-from .secret_scan import scan_secrets, train
+from .secret_scan import dictionary_of, scan_secrets, train
 from .substring_dedup import substring_dedup
 from .toxicity import fit_toxicity, score_toxicity
 from .vector_dedup import vector_groups
@@ -49,7 +49,8 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_secrets(read(spark, sf_dir, "documents"), train(spark))
+    docs = read(spark, sf_dir, "documents")
+    return scan_secrets(docs, train(spark, known=dictionary_of(docs)))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,8 +3,9 @@
 A candidate is a run of characters [A-Za-z0-9+/_-] (and = at its end) inside a word: of at least LEAST with a digit or a known prefix, or of at
 least SHORT where an assignment or a key word is before it. Values of key words that other characters break are candidates as a whole as well. A
 word has as many candidates as it holds. Their features are length, shares of character
-kinds, transitions between kinds, coverage by dictionary words, signs of a path or address around it, and what the own prefix in the word and the words before are. The
-forest is grown on the driver from labelled findings (a fixed number, made by a seeded generator of true secrets and of what is
+kinds, transitions between kinds and between letters, coverage by dictionary words, signs of a path or address around it, and what the own prefix in the word and the words before
+are. The dictionary is the corpus' own: the DICTIONARY_WORDS words of letters that most documents hold, beside a few fixed ones; pieces of letters in a candidate
+are looked up in it, and how its letters follow each other is scored by the dictionary's letter pairs. The forest is grown on the driver from labelled findings (a fixed number, made by a seeded generator of true secrets and of what is
 mistaken for them; other labelled findings can be passed), whose features come from the same expressions. Trees become literal arrays that a
 higher-order function walks, so scoring stays in the plan.
 
@@ -24,12 +25,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LEAST, SHORT, THRESHOLD, TREES, DEPTH = 16, 6, 0.5, 25, 7
+#: Words of the dictionary, letters of its shortest and longest ones.
+DICTIONARY_WORDS, WORD_LEAST, WORD_MOST = 4096, 4, 20
 #: Characters of a run; a word's pieces: runs (with padding) and what is between; delimiters of a part; pieces and characters near a run.
 RUN = "A-Za-z0-9+/_-"
 PIECES = rf"[{RUN}]+(?:=+(?![={RUN}]))?|[^{RUN}]+"
 ENDS = r"""\s,;&?="'`{}<>()\[\]|\\"""
 NEAR, SIDE = 16, 256
-#: Words that name secrets, words that name other things, common words and syllables of the dictionary.
+#: Words that name secrets, words that name other things, words of placeholders and addresses.
 KNOWN = r"(AKIA|ASIA|ghp_|gho_|ghs_|glpat-|xox[baprs]-|sk_live_|rk_live_|AIza|eyJ|npm_|SG)"
 KEYS = r"(?i)(passw|passwd|pwd|secret|token|api.?key|apikey|access.?key|auth|credential|bearer|private.?key)"
 #: What may stand between a key word and its value; text that ends with a key word and no value yet; a key word, quote and value inside a word.
@@ -37,15 +40,54 @@ QUOTES, FILLERS = r"""\"'`\\""", ("is", "was", "for", "of")
 FOLLOWS = rf"{KEYS}[\w.-]{{0,64}}[{QUOTES}]*( ?[=:]+>?)?( ({'|'.join(FILLERS)}))?$"
 VALUES = rf"({KEYS}[\w.-]{{0,64}}[{QUOTES}]*+[=:]++>?)([{QUOTES}]*+)((?<=[{QUOTES}])[^{QUOTES}]+|(?<![{QUOTES}])[^\s{QUOTES},;&<>{{}}]+)"
 OTHERS = r"(?i)(sha\d*|md5|hash|checksum|digest|commit|uuid|guid|etag|example|sample|dummy|test|placeholder|isbn|order|invoice|card|phone|version|id)\W*$"
-DICTIONARY = r"(?i)(example|sample|test|dummy|placeholder|changeme|your|here|user|name|page|image|index|article|section|chapter|version|release|build|report|item|order|number|date|time|data|file|main|home|news|post|blog|view|list|page|this|that|with|from|have|will|what|when|there|their|tion|ing|ment|able|ness)"
-FEATURES = ("length", "digits", "lowers", "uppers", "others", "turns", "hexes", "repeats", "covered", "path", "address", "key_inside", "key_before", "other_before", "quoted", "assigned", "known_prefix", "dashes")
+COMMON = (
+    "example", "sample", "test", "dummy", "placeholder", "changeme", "your", "here", "user", "name", "page", "image", "index", "article", "section", "chapter", "version", "release", "build", "report",
+    "item", "order", "number", "date", "time", "data", "file", "main", "home", "news", "post", "blog", "view", "list", "this", "that", "with", "from", "have", "will", "what", "when", "there", "their", "password", "token", "secret",
+)
+FEATURES = ("length", "digits", "lowers", "uppers", "others", "turns", "pairs", "hexes", "repeats", "covered", "path", "address", "key_inside", "key_before", "other_before", "quoted", "assigned", "known_prefix", "dashes")
 
 
 def _share(x: Column, pattern: str) -> Column:
     return F.regexp_count(x, F.lit(pattern)).cast("double") / F.greatest(F.length(x), F.lit(1))
 
 
-def candidates(docs: DataFrame) -> DataFrame:
+class Dictionary:
+    """Words, and how likely a letter follows another in them: natural logarithms of 26 x 26 shares, with one more of each."""
+
+    def __init__(self, words: list[str]):
+        self.words = sorted({*words, *COMMON})
+        counts = np.ones((26, 26))
+        for w in self.words:
+            codes = [ord(c) - 97 for c in w if "a" <= c <= "z"]
+            for a, b in zip(codes, codes[1:], strict=False):
+                counts[a, b] += 1
+        self.pairs = np.log(counts / counts.sum(1, keepdims=True)).ravel().tolist()
+
+    def pairs_of(self, c: Column) -> Column:
+        """The mean over the candidate's neighbouring letters; 0 where there are none."""
+        low = F.lower(c)
+        code = lambda i: F.ascii(F.substring(low, i, F.lit(1))) - 97
+        inside = lambda x: (x >= 0) & (x < 26)
+        value = lambda i: F.when(inside(code(i)) & inside(code(i + 1)), F.get(F.lit(self.pairs), code(i) * 26 + code(i + 1)))
+        found = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), value), lambda x: x.isNotNull())
+        return F.when(F.size(found) > 0, F.aggregate(found, F.lit(0.0), lambda s, x: s + x) / F.size(found)).otherwise(0.0)
+
+    def covered(self, c: Column) -> Column:
+        """The share of the candidate's characters that lie in pieces of letters that the dictionary has, or that begin with one of its longest."""
+        pieces = F.regexp_extract_all(c, F.lit(f"[A-Z]?[a-z]{{{WORD_LEAST - 1},}}|[A-Z]{{{WORD_LEAST},}}|[a-z]{{{WORD_LEAST},}}"), F.lit(0))
+        known = F.filter(pieces, lambda p: F.lower(p).isin(self.words))
+        return F.aggregate(known, F.lit(0), lambda s, p: s + F.length(p)).cast("double") / F.greatest(F.length(c), F.lit(1))
+
+
+def dictionary_of(docs: DataFrame, most: int = DICTIONARY_WORDS) -> Dictionary:
+    """The words of letters a to z that most documents hold, counted over whole texts; ties by the word. A text's distinct words are counted, combined before the shuffle."""
+    pattern = rf"(?<![A-Za-z0-9_/+=-])[A-Za-z]?[a-z]{{{WORD_LEAST - 1},{WORD_MOST - 1}}}(?![A-Za-z0-9_/+=-])"
+    words = docs.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(pattern), F.lit(0)), lambda w: F.lower(w)))).alias("word"))
+    top = words.groupBy("word").agg(F.count("*").alias("n")).filter("n > 1").orderBy(F.desc("n"), "word").limit(most)
+    return Dictionary([r["word"] for r in top.select("word").collect()])
+
+
+def candidates(docs: DataFrame, known: Dictionary) -> DataFrame:
     """doc_id, word (its number), candidate, and the features; one row for each plausible run or value of a word."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", F.split(text, r"[\x20\x09-\x0D]+").alias("w"))
@@ -87,9 +129,10 @@ def candidates(docs: DataFrame) -> DataFrame:
         "uppers": _share(c, "[A-Z]"),
         "others": _share(c, "[^A-Za-z0-9]"),
         "turns": _share(c, "[0-9](?=[A-Za-z])|[A-Za-z](?=[0-9])|[a-z](?=[A-Z])"),
+        "pairs": known.pairs_of(c),
         "hexes": _share(c, "[0-9a-f]"),
         "repeats": _share(c, r"(.)(?=\1)"),
-        "covered": (F.length(c) - F.length(F.regexp_replace(c, DICTIONARY, ""))).cast("double") / F.greatest(F.length(c), F.lit(1)),
+        "covered": known.covered(c),
         "path": flag(whole.rlike(r"(?i)^(\.{0,2}/|[a-z]:\\)|/.*/|\.(html?|php|js|css|png|jpe?g|gif|pdf|json|xml|txt|zip|gz|py|java)\b")),
         "address": flag(whole.rlike(r"(?i)://|www\.|@[a-z0-9.-]+\.[a-z]{2,}")),
         "key_inside": flag(lead.rlike(KEYS)),
@@ -103,25 +146,27 @@ def candidates(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.col("word").cast("long").alias("word"), "candidate", F.array(*(values[k] for k in FEATURES)).alias("features"))
 
 
-def made_findings(n: int = 2400, seed: int = 7) -> list[tuple[int, str, int]]:
-    """(number, text with one candidate, 1 for a secret): labelled findings of many kinds in invented prose."""
+def made_findings(words: list[str], n: int = 2400, seed: int = 7) -> list[tuple[int, str, int]]:
+    """(number, text with one candidate, 1 for a secret): labelled findings of many kinds and lengths in prose of the words, and of invented ones."""
     rng = random.Random(seed)
     pick = lambda chars, k: "".join(rng.choice(chars) for _ in range(k))
     hexes, word62 = "0123456789abcdef", string.ascii_letters + string.digits
-    prose = lambda k: " ".join(pick("aeioulnrstdm", rng.randint(2, 9)) for _ in range(k))
-    long_word = lambda: pick("aeioulnrst", rng.randint(12, 24)) + pick(string.digits, rng.randint(1, 4))
+    word = lambda: rng.choice(words) if rng.random() < 0.6 else pick("aeioulnrstdm", rng.randint(2, 9))
+    prose = lambda k: " ".join(word() for _ in range(k))
+    joined = lambda: rng.choice(["-", "_", ""]).join(rng.choice(words) for _ in range(rng.randint(3, 5)))
+    long_word = lambda: rng.choice([joined, lambda: pick("aeioulnrst", rng.randint(12, 24))])() + pick(string.digits, rng.randint(1, 4))
     key = lambda: rng.choice(["password", "passwd", "secret", "token", "api_key", "apikey", "access_key", "auth_token", "client_secret"])
     name = lambda: rng.choice(["commit", "sha256", "md5", "checksum", "hash", "uuid", "etag", "order", "id", "version"])
-    value = lambda: rng.choice([pick(hexes, rng.choice([16, 18, 20, 24, 32, 40, 64])), pick(word62, rng.randint(16, 48)), pick(word62 + "+/", rng.randint(24, 64))])
+    value = lambda: rng.choice([pick(hexes, rng.randint(16, 64)), pick(word62, rng.randint(16, 48)), pick(word62 + "+/", rng.randint(24, 64))])
     letters = string.ascii_letters
     mixed = lambda k: rng.choice(string.ascii_uppercase) + pick(word62, k) + rng.choice("@!#$%^*") + rng.choice(string.digits) + pick(word62, k)
     given = lambda v: rng.choice([f"{key()}={v}", f'{key()}="{v}"', f'{key()} = "{v}"', f"{key()}: {v}", f"{key()} is {v}"])
-    plain = lambda: pick("aeioulnrst", rng.randint(6, 14))
+    plain = lambda: rng.choice([rng.choice(words), pick("aeioulnrst", rng.randint(6, 14))]).ljust(SHORT, "e")
     secrets = [
         lambda: f"{key()}={value()}",
         lambda: f"{key()} = \"{value()}\"",
         lambda: f"{key()}: {value()}",
-        lambda: "AKIA" + pick(string.ascii_uppercase + "234567", 16),
+        lambda: rng.choice(["AKIA", "ASIA"]) + pick(string.ascii_uppercase + string.digits, 16),
         lambda: rng.choice(["ghp_", "gho_", "glpat-", "sk_live_", "npm_"]) + pick(word62, rng.randint(24, 40)),
         lambda: "Authorization: Bearer " + "eyJ" + pick(word62, rng.randint(30, 60)),
         lambda: "AIza" + pick(word62 + "_-", 35),
@@ -133,8 +178,8 @@ def made_findings(n: int = 2400, seed: int = 7) -> list[tuple[int, str, int]]:
         lambda: given(mixed(rng.randint(3, 7))),
     ]
     others = [
-        lambda: f"{name()} {pick(hexes, rng.choice([16, 32, 40, 64]))}",
-        lambda: pick(hexes, rng.choice([32, 40, 64])),
+        lambda: f"{name()} {pick(hexes, rng.randint(16, 64))}",
+        lambda: pick(hexes, rng.randint(24, 64)),
         lambda: str(uuid.UUID(int=rng.getrandbits(128))),
         lambda: pick(string.digits, rng.choice([16, 16, 18, 20])),
         lambda: f"/{long_word()}/{long_word()}/page{rng.randint(1, 99)}.html",
@@ -146,8 +191,8 @@ def made_findings(n: int = 2400, seed: int = 7) -> list[tuple[int, str, int]]:
         lambda: f"{key()}={'x' * rng.randint(16, 30)}{rng.randint(0, 9)}",
         lambda: f"release-{rng.randint(1, 20)}.{rng.randint(1, 20)}-build-{rng.randint(1000, 99999)}-version",
         lambda: f"2024-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}-report-number-{rng.randint(1, 999)}",
-        lambda: f'{{"{key()}":"","{name()}":"{pick(hexes, rng.choice([16, 20, 32, 40, 64]))}"}}',
-        lambda: f"https://{pick('abcdefgh', 8)}.com/list?{name()}={pick(hexes, rng.choice([16, 32, 40]))}&page={rng.randint(1, 99)}",
+        lambda: f'{{"{key()}":"","{name()}":"{pick(hexes, rng.randint(16, 64))}"}}',
+        lambda: f"https://{pick('abcdefgh', 8)}.com/list?{name()}={pick(hexes, rng.randint(16, 64))}&page={rng.randint(1, 99)}",
         lambda: f"{key()} {plain()} {rng.choice(['is', 'was', 'of'])}",
         lambda: f"{key()} {rng.choice(['is', 'was', 'of', 'for'])} {plain()}",
         lambda: f"{plain()}: {plain()}",
@@ -220,18 +265,26 @@ def forest_score(trees: list[Tree], features: str) -> Column:
     return F.aggregate(leaves, F.lit(0.0), lambda s, v: s + v) / len(trees)
 
 
-def train(spark: SparkSession, findings: list[tuple[int, str, int]] | None = None) -> list[Tree]:
-    """A forest from labelled findings (number, text, 1 for a secret); every candidate of a text has its label."""
-    findings = made_findings() if findings is None else findings
-    rows = candidates(spark.createDataFrame(findings, "doc_id long, text string, y int").select("doc_id", "text")).select("doc_id", "word", "features").collect()
+class Scanner:
+    """A forest and the dictionary that its features were computed with."""
+
+    def __init__(self, trees: list[Tree], known: Dictionary):
+        self.trees, self.known = trees, known
+
+
+def train(spark: SparkSession, findings: list[tuple[int, str, int]] | None = None, known: Dictionary | None = None) -> Scanner:
+    """A scanner from labelled findings (number, text, 1 for a secret); every candidate of a text has its label."""
+    known = known or Dictionary([])
+    findings = made_findings(known.words) if findings is None else findings
+    rows = candidates(spark.createDataFrame(findings, "doc_id long, text string, y int").select("doc_id", "text"), known).select("doc_id", "word", "features").collect()
     label = {i: y for i, _, y in findings}
     rows = sorted((r["doc_id"], r["word"], r["features"]) for r in rows)
-    return forest(np.array([r[2] for r in rows], float), np.array([label[r[0]] for r in rows], float))
+    return Scanner(forest(np.array([r[2] for r in rows], float), np.array([label[r[0]] for r in rows], float)), known)
 
 
-def scan_secrets(docs: DataFrame, trees: list[Tree], threshold: float = THRESHOLD) -> DataFrame:
+def scan_secrets(docs: DataFrame, scanner: Scanner, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, word, length, sha256 of the candidate, score, secret: one row for each candidate, false positives with secret false."""
-    rows = candidates(docs).withColumn("score", forest_score(trees, "features"))
+    rows = candidates(docs, scanner.known).withColumn("score", forest_score(scanner.trees, "features"))
     return rows.select("doc_id", "word", F.length("candidate").cast("long").alias("length"), F.sha2("candidate", 256).alias("sha256"), "score", (F.col("score") >= threshold).alias("secret"))
 
 

@@ -294,9 +294,11 @@ def test_secrets_in_documents(spark):
 
 
 def test_secret_forest_in_the_plan_equals_the_trees(spark):
-    trees = secret_scan.train(spark, secret_scan.made_findings(300, 9))
-    fresh = spark.createDataFrame(secret_scan.made_findings(200, 10), "doc_id long, text string, y int")
-    rows = secret_scan.candidates(fresh.select("doc_id", "text")).withColumn("score", secret_scan.forest_score(trees, "features")).collect()
+    words = list(secret_scan.COMMON)
+    scanner = secret_scan.train(spark, secret_scan.made_findings(words, 300, 9))
+    trees, known = scanner.trees, scanner.known
+    fresh = spark.createDataFrame(secret_scan.made_findings(words, 200, 10), "doc_id long, text string, y int")
+    rows = secret_scan.candidates(fresh.select("doc_id", "text"), known).withColumn("score", secret_scan.forest_score(trees, "features")).collect()
 
     def walk(t, x):
         k = 0
@@ -307,8 +309,40 @@ def test_secret_forest_in_the_plan_equals_the_trees(spark):
     assert rows and all(abs(r["score"] - np.mean([walk(t, r["features"]) for t in trees])) < 1e-9 for r in rows)
     y = {r["doc_id"]: r["y"] for r in fresh.collect()}
     assert np.mean([(r["score"] >= 0.5) == y[r["doc_id"]] for r in rows]) > 0.9
-    found = secret_scan.scan_secrets(edge_docs(spark), trees)
-    assert found.filter("secret").count() == 0 and secret_scan.scan_secrets(edge_docs(spark).limit(0), trees).count() == 0
+    found = secret_scan.scan_secrets(edge_docs(spark), scanner)
+    assert found.filter("secret").count() == 0 and secret_scan.scan_secrets(edge_docs(spark).limit(0), scanner).count() == 0
+
+
+def test_candidates_and_their_features_against_brute_force(spark):
+    """Runs of words without assignments or key words, and the features that a candidate has by itself, by loops."""
+    rng = random.Random(8)
+    pick = lambda chars, a, b: "".join(rng.choice(chars) for _ in range(rng.randint(a, b)))
+    word = lambda: rng.choice([lambda: pick("abcXYZ019+/_-", 1, 30), lambda: "exampleReport" + pick("aeiZ12-", 3, 9), lambda: pick("ab1,.;()", 1, 40), lambda: "AKIA" + pick("ABC", 12, 16), lambda: pick("héß", 14, 20)])()
+    docs = spark.createDataFrame([(i, rng.choice([" ", "\n\t"]).join(word() for _ in range(12))) for i in range(60)], "doc_id long, text string")
+    known = secret_scan.dictionary_of(spark.createDataFrame([("alpha beta Alpha",), ("ALPHA beta, gamma beta2 be",), ("alpha",), (None,)], "text string"))
+    assert set(known.words) == {*secret_scan.COMMON, "alpha", "beta"}  # of two texts at least; letters only
+    rows = secret_scan.candidates(docs, known).collect()
+    want = Counter()
+    for r in docs.collect():
+        for k, w in enumerate(re.split(r"[\x20\x09-\x0D]+", r["text"])):
+            for c in re.findall(r"[A-Za-z0-9+/_-]+", w):
+                if len(c) >= 16 and (re.search("[0-9]", c) or re.match(secret_scan.KNOWN, c)):
+                    want[r["doc_id"], k, c] += 1
+    assert Counter((r["doc_id"], r["word"], r["candidate"]) for r in rows) == want and len(want) > 50
+    counts = np.ones((26, 26))
+    for w in known.words:
+        for a, b in zip(w, w[1:], strict=False):
+            counts[ord(a) - 97, ord(b) - 97] += 1
+    log = np.log(counts / counts.sum(1, keepdims=True))
+    for r in rows:
+        c, got = r["candidate"], dict(zip(secret_scan.FEATURES, r["features"], strict=True))
+        pairs = [log[ord(a) - 97, ord(b) - 97] for a, b in zip(c.lower(), c.lower()[1:], strict=False) if a.isalpha() and b.isalpha()]
+        turns = sum(a.isdigit() and b.isalpha() or a.isalpha() and b.isdigit() or a.islower() and b.isupper() for a, b in zip(c, c[1:], strict=False))
+        covered = sum(len(p) for p in re.findall("[A-Z]?[a-z]{3,}|[A-Z]{4,}", c) if p.lower() in known.words)
+        own = {"length": len(c) * len(c), "digits": sum(x.isdigit() for x in c), "lowers": sum(x.islower() for x in c), "uppers": sum(x.isupper() for x in c), "others": sum(not x.isalnum() for x in c), "dashes": c.count("-")}
+        own |= {"turns": turns, "repeats": sum(a == b for a, b in zip(c, c[1:], strict=False)), "hexes": sum(x in "0123456789abcdef" for x in c), "covered": covered, "pairs": np.mean(pairs) * len(c) if pairs else 0}
+        for k, v in own.items():
+            assert abs(got[k] - v / len(c)) < 1e-9, (c, k)
 
 
 def test_every_run_of_a_word_is_judged(spark):
