@@ -249,7 +249,9 @@ def forest(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH,
 
 
 def forest_score(trees: list[Tree], features: str) -> Column:
-    """The trees' mean share of ones: all trees lie in one row of arrays, a node names its children by their places there."""
+    """The trees' mean share of ones: all trees lie in one row of arrays, a node names its children by their places there.
+
+    The features are bound once, as a lambda's variable: inside the walk the optimizer would compute them anew at each node."""
     feature, cut, left, right, value, roots = [], [], [], [], [], []
     for t in trees:
         base = len(feature)
@@ -260,9 +262,13 @@ def forest_score(trees: list[Tree], features: str) -> Column:
         right += [base + k for k in t.right]
         value += t.value
     feature, cut, left, right, value = (F.lit(v) for v in (feature, cut, left, right, value))
-    step = lambda node, _: F.when(F.get(F.col(features), F.get(feature, node)) <= F.get(cut, node), F.get(left, node)).otherwise(F.get(right, node))  # noqa: E731  leaves lead to themselves
-    leaves = F.transform(F.lit(roots), lambda r: F.get(value, F.aggregate(F.sequence(F.lit(1), F.lit(DEPTH)), r, step)))
-    return F.aggregate(leaves, F.lit(0.0), lambda s, v: s + v) / len(trees)
+
+    def walked(x: Column) -> Column:
+        step = lambda node, _: F.when(F.get(x, F.get(feature, node)) <= F.get(cut, node), F.get(left, node)).otherwise(F.get(right, node))  # noqa: E731  leaves lead to themselves
+        leaves = F.transform(F.lit(roots), lambda r: F.get(value, F.aggregate(F.sequence(F.lit(1), F.lit(DEPTH)), r, step)))
+        return F.aggregate(leaves, F.lit(0.0), lambda s, v: s + v) / len(trees)
+
+    return F.get(F.transform(F.array(F.col(features)), walked), F.lit(0))
 
 
 class Scanner:
