@@ -86,7 +86,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def _buckets(kids: DataFrame, most: int) -> Column:
     """A bucket number that ascends with (kid, th): at most `most` ** 2 ranges of kids between approximate quantiles, found in two steps; a kid that fills
     ranges alone, as several quantiles are equal, has RANGES of its own by th."""
-    n = min(most * most, 4 * int(kids.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n = min(most * most, 16 * int(kids.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     found = kids.agg(F.percentile_approx("kid", [i / n for i in range(1, n)], 100 * n).alias("q")).first()["q"] or []
     cuts = sorted(set(found)) or [LOWEST]
     groups = [cuts[i : i + most] for i in range(0, len(cuts), most)]
