@@ -65,8 +65,15 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = M
     th, k_doc, k_th, total, rows, nth, copies = spare(docs, "th", "k_doc", "k_th", "total", "rows", "nth", "copies")
     plan = mix_plan(docs, weights, most, seed, {"th": F.xxhash64("text", "source")})
     plan = plan.groupBy(F.col("doc_id").alias(k_doc), F.col("th").alias(k_th)).agg(F.sum("copies").alias(total), F.count("*").alias(rows)).filter(F.col(total) > 0)
-    taken = docs.withColumn(th, F.xxhash64("text", "source")).join(plan, F.col("doc_id").eqNullSafe(F.col(k_doc)) & (F.col(th) == F.col(k_th)))
-    equal = Window.partitionBy(k_doc, k_th).orderBy(F.lit(1))
-    taken = taken.withColumn(nth, F.when(F.col(rows) > 1, F.row_number().over(equal)).otherwise(1))
-    taken = taken.withColumn(copies, F.expr(f"`{total}` div `{rows}` + if(`{nth}` <= `{total}` % `{rows}`, 1, 0)"))
-    return taken.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.expr(f"if(`{copies}` > 0, sequence(1L, `{copies}`), array())")).alias(nth)).drop(nth)
+    plan = stage(plan, "taken")
+    named = docs.withColumn(th, F.xxhash64("text", "source"))
+    same = F.col("doc_id").eqNullSafe(F.col(k_doc)) & (F.col(th) == F.col(k_th))
+    times = lambda n: F.explode(F.expr(f"if({n} > 0, sequence(1L, {n}), array())")).alias(nth)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    taken = named.join(plan.filter(F.col(rows) == 1), same).select(*columns, times(f"`{total}`"))
+    if (repeated := plan.filter(F.col(rows) > 1)).head(1):  # equal rows share their copies
+        equal = Window.partitionBy(k_doc, k_th).orderBy(F.lit(1))
+        shared = named.join(repeated, same).withColumn(nth, F.row_number().over(equal))
+        shared = shared.withColumn(copies, F.expr(f"`{total}` div `{rows}` + if(`{nth}` <= `{total}` % `{rows}`, 1, 0)")).drop(nth)
+        taken = taken.unionByName(shared.select(*columns, times(f"`{copies}`")))
+    return taken.drop(nth)
