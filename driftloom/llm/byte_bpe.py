@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from .common import binary, over_batches, replaced
 
-#: Pieces of a generation that a worker remembers, pieces that the library gets at once, characters whose pieces are looked up together.
+#: Pieces of a generation that a worker remembers, pieces that the library gets at once, characters whose pieces are looked up, or bytes that are decoded, together.
 KNOWN, AT_ONCE, SLICE = 3 << 16, 1 << 12, 1 << 19
 #: Fixed value: the pattern whose matches pieces_of() knows not to cut.
 CUT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -52,15 +52,24 @@ for _byte, _char in enumerate(byte_chars()):
     BYTE_OF[ord(_char)] = _byte
 
 
-def bytes_of(utf8: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Characters of the byte table, as UTF-8 of one or two bytes each, to the bytes that they stand for; and for each byte of UTF-8 how many characters begin before it."""
-    two = utf8 >= 0xC0
-    first = two | (utf8 < 0x80)
-    begin = np.flatnonzero(first)
-    codes = utf8[begin].astype(np.int32)
-    wide = two[begin]
-    codes[wide] = (codes[wide] & 0x1F) << 6 | utf8[begin[wide] + 1] & 0x3F
-    return BYTE_OF[codes], np.concatenate([[0], np.cumsum(first)])
+def bytes_of(utf8: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Characters of the byte table, as UTF-8 of one or two bytes each, to the bytes that they stand for, SLICE by SLICE; and where the
+    ascending places `marks` of the UTF-8, each the begin of a character or the end, lie among these."""
+    out, at, start, done = [np.zeros(0, np.uint8)], np.zeros(len(marks), np.int32), 0, 0
+    while start < len(utf8):
+        end = min(start + SLICE, len(utf8))
+        end += int(end < len(utf8) and utf8[end] & 0xC0 == 0x80)  # not within a character
+        part = utf8[start:end]
+        begin = np.flatnonzero((part >= 0xC0) | (part < 0x80)).astype(np.int32)
+        codes = part[begin].astype(np.int16)
+        wide = np.flatnonzero(codes >= 0xC0)
+        codes[wide] = (codes[wide] & 0x1F) << 6 | part[begin[wide] + 1] & 0x3F
+        out.append(BYTE_OF[codes])
+        lo, hi = np.searchsorted(marks, [start, end])
+        at[lo:hi] = done + np.searchsorted(begin, marks[lo:hi] - start)
+        start, done = end, done + len(begin)
+    at[np.searchsorted(marks, len(utf8)) :] = done
+    return np.concatenate(out), at
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -194,8 +203,7 @@ class ByteBpe:
             if len(ids):
                 joined = table[0].take(pa.array(ids, pa.int32()))
                 offsets = np.frombuffer(joined.buffers()[1], np.int32)[: len(ids) + 1]
-                data, before = bytes_of(np.frombuffer(joined.buffers()[2], np.uint8)[: offsets[-1]])
-                at = before[offsets[ends]].astype(np.int32)
+                data, at = bytes_of(np.frombuffer(joined.buffers()[2], np.uint8)[: offsets[-1]], offsets[ends])
                 decoded = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(at), pa.py_buffer(data)])
             if text:
                 decoded = pa.array([d.decode("utf-8", "replace") for d in decoded.to_pylist()], pa.string())

@@ -561,8 +561,15 @@ def test_tokens_equal_the_reference_encoder(spark):
     assert listed(bpe.round_trip(docs), "doc_id", "ids", "decoded") == listed(bpe.decode(bpe.encode(docs, offsets=False)), "doc_id", "ids", "decoded")
 
 
-def test_byte_table_is_a_bijection():
+def test_byte_table_is_a_bijection(monkeypatch):
     assert len(set(byte_bpe.byte_chars())) == 256
+    data = bytes(random.Random(2).randrange(256) for _ in range(5000))
+    utf8 = byte_bpe.chars_of(data).encode()
+    marks = np.array([len(byte_bpe.chars_of(data[:k]).encode()) for k in (0, 0, 1, 700, 701, 4999, 5000, 5000)])
+    for size in (1, 2, 3, 64, 1 << 20):
+        monkeypatch.setattr(byte_bpe, "SLICE", size)
+        got, at = byte_bpe.bytes_of(np.frombuffer(utf8, np.uint8), marks)
+        assert got.tobytes() == data and at.tolist() == [0, 0, 1, 700, 701, 4999, 5000, 5000]
 
 
 # Pipeline
