@@ -63,11 +63,11 @@ def hot_keys(counts: DataFrame, key: str) -> list[int]:
 
 
 def spread_join(rows: DataFrame, one: DataFrame, key: str, hot: list[int]) -> DataFrame:
-    """rows left join one (a row for each key) on key: rows of hot keys meet them by broadcast where they are, all others by a shuffle.
+    """rows left join one (a row for each key) on key: rows of hot keys meet them by broadcast where they are, all others by a shuffle at every size.
 
     rows and one are read twice where there are hot keys, so they should be written tables."""
     if not hot:
-        return rows.join(one, key, "left")
+        return rows.join(one.hint("merge"), key, "left")
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
     rest = rows.filter(~is_hot).join(one.filter(~is_hot).hint("merge"), key, "left")
     return rest.unionByName(rows.filter(is_hot).join(F.broadcast(one.filter(is_hot)), key, "left"))

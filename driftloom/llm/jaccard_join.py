@@ -320,8 +320,8 @@ def edges_of(labels: DataFrame) -> DataFrame:
 
 
 def labelled_sets(docs: DataFrame, size: int, percent: int, *more: Column) -> tuple[DataFrame, DataFrame, list[int]]:
-    """Staged tables: (doc_id, n, sid, more) of every row of docs; (sid, doc_id, copies, label) of each set that has words, with its least doc_id and
-    its component's label; and the sids that very many rows have."""
+    """Staged tables: (doc_id, n, set, more) of every row of docs; (set, doc_id, copies, label) of each set that has words, with its least doc_id and
+    its component's label; and the sets that very many rows have."""
     described_ = described(docs, size, *more)
     sets = described_.filter("kind = 0").drop("kind")
 
@@ -349,17 +349,17 @@ def labelled_sets(docs: DataFrame, size: int, percent: int, *more: Column) -> tu
     wanted = clusters.select("sid").unionByName(pairs.select(F.col("a").alias("sid"))).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
     rows = full_rows(wanted, docs, names, size, shared)
     labels = components(verified(pairs, rows, percent).unionByName(cluster_links(clusters, rows, percent)))
-    names = names.select("sid", "doc_id", F.col("n").alias("copies")).join(labels.withColumnRenamed("node", "sid"), "sid", "left")
-    names = stage(names.withColumn("label", F.coalesce("label", "sid")), "named")
-    return sets, names, hot_keys(names.withColumnRenamed("copies", "n"), "sid")
+    names = names.select(F.col("sid").alias("set"), "doc_id", F.col("n").alias("copies")).join(labels.hint("merge"), F.col("set") == F.col("node"), "left").drop("node")
+    names = stage(names.withColumn("label", F.coalesce("label", "set")), "named")
+    return sets.withColumnRenamed("sid", "set"), names, hot_keys(names.withColumnRenamed("copies", "n"), "set")
 
 
 def jaccard_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row for each row of docs."""
     sets, names, hot = labelled_sets(docs, size, percent)
     ids = stage(names.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")), "ids")
-    names = stage(spread_join(names.select("sid", "label"), ids.select("label", "component_id"), "label", hot_keys(ids, "label")).select("sid", "component_id"), "component-ids")
-    rows = spread_join(sets.filter("n > 0"), names, "sid", hot).unionByName(sets.filter("n = 0").withColumn("component_id", F.col("doc_id")))
+    names = stage(spread_join(names.select("set", "label"), ids.select("label", "component_id"), "label", hot_keys(ids, "label")).select("set", "component_id"), "component-ids")
+    rows = spread_join(sets.filter("n > 0"), names, "set", hot).unionByName(sets.filter("n = 0").withColumn("component_id", F.col("doc_id")))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
@@ -369,7 +369,7 @@ def drop_near_copies(docs: DataFrame, size: int = SHINGLE, percent: int = PERCEN
     Rows are named by doc_id and text hash; where the chosen name repeats, one of its rows stays. Rows without words all stay."""
     th, d, t = spare(docs, "th", "d", "t")
     sets, names, hot = labelled_sets(docs, size, percent, text_hash("text").alias("text_hash"))
-    keys = spread_join(sets.filter("n > 0"), names.select("sid", "label"), "sid", hot).groupBy("label", "doc_id", "text_hash").agg(F.count("*").alias("copies"))
+    keys = spread_join(sets.filter("n > 0"), names.select("set", "label"), "set", hot).groupBy("label", "doc_id", "text_hash").agg(F.count("*").alias("copies"))
     keys = stage(keys, "keys")
     name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     leads = stage(keys.groupBy("label").agg(F.min(name).alias("lead"), F.count("*").alias("n")), "leads")

@@ -70,10 +70,10 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = M
     same = F.col("doc_id").eqNullSafe(F.col(k_doc)) & (F.col(th) == F.col(k_th))
     times = lambda n: F.explode(F.expr(f"if({n} > 0, sequence(1L, {n}), array())")).alias(nth)
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    taken = named.join(plan.filter(F.col(rows) == 1), same).select(*columns, times(f"`{total}`"))
+    taken = named.join(plan.filter(F.col(rows) == 1).hint("merge"), same).select(*columns, times(f"`{total}`"))
     if (repeated := plan.filter(F.col(rows) > 1)).head(1):  # equal rows share their copies
         equal = Window.partitionBy(k_doc, k_th).orderBy(F.lit(1))
-        shared = named.join(repeated, same).withColumn(nth, F.row_number().over(equal))
+        shared = named.join(repeated.hint("merge"), same).withColumn(nth, F.row_number().over(equal))
         shared = shared.withColumn(copies, F.expr(f"`{total}` div `{rows}` + if(`{nth}` <= `{total}` % `{rows}`, 1, 0)")).drop(nth)
         taken = taken.unionByName(shared.select(*columns, times(f"`{copies}`")))
     return taken.drop(nth)
