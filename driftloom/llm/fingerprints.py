@@ -26,6 +26,8 @@ LOWEST = -(2**63)
 ENDS = ("", "_w", "_h", "_s", "_f", "_a")
 #: Documents of one doc_id (or none) beyond a bucket's share are dealt by their text's hash to as many ranges.
 RANGES = 64
+#: Buckets a shuffle partition holds on average, so that partitions come out alike.
+SPREAD = 64
 
 
 def _bin(x: Column) -> Column:
@@ -84,19 +86,28 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def _buckets(kids: DataFrame, most: int) -> Column:
-    """A bucket number that ascends with (kid, th): at most `most` ** 2 ranges of kids between approximate quantiles, found in two steps; a kid that fills
-    ranges alone, as several quantiles are equal, has RANGES of its own by th."""
-    n = min(most * most, 16 * int(kids.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """A bucket number that ascends with (kid, th): SPREAD for each shuffle partition and `most` ** 3 in all at most. At most `most` ** 2 ranges of kids lie between
+    approximate quantiles and are found in two steps; where more buckets are due, each range is cut evenly into as many as `most`. A kid that fills ranges alone,
+    as several quantiles are equal, has RANGES of its own by th."""
+    due = SPREAD * int(kids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n, finer = min(most * most, due), min(most, -(-due // (most * most)))
     found = kids.agg(F.percentile_approx("kid", [i / n for i in range(1, n)], 100 * n).alias("q")).first()["q"] or []
     cuts = sorted(set(found)) or [LOWEST]
-    groups = [cuts[i : i + most] for i in range(0, len(cuts), most)]
-    coarse = F.size(F.filter(F.lit([g[0] for g in groups]), lambda x: x <= F.col("kid")))
-    fine = F.get(F.array(*(F.lit(g) for g in groups)), coarse - 1)
-    bucket = F.when(coarse == 0, F.lit(0)).otherwise((coarse - 1) * most + F.size(F.filter(fine, lambda x: x <= F.col("kid"))))
+    uppers = [*cuts[1:], cuts[-1]]
+    groups = [slice(i, i + most) for i in range(0, len(cuts), most)]
+    coarse = F.size(F.filter(F.lit([cuts[g][0] for g in groups]), lambda x: x <= F.col("kid")))
+    of_group = lambda values: F.get(F.array(*(F.lit(values[g]) for g in groups)), coarse - 1)
+    fine = F.size(F.filter(of_group(cuts), lambda x: x <= F.col("kid")))
+    bucket = F.when(coarse == 0, F.lit(0)).otherwise((coarse - 1) * most + fine)
     hot = [k for k in cuts if found.count(k) > 1]
     #: The bucket that begins with a hot kid has its rows of that kid first, then the others.
     within = F.when(F.col("kid").isin(hot), F.floor((F.col("th").cast("double") / 2.0**64 + 0.5) * (RANGES - 1))).otherwise(F.lit(RANGES)) if hot else F.lit(0)
-    return (bucket * (RANGES + 1) + within).cast("int")
+    bucket = bucket * (RANGES + 1) + within
+    if finer > 1:
+        low, high = (F.get(of_group(values), fine - 1).cast("double") for values in (cuts, uppers))
+        along = F.when(high > low, F.floor((F.col("kid").cast("double") - low) / (high - low) * finer))
+        bucket = bucket * finer + F.least(F.coalesce(along, F.lit(0)), F.lit(finer - 1))
+    return bucket.cast("int")
 
 
 def edited_fingerprints(docs: DataFrame, part: int = 3, most: int = 64) -> DataFrame:

@@ -486,10 +486,12 @@ def test_fingerprints_against_brute_force(spark):
         assert r["fingerprint"] == fingerprint_by_hand(r["text"]), r["doc_id"]
 
 
-def test_edited_texts_where_one_doc_id_is_hot(spark):
-    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text {i} " * 3) for i in range(120)]
+@pytest.mark.parametrize("most", [64, 4, 2])
+def test_edited_texts_where_one_doc_id_is_hot(spark, most):
+    """With so few ranges that they are cut evenly, too; doc_ids from all over the long range."""
+    rows = [(None if i % 3 == 0 else 7 if i % 6 == 1 else (i - 60) ** 3 << 40 if i % 6 == 4 else i, f"text {i} " * 3) for i in range(120)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = fingerprints.edited_fingerprints(docs).select("doc_id", "edited").collect()
+    got = fingerprints.edited_fingerprints(docs, most=most).select("doc_id", "edited").collect()
     hashes = {r["text"]: r["h"] for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
     order = sorted(rows, key=lambda r: (fingerprints.LOWEST if r[0] is None else r[0], hashes[r[1]]), reverse=True)
     want = [(d, t[: len(t) - len(t) // 3] + order[(k + 1) % len(order)][1][: len(t) // 3]) for k, (d, t) in enumerate(order)]
