@@ -73,6 +73,15 @@ def spread_join(rows: DataFrame, one: DataFrame, key: str, hot: list[int]) -> Da
     return rest.unionByName(rows.filter(is_hot).join(F.broadcast(one.filter(is_hot)), key, "left"))
 
 
+def safe_join(rows: DataFrame, one: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
+    """rows join one on equal names, nulls equal to nulls, by a shuffle at every size; each name comes once."""
+    other = one.withColumnsRenamed({n: f"{n}_of" for n in names}).hint("merge")
+    on = F.lit(True)
+    for n in names:
+        on = on & F.col(n).eqNullSafe(F.col(f"{n}_of"))
+    return rows.join(other, on, how).drop(*(f"{n}_of" for n in names))
+
+
 def aside(df: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
     """df with columns named like these (any case) renamed out of the way, and how they were: new name to old."""
     clash = [c for c in df.columns if c.lower() in names]
