@@ -95,3 +95,16 @@ SELECT d.doc_id, CAST(count(j.pos) AS BIGINT) AS n_words, CAST(count(*) FILTER (
        sha256(coalesce(string_agg(j.word, ' ' ORDER BY j.pos) FILTER (NOT j.is_gone), '')) AS kept_sha256
 FROM documents d LEFT JOIN judged j ON j.doc_id = d.doc_id GROUP BY d.doc_id
 """
+
+ORACLES["op11_exact_top_k"] = r"""
+WITH fine AS (
+  SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(CAST(c AS DOUBLE) * 1024) AS BIGINT)) AS x
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+asked AS (SELECT vec_id AS query_id, min(x) AS q FROM fine WHERE vec_id % 100 = 0 GROUP BY vec_id),
+scored AS (
+  SELECT query_id, vec_id, CAST(list_sum(list_transform(range(1, len(x) + 1), lambda i: q[i] * x[i])) AS BIGINT) AS score
+  FROM asked JOIN fine ON vec_id <> query_id AND len(q) = len(x)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM placed WHERE rank <= 10
+"""

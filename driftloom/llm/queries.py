@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .byte_bpe import ByteBpe
 from .common import read, stage
 from .conversation_repair import damaged, repaired_conversations
+from .cover_tree import top_k
 from .fingerprints import edited_fingerprints, likeness, packed
 from .jaccard_join import jaccard_groups
 from .line_dedup import dedup_lines
@@ -78,6 +79,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), F.xxhash64("starts").alias("starts_hash"))
 
 
+def op11_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations")
     return repaired_conversations(stage(damaged(turns), "damaged"), turns)
@@ -98,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_document_fingerprints": op9_document_fingerprints,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_exact_top_k": op11_exact_top_k,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_embedding_whitening": op13_embedding_whitening,
 }
