@@ -12,20 +12,18 @@ from .common import mix
 MOST_BITS, PROBES = 1 << 26, 3
 
 
-class Bloom:
-    def __init__(self, words: np.ndarray, bits: int):
-        self.words, self.bits = words, bits
+#: The bits, 64 a word, and how many they are: plain values, so that a broadcast needs no class on the other side.
+Bloom = tuple[np.ndarray, int]
 
-    def __contains__(self, keys: np.ndarray) -> bool:
-        raise TypeError("use has()")
 
-    def has(self, keys: np.ndarray) -> np.ndarray:
-        """Which of the 64-bit keys may be members."""
-        out, keys = np.ones(len(keys), bool), np.asarray(keys).view(np.uint64)
-        for k in range(PROBES):
-            at = mix(keys, k + 1) & np.uint64(self.bits - 1)
-            out &= (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-        return out
+def has(members: Bloom, keys: np.ndarray) -> np.ndarray:
+    """Which of the 64-bit keys may be members."""
+    words, bits = members
+    out, keys = np.ones(len(keys), bool), np.asarray(keys).view(np.uint64)
+    for k in range(PROBES):
+        at = mix(keys, k + 1) & np.uint64(bits - 1)
+        out &= (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+    return out
 
 
 def bloom_of(keys: DataFrame, column: str, count: int) -> Bloom:
@@ -48,4 +46,4 @@ def bloom_of(keys: DataFrame, column: str, count: int) -> Bloom:
     rows = keys.select(F.col(column).cast("long")).mapInArrow(run, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
     words = np.zeros(bits // 64, np.uint64)
     words[rows.column("word").to_numpy()] = rows.column("mask").to_numpy().view(np.uint64)
-    return Bloom(words, bits)
+    return words, bits

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bloom import bloom_of
+from .bloom import bloom_of, has
 from .common import binary, bounded_batches, hot_keys, over_batches, spare, spread_join, stage, text_hash
 from .components import components
 from .shingles import SHINGLE, WordCodes, shingle_set
@@ -180,7 +180,7 @@ def full_rows(wanted: DataFrame, docs: DataFrame, names: DataFrame, size: int, s
     chosen = docs.sparkSession.sparkContext.broadcast(bloom_of(ids.select(F.xxhash64("doc_id").alias("k")), "k", ids.count()))
 
     def full(batch: pa.RecordBatch) -> pa.RecordBatch:
-        batch = batch.filter(pa.array(chosen.value.has(batch.column(0).to_numpy().astype(np.int64))))
+        batch = batch.filter(pa.array(has(chosen.value, batch.column(0).to_numpy().astype(np.int64))))
         codes, sids, ns, sets, seen = WordCodes(), [], [], [], set()
         for data in binary(batch.column(1)):
             s = shingle_set(data, codes, size)

@@ -1,7 +1,7 @@
 """Line dedup by sharded minimal perfect hashes.
 
 Line keys (the line stripped of [\\x20\\x09-\\x0D], A-Z lower-cased) are hashed to 128 bits. One aggregation
-counts the documents that hold each key; keys of at least two documents (no other can be found again) are dealt by hash into shards of
+counts the documents that hold each key; keys of at least two rows (no other can be found again) are dealt by hash into shards of
 about SHARD_KEYS keys, and each shard becomes a minimal perfect hash, placed by all 128 bits, that indexes arrays of
 fingerprints (64 bits), saturated counts and keepers (the largest doc_id, as an offset), each in the narrowest type that holds
 it: 8 + 1 + 1 to 8 bytes and 2 bits a key. Documents probe the arrays, and a line goes if its count reaches `min_docs`:
@@ -10,8 +10,8 @@ it: 8 + 1 + 1 to 8 bytes and 2 bits a key. Documents probe the arrays, and a lin
 * a larger one stays in its table, each document's distinct line hashes travel to the shards (by as many salts as a shard's counted load asks
   for), are probed as a stream behind their shard, and only the lines to drop travel back.
 
-Defined cases: null or empty text is one empty line and returns as ''. Every row counts as a document of its own; rows
-that share the largest doc_id all keep the line. A null doc_id is below every other. Keys are named by
+Defined cases: null or empty text is one empty line and returns as ''. Rows that share a doc_id count as one document (a null
+doc_id too, which is below every other); rows that share the largest doc_id all keep the line. Keys are named by
 128 bits of hash; a key that isn't in the index passes for one that is with a probability of 2^-64. Other columns pass through; columns named n_lines or n_dropped are replaced.
 """
 
@@ -57,7 +57,7 @@ def pairs_of(digests: list[bytes]) -> np.ndarray:
 
 
 def line_counts(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """h, fp, n (documents that hold the key), keeper (largest doc_id)."""
+    """h, fp, n (documents that hold the key: distinct doc_ids, null as one), rows (that hold it), keeper (largest doc_id)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, digests = [], []
@@ -69,7 +69,7 @@ def line_counts(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(p[:, 1]), pa.array(p[:, 0]), pa.array(ids, pa.int64())], names=["h", "fp", "doc"])
 
     rows = over_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "h long, fp long, doc long")
-    return rows.groupBy("h", "fp").agg(F.count("*").alias("n"), F.max("doc").alias("keeper"))
+    return rows.groupBy("h", "fp").agg(F.count_distinct("doc").alias("n"), F.count("*").alias("rows"), F.max("doc").alias("keeper"))
 
 
 def places(h: np.ndarray, fp: np.ndarray, level: int, size: int) -> np.ndarray:
@@ -139,16 +139,16 @@ class Shard:
 
 
 def line_index(counts: DataFrame, most: int = SATURATED) -> tuple[DataFrame, int, int, list[int]]:
-    """A table (shard, blob) of the keys of at least two documents, the number of shards, the bytes, and each shard's salts: tasks that its probes need."""
+    """A table (shard, blob) of the keys of at least two rows, the number of shards, the bytes, and each shard's salts: tasks that its probes need."""
     seen = Observation()
-    counts = stage(counts.observe(seen, F.coalesce(F.sum("n"), F.lit(0)).alias("probes")).filter("n > 1"), "lines")
+    counts = stage(counts.observe(seen, F.coalesce(F.sum("rows"), F.lit(0)).alias("probes")).filter("rows > 1"), "lines")
     probes = seen.get["probes"]
     shards = max(1, -(-counts.count() // SHARD_KEYS))
 
     def build(table: pa.Table) -> pa.Table:
         col = lambda k: table.column(k).to_numpy()
         blob = Shard(col("h").view(np.uint64), col("fp").view(np.uint64), col("n"), col("keeper"), most).dump()
-        return pa.table({"shard": pa.array([table.column("shard")[0].as_py()], pa.int64()), "n": pa.array([int(col("n").sum())], pa.int64()), "blob": pa.array([blob], pa.binary())})
+        return pa.table({"shard": pa.array([table.column("shard")[0].as_py()], pa.int64()), "n": pa.array([int(col("rows").sum())], pa.int64()), "blob": pa.array([blob], pa.binary())})
 
     index = stage(counts.withColumn("shard", F.pmod("h", F.lit(shards))).groupBy("shard").applyInArrow(build, "shard long, n long, blob binary"), "line-index")
     loads = {r["shard"]: r["n"] for r in index.select("shard", "n").collect()}  # a number for each SHARD_KEYS keys

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bloom import Bloom, bloom_of
+from .bloom import Bloom, bloom_of, has
 from .common import binary, bounded_batches, mix, over_batches, replaced, spare, stage
 from .shingles import WordCodes, window_hashes
 
@@ -68,7 +68,7 @@ def anchors(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if len(codes) < WINDOW:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     grams = window_hashes(codes, ANCHOR)
-    bits = np.uint64((1 << len(grams).bit_length()) - 1)
+    bits = np.uint64((1 << 32) - 1)  # as many in every text, so that equal windows elect equal places
     low = (grams & ~bits) | np.arange(len(grams), dtype=np.uint64)  # the place takes the low bits, so ties go to the first
     reach = 1
     while 2 * reach <= BACK + 1:
@@ -150,13 +150,13 @@ def places(docs: DataFrame, shared: Bloom, steps: list[Bloom]) -> DataFrame:
                 words = data.split()
                 own = codes.of(words)
                 at, grams = anchors(own)
-                keep = shared.has(grams)
+                keep = has(shared, grams)
                 at, grams = at[keep], grams[keep]
                 if not len(at):
                     continue
                 step = np.zeros(len(at), np.int64)
                 for k, s in enumerate(steps, 1):
-                    step[s.has(grams)] = k
+                    step[has(s, grams)] = k
                 plain, n = b" ".join(words), len(words)
                 ends = np.cumsum(np.fromiter((len(w) + 1 for w in words), np.int64, n))
                 begins = np.concatenate([[0], ends[:-1]])
@@ -289,7 +289,9 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     steps = [bloom_of(counts.filter(F.col("contexts") > g), "gram", n[f"over_{g}"]) for g in GROUPS if n[f"over_{g}"]]
     bounded_batches(docs.sparkSession)
     kid, th, gone = spare(docs, "kid", "th", "gone")
-    marks = covered(places(docs, shared, steps)).groupBy(F.col("kid").alias(kid), F.col("th").alias(th)).agg(F.collect_list(F.struct("at", "words")).alias(gone))
+    #: Equal rows mark the same places: one mark of each, so that what a text gathers is bounded by its words, however many rows it has.
+    marks = covered(places(docs, shared, steps)).groupBy("kid", "th", "at").agg(F.bit_or("words").alias("words"))
+    marks = marks.groupBy(F.col("kid").alias(kid), F.col("th").alias(th)).agg(F.collect_list(F.struct("at", "words")).alias(gone))
     added = {"n_words": T.LongType(), "n_removed": T.LongType(), "removed": T.ArrayType(T.ArrayType(T.IntegerType()))}
     schema = replaced(docs, **added)
     left = docs.select(*(f"`{x}`" for x in schema.names if x not in added), F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias(kid), F.xxhash64("text").alias(th))

@@ -15,7 +15,7 @@ The work grows with the square of the vectors, less the pairs of tiles that are
 all vectors on each projection; a vector is sent once for each strip that its own meets. The driver reads the bounds of the tiles (one row for each
 TILE vectors) and gives each strip the range of its partners.
 
-Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and rows without vec_id, link with nothing; vectors of
+Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and rows without vec_id, link with nothing; finite components of any size count (vectors are scaled by the largest first); vectors of
 different dimensions don't either; repeated rows and equal vectors link with each other. Other columns are left out.
 """
 
@@ -120,12 +120,15 @@ def linked(vectors: DataFrame, cosine: float) -> DataFrame:
     """(dim, vh, embedding, copies) to rows kind 0: (a: vh, b: links to other vectors' copies) and kind 1: (a, b) links that join."""
     dims = [r["dim"] for r in vectors.select("dim").distinct().collect()]
     first = {d: directions(d)[0].tolist() for d in dims}
+    #: Scaled by the largest component first: squares of very small or large ones would vanish or overflow.
+    vectors = vectors.withColumn("most", F.array_max(F.transform("embedding", lambda x: F.abs(x.cast("double")))))
+    scaled = vectors.withColumn("scaled", F.transform("embedding", lambda x: x.cast("double") / F.col("most")))
     value = None
     for d in dims:
-        norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-        dot = F.aggregate(F.zip_with("embedding", F.lit(first[d]), lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
+        norm = F.sqrt(F.aggregate("scaled", F.lit(0.0), lambda s, x: s + x * x))
+        dot = F.aggregate(F.zip_with("scaled", F.lit(first[d]), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
         value = (F if value is None else value).when(F.col("dim") == d, dot / norm)
-    rows = ranked(vectors.withColumn("value", value if value is not None else F.lit(0.0)), ["dim"], ["value", "vh"], "place")
+    rows = ranked(scaled.withColumn("value", value if value is not None else F.lit(0.0)).drop("scaled", "most"), ["dim"], ["value", "vh"], "place")
     rows = stage(rows.withColumn("tile", F.expr(f"(place - 1) div {TILE}")), "tiles")
     #: However the other directions fall, a pair further apart than this on one is further apart than any link.
     far = math.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-6

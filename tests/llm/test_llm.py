@@ -59,11 +59,11 @@ def test_staged_tables_can_be_dropped(spark):
 
 def lines_by_hand(docs):
     key = lambda x: re.sub(r"^[\x20\x09-\x0d]+|[\x20\x09-\x0d]+$", "", x).translate({c: c + 32 for c in range(65, 91)})
-    held = defaultdict(list)
+    held = defaultdict(set)
     for d, t in docs:
         for k in {key(x) for x in (t or "").split("\n")}:
             if len(k) >= 40:
-                held[k].append(line_dedup.LOWEST if d is None else d)
+                held[k].add(line_dedup.LOWEST if d is None else d)
     out = []
     for d, t in docs:
         own = line_dedup.LOWEST if d is None else d
