@@ -406,3 +406,5 @@ texts AS (SELECT s.url, s.css, list_reduce(list_prepend(s.css, coalesce(e.es, []
 SELECT url, regexp_replace(content, '(?i)url[(]\\s*([''"]?)([^''")]+?)([''"]?)\\s*[)]', 'url(\\1\\2\\3)', 'g') AS content, regexp_replace(content, '(?i)url[(]\\s*([''"]?)([^''")]+?)([''"]?)\\s*[)]', 'url(\\1\\2\\3)', 'g') <> css AS changed FROM texts"""
 _INDEX = '<!doctype html>\n<meta charset="utf-8">\n<meta http-equiv="refresh" content="0; url={0}">\n<a href="{0}">Open the mirrored site</a>\n'
 ORACLES["entry_index"] = f"SELECT * FROM {fx.values([('index.html', _INDEX.format('https://absent.example.com/?q=%22x%22')), ('index.html', _INDEX.format('host/index.html'))], 'path, content')}"
+
+ORACLES["stream_crawl_manifest"] = ORACLES["crawl_manifest"]

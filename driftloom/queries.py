@@ -11,6 +11,7 @@ from . import fixtures as fx
 from .functions import css, urls
 from .operators import crawl, links, manifest, responses, rewrite, robots, tables
 from .plans import catalog
+from .streaming.crawl import CrawlStream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -326,6 +327,16 @@ def crawl_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("url", "depth", "status", C("out_kind").alias("kind"), C("why").alias("error"))
 
 
+@query
+def stream_crawl_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same crawl as a stream over files of events, with state for each host."""
+    rules, _ = robots.parsed(catalog.robots(spark), AGENT)
+    gates = crawl.Gates(max_depth=6, exclude=("/NATION/7", "/order/5"))
+    outcomes, found = site_outcomes(spark, sf_dir), site_links(spark, sf_dir)
+    rows = CrawlStream(spark, catalog.HOME, lambda asked: (outcomes, found), gates, rules).run()
+    return rows.select("url", "depth", "status", C("out_kind").alias("kind"), C("why").alias("error"))
+
+
 @query
 def resume_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Resuming after the regions and even nations were saved: what is left to fetch, to depth 5."""
