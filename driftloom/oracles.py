@@ -88,12 +88,6 @@ FROM rows_ GROUP BY ALL"""
 
 ORACLES["url_normalize"] = f"SELECT page_id, {PAGE_URL} AS normalized, {host('url')} AS host FROM pages"
 
-_RESOLVED = [
-    "https://ex.com/a/b", "https://ex.com/x/c?d=1", "https://ex.com/x/up", "https://ex.com/x/", "https://ex.com/x?q=1", "https://ex.com/x?n=2", "http://cdn.test/p", "http://ex.com/B",
-    None, None, None, None, "https://ex.com/d/a%20b", "https://ex.com/f%C3%BCr", "https://ex.com/p", "https://ex.com/", "https://ex.com/x", "https://ex.com/win/path",
-]
-ORACLES["url_resolve_cases"] = f"SELECT * FROM {fx.values([(*c, r) for c, r in zip(fx.NORMALIZE, _RESOLVED, strict=True)], 'ref, base, resolved')}"
-
 _H = root("url")
 ORACLES["scope_filter"] = f"""
 SELECT url, root, coalesce({_H} = root OR ends_with({_H}, '.' || root), false) AS with_sub, coalesce({_H} = root, false) AS without_sub
@@ -105,8 +99,8 @@ SELECT name, page_id FROM pages, {fx.values(fx.EXCLUDES, 'name, pattern')} AS e
 WHERE pattern IS NOT NULL AND pattern <> '' AND contains(lower(url), lower(pattern))"""
 
 ORACLES["depth_gate"] = """
-SELECT CAST(d AS INTEGER) AS depth, CAST(m AS INTEGER) AS most, coalesce(m, 0) = 0 OR d <= m AS inside
-FROM range(1, 5) AS r(d), (SELECT * FROM (VALUES (NULL), (0), (1), (3)) AS v(m)) AS x"""
+WITH e AS (SELECT event_id, CAST(event_id % 7 + 1 AS INTEGER) AS depth, CASE WHEN user_id % 5 < 4 THEN CAST(user_id % 5 AS INTEGER) END AS most FROM events)
+SELECT event_id, depth, most, coalesce(most, 0) = 0 OR depth <= most AS inside FROM e"""
 
 ORACLES["url_to_path_page"] = f"""
 WITH {LINKS}, src AS (SELECT abs_url AS url, 'page' AS kind FROM links WHERE kind = 'page' UNION SELECT src_url, 'page' FROM own), {mapped('src')}
@@ -142,6 +136,15 @@ def resolved(ref: str, base: str) -> str:
     return rf"regexp_replace(regexp_replace({whole}, '/[^/.]+/\.\./', '/'), '(://[^/]*)(/\.\.)+/', '\1/')"
 
 
+#: What the helper above leaves out: nothing but a query or a fragment, backslashes, dots, ports, an origin alone, characters to encode.
+_FULL = f"""
+CASE WHEN plain = '' THEN regexp_replace(base, '#.*$', '') WHEN starts_with(plain, '?') THEN regexp_extract(base, '^([^?#]*)', 1) || plain
+  ELSE regexp_replace(regexp_replace(regexp_replace({resolved('plain', 'base')}, '^http://([^/]*):80/', 'http://\\1/'), '/[.]/', '/'), '^(https?://[^/?#]*)$', '\\1/') END"""
+ORACLES["url_resolve_cases"] = f"""
+WITH c AS (SELECT ref, base, replace(regexp_replace(ref, '#.*$', ''), chr(92), '/') AS plain FROM {fx.spread_sql(fx.NORMALIZE, 'ref, base')})
+SELECT ref, base, CASE WHEN contains(plain, '[') THEN NULL ELSE regexp_replace(replace(replace({_FULL}, ' ', '%20'), 'ü', '%C3%BC'), '[.]/$', '') END AS resolved FROM c"""
+
+
 def attribute(name: str) -> str:
     value = lambda k: f"regexp_extract(t, '(?i)\\s{name}\\s*=\\s*(?:''([^'']*)''|\"([^\"]*)\"|([^\\s>]+))', {k})"
     return f"({value(1)} || {value(2)} || {value(3)})"
@@ -149,7 +152,7 @@ def attribute(name: str) -> str:
 
 _URLS = r"list_filter(list_transform(regexp_extract_all({css}, '(?i)url\(\s*[''\"]?([^''\")]+?)\s*[''\"]?\s*\)', 1), lambda r: trim(r)), lambda r: NOT starts_with(r, 'data:'))"
 _MARKUP = rf"""
-pages_ AS (SELECT url, regexp_replace(html, '(?is)<textarea>.*?</textarea>', '') AS h FROM {fx.values(fx.MARKUP, 'url, html')}),
+pages_ AS (SELECT url, regexp_replace(html, '(?is)<textarea>.*?</textarea>', '') AS h FROM {fx.spread_sql(fx.MARKUP, 'url, html')}),
 tags AS (SELECT url, unnest(regexp_extract_all(h, '<[a-z]+[^>]*>')) AS t FROM pages_),
 parts AS (SELECT url, t, regexp_extract(t, '^<([a-z]+)', 1) AS tag FROM tags),
 bases AS (SELECT p.url, coalesce((SELECT min({resolved(attribute('href'), 'q.url')}) FROM parts q WHERE q.url = p.url AND tag = 'base'), p.url) AS base_url FROM pages_ p),
@@ -168,14 +171,17 @@ kinds AS (SELECT src_url, abs_url, CASE source WHEN 'a' THEN CASE WHEN inside TH
   WHEN 'iframe' THEN CASE WHEN inside THEN 'page' END ELSE 'asset' END AS kind FROM judged)
 SELECT DISTINCT src_url, abs_url, kind FROM kinds WHERE kind IS NOT NULL"""
 ORACLES["effective_base"] = f"WITH {_MARKUP} SELECT url, base_url FROM bases"
-ORACLES["inert_refs"] = f"SELECT * FROM {fx.values(fx.INERT, 'ref, inert')}"
+ORACLES["inert_refs"] = f"""
+WITH {LINKS}, refs AS (SELECT o.page_id, unnest(regexp_extract_all(regexp_replace(html, '(?is)<script\\b.*?</script\\s*>|<!--.*?-->', '', 'g'), '(?is)<a\\s(?:[^>]*?\\s)?href\\s*=\\s*["'']([^"''>]*)["'']', 1)) AS ref FROM own o
+  UNION ALL SELECT page_id, ref FROM {fx.spread_sql(fx.INERT, 'ref')})
+SELECT page_id, ref, regexp_matches(trim(lower(ref)), '^($|#|(data|mailto|tel|javascript|blob|about):)') AS inert FROM refs"""
 ORACLES["display_forms"] = """
 WITH e AS (SELECT event_id, event_id * event_id * 37 AS n, event_id * event_id * 37 // 1000 AS s FROM events)
 SELECT event_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', floor(n * 10 / 1024.0 + 0.5) / 10) WHEN n < 1073741824 THEN printf('%.1f MB', floor(n * 10 / 1048576.0 + 0.5) / 10) ELSE printf('%.1f GB', floor(n * 10 / 1073741824.0 + 0.5) / 10) END AS size,
   CASE WHEN s >= 3600 THEN (s // 3600) || 'h ' || (s // 60 % 60) || 'm ' || (s % 60) || 's' WHEN s >= 60 THEN (s // 60) || 'm ' || (s % 60) || 's' ELSE s || 's' END AS duration FROM e"""
 
 _SHEET_REFS = rf"""
-sheets AS (SELECT * FROM {fx.values(fx.SHEETS, 'url, css')}),
+sheets AS (SELECT * FROM {fx.spread_sql(fx.SHEETS, 'url, css')}),
 called AS (SELECT url, css, unnest({_URLS.format(css='css')}) AS ref FROM sheets UNION SELECT url, css, unnest(regexp_extract_all(css, '(?i)@import\s+(?:url\(\s*)?[''"]([^''"]+)[''"]', 1)) FROM sheets),
 refs AS (SELECT url, css, ref, {resolved('ref', 'url')} AS abs_url FROM called)"""
 ORACLES["css_refs"] = f"WITH {_SHEET_REFS} SELECT DISTINCT url AS src_url, abs_url FROM refs"
@@ -187,13 +193,13 @@ SELECT page_id, trim(substr(f, 1, 120)) || '.html' AS file, d AS folder, printf(
   printf('%04d', page_id + 1) || '_' || CASE WHEN page_id % 2 = 0 THEN 'Re_port_.PDF' ELSE regexp_replace(last, '[<>:"/\\|?*]', '_', 'g') || CASE WHEN lower(last) LIKE '%.pdf' THEN '' ELSE '.pdf' END END AS suggested FROM t"""
 
 _CANDIDATES = r"""
-parts AS (SELECT value, list_filter(list_transform(string_split(value, ','), lambda c: regexp_replace(c, '^\s+|\s+$', '', 'g')), lambda c: c <> '') AS cs FROM {v})"""
+parts AS (SELECT page_id, value, list_filter(list_transform(string_split(value, ','), lambda c: regexp_replace(c, '^\s+|\s+$', '', 'g')), lambda c: c <> '') AS cs FROM {v})"""
 ORACLES["srcset_parse"] = f"""
-WITH {_CANDIDATES.format(v=fx.values(fx.SRCSETS, 'value'))}, flat AS (SELECT value, unnest(range(0, len(cs))) AS pos, unnest(cs) AS c FROM parts)
-SELECT value, CAST(pos AS BIGINT) AS pos, regexp_extract(c, '^(\\S+)', 1) AS url, regexp_replace(regexp_extract(c, '^\\S+(.*)$', 1), '^\\s+', '') AS descriptor FROM flat"""
+WITH {_CANDIDATES.format(v=fx.spread_sql(fx.SRCSETS, 'value'))}, flat AS (SELECT page_id, value, unnest(range(0, len(cs))) AS pos, unnest(cs) AS c FROM parts)
+SELECT page_id, value, CAST(pos AS BIGINT) AS pos, regexp_extract(c, '^(\\S+)', 1) AS url, regexp_replace(regexp_extract(c, '^\\S+(.*)$', 1), '^\\s+', '') AS descriptor FROM flat"""
 ORACLES["srcset_rewrite"] = f"""
-WITH {_CANDIDATES.format(v=fx.values(fx.SRCSETS, 'value'))}
-SELECT value, array_to_string(list_transform(cs, lambda c: CASE regexp_extract(c, '^(\\S+)', 1) WHEN 'a.png' THEN 'local/a.png' WHEN 'only.png' THEN '../only.png' ELSE regexp_extract(c, '^(\\S+)', 1) END
+WITH {_CANDIDATES.format(v=fx.spread_sql(fx.SRCSETS, 'value'))}
+SELECT page_id, value, array_to_string(list_transform(cs, lambda c: CASE regexp_extract(c, '^(\\S+)', 1) WHEN 'a.png' THEN 'local/a.png' WHEN 'only.png' THEN '../only.png' ELSE regexp_extract(c, '^(\\S+)', 1) END
   || CASE WHEN regexp_matches(c, '\\s') THEN ' ' || regexp_replace(regexp_extract(c, '^\\S+(.*)$', 1), '^\\s+', '') ELSE '' END), ', ') AS rewritten FROM parts"""
 
 ORACLES["js_shell"] = r"""
@@ -204,16 +210,16 @@ texts AS (SELECT page_id, html, trim(regexp_replace(replace(replace(replace(repl
 SELECT page_id, length(v) AS visible, length(v) < 150 AND contains(lower(html), '<script') AS shell FROM texts"""
 
 ORACLES["js_shell_cases"] = f"""
-SELECT id, (length(trim(CASE WHEN inner_ LIKE '<%' THEN regexp_replace(inner_, '<[^>]*>', '', 'g') ELSE inner_ END || repeat('word ', words))) < 150 AND script = 1)
+SELECT page_id, (length(trim(regexp_replace(CASE WHEN inner_ LIKE '%<%' THEN regexp_replace(inner_, '<[^>]*>', '', 'g') ELSE inner_ END || repeat('word ', words), '\\s+', ' ', 'g'))) < 150 AND script = 1)
   OR (regexp_matches(attribute, 'data-reactroot|id=[''"]?(root|app|__next|__nuxt)[''"]?$') AND trim(regexp_replace(inner_, '<!--.*?-->', '', 'g')) = '') AS shell
-FROM (SELECT CAST(id AS INTEGER) AS id, attribute, inner_, script, words FROM {fx.values(fx.SHELLS, 'id, attribute, inner_, script, words')})"""
+FROM (SELECT page_id, attribute, inner_, script, CAST(words + page_id % 35 AS INTEGER) AS words FROM {fx.spread_sql(fx.SHELLS, 'attribute, inner_, script, words')})"""
 
 _SOURCE = """CASE WHEN contains(h, '<title>just a moment') THEN 'cloudflare' WHEN contains(h, 'awswafcookiedomainlist') THEN 'aws-waf' WHEN contains(h, 'window.gokuprops') THEN 'aws-waf'
   WHEN contains(h, 'cf-mitigated') THEN 'cloudflare-header' WHEN contains(h, 'challenges.cloudflare.com') THEN 'cloudflare' WHEN contains(h, 'attention required! | cloudflare') THEN 'cloudflare'
   WHEN contains(h, 'checking your browser before accessing') THEN 'cloudflare-legacy' WHEN contains(h, '<title>access denied</title>') THEN 'akamai' END"""
 ORACLES["challenge_detect"] = f"""
-WITH b AS (SELECT *, lower(substr(body, 1, 4096)) AS h FROM {fx.values(fx.BODIES, 'id, header, body, content_type')})
-SELECT CAST(id AS INTEGER) AS id, CASE header WHEN 'cf-mitigated' THEN 'cloudflare-header' WHEN 'x-amzn-waf-action' THEN 'aws-waf-header'
+WITH b AS (SELECT x.page_id, header, front || html AS body, content_type, lower(substr(front, 1, 4096)) AS h FROM {fx.spread_sql(fx.BODIES, 'header, front, content_type')} x JOIN pages p ON p.page_id = x.page_id)
+SELECT page_id, CASE header WHEN 'cf-mitigated' THEN 'cloudflare-header' WHEN 'x-amzn-waf-action' THEN 'aws-waf-header'
   ELSE CASE WHEN regexp_matches(content_type, 'text/html|application/xhtml') THEN {_SOURCE} END END AS challenge,
   CASE WHEN starts_with(body, '%PDF-') THEN NULL ELSE coalesce({_SOURCE}, 'content-mismatch') END AS as_pdf FROM b"""
 #: What ends within the first 4096 bytes: the characters up to the end of the marker are counted in bytes.
@@ -223,7 +229,7 @@ WITH b AS (SELECT text || CASE doc_id % 3 WHEN 0 THEN ' CF-Mitigated' WHEN 1 THE
 SELECT {_WITHIN} AS source, count(*) AS documents FROM l GROUP BY 1"""
 
 _ROBOTS = rf"""
-lines AS (SELECT host, unnest(range(0, len(string_split(text, chr(10))))) AS ord, unnest(string_split(text, chr(10))) AS raw FROM {fx.values(fx.ROBOTS, 'host, text')}),
+lines AS (SELECT host, unnest(range(0, len(string_split(text, chr(10))))) AS ord, unnest(string_split(text, chr(10))) AS raw FROM {fx.spread_sql(fx.ROBOTS, 'host, text')}),
 clean AS (SELECT host, ord, trim(string_split(trim(raw), '#')[1]) AS line FROM lines),
 pairs AS (SELECT host, ord, lower(trim(string_split(line, ':')[1])) AS key, trim(regexp_extract(line, '^[^:]*:(.*)$', 1)) AS value FROM clean WHERE line <> ''),
 flagged AS (SELECT *, CASE WHEN key = 'user-agent' AND coalesce(lag(key) OVER (PARTITION BY host ORDER BY ord), '') <> 'user-agent' THEN 1 ELSE 0 END AS opens FROM pairs),
@@ -237,12 +243,12 @@ rules AS (SELECT host, ord, key = 'allow' AS allow, value AS pattern, '^' || CAS
 delays AS (SELECT host, max(d) AS crawl_delay FROM (SELECT host, TRY_CAST(regexp_extract(value, '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)', 0) AS DOUBLE) AS d FROM mine WHERE key = 'crawl-delay') WHERE d > 0 GROUP BY host)"""
 ORACLES["robots_parse"] = f"WITH {_ROBOTS} SELECT r.host, r.ord, allow, pattern, regex, crawl_delay FROM rules r LEFT JOIN delays d ON d.host = r.host"
 ORACLES["robots_match"] = f"""
-WITH {_ROBOTS}, urls AS (SELECT * FROM {fx.values([(h, p) for h, _ in fx.ROBOTS for p in fx.ROBOT_PATHS], 'host, pathname')}),
+WITH {_ROBOTS}, urls AS (SELECT r.host, p.pathname FROM {fx.spread_sql(fx.ROBOTS, 'host, text')} r JOIN {fx.spread_sql([(p,) for p in fx.ROBOT_PATHS], 'pathname', True)} p ON p.page_id = r.page_id),
 hits AS (SELECT u.host, u.pathname, arg_max(r.allow, length(r.pattern) * 2 + r.allow::INT) AS best FROM urls u JOIN rules r ON r.host = u.host AND regexp_matches(u.pathname, r.regex) GROUP BY ALL)
 SELECT u.host, u.pathname, coalesce(h.best, true) AS allowed FROM urls u LEFT JOIN hits h ON h.host = u.host AND h.pathname = u.pathname"""
 ORACLES["effective_delay"] = f"""
 WITH {_ROBOTS} SELECT h.host, greatest(2500.0::DOUBLE, coalesce(d.crawl_delay * 1000, 2500.0::DOUBLE)) AS delay_ms
-FROM {fx.values([(h,) for h, _ in fx.ROBOTS], 'host')} h LEFT JOIN delays d ON d.host = h.host"""
+FROM {fx.spread_sql(fx.ROBOTS, 'host, text')} h LEFT JOIN delays d ON d.host = h.host"""
 
 _BLOCKED = r"CASE WHEN regexp_matches(url, '/customer/.*3$') THEN false WHEN regexp_matches(url, '/part/.*1') THEN true WHEN contains(url, '/part/') THEN false ELSE true END"
 _SITE = """
@@ -321,9 +327,9 @@ WITH d AS (SELECT event_id, (event_id * 7919 % 1000) / 1000.0::DOUBLE AS u, user
 SELECT event_id, least + CAST(floor(u * (floor(least * 1.75::DOUBLE) - least)) AS BIGINT) AS jittered, least + 100 * CAST(floor(u * (greatest(900 - least, 0) // 100 + 1)) AS BIGINT) AS stepped FROM d"""
 
 ORACLES["error_taxonomy"] = f"""
-SELECT CAST(id AS INTEGER) AS id, CASE WHEN name IN ('AbortError', 'TimeoutError') THEN 'timeout' WHEN code IN ('ENOTFOUND', 'EAI_AGAIN') THEN 'dns' WHEN regexp_matches(code, 'CERT|TLS|SSL') THEN 'tls'
+SELECT page_id, CASE WHEN name IN ('AbortError', 'TimeoutError') THEN 'timeout' WHEN code IN ('ENOTFOUND', 'EAI_AGAIN') THEN 'dns' WHEN regexp_matches(code, 'CERT|TLS|SSL') THEN 'tls'
   WHEN code IN ('ECONNRESET', 'ECONNREFUSED', 'EPIPE') THEN 'connection' ELSE 'network' END AS kind, CASE WHEN code IS NULL THEN message ELSE code || ': ' || message END AS message
-FROM {fx.values(fx.ERRORS, 'id, name, code, message')}"""
+FROM {fx.spread_sql(fx.ERRORS, 'name, code, message')}"""
 
 ORACLES["fetch_classify"] = """
 WITH r AS (SELECT event_id, event_id % 13 = 0 AS bad, 100 + event_id * 7 % 900 AS size, event_id % 11 = 0 AS ch, event_type = 'error' AS e404, event_type <> 'click' AS is_html, event_id % 5 = 0 AS shell, event_id % 2 = 0 AS ren FROM events),
@@ -337,13 +343,13 @@ s AS (SELECT event_id, event_id % 8 AS depth, event_type, CASE WHEN event_id % 1
 SELECT event_id, status, error, status = 'ok' AND event_type IN ('click', 'view') AND depth < 5 AS follow FROM s"""
 
 ORACLES["css_chain"] = f"""
-WITH RECURSIVE edges AS (SELECT * FROM {fx.values(fx.CSS_EDGES, 'src, dst')}),
-reach(url, depth) AS (SELECT 'https://s.test/0.css', 0 UNION SELECT e.dst, r.depth + 1 FROM reach r JOIN edges e ON e.src = r.url WHERE r.depth < 5 AND ends_with(r.url, '.css'))
+WITH RECURSIVE edges AS (SELECT * FROM {fx.spread_sql(fx.CSS_EDGES, 'src, dst', True)}),
+reach(url, depth) AS (SELECT url, 0 FROM {fx.spread_sql([(fx.CSS_EDGES[0][0],)], 'url')} UNION SELECT e.dst, r.depth + 1 FROM reach r JOIN edges e ON e.src = r.url WHERE r.depth < 5 AND ends_with(r.url, '.css'))
 SELECT url, min(depth) AS depth FROM reach GROUP BY url"""
 ORACLES["redirect_resolve"] = f"""
-WITH RECURSIVE hops AS (SELECT * FROM {fx.values(fx.HOPS, 'url, status, location')}),
+WITH RECURSIVE hops AS (SELECT * FROM {fx.spread_sql(fx.HOPS, 'url, status, location', True)}),
 walk(url, now, requests) AS (
-  SELECT url, url, 1 FROM {fx.values([(u,) for u in fx.HOP_STARTS], 'url')}
+  SELECT url, url, 1 FROM {fx.spread_sql([(u,) for u in fx.HOP_STARTS], 'url', True)}
   UNION ALL SELECT w.url, h.location, w.requests + 1 FROM walk w JOIN hops h ON h.url = w.now WHERE h.status IN (301, 302, 303, 307, 308) AND h.location IS NOT NULL AND w.requests < 10),
 last AS (SELECT url, arg_max(now, requests) AS final_url, max(requests) AS requests FROM walk GROUP BY url)
 SELECT l.url, l.final_url, h.status AS http_status, l.requests, CASE WHEN h.url IS NULL THEN 'network' WHEN h.status NOT IN (301, 302, 303, 307, 308) THEN NULL WHEN h.location IS NULL THEN 'bad-redirect' ELSE 'redirect-limit' END AS error
@@ -387,17 +393,17 @@ texts AS (SELECT o.src_url AS url, o.html, replace(list_reduce(list_prepend(o.ht
 SELECT t.url, m.path, sha256(content) AS sha256, content <> html AS changed FROM texts t JOIN mirror m ON m.url = t.url"""
 ORACLES["broken_links"] = f"WITH {_PLANNED} SELECT path, value AS raw_ref FROM valued WHERE length(target) % 3 = 0"
 ORACLES["rewrite_cases"] = f"""
-WITH refs AS (SELECT raw_ref, trim(raw_ref) AS r FROM {fx.values(fx.KEPT_REFS, 'raw_ref')}), files AS (SELECT * FROM {fx.values(fx.KEPT_FILES, 'url, path')}),
+WITH refs AS (SELECT f.url, raw_ref, trim(raw_ref) AS r FROM {fx.spread_sql(fx.KEPT_REFS, 'raw_ref', True)} x JOIN {fx.spread_sql(fx.KEPT_FILES[:1], 'url, path')} f ON f.page_id = x.page_id), files AS (SELECT url, path FROM {fx.spread_sql(fx.KEPT_FILES, 'url, path', True)}),
 known AS (SELECT *, regexp_matches(r, '^(#|mailto:)') AS inert, NOT regexp_matches(r, '^([A-Za-z][A-Za-z0-9+.-]*:|/)') AS relative, {resolved('r', "'https://h.test/d/p'")} AS abs_url, regexp_extract(r, '(#.+)$', 1) AS fragment,
   regexp_replace(regexp_replace('h.test/d/' || regexp_extract(r, '^([^?#]*)', 1), '^h.test/d/[.][.]/[.][.]/', ''), '^h.test/d/[.][.]/', 'h.test/') AS own FROM refs),
 found AS (SELECT k.*, f.path AS target, g.path AS there FROM known k LEFT JOIN files f ON f.url = k.abs_url AND NOT inert LEFT JOIN files g ON g.path = k.own AND relative AND NOT inert)
-SELECT raw_ref, CASE WHEN inert THEN 'skipped' WHEN target IS NOT NULL THEN 'localized' WHEN there IS NOT NULL OR (NOT relative AND NOT regexp_matches(r, '^/([^/]|$)')) THEN 'kept' ELSE 'absolutized' END AS action,
+SELECT url, raw_ref, CASE WHEN inert THEN 'skipped' WHEN target IS NOT NULL THEN 'localized' WHEN there IS NOT NULL OR (NOT relative AND NOT regexp_matches(r, '^/([^/]|$)')) THEN 'kept' ELSE 'absolutized' END AS action,
   CASE WHEN inert THEN NULL WHEN target IS NOT NULL THEN CASE WHEN starts_with(target, 'h.test/d/') THEN substr(target, 10) WHEN starts_with(target, 'h.test/') THEN '../' || substr(target, 8) ELSE '../../' || target END || fragment
   WHEN there IS NOT NULL OR (NOT relative AND NOT regexp_matches(r, '^/([^/]|$)')) THEN NULL ELSE abs_url || fragment END AS value FROM found"""
 
 _SHEET_FILES = f"sheet_urls AS (SELECT url, 'asset' AS kind FROM sheets UNION SELECT abs_url, 'asset' FROM refs), {mapped('sheet_urls', 'sheet_paths')}"
 ORACLES["rewrite_css"] = f"""
-WITH {_SHEET_REFS}, {_SHEET_FILES}, wanted AS (SELECT r.*, s.path AS a_path, CASE WHEN r.abs_url IN ('https://site.test/css/base.css', 'https://site.test/img/a.png') THEN t.path END AS target FROM refs r JOIN sheet_paths s ON s.url = r.url JOIN sheet_paths t ON t.url = r.abs_url),
+WITH {_SHEET_REFS}, {_SHEET_FILES}, wanted AS (SELECT r.*, s.path AS a_path, CASE WHEN regexp_matches(r.abs_url, '[.]site[.]test/(css/base[.]css|img/a[.]png)$') THEN t.path END AS target FROM refs r JOIN sheet_paths s ON s.url = r.url JOIN sheet_paths t ON t.url = r.abs_url),
 cut AS (SELECT *, string_split(a_path, '/') AS a, string_split(target, '/') AS b FROM wanted),
 same AS (SELECT *, coalesce(list_min(list_filter(range(1, least(len(a), len(b))), lambda i: a[i] <> b[i])) - 1, least(len(a), len(b)) - 1) AS k FROM cut),
 edits AS (SELECT url, list(ref || chr(1) || CASE WHEN target IS NOT NULL THEN {_REL} WHEN regexp_matches(ref, '^(https?:|//)') THEN ref ELSE abs_url END) AS es FROM same GROUP BY url),
@@ -405,6 +411,8 @@ texts AS (SELECT s.url, s.css, list_reduce(list_prepend(s.css, coalesce(e.es, []
   '\\1' || string_split(e, chr(1))[2] || '\\2')) AS content FROM sheets s LEFT JOIN edits e ON e.url = s.url)
 SELECT url, regexp_replace(content, '(?i)url[(]\\s*([''"]?)([^''")]+?)([''"]?)\\s*[)]', 'url(\\1\\2\\3)', 'g') AS content, regexp_replace(content, '(?i)url[(]\\s*([''"]?)([^''")]+?)([''"]?)\\s*[)]', 'url(\\1\\2\\3)', 'g') <> css AS changed FROM texts"""
 _INDEX = '<!doctype html>\n<meta charset="utf-8">\n<meta http-equiv="refresh" content="0; url={0}">\n<a href="{0}">Open the mirrored site</a>\n'
-ORACLES["entry_index"] = f"SELECT * FROM {fx.values([('index.html', _INDEX.format('https://absent.example.com/?q=%22x%22')), ('index.html', _INDEX.format('host/index.html'))], 'path, content')}"
+ORACLES["entry_index"] = f"""
+WITH {_MIRROR}, seed AS (SELECT max(url) AS url FROM mirror), hrefs AS (SELECT path AS href FROM mirror WHERE url = (SELECT url FROM seed) UNION ALL SELECT url || '?q=%22x%22' FROM seed)
+SELECT 'index.html' AS path, replace('{_INDEX.format('@')}', '@', href) AS content FROM hrefs"""
 
 ORACLES["stream_crawl_manifest"] = ORACLES["crawl_manifest"]

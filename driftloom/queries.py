@@ -52,7 +52,7 @@ def url_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def url_resolve_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fx.frame(spark, fx.NORMALIZE, "ref string, base string")
+    rows = fx.spread(spark, sf_dir, fx.NORMALIZE, "ref string, base string")
     return rows.select("ref", "base", urls.normalize(C("ref"), C("base")).alias("resolved"))
 
 
@@ -82,8 +82,9 @@ def exclude_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def depth_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.range(1, 5).select(C("id").cast("int").alias("depth"), F.explode(F.array(F.lit(None).cast("int"), F.lit(0), F.lit(1), F.lit(3))).alias("most"))
-    return rows.select("depth", "most", urls.within_depth(C("depth"), C("most")).alias("inside"))
+    """Depths and limits (none, 0 and others) as events give them."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", (C("event_id") % 7 + 1).cast("int").alias("depth"), F.when(C("user_id") % 5 < 4, (C("user_id") % 5).cast("int")).alias("most"))
+    return rows.select("event_id", "depth", "most", urls.within_depth(C("depth"), C("most")).alias("inside"))
 
 
 @query
@@ -134,21 +135,31 @@ def extract_links_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_links(spark, sf_dir).select("src_url", "abs_url", "kind")
 
 
+def marked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's text (its markup taken for text) behind markup of all kinds, under a URL of its own."""
+    shapes = fx.spread(spark, sf_dir, fx.MARKUP, "url string, html string").withColumnRenamed("html", "shape")
+    text = F.regexp_replace("html", "[<>]", " ")
+    return shapes.join(pages(spark, sf_dir).select("page_id", text.alias("text")), "page_id").select("url", F.concat("shape", F.lit("<p>"), "text").alias("html"))
+
+
 @query
 def extract_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every extraction rule on markup that pages don't have."""
-    refs = links.page_references(fx.frame(spark, fx.MARKUP, "url string, html string"))
+    """Every extraction rule on markup that pages don't have, and on theirs behind it."""
+    refs = links.page_references(marked_pages(spark, sf_dir))
     return links.links(refs, urls.scope_root(C("src_url"))).select("src_url", "abs_url", "kind")
 
 
 @query
 def effective_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return links.page_references(fx.frame(spark, fx.MARKUP, "url string, html string")).select(C("src_url").alias("url"), "base_url").distinct()
+    return links.page_references(marked_pages(spark, sf_dir)).select(C("src_url").alias("url"), "base_url").distinct()
 
 
 @query
 def inert_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.frame(spark, fx.INERT, "ref string, expected boolean").select("ref", urls.is_inert(C("ref")).alias("inert"))
+    """References that lead nowhere, among the pages' own and others."""
+    found = pages(spark, sf_dir).select("page_id", F.explode(links.anchors(C("html"))).alias("ref"))
+    rows = found.unionByName(fx.spread(spark, sf_dir, fx.INERT, "ref string"))
+    return rows.select("page_id", "ref", urls.is_inert(C("ref")).alias("inert"))
 
 
 @query
@@ -168,19 +179,19 @@ def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def css_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return links.stylesheet_links(fx.frame(spark, fx.SHEETS, "url string, css string")).select("src_url", "abs_url")
+    return links.stylesheet_links(fx.spread(spark, sf_dir, fx.SHEETS, "url string, css string")).select("src_url", "abs_url")
 
 
 @query
 def srcset_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fx.frame(spark, fx.SRCSETS, "value string")
-    return rows.select("value", F.posexplode(css.srcset(C("value"))).alias("pos", "c")).select("value", C("pos").cast("long").alias("pos"), "c.url", "c.descriptor")
+    rows = fx.spread(spark, sf_dir, fx.SRCSETS, "value string")
+    return rows.select("page_id", "value", F.posexplode(css.srcset(C("value"))).alias("pos", "c")).select("page_id", "value", C("pos").cast("long").alias("pos"), "c.url", "c.descriptor")
 
 
 @query
 def srcset_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     mapping = F.create_map(F.lit("a.png"), F.lit("local/a.png"), F.lit("only.png"), F.lit("../only.png"))
-    return fx.frame(spark, fx.SRCSETS, "value string").select("value", css.rewritten_srcset(C("value"), mapping).alias("rewritten"))
+    return fx.spread(spark, sf_dir, fx.SRCSETS, "value string").select("page_id", "value", css.rewritten_srcset(C("value"), mapping).alias("rewritten"))
 
 
 @query
@@ -192,17 +203,17 @@ def js_shell(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def js_shell_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mounts, scripts and little text by the full markup scan."""
-    rows = fx.frame(spark, fx.SHELLS, "id int, attribute string, inner string, script int, words int")
-    body = F.concat(F.lit("<html><body><div "), "attribute", F.lit(">"), "inner", F.lit("</div><p>"), F.repeat(F.lit("word "), C("words")), F.lit("</p>"), F.when(C("script") == 1, "<script>go()</script>").otherwise(""), F.lit("</body></html>"))
-    return links.scanned(rows.select(C("id").cast("string").alias("url"), body.alias("html"))).select(C("src_url").cast("int").alias("id"), "shell")
+    rows = fx.spread(spark, sf_dir, fx.SHELLS, "attribute string, inner string, script int, words int")
+    body = F.concat(F.lit("<html><body><div "), "attribute", F.lit(">"), "inner", F.lit("</div><p>"), F.repeat(F.lit("word "), (C("words") + C("page_id") % 35).cast("int")), F.lit("</p>"), F.when(C("script") == 1, "<script>go()</script>").otherwise(""), F.lit("</body></html>"))
+    return links.scanned(rows.select(C("page_id").cast("string").alias("url"), body.alias("html"))).select(C("src_url").cast("long").alias("page_id"), "shell")
 
 
 @query
 def challenge_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fx.frame(spark, fx.BODIES, "id int, header string, body string, content_type string")
+    rows = fx.spread(spark, sf_dir, fx.BODIES, "header string, front string, content_type string").join(pages(spark, sf_dir).select("page_id", "html"), "page_id").withColumn("body", F.concat("front", "html"))
     headers = F.when(C("header") != "", F.create_map(C("header"), F.lit("Challenge"))).otherwise(F.create_map().cast("map<string,string>"))
     body = C("body").cast("binary")
-    return rows.select("id", responses.challenge(headers, body, C("content_type")).alias("challenge"), responses.pdf_judgement(body).alias("as_pdf"))
+    return rows.select("page_id", responses.challenge(headers, body, C("content_type")).alias("challenge"), responses.pdf_judgement(body).alias("as_pdf"))
 
 
 @query
@@ -215,14 +226,15 @@ def challenge_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def robots_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules, delays = robots.parsed(fx.frame(spark, fx.ROBOTS, "host string, text string"), AGENT)
+    rules, delays = robots.parsed(fx.spread(spark, sf_dir, fx.ROBOTS, "host string, text string"), AGENT)
     return rules.select("host", "ord", "allow", "pattern", "regex").join(delays, "host", "left").select("host", C("ord").cast("long").alias("ord"), "allow", "pattern", "regex", "crawl_delay")
 
 
 @query
 def robots_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules, _ = robots.parsed(fx.frame(spark, fx.ROBOTS, "host string, text string"), AGENT)
-    rows = fx.frame(spark, [(h, p) for h, _ in fx.ROBOTS for p in fx.ROBOT_PATHS], "host string, pathname string")
+    texts = fx.spread(spark, sf_dir, fx.ROBOTS, "host string, text string")
+    rules, _ = robots.parsed(texts, AGENT)
+    rows = texts.select("page_id", "host").join(fx.spread(spark, sf_dir, [(p,) for p in fx.ROBOT_PATHS], "pathname string", True), "page_id")
     return robots.allowed(rows, rules).select("host", "pathname", "allowed")
 
 
@@ -235,9 +247,9 @@ def robots_match_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def effective_delay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, delays = robots.parsed(fx.frame(spark, fx.ROBOTS, "host string, text string"), AGENT)
-    hosts = fx.frame(spark, [(h,) for h, _ in fx.ROBOTS], "host string")
-    return hosts.join(delays, "host", "left").select("host", robots.effective_delay(F.lit(2500), C("crawl_delay")).alias("delay_ms"))
+    texts = fx.spread(spark, sf_dir, fx.ROBOTS, "host string, text string")
+    _, delays = robots.parsed(texts, AGENT)
+    return texts.select("host").join(delays, "host", "left").select("host", robots.effective_delay(F.lit(2500), C("crawl_delay")).alias("delay_ms"))
 
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -266,8 +278,8 @@ def delay_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def error_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fx.frame(spark, fx.ERRORS, "id int, name string, code string, message string")
-    return rows.select("id", responses.error_kind(C("name"), C("code")).alias("kind"), responses.error_message(C("code"), C("message")).alias("message"))
+    rows = fx.spread(spark, sf_dir, fx.ERRORS, "name string, code string, message string")
+    return rows.select("page_id", responses.error_kind(C("name"), C("code")).alias("kind"), responses.error_message(C("code"), C("message")).alias("message"))
 
 
 @query
@@ -347,15 +359,16 @@ def resume_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def css_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nested = fx.frame(spark, fx.CSS_EDGES, "src_url string, abs_url string")
+    nested = fx.spread(spark, sf_dir, fx.CSS_EDGES, "src_url string, abs_url string", True).drop("page_id")
+    starts = fx.spread(spark, sf_dir, [(fx.CSS_EDGES[0][0],)], "url string")
     outcomes = nested.select(C("abs_url").alias("url")).union(nested.select("src_url")).distinct().select("url", C("url").endswith(".css").alias("follow"))
-    return crawl.asset_jobs(spark, fx.frame(spark, [("https://s.test/0.css",)], "url string"), nested, outcomes).select("url", "depth")
+    return crawl.asset_jobs(spark, starts, nested, outcomes).select("url", "depth")
 
 
 @query
 def redirect_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hops = fx.frame(spark, fx.HOPS, "url string, status int, location string")
-    return crawl.redirects(hops, fx.frame(spark, [(u,) for u in fx.HOP_STARTS], "url string"))
+    hops = fx.spread(spark, sf_dir, fx.HOPS, "url string, status int, location string", True)
+    return crawl.redirects(hops, fx.spread(spark, sf_dir, [(u,) for u in fx.HOP_STARTS], "url string", True))
 
 
 @query
@@ -437,22 +450,25 @@ def broken_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def rewrite_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """References of one saved file: to mirrored URLs, to files that are there, to neither."""
-    saved = fx.frame(spark, fx.KEPT_FILES, "url string, path string").withColumn("status", F.lit("ok"))
-    refs = fx.frame(spark, fx.KEPT_REFS, "raw_ref string").select(F.lit(fx.KEPT_FILES[0][0]).alias("url"), F.lit(fx.KEPT_FILES[0][1]).alias("path"), F.lit(fx.KEPT_FILES[0][0]).alias("base_url"), "raw_ref")
-    return rewrite.plan(refs, saved).select("raw_ref", "action", "value")
+    """References of saved files: to mirrored URLs, to files that are there, to neither."""
+    saved = fx.spread(spark, sf_dir, fx.KEPT_FILES, "url string, path string", True).withColumn("status", F.lit("ok"))
+    from_ = fx.spread(spark, sf_dir, fx.KEPT_FILES[:1], "url string, path string")
+    refs = from_.join(fx.spread(spark, sf_dir, fx.KEPT_REFS, "raw_ref string", True), "page_id").select("url", "path", C("url").alias("base_url"), "raw_ref")
+    return rewrite.plan(refs, saved).select("url", "raw_ref", "action", "value")
 
 
 @query
 def rewrite_css(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sheets = fx.frame(spark, fx.SHEETS, "url string, css string")
+    sheets = fx.spread(spark, sf_dir, fx.SHEETS, "url string, css string")
     files = sheets.select("url", urls.local_path(C("url"), F.lit("asset")).alias("path"), F.lit("css").alias("type"), C("css").alias("content"))
-    known = ["https://site.test/css/base.css", "https://site.test/img/a.png"]
-    mirror = fx.frame(spark, [(u,) for u in known], "url string").select("url", urls.local_path(C("url"), F.lit("asset")).alias("path"), F.lit("ok").alias("status"))
+    known = fx.spread(spark, sf_dir, [("https://~.site.test/css/base.css",), ("https://~.site.test/img/a.png",)], "url string", True)
+    mirror = known.select("url", urls.local_path(C("url"), F.lit("asset")).alias("path"), F.lit("ok").alias("status"))
     return rewrite.rewritten(files, rewrite.plan(rewrite.content_references(files), mirror)).select("url", "content", "changed")
 
 
 @query
 def entry_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = page_manifest(spark, sf_dir)
-    return rewrite.entry_index(rows, "https://absent.example.com/?q=\"x\"").unionByName(rewrite.entry_index(rows.withColumn("path", F.lit("host/index.html")).withColumn("url", F.lit("u")), "u"))
+    """For a crawl that began at the last page's URL, and for one whose seed isn't mirrored."""
+    rows = tables.cut(page_manifest(spark, sf_dir), "manifest")
+    seed = rows.agg(F.max("url").alias("u")).first()["u"]
+    return rewrite.entry_index(rows, seed).unionByName(rewrite.entry_index(rows, f'{seed}?q="x"'))
