@@ -35,11 +35,14 @@ def plan(refs: DataFrame, manifest: DataFrame) -> DataFrame:
     Mirrored targets become relative paths; relative refs that mean a file of the mirror stay; absolute ones stay; what is left becomes absolute."""
     ok = manifest.filter("status = 'ok' and path <> ''")
     raw = trimmed(F.col("raw_ref"))
-    rows = refs.withColumn("abs_url", F.when(~is_inert(F.col("raw_ref")), normalize(raw, F.col("base_url"))))
-    rows = rows.join(ok.select(F.col("url").alias("abs_url"), F.col("path").alias("target")), "abs_url", "left")
     relative = ~raw.rlike(r"^([A-Za-z][A-Za-z0-9+.-]*:|/)")
-    rows = rows.withColumn("own_path", F.when(F.col("target").isNull() & F.col("abs_url").isNotNull() & relative, joined_path(F.col("path"), F.regexp_extract(raw, r"^([^?#]*)", 1))))
-    rows = rows.join(ok.select(F.col("path").alias("own_path"), F.lit(True).alias("there")).distinct(), "own_path", "left")
+    rows = refs.withColumn("abs_url", F.when(~is_inert(F.col("raw_ref")), normalize(raw, F.col("base_url"))))
+    rows = rows.withColumn("own_path", F.when(F.col("abs_url").isNotNull() & relative, joined_path(F.col("path"), F.regexp_extract(raw, r"^([^?#]*)", 1))))
+    #: What can't meet a file has no key; such rows have keys of their own, which match nothing and don't gather in one partition.
+    nowhere = F.concat(F.lit("\0"), F.xxhash64("url", "raw_ref").cast("string"))
+    rows = rows.withColumns({"url_key": F.coalesce("abs_url", nowhere), "path_key": F.coalesce("own_path", nowhere)})
+    rows = rows.join(ok.select(F.col("url").alias("url_key"), F.col("path").alias("target")), "url_key", "left")
+    rows = rows.join(ok.select(F.col("path").alias("path_key"), F.lit(True).alias("there")).distinct(), "path_key", "left")
     fragment = F.regexp_extract(raw, r"(#.+)$", 1)
     action = (
         F.when(F.col("abs_url").isNull(), "skipped")

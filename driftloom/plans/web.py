@@ -102,6 +102,7 @@ class LiveWeb:
         self._rules = spark.createDataFrame([], "host string, ord int, allow boolean, pattern string, regex string")
         self._delays = spark.createDataFrame([], "host string, crawl_delay double")
         self._hosts = spark.createDataFrame([], "host string")
+        self._clock = spark.createDataFrame([], "host string, last_ms long")
 
     def rules(self, rows: DataFrame) -> DataFrame:
         """Rules of all hosts met so far; robots.txt of the new ones among rows is fetched, once a host."""
@@ -119,8 +120,13 @@ class LiveWeb:
             frontier = frontier.join(self._delays, "host", "left").withColumn("delay_ms", robots.effective_delay(F.lit(low), F.col("crawl_delay")))
         else:
             frontier = frontier.withColumn("delay_ms", F.lit(float(low)))
+        frontier = frontier.join(self._clock, "host", "left")
         s = self.spec
         got = cut(sources.live(frontier, s.user_agent, max_ms=high, most_bytes=s.max_file_size, renderer=renderer, mode=s.browser), "answers")
+        #: When each host was last asked, carried over levels and rounds.
+        asked = got.select(part(F.col("url"), 2).alias("host"), F.col("asked_ms").alias("last_ms")).unionByName(self._clock)
+        self._clock = cut(asked.groupBy("host").agg(F.max("last_ms").alias("last_ms")), "clock")
+        got = got.drop("asked_ms")
         self._answers.append(got)
         self._judged.append(Judged(got, s, "live"))
         return self._judged[-1]

@@ -26,6 +26,8 @@ from ..schemas import MANIFEST, RESPONSES
 
 #: Milliseconds that a robots.txt may take; most bytes of one.
 ROBOTS_TIMEOUT, ROBOTS_BYTES = 10.0, 1 << 20
+#: Responses and when they were asked for.
+ASKED = f"{RESPONSES}, asked_ms long"
 #: A random delay is a whole number of these milliseconds above the least one.
 STEP = 100
 
@@ -95,24 +97,28 @@ def live(
     frontier: DataFrame, user_agent: str, timeout: float = 30.0, max_ms: float | None = None, most_bytes: int = 0,
     renderer: Callable[[str], str | None] | None = None, mode: str = "never",
 ) -> DataFrame:
-    """Fetch a frontier (url, host, seq, delay_ms) to RESPONSES: hosts are dealt to tasks, each host is asked by one task, one request after
-    another in the order of seq, with a random pause of at least delay_ms (pause_ms) before each but the first."""
+    """Fetch a frontier (url, host, seq, delay_ms, last_ms) to ASKED: hosts are dealt to tasks, each host is asked by one task, one request after
+    another in the order of seq, with a random pause of at least delay_ms (pause_ms) before each but the first; before that one what is left of a
+    pause since last_ms, when an earlier level or round last asked the host (null: never)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text = pa.string()
-        kinds = [text, text, pa.int32(), text, pa.map_(text, text), pa.binary(), pa.list_(text), pa.struct([("kind", text), ("message", text)]), text]
-        names, last = ["url", "final_url", "http_status", "content_type", "headers", "body", "redirect_chain", "error", "rendered_html"], None
+        kinds = [text, text, pa.int32(), text, pa.map_(text, text), pa.binary(), pa.list_(text), pa.struct([("kind", text), ("message", text)]), text, pa.int64()]
+        names, last = ["url", "final_url", "http_status", "content_type", "headers", "body", "redirect_chain", "error", "rendered_html", "asked_ms"], None
         for batch in batches:
-            for url, host, delay in zip(*(batch.column(k).to_pylist() for k in ("url", "host", "delay_ms")), strict=True):
+            for url, host, delay, before in zip(*(batch.column(k).to_pylist() for k in ("url", "host", "delay_ms", "last_ms")), strict=True):
                 if host == last:
                     time.sleep(pause_ms(delay, max_ms) / 1000)
-                last = host
+                elif before is not None:
+                    pause = pause_ms(delay, max_ms)
+                    time.sleep(min(pause, max(0.0, before + pause - time.time() * 1000)) / 1000)
+                last, asked = host, int(time.time() * 1000)
                 row = fetch(url, user_agent, timeout, most_bytes=most_bytes)
                 page = renderer(url) if renderer and wants_rendering(row, mode) else None
-                values = [*row[:4], list(row[4].items()), *row[5:7], {"kind": row[7][0], "message": row[7][1]} if row[7] else None, page]
+                values = [*row[:4], list(row[4].items()), *row[5:7], {"kind": row[7][0], "message": row[7][1]} if row[7] else None, page, asked]
                 yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=names)
 
-    return frontier.select("url", "host", "seq", "delay_ms").repartition("host").sortWithinPartitions("host", "seq").mapInArrow(run, RESPONSES)
+    return frontier.select("url", "host", "seq", "delay_ms", "last_ms").repartition("host").sortWithinPartitions("host", "seq").mapInArrow(run, ASKED)
 
 
 def fetched_robots(hosts: DataFrame, user_agent: str, timeout: float = ROBOTS_TIMEOUT) -> DataFrame:

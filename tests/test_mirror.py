@@ -166,7 +166,7 @@ def test_saved_copies_are_scanned_again(spark, tmp_path):
 def test_failed_fetches_are_rows(spark):
     row = sources.fetch("http://127.0.0.1:9/x", "t", timeout=2)
     assert row[7][0] in ("connection", "network", "timeout") and row[2] is None
-    got = sources.live(spark.createDataFrame([("http://127.0.0.1:9/x", "127.0.0.1:9", 1, 0.0)], "url string, host string, seq long, delay_ms double"), "t", 2).first()
+    got = sources.live(spark.createDataFrame([("http://127.0.0.1:9/x", "127.0.0.1:9", 1, 0.0, None)], "url string, host string, seq long, delay_ms double, last_ms long"), "t", 2).first()
     assert got["error"]["kind"] == row[7][0]
 
 
