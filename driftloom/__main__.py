@@ -21,10 +21,12 @@ from .plans.panel import Panel
 from .plans.spec import MirrorSpec, parse_args, parse_ui_args
 from .plans.web import LiveWeb
 from .sources import sinks
+from .sources.manifest_log import ManifestLog
 from .sources.render import BrowserRenderer
 from .sources.responses import read_manifest, saved_tree
 
-RECORD, REPORT = "manifest.json", "report.json"
+#: The manifest for later runs, its JSON form for other tools, the report.
+LOG, RECORD, REPORT = ".manifest", "manifest.json", "report.json"
 
 
 def engine(spark: SparkSession, responses: str | None = None) -> Callable[[MirrorSpec, threading.Event, Callable[[dict], None]], dict]:
@@ -33,8 +35,9 @@ def engine(spark: SparkSession, responses: str | None = None) -> Callable[[Mirro
     def run(spec: MirrorSpec, stop: threading.Event, on_progress: Callable[[dict], None]) -> dict:
         record = os.path.join(spec.out, RECORD)
         previous = saved = None
-        if not spec.fresh and os.path.isfile(record):
-            previous, saved = read_manifest(spark, record), saved_tree(spark, spec.out)
+        log = ManifestLog(spark, f"file://{os.path.abspath(spec.out)}/{LOG}")
+        if not spec.fresh and (log.exists() or os.path.isfile(record)):
+            previous, saved = log.read() if log.exists() else read_manifest(spark, record), saved_tree(spark, spec.out)
         table = spark.read.parquet(responses) if responses else None
         web = None if responses else LiveWeb(spark, spec, BrowserRenderer(spec.user_agent) if spec.browser != "never" else None)
         done = mirror(spark, spec, table, previous, stop, on_progress, saved, web)
@@ -44,6 +47,10 @@ def engine(spark: SparkSession, responses: str | None = None) -> Callable[[Mirro
         if not done.interrupted:
             sinks.write_tree(done.entry, spec.out)
         root = urlsplit(spec.url).hostname.removeprefix("www.")
+        if previous is None or not log.exists():
+            log.replace(done.manifest)
+        else:
+            log.upsert(done.manifest.subtract(previous))
         sinks.write_manifest(record, done.manifest, spec.url, root)
         sinks.write_report(os.path.join(spec.out, REPORT), done.report, failures(done.manifest), spec.url, root, done.interrupted)
         drop_cut(spark)

@@ -416,3 +416,4 @@ WITH {_MIRROR}, seed AS (SELECT max(url) AS url FROM mirror), hrefs AS (SELECT p
 SELECT 'index.html' AS path, replace('{_INDEX.format('@')}', '@', href) AS content FROM hrefs"""
 
 ORACLES["stream_crawl_manifest"] = ORACLES["crawl_manifest"]
+ORACLES["manifest_log"] = ORACLES["manifest_merge"]

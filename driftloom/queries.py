@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from . import fixtures as fx
 from .functions import css, urls
 from .operators import crawl, links, manifest, responses, rewrite, robots, tables
 from .plans import catalog
+from .sources.manifest_log import ManifestLog
 from .streaming.crawl import CrawlStream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -384,6 +386,16 @@ def manifest_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.merged(old, new).select("url", "seq", "status")
 
 
+@query
+def manifest_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same two halves as commits of a log in buckets: a delta is merged as it is read."""
+    log = event_log(spark, sf_dir).select("url", F.lit("").alias("path"), "status", "kind", F.lit("").alias("content_type"), F.lit("").alias("sha256"), "size_bytes", F.lit("none").alias("fetcher"), F.lit(None).cast("string").alias("error"), "seq")
+    kept = ManifestLog(spark, f"{tables.shared_dir(spark).rstrip('/')}/driftloom-log-{uuid.uuid4().hex}", 8)
+    for k in (1, 0):
+        kept.upsert(log.filter(f"seq % 2 = {k}"))
+    return kept.read().select("url", "seq", "status")
+
+
 @query
 def progress_running(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.progress(event_log(spark, sf_dir).withColumn("enqueued", C("seq") % 3), ["host"])

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import http.client
-import json
 import os
 import random
 import re
@@ -16,6 +15,7 @@ import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import weburl
 from ..functions.html import needs_rendering
@@ -26,6 +26,8 @@ from ..schemas import MANIFEST, RESPONSES
 
 #: Milliseconds that a robots.txt may take; most bytes of one.
 ROBOTS_TIMEOUT, ROBOTS_BYTES = 10.0, 1 << 20
+#: An entry of a manifest's JSON form.
+ENTRY = "struct<url: string, path: string, status: string, kind: string, contentType: string, sha256: string, sizeBytes: bigint, fetcher: string, error: string>"
 #: Responses and when they were asked for.
 ASKED = f"{RESPONSES}, asked_ms long"
 #: A random delay is a whole number of these milliseconds above the least one.
@@ -166,13 +168,13 @@ def rescanned(manifest: DataFrame, saved: DataFrame, kind: Column | None = None)
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """An earlier manifest as a table; empty where there is none. One that can't be read is moved aside and counts as none."""
+    """An earlier manifest's JSON form as a table, parsed by a task; empty where there is none. One that can't be read is moved aside and counts as none."""
     if os.path.isfile(path):
-        try:
-            with open(path, encoding="utf-8") as f:
-                entries = json.load(f)["entries"]
-            rows = [(e["url"], e["path"], e["status"], e["kind"], e.get("contentType", ""), e.get("sha256", ""), int(e.get("sizeBytes", 0)), e.get("fetcher", "none"), e.get("error"), k) for k, e in enumerate(entries.values())]
-            return spark.createDataFrame(rows, MANIFEST)
-        except (ValueError, KeyError, TypeError, AttributeError):
-            os.replace(path, f"{path}.corrupt-{int(time.time() * 1000)}")
+        known = spark.read.schema(f"entries map<string, {ENTRY}>, broken string").option("multiLine", True).option("columnNameOfCorruptRecord", "broken").json(f"file://{os.path.abspath(path)}")
+        if known.agg(F.count_if(F.col("entries").isNotNull() & F.col("broken").isNull()).alias("n")).first()["n"] == 1:
+            rows = known.select(F.posexplode("entries").alias("seq", "key", "e")).select("seq", "e.*")
+            kept = {"contentType": "content_type", "sizeBytes": "size_bytes"}
+            rows = rows.withColumnsRenamed(kept).withColumns({"size_bytes": F.coalesce("size_bytes", F.lit(0)), "fetcher": F.coalesce("fetcher", F.lit("none")), "content_type": F.coalesce("content_type", F.lit("")), "sha256": F.coalesce("sha256", F.lit(""))})
+            return rows.select(*(F.col(f.name).cast(f.dataType) for f in T._parse_datatype_string(MANIFEST)))
+        os.replace(path, f"{path}.corrupt-{int(time.time() * 1000)}")
     return spark.createDataFrame([], MANIFEST)

@@ -8,49 +8,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.manifest import latest, report
 from ..operators.tables import shared_dir
 from ..schemas import MANIFEST
-
-
-def counters(manifest: DataFrame) -> DataFrame:
-    return report(manifest).select("pages", "assets", "bytes", "robots_skipped", "excluded", "failures")
-
-
-#: Batches whose rows are kept as they came before a new snapshot takes them up.
-COMPACT = 16
+from ..sources.manifest_log import ManifestLog
 
 
 class ProgressStream:
-    """Follows a folder of outcome files. A batch's latest rows are written beside the checkpoint under its number; every COMPACT batches they are
-    merged into a snapshot (last write wins). All state lies there, so a process that starts with the same `where` goes on where
-    the one before ended, and a batch that is sent again writes the same table again."""
+    """Follows a folder of outcome files. A batch is one commit of a manifest log beside the checkpoint: it reads the buckets of its own URLs, and the
+    counters change by what it replaces and adds, so that its cost follows the batch and not the manifest. All state lies there, so a process that starts
+    with the same `where` goes on where the one before ended; a batch that is sent again is known by its number."""
 
     def __init__(self, spark: SparkSession, folder: str, on_progress=None, where: str | None = None):
         self.spark, self.folder, self.on_progress = spark, folder, on_progress
         self.where = (where or f"{shared_dir(spark).rstrip('/')}/driftloom-progress-{uuid.uuid4().hex}").rstrip("/")
-
-    def _finished(self, kind: str) -> list[int]:
-        """Numbers of the whole tables of a kind, ascending."""
-        pattern = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.where}/{kind}-*/_SUCCESS")
-        found = pattern.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
-        return sorted(int(f.getPath().getParent().getName().rsplit("-", 1)[1]) for f in found)
-
-    def _rows(self, upto: int) -> DataFrame:
-        """The latest snapshot before `upto` and the batches after it up to then, latest row of each URL."""
-        base = max((n for n in self._finished("snapshot") if n <= upto), default=-1)
-        paths = [f"{self.where}/snapshot-{base}"] * (base >= 0) + [f"{self.where}/batch-{n}" for n in self._finished("batch") if base < n <= upto]
-        return latest(self.spark.read.schema(MANIFEST).parquet(*paths)) if paths else self.spark.createDataFrame([], MANIFEST)
+        self.log = ManifestLog(spark, f"{self.where}/log")
 
     def merge(self, batch: DataFrame, number: int) -> None:
-        latest(batch).write.mode("overwrite").parquet(f"{self.where}/batch-{number}")
-        if number % COMPACT == COMPACT - 1:
-            self._rows(number).write.mode("overwrite").parquet(f"{self.where}/snapshot-{number}")
+        counts = self.log.upsert(batch, number)
         if self.on_progress:
-            self.on_progress(counters(self._rows(number)).first().asDict())
+            self.on_progress(counts)
 
     def current(self) -> DataFrame:
-        return self._rows(max(self._finished("batch"), default=-1))
+        return self.log.read()
 
     def start(self, once: bool = False) -> StreamingQuery:
         stream = self.spark.readStream.schema(MANIFEST).parquet(self.folder)
