@@ -23,8 +23,8 @@ from pyspark.sql import types as T
 from .common import binary, over_batches, replaced, stage
 from .models import Isotonic, Logistic
 
-#: Bounds of the training sample: rows of each class, segments of a text, bytes of segments for one dictionary.
-TRAIN_ROWS, TRAIN_SEGMENTS, TRAIN_BYTES = 8000, 4, 12 << 20
+#: The bound of the training sample: rows of each class, whose whole texts are read.
+TRAIN_ROWS = 2500
 SEGMENT, DICT_BYTES, LEVEL, FOLDS = 1024, 112 << 10, 3, 4
 THRESHOLD = 0.3
 
@@ -67,24 +67,13 @@ class Coder:
         return (bad - good) / (len(data) + 200), (bad - good) / (bad + good + 60)
 
 
-def spread(n: int, most: int = TRAIN_SEGMENTS) -> list[int]:
-    """Numbers of at most `most` of n segments, from the middles of equal parts of the text."""
-    k = min(n, most)
-    return [(2 * i + 1) * n // (2 * k) for i in range(k)]
-
-
-def dictionary(pieces: list[bytes]) -> bytes:
-    """A zstandard dictionary from the pieces, or without enough of them their plain bytes."""
-    kept, total = [], 0
-    for p in pieces:
-        if total + len(p) > TRAIN_BYTES:
-            break
-        kept.append(p)
-        total += len(p)
+def dictionary(texts: list[bytes]) -> bytes:
+    """A zstandard dictionary from all segments of the texts, or without enough of them their plain bytes."""
+    pieces = [t[i : i + SEGMENT] for t in texts for i in range(0, len(t), SEGMENT)]
     try:
-        return zstandard.train_dictionary(DICT_BYTES, kept, k=128, d=8, f=20, accel=1).as_bytes()
+        return zstandard.train_dictionary(DICT_BYTES, pieces, k=128, d=8, f=20, accel=1).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(kept)[:DICT_BYTES]
+        return b"".join(pieces)[:DICT_BYTES]
 
 
 class QualityModel:
@@ -103,18 +92,10 @@ class QualityModel:
 def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> QualityModel:
     sample = stage(labelled(docs, labels, "quality", rows).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int")), "quality-train")
 
-    def pieces(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for data, y, fold in zip(binary(batch.column("text")), batch.column("y").to_pylist(), batch.column("fold").to_pylist(), strict=True):
-            n = -(-len(data) // SEGMENT)
-            out += [(data[i * SEGMENT : (i + 1) * SEGMENT], y, fold) for i in spread(n)]
-        cols = list(zip(*out, strict=True)) or [(), (), ()]
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32())], names=["piece", "y", "fold"])
-
-    #: At most 2 x TRAIN_ROWS x TRAIN_SEGMENTS x SEGMENT bytes, of which each class keeps TRAIN_BYTES.
-    got = over_batches(sample, pieces, "piece binary, y int, fold int").withColumn("at", F.xxhash64("piece"))
-    got = got.orderBy("at").select("piece", "y", "fold")
-    parts = [[(bytes(r["piece"]), r["fold"]) for r in got.filter(F.col("y") == y).limit(TRAIN_BYTES // SEGMENT * 2).collect()] for y in (0, 1)]
+    #: Whole texts of at most 2 x `rows` rows, in an order of their own.
+    got = sample.select(F.coalesce("text", F.lit("")).cast("binary").alias("text"), "y", "fold").orderBy(F.xxhash64("text"), "text", "y").toArrow()
+    whole = list(zip(*(got.column(k).to_pylist() for k in ("text", "y", "fold")), strict=True))
+    parts = [[(t, fold) for t, label, fold in whole if label == y] for y in (0, 1)]
     if not all(parts):
         ys = np.array([r["y"] for r in sample.select("y").collect()], float)
         return QualityModel(Coder((b"", b"")), np.zeros((len(ys), 2)), ys, np.ones(len(ys)))

@@ -587,8 +587,11 @@ def test_near_copies_where_ids_repeat(spark):
     assert jaccard_join.drop_near_copies(docs.limit(0)).count() == 0
 
 
-def test_training_segments_are_spread():
-    assert [quality.spread(n) for n in (0, 1, 3, 4, 5, 7, 11)] == [[], [0], [0, 1, 2], [0, 1, 2, 3], [0, 1, 3, 4], [0, 2, 4, 6], [1, 4, 6, 9]]
+def test_dictionaries_read_whole_texts():
+    rng = random.Random(8)
+    ending = b"the very last words of each of these texts are what they share"
+    made = quality.dictionary([rng.randbytes(5000) + ending for _ in range(60)])
+    assert ending[8:40] in made and quality.dictionary([b"short", b""]) == b"short"
 
 
 def test_pipeline_against_brute_force(spark):
