@@ -1,8 +1,8 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest, in DataFrame functions only.
 
 A candidate is a run of characters [A-Za-z0-9+/_-] (and = at its end) inside a word: of at least LEAST with a digit or a known prefix, or of at
-least SHORT where an assignment or a key word is before it. Values of key words that other characters break are candidates as a whole as well. A
-word has as many candidates as it holds. Their features are length, shares of character
+least SHORT where an assignment or a key word is before it. Values of key words that other characters break are candidates as a whole as well. Tokens of parts that dots join (eyJ..., SG....) are one candidate; letters
+whose case changes four times need no digit. A word has as many candidates as it holds. Their features are length, shares of character
 kinds, transitions between kinds and between letters, coverage by dictionary words, signs of a path or address around it, and what the own prefix in the word and the words before
 are. The dictionary is the corpus' own: the DICTIONARY_WORDS words of letters that most documents hold, beside a few fixed ones; pieces of letters in a candidate
 are looked up in it, and how its letters follow each other is scored by the dictionary's letter pairs. The forest is grown on the driver from labelled findings (a fixed number, made by a seeded generator of true secrets and of what is
@@ -29,7 +29,9 @@ LEAST, SHORT, THRESHOLD, TREES, DEPTH = 16, 6, 0.5, 25, 7
 DICTIONARY_WORDS, WORD_LEAST, WORD_MOST = 4096, 4, 20
 #: Characters of a run; a word's pieces: runs (with padding) and what is between; delimiters of a part; pieces and characters near a run.
 RUN = "A-Za-z0-9+/_-"
-PIECES = rf"[{RUN}]+(?:=+(?![={RUN}]))?|[^{RUN}]+"
+PIECES = rf"(?:eyJ[{RUN}]+|SG\.[{RUN}]+)(?:\.[{RUN}]+){{1,2}}|[{RUN}]+(?:=+(?![={RUN}]))?|[^{RUN}]+"
+#: Letters whose case changes often, as in a key without digits; what comes before the data of a data URL.
+MIXED, DATA_URL = "(?:[a-z]+[A-Z]+){4}", r"(?i)base64,$"
 ENDS = r"""\s,;&?="'`{}<>()\[\]|\\"""
 NEAR, SIDE = 16, 256
 #: Words that name secrets, words that name other things, words of placeholders and addresses.
@@ -94,7 +96,7 @@ def candidates(docs: DataFrame, known: Dictionary) -> DataFrame:
     around = lambda i, n: F.coalesce(F.get(F.col("w"), i + n), F.lit(""))
     #: Words that may hold a plausible run or an assignment, or that follow one or a key word.
     after = lambda i: around(i, -1).rlike(f"[=:>]$|{KEYS}") | (around(i, -1).isin(*FILLERS) & around(i, -2).rlike(KEYS))
-    fits = lambda x, i: (F.length(x) >= SHORT) & (x.rlike(rf"[=:].*\S{{{SHORT}}}") | (x.rlike(f"[={RUN}]{{{LEAST}}}") & x.rlike(f"[0-9]|{KNOWN}")) | after(i))
+    fits = lambda x, i: (F.length(x) >= SHORT) & (x.rlike(rf"[=:].*\S{{{SHORT}}}") | (x.rlike(f"[={RUN}]{{{LEAST}}}") & x.rlike(f"[0-9]|{KNOWN}|{MIXED}")) | after(i))
     rows = rows.withColumn("at", F.filter(F.transform("w", lambda x, i: F.when(fits(x, i), i)), lambda i: i.isNotNull()))
     found = F.transform("at", lambda i: F.struct(i.alias("word"), F.get(F.col("w"), i).alias("whole"), F.concat_ws(" ", around(i, -3), around(i, -2), around(i, -1)).alias("before")))
     rows = rows.select("doc_id", F.explode(found).alias("f")).select("doc_id", "f.*")
@@ -103,7 +105,7 @@ def candidates(docs: DataFrame, known: Dictionary) -> DataFrame:
     lead = lambda i, n: F.array_join(F.slice("p", F.greatest(i - n, F.lit(0)) + 1, F.least(i, F.lit(n))), "")
     tail = lambda i: F.array_join(F.slice("p", i + 2, F.lit(NEAR)), "")
     valued = lambda x, i: ~x.rlike(f"^//|^{KEYS}[a-z]*$") & (((i <= 1) & (F.col("follows") | F.col("before").rlike("[=:]>?$"))) | lead(i, 2).rlike(f"[=:]>?[{QUOTES}]*$"))
-    plausible = lambda x, i: x.rlike(f"^[{RUN}]{{{SHORT}}}") & (((F.length(x) >= LEAST) & x.rlike(f"[0-9]|^{KNOWN}")) | valued(x, i))
+    plausible = lambda x, i: x.rlike(rf"^([{RUN}]{{{SHORT}}}|SG\.)") & (((F.length(x) >= LEAST) & x.rlike(f"[0-9]|^{KNOWN}|{MIXED}")) | valued(x, i))
     rows = rows.withColumn("at", F.filter(F.transform("p", lambda x, i: F.when(plausible(x, i), i)), lambda i: i.isNotNull()))
     runs = F.transform("at", lambda i: F.struct(F.get(F.col("p"), i).alias("candidate"), F.right(lead(i, NEAR), F.lit(SIDE)).alias("lead"), F.left(tail(i), F.lit(SIDE)).alias("tail")))
     #: Values of key words that hold other characters: in quotes up to the next quote, else up to a delimiter; or the word after a key word.
@@ -118,7 +120,7 @@ def candidates(docs: DataFrame, known: Dictionary) -> DataFrame:
     rows = rows.select("doc_id", "word", "before", F.explode(F.concat(runs, broken)).alias("f")).select("doc_id", "word", "before", "f.*")
     #: A run's own prefix begins after the last field of the word, its part lies between delimiters.
     rows = rows.withColumn("whole", F.concat(F.regexp_extract("lead", rf"[^{ENDS}]*$", 0), "candidate", F.regexp_extract("tail", rf"^[^{ENDS}]*", 0)))
-    rows = rows.withColumn("lead", F.regexp_extract("lead", r"[^,;&?{}|]*$", 0))
+    rows = rows.withColumn("in_data", F.col("lead").rlike(DATA_URL)).withColumn("lead", F.regexp_extract("lead", r"[^,;&?{}|]*$", 0))
     c, whole, before, lead = F.col("candidate"), F.col("whole"), F.col("before"), F.col("lead")
     named = lead.rlike("[A-Za-z0-9_][\"'`\\\\]*[=:]")  # the prefix has a name of its own
     flag = lambda x: x.cast("double")
@@ -133,7 +135,7 @@ def candidates(docs: DataFrame, known: Dictionary) -> DataFrame:
         "hexes": _share(c, "[0-9a-f]"),
         "repeats": _share(c, r"(.)(?=\1)"),
         "covered": known.covered(c),
-        "path": flag(whole.rlike(r"(?i)^(\.{0,2}/|[a-z]:\\)|/.*/|\.(html?|php|js|css|png|jpe?g|gif|pdf|json|xml|txt|zip|gz|py|java)\b")),
+        "path": flag(F.col("in_data") | whole.rlike(r"(?i)^(\.{0,2}/|[a-z]:\\)|/.*/|\.(html?|php|js|css|png|jpe?g|gif|pdf|json|xml|txt|zip|gz|py|java)\b|:[0-9]+/")),
         "address": flag(whole.rlike(r"(?i)://|www\.|@[a-z0-9.-]+\.[a-z]{2,}")),
         "key_inside": flag(lead.rlike(KEYS)),
         "key_before": flag(before.rlike(KEYS) & ~named),
@@ -146,7 +148,7 @@ def candidates(docs: DataFrame, known: Dictionary) -> DataFrame:
     return rows.select("doc_id", F.col("word").cast("long").alias("word"), "candidate", F.array(*(values[k] for k in FEATURES)).alias("features"))
 
 
-def made_findings(words: list[str], n: int = 2400, seed: int = 7) -> list[tuple[int, str, int]]:
+def made_findings(words: list[str], n: int = 3600, seed: int = 7) -> list[tuple[int, str, int]]:
     """(number, text with one candidate, 1 for a secret): labelled findings of many kinds and lengths in prose of the words, and of invented ones."""
     rng = random.Random(seed)
     pick = lambda chars, k: "".join(rng.choice(chars) for _ in range(k))
@@ -162,12 +164,19 @@ def made_findings(words: list[str], n: int = 2400, seed: int = 7) -> list[tuple[
     mixed = lambda k: rng.choice(string.ascii_uppercase) + pick(word62, k) + rng.choice("@!#$%^*") + rng.choice(string.digits) + pick(word62, k)
     given = lambda v: rng.choice([f"{key()}={v}", f'{key()}="{v}"', f'{key()} = "{v}"', f"{key()}: {v}", f"{key()} is {v}"])
     plain = lambda: rng.choice([rng.choice(words), pick("aeioulnrst", rng.randint(6, 14))]).ljust(SHORT, "e")
+    phrase = lambda: (rng.choice(words) + rng.choice(words) + rng.choice(words))[: rng.randint(11, 18)].ljust(10, "o")  # noqa: E731  words run together
     secrets = [
         lambda: f"{key()}={value()}",
         lambda: f"{key()} = \"{value()}\"",
         lambda: f"{key()}: {value()}",
         lambda: rng.choice(["AKIA", "ASIA"]) + pick(string.ascii_uppercase + string.digits, 16),
-        lambda: rng.choice(["ghp_", "gho_", "glpat-", "sk_live_", "npm_"]) + pick(word62, rng.randint(24, 40)),
+        lambda: rng.choice(["ghp_", "gho_", "ghs_", "glpat-", "sk_live_", "rk_live_", "npm_"]) + pick(word62, rng.randint(16, 40)),
+        lambda: f"xox{rng.choice('baprs')}-" + "-".join([*(pick(string.digits, rng.randint(10, 13)) for _ in range(rng.randint(1, 3))), pick(rng.choice([word62, string.ascii_lowercase]), rng.randint(16, 32))]),
+        lambda: f"SG.{pick(word62 + '_-', 22)}.{pick(word62 + '_-', 43)}",
+        lambda: ".".join(["eyJ" + pick(word62, rng.randint(16, 40)), "eyJ" + pick(word62, rng.randint(20, 90)), pick(word62 + "_-", 43)]),
+        lambda: f"{rng.choice(['key', key()])} {rng.choice(['is', 'was', '-', ''])} {pick(letters, rng.randint(18, 34))}",
+        lambda: f"{key()} {rng.choice(['is ', 'was ', '', ''])}{rng.choice([plain(), rng.choice(words)])}{pick(string.digits, rng.randint(1, 4))}",
+        lambda: f"{rng.choice(['my', 'the', 'our'])} {key()} {rng.choice(['is', 'was'])} {phrase()}",
         lambda: "Authorization: Bearer " + "eyJ" + pick(word62, rng.randint(30, 60)),
         lambda: "AIza" + pick(word62 + "_-", 35),
         lambda: f'{{"{name()}":"{rng.randint(1, 999)}","{key()}":"{value()}"}}',
@@ -194,7 +203,14 @@ def made_findings(words: list[str], n: int = 2400, seed: int = 7) -> list[tuple[
         lambda: f'{{"{key()}":"","{name()}":"{pick(hexes, rng.randint(16, 64))}"}}',
         lambda: f"https://{pick('abcdefgh', 8)}.com/list?{name()}={pick(hexes, rng.randint(16, 64))}&page={rng.randint(1, 99)}",
         lambda: f"{key()} {plain()} {rng.choice(['is', 'was', 'of'])}",
-        lambda: f"{key()} {rng.choice(['is', 'was', 'of', 'for'])} {plain()}",
+        lambda: f"{key()} {rng.choice(['is', 'was', 'of', 'for'])} {rng.choice(words).ljust(SHORT, 'e')}",
+        lambda: f"{rng.choice(['my', 'the', 'our'])} {key()} {rng.choice(['is', 'was'])} {rng.choice(words).ljust(SHORT, 'e')}",
+        lambda: f"{rng.choice(['', 'src=', 'url('])}data:{rng.choice(['image/png', 'image/jpeg', 'font/woff2'])};base64,{rng.choice(['iVBORw0KGgo', '/9j/4AAQ', 'R0lGODlh', 'd09GMgAB'])}{pick(word62 + '+/', rng.randint(20, 200))}{rng.choice(['', '=', '=='])}",
+        lambda: f"src=\"data:image/{rng.choice(['png', 'gif', 'svg+xml'])};base64,{pick(word62, rng.randint(40, 400))}\"",
+        lambda: f"url(data:image/png;base64,iVBORw0KGgo{'A' * rng.randint(1, 6)}{pick(word62, rng.randint(20, 80))})",
+        lambda: f"{rng.choice(['postgres', 'mysql', 'redis', 'amqp', 'mongodb'])}://{rng.choice(['localhost', 'db.' + pick('abcdefgh', 6) + '.com'])}:{rng.choice([5432, 3306, 6379, 5672, 27017])}/{rng.choice(['app', rng.choice(words), 'main'])}",
+        lambda: "".join(w.capitalize() for w in [rng.choice([rng.choice(words), pick("aeioulnrstdmpcbg", rng.randint(4, 9))]) for _ in range(rng.randint(4, 6))]),
+        lambda: rng.choice(["", "the class ", "see "]) + "".join(pick("aeioulnrstdmpcbg", rng.randint(4, 9)).capitalize() for _ in range(rng.randint(4, 6))),
         lambda: f"{plain()}: {plain()}",
         lambda: f'{pick("abcdefgh", 5)}="{plain()}{rng.choice(["", "-", "_"])}{plain()}"',
         lambda: f"{key()}={rng.choice(['changeme', 'example', 'placeholder', 'your_password', 'your-token-here', 'xxxxxxxx'])}",
