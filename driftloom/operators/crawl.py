@@ -1,7 +1,8 @@
 """Breadth-first crawling over relations: one job for each level, gates before responses are looked up.
 
 The loop moves keys only: links (src_url, ord, abs_url, kind), outcomes (url, status, out_kind, ...) and rules are relations, bodies stay where they
-are. Each level is written to the shared folder. A level is: enqueue (anti join with what was seen, then exclude), done (resume), robots,
+are. Links in buckets of src_url, outcomes in buckets of url (tables.bucketed) are never shuffled, nor are the URLs seen so far, a table in buckets that each level is added to: a
+level's own rows go to their buckets. Levels of at most NAMED parents name them, so that the scan of the links opens only their buckets. Each level is written to the shared folder. A level is: enqueue (anti join with what was seen, then exclude), done (resume), robots,
 page limit, outcome, harvest."""
 
 from __future__ import annotations
@@ -15,12 +16,12 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import excluded, part, within_depth
 from .robots import allowed
-from .tables import cut, numbered, running
+from .tables import Growing, cut, numbered, running
 
 #: Requests of a redirect chain, levels of style sheets that are followed.
 MOST_REQUESTS, CSS_DEPTH = 10, 5
-#: Tables of seen URLs before they are written as one.
-MOST_SEEN = 12
+#: Most parents of a level that are named to the scan of the links.
+NAMED = 500
 
 
 @dataclass(frozen=True)
@@ -40,6 +41,12 @@ def first_seen(rows: DataFrame, order: list[str]) -> DataFrame:
     return rows.groupBy("url").agg(F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("r")).select("r.*")
 
 
+def following(parents: DataFrame, links: DataFrame) -> DataFrame:
+    """parents (src_url, ...) with what they link to; few of them are named to the scan."""
+    few = [r["src_url"] for r in parents.select("src_url").limit(NAMED + 1).collect()]
+    return parents.join(links.filter(F.col("src_url").isin(few)) if len(few) <= NAMED else links, "src_url")
+
+
 #: A level's rows to what became of them: outcomes of those to fetch, and links of those whose copies give some.
 Visit = Callable[[DataFrame], tuple[DataFrame, DataFrame]]
 
@@ -54,7 +61,8 @@ def crawl(
     URLs that an earlier run has, with harvest: whether their saved copy gives links. Where these aren't known beforehand, visit makes them
     level by level, and rules may be a function of a level's rows (url, host, pathname). on_level is told each level's rows and how many wait."""
     level = spark.createDataFrame([(seed, 1, 1, None)], "url string, depth int, seq long, parent long")
-    seen, out, attempts, number = [level.select("url")], [], 0, 1
+    growing, out, attempts, number = Growing(spark, "url", "seen"), [], 0, 1
+    seen = growing.add(level.select("url"))
     while True:
         rows = level.withColumn("x", excluded(F.col("url"), list(gates.exclude)))
         if done is not None and not gates.fresh:
@@ -96,8 +104,8 @@ def crawl(
         if not stopped:
             pages = links.filter("kind = 'page'").select("src_url", "ord", F.col("abs_url").alias("url"))
             parents = judged.filter("harvest").filter(within_depth(F.col("depth") + 1, gates.max_depth)).select(F.col("url").alias("src_url"), F.col("seq").alias("parent"), "depth")
-            fresh = parents.join(pages, "src_url").select("url", (F.col("depth") + 1).alias("depth"), "parent", "ord")
-            fresh = first_seen(fresh, ["parent", "ord"]).join(reduce(DataFrame.unionByName, seen), "url", "left_anti")
+            fresh = following(parents, pages).select("url", (F.col("depth") + 1).alias("depth"), "parent", "ord")
+            fresh = first_seen(fresh, ["parent", "ord"]).join(seen, "url", "left_anti")
             fresh = cut(fresh, "fresh")
             found = fresh.count()  # of a written table
         if on_level:
@@ -107,9 +115,7 @@ def crawl(
             break
         level = numbered(fresh, ["parent", "ord", "url"], "seq", number).select("url", "depth", "seq", "parent")
         number += found
-        seen.append(fresh.select("url"))
-        if len(seen) > MOST_SEEN:
-            seen = [cut(reduce(DataFrame.unionByName, seen), "seen")]
+        seen = growing.add(fresh.select("url"))
     return reduce(DataFrame.unionByName, out).drop("state", "saved")
 
 

@@ -33,8 +33,41 @@ def cut(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Catalog names of bucketed tables, by application.
+_named: dict[str, list[str]] = {}
+
+
+def _as_buckets(df: DataFrame, table: str, path: str, key: str, buckets: int) -> DataFrame:
+    df.repartition(buckets, key).write.mode("append").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
+def bucketed(df: DataFrame, key: str, name: str = "table") -> DataFrame:
+    """df as a written table in buckets of key, as many as there are shuffle partitions: joins on key move the other side only, and few named keys read their own buckets."""
+    return Growing(df.sparkSession, key, name).add(df)
+
+
+class Growing:
+    """A table in buckets of key that rows are added to, level by level; what it holds is never shuffled again."""
+
+    def __init__(self, spark: SparkSession, key: str, name: str):
+        self.spark, self.key, self.buckets = spark, key, int(spark.conf.get("spark.sql.shuffle.partitions"))
+        own = uuid.uuid4().hex
+        self.table, self.path = f"driftloom_{name.replace('-', '_')}_{own}", f"{shared_dir(spark).rstrip('/')}/driftloom-{name}-{own}"
+
+    def add(self, rows: DataFrame) -> DataFrame:
+        """Everything so far, these rows included."""
+        app = self.spark.sparkContext.applicationId
+        if self.table not in _named.setdefault(app, []):
+            _named[app].append(self.table)
+            _written.setdefault(app, []).append(self.path)
+        return _as_buckets(rows, self.table, self.path, self.key, self.buckets)
+
+
 def drop_cut(spark: SparkSession) -> int:
     """Remove the tables that this application has cut, when no result that reads them is needed any more. Returns how many there were."""
+    for table in _named.pop(spark.sparkContext.applicationId, []):
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
     paths = _written.pop(spark.sparkContext.applicationId, [])
     for p in paths:
         path = spark._jvm.org.apache.hadoop.fs.Path(p)

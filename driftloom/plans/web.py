@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import part, scope_root
 from ..operators import links, responses, robots
-from ..operators.tables import cut
+from ..operators.tables import bucketed, cut
 from ..schemas import RESPONSES
 from ..sources import responses as sources
 from .spec import MirrorSpec
@@ -33,12 +33,12 @@ class Judged:
         )
         scanned = cut(links.scanned(table.filter(html).select("url", text.alias("html"))), f"{name}-scan")
         rows = rows.join(scanned.select(F.col("src_url").alias("url"), "shell"), "url", "left").withColumn("shell", F.coalesce("shell", F.lit(False)))
-        self.pages = cut(responses.judged_pages(rows, spec.browser, spec.max_file_size), f"{name}-outcomes")
+        self.pages = bucketed(responses.judged_pages(rows, spec.browser, spec.max_file_size), "url", f"{name}-outcomes")
         self.plain = rows.drop("shell", "rendered")
         rendered = self.pages.filter("fetcher = 'playwright'").select("url")
         again = links.scanned(table.join(rendered, "url", "left_semi").select("url", F.col("rendered_html").alias("html")))
         found = scanned.join(rendered, scanned["src_url"] == rendered["url"], "left_anti").unionByName(again)
-        self.links = cut(links.links(links.flat(found), scope_root(F.lit(spec.url)), spec.subdomains), f"{name}-links")
+        self.links = bucketed(links.links(links.flat(found), scope_root(F.lit(spec.url)), spec.subdomains), "src_url", f"{name}-links")
         sheets = table.filter(responses.is_css(F.col("url"), F.col("content_type"))).select("url", text.alias("css"))
         self.nested = cut(links.stylesheet_links(sheets), f"{name}-nested")
 

@@ -316,12 +316,12 @@ def bfs_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def site_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Written once, as every level of a crawl looks outcomes up."""
-    return tables.cut(responses.judged_pages(catalog.site_responses(spark, sf_dir), "auto", 2900), "outcomes")
+    """Written once in buckets, as every level of a crawl looks outcomes up."""
+    return tables.bucketed(responses.judged_pages(catalog.site_responses(spark, sf_dir), "auto", 2900), "url", "outcomes")
 
 
 def site_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.cut(catalog.site_links(spark, sf_dir), "links")
+    return tables.bucketed(catalog.site_links(spark, sf_dir), "src_url", "links")
 
 
 @query
