@@ -28,64 +28,64 @@ def site(spark, pages, robots=None):
     return spark.createDataFrame(rows, RESPONSES)
 
 
-PAGES = {
-    "/": ("text/html", f'<a href="/a">a</a><a href="/b">b</a><a href="/secret/hidden">s</a><img src="/img/seed.png"><link rel=stylesheet href="/style.css">{LONG}'),
-    "/a": ("text/html", f'<a href="/a-deep">d</a><img src="/img/a.png">{LONG}'),
-    "/b": ("text/html", f'<a href="/">home</a><a href="/missing">m</a>{LONG}'),
-    "/a-deep": ("text/html", f'<img src="/img/deep.png">{LONG}'),
-    "/secret/hidden": ("text/html", LONG),
-    "/missing": ("404", "no"),
-    "/style.css": ("text/css", ".x{background:url(/img/a.png)}"),
-    "/img/seed.png": ("image/png", "S"),
-    "/img/a.png": ("image/png", "A"),
-    "/img/deep.png": ("image/png", "D"),
-}
+def tree(last=7):
+    """A site made by a rule: page n leads to pages 2n and 2n + 1 and shows picture n; the root has a theme, page 7 a way to one that isn't there."""
+    at = lambda n: "/" if n == 1 else f"/node/{n}"
+    pages = {"/theme.css": ("text/css", "body{background:url(pics/wall.gif)}"), "/pics/wall.gif": ("image/gif", "wall")}
+    for n in range(1, last + 1):
+        ways = [f'<a href="{at(k)}">{k}</a>' for k in (2 * n, 2 * n + 1) if k <= last or k == 15]
+        pages[at(n)] = ("text/html", f'<h1>{n}</h1>{"<link rel=stylesheet href=/theme.css>" * (n == 1)}{"".join(ways)}<img src="/pics/{n}.gif">{LONG}')
+        pages[f"/pics/{n}.gif"] = ("image/gif", f"picture {n}")
+    return pages
+
+
+PAGES = tree()
 
 
 def statuses(result):
     return {r["url"].removeprefix(A): (r["status"], r["kind"]) for r in result.manifest.collect()}
 
 
-def test_depth_exclude_and_navigability(spark):
+def test_levels_excludes_and_links_that_work(spark):
     full = mirror(spark, MirrorSpec(url=A + "/"), site(spark, PAGES))
     got = statuses(full)
-    assert got["/a-deep"] == ("ok", "page") and got["/img/deep.png"] == ("ok", "asset") and got["/missing"] == ("failed", "page")
-    assert full.report["pages"] == 5 and full.report["failures"] == 1
+    assert got["/node/7"] == ("ok", "page") and got["/pics/7.gif"] == ("ok", "asset") and got["/node/15"] == ("failed", "page") and "/node/14" not in got
+    assert (full.report["pages"], full.report["assets"], full.report["failures"]) == (7, 9, 1)
     files = full.rewritten.selectExpr("url", "path", "case when path like '%.css' then 'css' else 'html' end type", "content")
     assert rewrite.broken(rewrite.content_references(files), full.manifest.filter("status = 'ok'")).count() == 0
     home = next(r["content"] for r in full.rewritten.collect() if r["url"] == A + "/")
-    assert 'href="a.html"' in home and A not in home
-    gated = mirror(spark, MirrorSpec(url=A + "/", max_depth=2, exclude=("SECRET", "seed.png")), site(spark, PAGES))
+    assert 'href="node/2.html"' in home and A not in home
+    gated = mirror(spark, MirrorSpec(url=A + "/", max_depth=2, exclude=("NODE/3", "cs/1.GIF")), site(spark, PAGES))
     got = statuses(gated)
-    assert "/a-deep" not in got and got["/secret/hidden"] == ("excluded", "page") and got["/img/seed.png"] == ("excluded", "asset") and gated.report["excluded"] == 2
+    assert [n for n in range(1, 8) if f"/node/{n}" in got] == [2, 3] and got["/node/3"] == ("excluded", "page") and got["/pics/1.gif"] == ("excluded", "asset") and gated.report["excluded"] == 2
     home = next(r["content"] for r in gated.rewritten.collect() if r["url"] == A + "/")
-    assert f'href="{A}/secret/hidden"' in home
+    assert f'href="{A}/node/3"' in home and 'href="node/2.html"' in home
 
 
 def test_robots_limit_and_resume(spark):
-    table = site(spark, PAGES, "User-agent: *\nDisallow: /secret\nDisallow: /img/a")
+    table = site(spark, PAGES, "User-agent: *\nDisallow: /node/3\nDisallow: /pics/2")
     got = statuses(mirror(spark, MirrorSpec(url=A + "/"), table))
-    assert got["/secret/hidden"] == ("robots", "page") and got["/img/a.png"] == ("robots", "asset")
+    assert got["/node/3"] == ("robots", "page") and got["/pics/2.gif"] == ("robots", "asset") and "/node/6" not in got
     first = mirror(spark, MirrorSpec(url=A + "/", max_pages=2), site(spark, PAGES))
     assert first.report["pages"] == 2
     again = mirror(spark, MirrorSpec(url=A + "/"), site(spark, PAGES), previous=first.manifest)
-    assert again.report["pages"] == 5
+    assert again.report["pages"] == 7
 
 
-def test_base_href_and_challenge_and_size(spark):
+def test_relative_base_walls_and_sizes(spark):
     pages = {
-        "/": ("text/html", f'<a href="/based/">b</a><a href="/wall">w</a><a href="/big">g</a>{LONG}'),
-        "/based/": ("text/html", f'<base href="/based/deep/"><a href="child.html">c</a><img src="i.png">{LONG}'),
-        "/based/deep/child.html": ("text/html", f'<a href="../../">up</a>{LONG}'),
-        "/based/deep/i.png": ("image/png", "I"),
+        "/": ("text/html", f'<a href="guide">g</a><a href="/wall">w</a><a href="/big">b</a>{LONG}'),
+        "/guide": ("text/html", f'<base href="parts/one/"><a href="two">next</a><img src="x.gif">{LONG}'),
+        "/parts/one/two": ("text/html", f'<a href="../../guide">back</a>{LONG}'),
+        "/parts/one/x.gif": ("image/gif", "x"),
         "/wall": ("text/html", "<title>Just a moment...</title>"),
         "/big": ("text/html", "x" * 5000),
     }
     done = mirror(spark, MirrorSpec(url=A + "/", max_file_size=4000), site(spark, pages))
     got = statuses(done)
-    assert got["/wall"][0] == "challenge" and got["/big"][0] == "too-large" and got["/based/deep/child.html"] == ("ok", "page") and got["/based/deep/i.png"] == ("ok", "asset")
-    child = {r["url"]: r["content"] for r in done.rewritten.collect()}
-    assert "<base" not in child[A + "/based/"] and 'href="deep/child.html"' in child[A + "/based/"] and 'href="../../index.html"' in child[A + "/based/deep/child.html"]
+    assert got["/wall"][0] == "challenge" and got["/big"][0] == "too-large" and got["/parts/one/two"] == ("ok", "page") and got["/parts/one/x.gif"] == ("ok", "asset")
+    text = {r["url"].removeprefix(A): r["content"] for r in done.rewritten.collect()}
+    assert "<base" not in text["/guide"] and 'href="parts/one/two.html"' in text["/guide"] and 'href="../../guide.html"' in text["/parts/one/two"]
 
 
 def test_stopped_run_leaves_content_alone(spark):
@@ -211,18 +211,18 @@ def test_resume_from_saved_files_only(spark, tmp_path):
     body = first.answers.join(first.manifest.filter("status = 'ok'").select("url", "path"), "url").selectExpr("path", "body as content")
     sinks.write_tree(body, str(tmp_path / "copy"))
     saved = sources.saved_tree(spark, str(tmp_path / "copy"))
-    rest = site(spark, {p: x for p, x in PAGES.items() if p not in ("/", "/style.css", "/img/seed.png")})
-    again = mirror(spark, MirrorSpec(url=A + "/"), rest, previous=first.manifest.filter("url not like '%/img/a.png'"), saved=saved)
+    rest = site(spark, {p: x for p, x in PAGES.items() if p not in ("/", "/theme.css", "/pics/1.gif")})
+    again = mirror(spark, MirrorSpec(url=A + "/"), rest, previous=first.manifest.filter("url not like '%/pics/wall.gif'"), saved=saved)
     got = statuses(again)
-    assert again.report["pages"] == 5 and got["/img/a.png"] == ("ok", "asset") and got["/style.css"] == ("ok", "asset")
+    assert again.report["pages"] == 7 and got["/pics/wall.gif"] == ("ok", "asset") and got["/theme.css"] == ("ok", "asset")
     assert A + "/" in {r["url"] for r in again.rewritten.collect()}
 
 
 def test_progress_events(spark):
     done = mirror(spark, MirrorSpec(url=A + "/"), site(spark, PAGES), on_progress=(said := []).append)
     rows = done.progress.orderBy("seq").collect()
-    assert rows[0]["queue_size"] >= 3 and rows[-1]["queue_size"] == 0 and rows[-1]["pages_done"] == 5 and rows[-1]["assets_done"] == done.report["assets"]
-    assert len(rows) == done.manifest.count() and said[0]["phase"] == "crawl" and said[0]["queue_size"] == 3 and said[-1]["phase"] == "rewrite"
+    assert rows[0]["queue_size"] >= 2 and rows[-1]["queue_size"] == 0 and rows[-1]["pages_done"] == 7 and rows[-1]["assets_done"] == done.report["assets"]
+    assert len(rows) == done.manifest.count() and said[0]["phase"] == "crawl" and said[0]["queue_size"] == 2 and said[-1]["phase"] == "rewrite"
 
 
 class Server:
@@ -238,12 +238,12 @@ class Server:
             def do_GET(self):
                 asked.append((self.path, time.monotonic()))
                 kind, text = {**PAGES, "/robots.txt": ("text/plain", robots), "/shell": ("text/html", "<div id=root></div><script>1</script>")}.get(self.path, ("404", "no"))
-                moved = self.path == "/a"
+                moved = self.path == "/node/2"
                 self.send_response(302 if moved else 404 if kind == "404" else 200)
                 if moved:
                     self.send_header("Location", "/moved")
                     text = ""
-                if self.path == "/b":
+                if self.path == "/node/3":
                     text += '<a href="/shell">s</a>'
                 self.send_header("Content-Type", kind if kind != "404" else "text/html")
                 self.send_header("Content-Length", str(len(text.encode())))
@@ -257,25 +257,25 @@ class Server:
 
 def test_live_crawl(spark, tmp_path):
     """Stop after the seed, go on from the files, to the end: robots, redirects, errors, delays, rendering, a browsable copy."""
-    web = Server("User-agent: *\nDisallow: /secret\nCrawl-delay: 0.2")
+    web = Server("User-agent: *\nDisallow: /node/6\nCrawl-delay: 0.2")
     out = str(tmp_path / "copy")
     spec = MirrorSpec(url=f"{web.url}/", out=out, delay=10, delay_max=50, max_file_size=100_000)
     stop, run = threading.Event(), engine(spark)
     first = run(spec, stop, lambda p: stop.set() if p["pages_done"] else None)
     assert first["pages"] == 1 and not os.path.exists(f"{out}/index.html") and [p for p, _ in web.asked] == ["/robots.txt", "/"]
     web.asked.clear()
-    rendered = LiveWeb(spark, spec, lambda url: "<body>rendered <a href='/a-deep'>d</a></body>" if url.endswith("/shell") else None)
+    rendered = LiveWeb(spark, spec, lambda url: "<body>rendered <a href='/node/4'>4</a></body>" if url.endswith("/shell") else None)
     record, saved = sources.read_manifest(spark, f"{out}/manifest.json"), sources.saved_tree(spark, out)
     done = mirror(spark, spec, None, record, saved=saved, web=rendered)
     got = {r["url"].removeprefix(web.url): r for r in done.manifest.collect()}
     paths = [p for p, _ in web.asked]
-    assert "/" not in paths and paths.count("/robots.txt") == 1 and "/secret/hidden" not in paths
-    assert got["/secret/hidden"]["status"] == "robots" and got["/missing"]["error"] == "HTTP 404" and got["/a"]["status"] == "failed"
-    assert got["/shell"]["fetcher"] == "playwright" and got["/a-deep"]["status"] == "ok" and got["/img/a.png"]["status"] == "ok"
-    ats = [t for p, t in web.asked if p in ("/a", "/b", "/moved")]
+    assert "/" not in paths and paths.count("/robots.txt") == 1 and "/node/6" not in paths
+    assert got["/node/6"]["status"] == "robots" and got["/node/15"]["error"] == "HTTP 404" and got["/node/2"]["status"] == "failed"
+    assert got["/shell"]["fetcher"] == "playwright" and got["/node/4"]["status"] == "ok" and got["/pics/3.gif"]["status"] == "ok"
+    ats = [t for p, t in web.asked if p in ("/node/2", "/node/3", "/moved")]
     assert max(ats) - min(ats) >= 0.2  # the host's own delay
     report = run(spec, threading.Event(), lambda p: None)
-    assert report["pages"] == 3 and os.path.exists(f"{out}/index.html") and len(json.load(open(f"{out}/report.json"))["failures"]) == report["failures"]
+    assert report["pages"] == 4 and os.path.exists(f"{out}/index.html") and len(json.load(open(f"{out}/report.json"))["failures"]) == report["failures"]
 
 
 def test_exports():

@@ -73,7 +73,7 @@ def test_command_line(spark, tmp_path):
     out = tmp_path / "copy"
     assert main([A + "/", "--out", str(out), "--responses", str(tmp_path / "responses")]) == 0
     report = json.loads((out / "report.json").read_text())
-    assert report["pages"] == 5 and (out / "index.html").exists() and (out / "_assets/site-a.test_8001/img/a.png").read_bytes() == b"A"
+    assert report["pages"] == 7 and (out / "index.html").exists() and (out / "_assets/site-a.test_8001/pics/1.gif").read_bytes() == b"picture 1"
     assert main([A + "/", "--out", str(out), "--responses", str(tmp_path / "responses")]) == 0
     assert main(["not-there.invalid", "--out", str(tmp_path / "live"), "--no-robots"]) == 0  # without a table: the web
     assert json.loads((tmp_path / "live" / "report.json").read_text())["failures"][0]["status"] == "failed"
