@@ -108,3 +108,57 @@ scored AS (
 placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM placed WHERE rank <= 10
 """
+
+
+def _more(best: str, cost: str, edit: str) -> str:
+    """A way (nine digits of cost, then its audit) with one more edit; null stays null."""
+    return f"(lpad(CAST(CAST(left({best}, 9) AS BIGINT) + {cost} AS VARCHAR), 9, '0') || substr({best}, 10) || '{edit}')"
+
+
+ORACLES["op12_conversation_repair"] = rf"""
+WITH RECURSIVE bytes_ AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+base AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT)) AS codes FROM conversations),
+kinds AS (
+  SELECT conv_id, turn, role, text, xor(list_reduce(list_prepend(4294967295, codes), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS k FROM base, bytes_),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN k = 3 THEN [1, 2] ELSE [1] END) AS copy FROM kinds WHERE k <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS pos FROM damaged),
+told AS (
+  SELECT *, left(role, 1) AS r, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again,
+    right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) NOT IN ('.', '!', '?') AS open_ FROM placed),
+judged AS (
+  SELECT *, blank OR again AS gone, NOT (blank OR again) AND open_ AS cut, CASE WHEN pos > 1 THEN lag(r) OVER (PARTITION BY conv_id ORDER BY pos) || r NOT IN ('su', 'ua', 'au') ELSE false END AS wrong FROM told),
+ways(conv_id, pos, b0, b1, b2, b3) AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT), '000000000', CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR) FROM judged
+  UNION ALL
+  SELECT conv_id, pos, {_more("b0", "2", "D")},
+    least({_more("b1", "2", "D")}, CASE WHEN NOT gone AND r = 's' THEN {_more("b0", "5 * cut", "K")} END),
+    least({_more("u2", "2", "D")}, CASE WHEN NOT gone THEN {_more("least(b0, b1, a1)", "5 * cut + 1", "R")} END, CASE WHEN NOT gone AND r = 'u' THEN {_more("least(b0, b1, a1)", "5 * cut", "K")} END),
+    least({_more("a1", "2", "D")}, CASE WHEN NOT gone THEN {_more("u2", "5 * cut + 1", "R")} END, CASE WHEN NOT gone AND r = 'a' THEN {_more("u2", "5 * cut", "K")} END)
+  FROM (
+    SELECT *, least(u1, {_more("a1", "5", "I")}) AS u2 FROM (
+      SELECT *, least(b3, {_more("u1", "5", "I")}) AS a1 FROM (
+        SELECT w.conv_id, j.pos, b0, b1, b3, j.r, j.gone, CAST(j.cut AS BIGINT) AS cut, least(b2, {_more("b0", "5", "I")}, {_more("b1", "5", "I")}, {_more("b3", "5", "I")}) AS u1
+        FROM ways w JOIN judged j ON j.conv_id IS NOT DISTINCT FROM w.conv_id AND j.pos = w.pos + 1)))),
+ends AS (
+  SELECT conv_id, least(b0, b3, {_more("least(b2, " + _more("b1", "5", "I") + ")", "5", "I")}) AS best FROM ways
+  QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY pos DESC) = 1),
+edits AS (SELECT conv_id, unnest(string_split(substr(best, 10), '')) AS e, unnest(range(1, length(best) - 8)) AS i FROM ends WHERE length(best) > 9),
+matched AS (SELECT *, count(*) FILTER (e <> 'I') OVER (PARTITION BY conv_id ORDER BY i) AS pos FROM edits),
+emitted AS (
+  SELECT m.conv_id, m.i, m.e, j.role, j.text, count(*) FILTER (NOT (m.e = 'K' AND j.r = 's')) OVER (PARTITION BY m.conv_id ORDER BY m.i) % 2 = 1 AS odd
+  FROM matched m LEFT JOIN judged j ON j.conv_id IS NOT DISTINCT FROM m.conv_id AND j.pos = m.pos AND m.e <> 'I' WHERE m.e <> 'D'),
+hashes AS (
+  SELECT conv_id, sha256(string_agg(CASE WHEN e = 'K' THEN role ELSE CASE WHEN odd THEN 'user' ELSE 'assistant' END END || ':' || CASE WHEN e = 'I' THEN '' ELSE text END, chr(10) ORDER BY i)) AS h FROM emitted GROUP BY conv_id),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate, count(*) FILTER (cut) AS truncated,
+    count(*) FILTER (wrong) AS illegal FROM judged GROUP BY conv_id)
+SELECT o.conv_id, coalesce(c.gaps, 0) AS gaps, coalesce(c.blank, 0) AS blank, coalesce(c.duplicate, 0) AS duplicate, coalesce(c.truncated, 0) AS truncated, coalesce(c.illegal, 0) AS illegal,
+  coalesce(CAST(left(n.best, 9) AS BIGINT), 0) AS cost, coalesce(substr(n.best, 10), '') AS audit, coalesce(h.h, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN ends n ON n.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN hashes h ON h.conv_id IS NOT DISTINCT FROM o.conv_id
+"""

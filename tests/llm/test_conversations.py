@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from driftloom.llm import conversation_repair as repair
 from driftloom.llm.common import read
+from driftloom.llm.oracles import ORACLES
 from driftloom.llm.queries import QUERIES
-from tests.conftest import DATA
+from tests.conftest import DATA, rows_of, sql_rows
 
 NEXT = {"": "u", "s": "u", "u": "a", "a": "u"}
 
@@ -126,9 +127,11 @@ def test_cheapest_edits():
     assert (cost, len(audit)) == (2, 100_002) and audit.count("D") == 1
 
 
-def test_query_by_hand(spark):
+def test_query_by_hand_and_sql(spark, duck):
     given = [tuple(r) for r in read(spark, DATA, "conversations").select("conv_id", "turn", "role", "text").collect()]
-    assert found(QUERIES["op12_conversation_repair"](spark, DATA)) == by_hand(given)
+    df = QUERIES["op12_conversation_repair"](spark, DATA)
+    assert found(df) == by_hand(given)
+    assert rows_of(df) == sql_rows(duck, ORACLES["op12_conversation_repair"], sorted(df.columns))
 
 
 def test_edges(spark):
