@@ -85,10 +85,10 @@ def pause_ms(least: float, most: float | None) -> float:
     return least + STEP * random.randrange(int((max(least, most) - least) // STEP) + 1)
 
 
-def wants_rendering(row: tuple, mode: str) -> bool:
-    """Whether a browser mode asks for a fetched page (a row of fetch) to be rendered."""
+def wants_rendering(row: tuple, mode: str, most_bytes: int = 0) -> bool:
+    """Whether a browser mode asks for a fetched page (a row of fetch) to be rendered; one that is too large never is."""
     _, _, status, kind, headers, body, _, failure = row
-    if mode == "never" or failure or body is None:
+    if mode == "never" or failure or body is None or 0 < most_bytes < len(body):
         return False
     markup = "text/html" in kind.lower() or "application/xhtml" in kind.lower()
     challenged = any(headers.get(k, "").lower() == "challenge" for k in ("cf-mitigated", "x-amzn-waf-action")) or (markup and any(m in body[:SNIFFED].decode("latin-1").lower() for m, _ in MARKERS))
@@ -116,7 +116,7 @@ def live(
                     time.sleep(min(pause, max(0.0, before + pause - time.time() * 1000)) / 1000)
                 last, asked = host, int(time.time() * 1000)
                 row = fetch(url, user_agent, timeout, most_bytes=most_bytes)
-                page = renderer(url) if renderer and wants_rendering(row, mode) else None
+                page = renderer(url) if renderer and wants_rendering(row, mode, most_bytes) else None
                 values = [*row[:4], list(row[4].items()), *row[5:7], {"kind": row[7][0], "message": row[7][1]} if row[7] else None, page, asked]
                 yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=names)
 

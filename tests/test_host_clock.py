@@ -56,3 +56,10 @@ def test_stream_over_the_live_web(spark):
     rows = CrawlStream(spark, spec.url, web.pages, crawl.Gates(), web.rules).run(most=240).collect()
     assert {(r["url"].removeprefix(tower.url), r["depth"], r["status"]) for r in rows} == {("/floor1", 1, "ok"), ("/floor2", 2, "ok"), ("/floor3", 3, "ok"), ("/floor4", 4, "failed")}
     assert min(tower.gaps()) >= 6
+
+
+def test_large_pages_are_not_rendered():
+    from driftloom.sources.responses import wants_rendering
+
+    shell = ("u", "u", 200, "text/html", {}, b"<div id=root></div><script>1</script>", [], None)
+    assert wants_rendering(shell, "auto") and wants_rendering(shell, "auto", 100) and not wants_rendering(shell, "auto", 10) and not wants_rendering(shell, "never")
