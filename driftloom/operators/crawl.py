@@ -14,7 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.urls import excluded, part, within_depth
+from ..functions.urls import part, within_depth
+from .excludes import flagged
 from .robots import allowed
 from .tables import Growing, cut, numbered, running
 
@@ -64,7 +65,7 @@ def crawl(
     growing, out, attempts, number = Growing(spark, "url", "seen"), [], 0, 1
     seen = growing.add(level.select("url"))
     while True:
-        rows = level.withColumn("x", excluded(F.col("url"), list(gates.exclude)))
+        rows = flagged(level, "url", list(gates.exclude), "x")
         if done is not None and not gates.fresh:
             rows = rows.join(done.select("url", F.col("harvest").alias("saved")), "url", "left")
         else:
@@ -142,7 +143,7 @@ def asset_jobs(
     level = found.select("url").distinct().withColumn("depth", F.lit(0))
     out = None
     for depth in range(CSS_DEPTH + 1):
-        rows = level.withColumn("x", excluded(F.col("url"), list(exclude))).withColumn("host", part(F.col("url"), 2)).withColumn("pathname", part(F.col("url"), 3))
+        rows = flagged(level, "url", list(exclude), "x").withColumn("host", part(F.col("url"), 2)).withColumn("pathname", part(F.col("url"), 3))
         rows = rows.join(done.select("url", F.lit(True).alias("there")), "url", "left") if done is not None else rows.withColumn("there", F.lit(False))
         known = rules(rows) if callable(rules) else rules
         rows = allowed(rows, known) if known is not None else rows.withColumn("allowed", F.lit(True))

@@ -417,3 +417,9 @@ SELECT 'index.html' AS path, replace('{_INDEX.format('@')}', '@', href) AS conte
 
 ORACLES["stream_crawl_manifest"] = ORACLES["crawl_manifest"]
 ORACLES["manifest_log"] = ORACLES["manifest_merge"]
+ORACLES["exclude_many"] = """
+WITH w AS (SELECT string_split_regex(lower(text), '[^a-z]+') AS w FROM benchmark),
+p AS (SELECT unnest(list_filter(list_transform(range(1, greatest(len(w), 2)), lambda i: w[i] || coalesce(' ' || w[i + 1], '')), lambda x: length(x) >= 8)) AS pattern FROM w
+  UNION SELECT unnest(list_filter(w, lambda x: length(x) >= 4)) FROM w),
+texts AS (SELECT 'document ' || doc_id AS name, lower(text) AS t FROM documents UNION ALL SELECT 'page ' || page_id, lower(url) FROM pages)
+SELECT name, count(*) AS patterns, min(pattern) AS first_pattern FROM texts JOIN p ON contains(t, pattern) GROUP BY name"""

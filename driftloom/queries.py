@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import fixtures as fx
 from .functions import css, urls
-from .operators import crawl, links, manifest, responses, rewrite, robots, tables
+from .operators import crawl, excludes, links, manifest, responses, rewrite, robots, tables
 from .plans import catalog
 from .sources.manifest_log import ManifestLog
 from .streaming.crawl import CrawlStream
@@ -82,6 +82,18 @@ def exclude_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter("hit").select("name", "page_id")
 
 
+@query
+def exclude_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and page addresses by how many of some thousand patterns they contain: every pair of neighbouring words of the benchmark, and its words of ten letters and more."""
+    words = F.split(F.lower("text"), "[^a-z]+")
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.get("w", i - 1), F.get("w", i)))
+    rows = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(words.alias("w"))
+    patterns = rows.select(F.explode(F.concat(F.filter(pairs, lambda p: F.length(p) >= 8), F.filter("w", lambda w: F.length(w) >= 4))).alias("pattern"))
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.concat(F.lit("document "), C("doc_id").cast("string")).alias("name"), "text")
+    texts = texts.unionByName(pages(spark, sf_dir).select(F.concat(F.lit("page "), C("page_id").cast("string")).alias("name"), C("url").alias("text")))
+    return excludes.contained(texts, "name", "text", patterns).groupBy("name").agg(F.count("*").alias("patterns"), F.min("pattern").alias("first_pattern"))
+
+
 @query
 def depth_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Depths and limits (none, 0 and others) as events give them."""

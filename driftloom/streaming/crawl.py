@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from ..functions.urls import excluded, part, within_depth
+from ..functions.urls import part, within_depth
 from ..operators.crawl import Gates, Visit
+from ..operators.excludes import flagged
 from ..operators.robots import allowed
 from ..operators.tables import shared_dir
 
@@ -128,7 +129,7 @@ class CrawlStream:
 
     def _gated(self, found: DataFrame) -> DataFrame:
         """(url, depth) as events of discovery."""
-        rows = found.withColumn("host", part(F.col("url"), 2)).withColumn("pathname", part(F.col("url"), 3)).withColumn("x", excluded(F.col("url"), list(self.gates.exclude)))
+        rows = flagged(found, "url", list(self.gates.exclude), "x").withColumn("host", part(F.col("url"), 2)).withColumn("pathname", part(F.col("url"), 3))
         known = self.rules(rows) if callable(self.rules) and self.gates.respect_robots else self.rules
         rows = allowed(rows, known) if known is not None and self.gates.respect_robots else rows.withColumn("allowed", F.lit(True))
         delay = F.lit(float(self.delay_ms))
