@@ -124,8 +124,8 @@ def segment_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
 def path_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """URLs of pages and links, and variants of them, that share a local path."""
     own = pages(spark, sf_dir).select(urls.normalize(C("url")).alias("url")).union(page_links(spark, sf_dir).select("abs_url"))
-    other = own.select(F.when(C("url").startswith("https:"), F.regexp_replace("url", "^https:", "http:")).otherwise(F.regexp_replace("url", "^http:", "https:")).alias("url"))
-    rows = own.union(other).distinct().select("url", urls.local_path(C("url"), F.lit("page")).alias("path"))
+    other = F.when(C("url").startswith("https:"), F.regexp_replace("url", "^https:", "http:")).otherwise(F.regexp_replace("url", "^http:", "https:"))
+    rows = own.distinct().select(F.explode(F.array("url", other)).alias("url")).distinct().select("url", urls.local_path(C("url"), F.lit("page")).alias("path"))
     return rewrite.collisions(rows)
 
 
@@ -454,9 +454,9 @@ def saved_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("url", urls.local_path(C("url"), F.lit("page")).alias("path"), F.lit("html").alias("type"), "content")
 
 
-def rewritten_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rewritten_pages(spark: SparkSession, sf_dir: str, mirror: DataFrame | None = None) -> DataFrame:
     files = saved_pages(spark, sf_dir)
-    return rewrite.rewritten(files, rewrite.plan(rewrite.content_references(files), page_manifest(spark, sf_dir)))
+    return rewrite.rewritten(files, rewrite.plan(rewrite.content_references(files), mirror if mirror is not None else tables.cut(page_manifest(spark, sf_dir), "mirror")))
 
 
 @query
@@ -467,8 +467,9 @@ def rewrite_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def broken_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Local references of rewritten pages that lead nowhere once the files with a path length that 3 divides are gone."""
-    files = rewritten_pages(spark, sf_dir).select("url", "path", F.lit("html").alias("type"), "content")
-    left = page_manifest(spark, sf_dir).filter(F.length("path") % 3 != 0)
+    mirror = tables.cut(page_manifest(spark, sf_dir), "mirror")  # one parse for both uses
+    files = rewritten_pages(spark, sf_dir, mirror).select("url", "path", F.lit("html").alias("type"), "content")
+    left = mirror.filter(F.length("path") % 3 != 0)
     return rewrite.broken(rewrite.content_references(files), left).select("path", "raw_ref")
 
 
