@@ -65,9 +65,11 @@ class HostProcessor(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         host, out, fresh = key[0], [], []
+        head, tail, due, delay = self.ends.get() if self.ends.exists() else (0, 0, 0.0, 0.0)
+        free = head == tail and not due and not delay  # nobody waits: what needs no pause is asked at once
         for frame in rows:
             for e in sorted(frame.itertuples(index=False), key=lambda e: (e.kind, e.depth, e.url)):  # answers first
-                known = self.seen.getValue((e.url,)) if self.seen.containsKey((e.url,)) else None
+                known = self.seen.getValue((e.url,))
                 if e.kind == "answer":
                     if known and known[1] == ASKED:
                         self.seen.updateValue((e.url,), (known[0], FOLLOWED if e.harvest else CLOSED))
@@ -75,7 +77,10 @@ class HostProcessor(StatefulProcessor):
                         if e.harvest and known[0] < e.depth:  # nearer since it was asked
                             out.append((host, "again", e.url, known[0], None, None, None, 0))
                 elif known is None:
-                    if e.gate == "fetch":
+                    if e.gate == "fetch" and free and not e.delay_ms:
+                        self.seen.updateValue((e.url,), (int(e.depth), ASKED))
+                        out.append((host, "request", e.url, e.depth, None, None, None, 1))
+                    elif e.gate == "fetch":
                         self.seen.updateValue((e.url,), (int(e.depth), WAITING))
                         fresh.append((e.url, e.delay_ms))
                         out.append((host, "open", e.url, e.depth, None, None, None, 1))
@@ -89,7 +94,6 @@ class HostProcessor(StatefulProcessor):
                     if known[1] == FOLLOWED:
                         out.append((host, "again", e.url, e.depth, None, None, None, 0))
         if fresh:
-            head, tail, due, delay = self.ends.get() if self.ends.exists() else (0, 0, 0.0, 0.0)
             for k, (url, wait) in enumerate(fresh):
                 self.queue.updateValue((tail + k,), (url,))
                 delay = max(delay, float(wait or 0))
