@@ -83,8 +83,8 @@ def rewritable(manifest: DataFrame) -> DataFrame:
 
 
 def broken(refs: DataFrame, paths: DataFrame) -> DataFrame:
-    """Local references (path, raw_ref) of rewritten files that no path of the mirror answers."""
-    local = refs.filter(~is_inert(F.col("raw_ref")) & ~F.col("raw_ref").rlike(r"^([A-Za-z][A-Za-z0-9+.-]*:|//)"))
+    """Local references (path, raw_ref) of rewritten files that no path of the mirror answers; rows that share url and path are one file, its references come once."""
+    local = refs.dropDuplicates(["url", "path", "raw_ref"]).filter(~is_inert(F.col("raw_ref")) & ~F.col("raw_ref").rlike(r"^([A-Za-z][A-Za-z0-9+.-]*:|//)"))
     local = local.withColumn("own_path", joined_path(F.col("path"), F.regexp_extract(trimmed(F.col("raw_ref")), r"^([^?#]*)", 1)))
     return local.join(paths.select(F.col("path").alias("own_path")).distinct(), "own_path", "left_anti")
 
