@@ -5,8 +5,10 @@ Two sets with Jaccard >= t must share a column among their first n - ceil(t n) +
 order puts n-grams that very many rows hold last. Only that part of the matrix is shuffled, in blocks by column, and columns of a
 single row go at once. Then:
 
-* columns of DENSE rows or more tie their rows into clusters (large groups of near copies, and what common text chains together). A cluster's full
-  rows are parted by size, as sizes further apart than the threshold can't link, and dealt into tiles of TILE n-grams; pairs of tiles are
+* in columns of DENSE rows or more (of large groups of near copies, and those that unrelated sets share by chance) rows are compared by sketches, the
+  parities of their n-grams over as many buckets as they have n-grams or more: sets differ in no fewer n-grams than their sketches in bits, so what
+  sketches rule out can't link. What they leave open ties sets into clusters; unrelated sets are not chained, however many rows a column has. Columns
+  that nearly the same rows hold are compared as one, long ones in tiles of SKETCHED n-grams. A cluster's full rows are parted by size, as sizes further apart than the threshold can't link, and dealt into tiles of TILE n-grams; pairs of tiles are
   blocks that a task multiplies in memory, row by row, discarding counts below the bound that the sizes ask for. First every
   tile meets itself and one of its part, which joins most of a group of near copies; then rows outside their part's largest group
   meet all tiles of their part and of its neighbours. A block emits only links that join something, fewer than it has rows;
@@ -14,7 +16,7 @@ single row go at once. Then:
   cannot reach their bound are discarded, what passes is verified on the full rows.
 
 Both are exhaustive: a linked pair shares a dense column, and so a cluster, or its count is complete without them; rows that don't meet are of
-one group already. A part in which nothing links costs the square of its tiles.
+one group already. A part in which nothing links costs the square of its tiles, a dense column the square of its rows' sketches.
 
 Defined cases: texts without words have the empty set and no links; fewer words than a shingle are one shingle; null doc_ids are
 never a component's id unless it has no other; repeated rows are copies. Sets are told apart by 128 bits of hash, n-grams by 64.
@@ -40,7 +42,9 @@ PERCENT = 80
 #: A chunk of rows counts its n-grams together; those that it holds so often are reported; so many of them are put last.
 CHUNK, OFTEN, LAST = 1 << 21, 3, 1 << 17
 #: Rows that make a column dense; n-grams of a tile (8 bytes each); partners of a row that meet in one task while pairs are verified.
-DENSE, TILE, PARTNERS = 64, 1 << 19, 512
+DENSE, TILE, PARTNERS = 32, 1 << 19, 512
+#: N-grams of a tile of sketches (an eighth to a quarter of a byte each), and what each of its rows counts besides its own.
+SKETCHED, ROW = 1 << 25, 1 << 12
 
 
 def set_names(shingles: np.ndarray) -> tuple[int, int]:
@@ -64,8 +68,21 @@ def overlap_bound(a, b, percent: int):
     return -(-percent * (a + b) // (100 + percent))
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """Parities of a set's members over 2^k buckets, one for each member at least; the low bits of their hashes say which."""
+    buckets = max(64, 1 << (len(shingles) - 1).bit_length())
+    return np.packbits(np.bincount((shingles & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def folded(x: np.ndarray, words: int) -> np.ndarray:
+    """The sketch of the same set over fewer buckets."""
+    while len(x) > words:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
 def described(docs: DataFrame, size: int, *more: Column) -> DataFrame:
-    """A staged table: (doc_id, n, sid, other, more long columns) of every document, and rows with kind 1 whose sid is an n-gram held n times by a chunk."""
+    """A staged table: (doc_id, n, sid, other, sketch, more long columns) of every document, and rows with kind 1 whose sid is an n-gram held n times by a chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, held, total = WordCodes(), [], 0
@@ -77,28 +94,29 @@ def described(docs: DataFrame, size: int, *more: Column) -> DataFrame:
             counts, values = np.diff(np.append(starts, len(values))), values[starts]
             keep = counts >= OFTEN
             k = int(keep.sum())
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.nulls(k, pa.int64()), pa.array(counts[keep].astype(np.int64)), pa.array(values[keep].view(np.int64)), pa.nulls(k, pa.int64()), *(pa.nulls(k, pa.int64()) for _ in extra)], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.nulls(k, pa.int64()), pa.array(counts[keep].astype(np.int64)), pa.array(values[keep].view(np.int64)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), *(pa.nulls(k, pa.int64()) for _ in extra)], names=names)
 
-        names = ["kind", "doc_id", "n", "sid", "other", *extra]
+        names = ["kind", "doc_id", "n", "sid", "other", "sketch", *extra]
         for batch in batches:
-            ns, sids = [], []
+            ns, sids, sketches = [], [], []
             for data in binary(batch.column(1)):
                 s = shingle_set(data, codes, size)
                 ns.append(len(s))
                 sids.append(set_names(s))
+                sketches.append(sketch(s) if len(s) else None)
                 held.append(s)
                 total += len(s)
                 if total >= CHUNK:
                     yield often()
                     held, total = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ns), np.int32)), batch.column(0), pa.array(ns, pa.int64()), *(pa.array([x[i] for x in sids], pa.int64()) for i in (0, 1)), *batch.columns[2:]], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ns), np.int32)), batch.column(0), pa.array(ns, pa.int64()), *(pa.array([x[i] for x in sids], pa.int64()) for i in (0, 1)), pa.array(sketches, pa.binary()), *batch.columns[2:]], names=names)
         if held:
             yield often()
 
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), "text", *more)
     extra = rows.columns[2:]
-    return stage(rows.mapInArrow(run, ", ".join(["kind int, doc_id long, n long, sid long, other long", *(f"{c} long" for c in extra)])), "sets")
+    return stage(rows.mapInArrow(run, ", ".join(["kind int, doc_id long, n long, sid long, other long, sketch binary", *(f"{c} long" for c in extra)])), "sets")
 
 
 def common_ngrams(rows: DataFrame) -> np.ndarray:
@@ -164,6 +182,59 @@ def shared_columns(part: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "gram long, sid long, n int")
 
 
+def sketch_links(sizes: np.ndarray, sketches: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Pairs (positions in rows, which come by ascending size) that join rows where sketches leave a link open."""
+    last = np.searchsorted(sizes, sizes * 100 // percent, "right")
+    words, label, links = np.array([len(x) for x in sketches]), np.arange(len(sketches)), []
+    for w in np.unique(words):
+        own = np.flatnonzero(words == w)
+        first = own[0]
+        rows = np.stack([folded(x, w) for x in sketches[first : last[own[-1]]]])
+        for r in own:
+            at = r + 1 + np.flatnonzero(label[r + 1 : last[r]] != label[r])
+            differ = np.bitwise_count(rows[at - first] ^ rows[r - first]).sum(axis=1, dtype=np.int64)
+            at = at[differ <= sizes[r] + sizes[at] - 2 * overlap_bound(sizes[r], sizes[at], percent)]
+            if len(at):
+                others, one = np.unique(label[at], return_index=True)
+                links += [(int(r), int(x)) for x in at[one]]
+                label[np.isin(label, others)] = label[r]
+    return links
+
+
+def clusters_of(part: DataFrame, columns: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(sid, cluster): what sketches tie together in dense columns (gram, block); columns of one block have nearly the same rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sids, sizes, sketches = None, [], [], []
+
+        def done() -> pa.RecordBatch:
+            links = sketch_links(np.array(sizes), sketches, percent) if len(sids) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([sids[k[i]] for k in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            cols = [batch.column(k).to_pylist() for k in ("block", "i", "j", "n", "sid", "sketch")]
+            for *key, n, sid, data in zip(*cols, strict=True):
+                if key != now:
+                    if len(sids) > 1:
+                        yield done()
+                    now, sids, sizes, sketches = key, [], [], []
+                sids.append(sid)
+                sizes.append(n)
+                sketches.append(np.frombuffer(data, np.uint64))
+        yield done()
+
+    members = stage(part.join(columns, "gram").select("block", "sid", F.col("n").cast("long").alias("n")).distinct(), "met")
+    blocks = stage(members.groupBy("block").agg(F.count("*").alias("n"), F.ceil(F.sum(F.col("n") + ROW) / SKETCHED).alias("tiles")), "blocks")
+    routes = spread_join(members, blocks.select("block", "tiles"), "block", hot_keys(blocks, "block")).withColumn("tile", F.pmod(F.xxhash64("sid", F.lit("tile")), "tiles"))
+    routes = routes.select("sid", "n", "block", "tile", F.explode(F.expr("sequence(0L, tiles - 1)")).alias("other"))
+    routes = routes.select("sid", "n", "block", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
+    sketches = sets.filter("n > 0").groupBy("sid").agg(F.first("sketch").alias("sketch"))
+    met = sketches.join(routes.hint("merge"), "sid").select("block", "i", "j", "n", "sid", "sketch")
+    bounded_batches(part.sparkSession)
+    open_ = met.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j", "n", "sid").mapInArrow(run, "a long, b long")
+    return components(open_).select(F.col("node").alias("sid"), F.col("label").alias("cluster"))
+
+
 def products(pairs: DataFrame, percent: int) -> DataFrame:
     """(a, na, b, nb) for each shared column to the pairs whose count in the shared part can still reach their bound."""
     room = F.expr(f"na - ceil({percent} * na / 100) + 1"), F.expr(f"nb - ceil({percent} * nb / 100) + 1")
@@ -334,12 +405,12 @@ def labelled_sets(docs: DataFrame, size: int, percent: int, *more: Column) -> tu
     if shared:
         sets = sets.withColumn("sid", F.when(F.col("sid").isin(*shared), F.col("other")).otherwise(F.col("sid")))
         names = named(sets)
-    sets = sets.drop("other")
     part = stage(shared_columns(prefixes(docs, common_ngrams(described_), size, percent, shared)), "columns")
 
-    columns = part.groupBy("gram").agg(F.count("*").alias("rows"), F.min("sid").alias("lead"))
-    dense = part.join(columns.filter(F.col("rows") >= DENSE), "gram")
-    clusters = stage(components(dense.select(F.col("sid").alias("a"), F.col("lead").alias("b"))).select(F.col("node").alias("sid"), F.col("label").alias("cluster")), "clusters")
+    alike = F.xxhash64(*(F.min(F.xxhash64("sid", F.lit(k))) for k in range(3)))
+    columns = part.groupBy("gram").agg(F.count("*").alias("rows"), alike.alias("block"))
+    clusters = stage(clusters_of(part, columns.filter(F.col("rows") >= DENSE).drop("rows"), sets, percent), "clusters")
+    sets = sets.drop("other", "sketch")
 
     sparse = part.join(columns.filter(F.col("rows") < DENSE).select("gram"), "gram", "left_semi").join(clusters, "sid", "left")
     left, right = (sparse.select("gram", *(F.col(c).alias(f"{k}{s}") for c, k in (("sid", ""), ("n", "n"), ("cluster", "c")))) for s in "ab")
