@@ -25,9 +25,9 @@ def test_sketches_never_rule_out_a_link(seed):
                 assert jaccard_join.sketch_links(np.array([len(s) for s in sets]), [np.frombuffer(jaccard_join.sketch(s), np.uint64) for s in sets], 80) == [(0, 1)]
 
 
-@pytest.mark.parametrize("tile", [1 << 25, 20_000])
-def test_chance_columns_do_not_chain(spark, monkeypatch, tile):
-    monkeypatch.setattr(jaccard_join, "SKETCHED", tile, raising=False)
+@pytest.fixture
+def corpus(monkeypatch):
+    """Rows of 90 unrelated texts and 40 near copies that share one shingle, and the tables that the join stages."""
     r, codes = random.Random(1), WordCodes()
     word = lambda: f"w{r.randrange(10**9)}"
     #: Words whose one shingle has a small hash, so that it lies in every text's shared part.
@@ -35,10 +35,23 @@ def test_chance_columns_do_not_chain(spark, monkeypatch, tile):
     base = [word() for _ in range(120)]
     alike = [" ".join([*base[:k], word(), *base[k + 1 :], shared]) for k in range(0, 120, 3)]
     alone = [" ".join([*(word() for _ in range(r.randrange(60, 400))), shared]) for _ in range(90)]
-    rows = [(i, t) for i, t in enumerate(alone + alike)]
     tables = {}
     monkeypatch.setattr(jaccard_join, "stage", lambda df, name: tables.setdefault(name, stage(df, name)))
     monkeypatch.setattr(jaccard_join, "common_ngrams", lambda _: np.zeros(0, np.uint64))
+    return list(enumerate(alone + alike)), tables
+
+
+@pytest.mark.parametrize("tile", [1 << 25, 20_000])
+def test_chance_columns_do_not_chain(spark, monkeypatch, corpus, tile):
+    monkeypatch.setattr(jaccard_join, "SKETCHED", tile, raising=False)
+    rows, tables = corpus
     got = jaccard_join.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted((str(a), b, str(c)) for a, b, c in got.collect()) == jaccard_by_hand(rows)
     assert {r["doc_id"] for r in tables["named"].join(tables["clusters"].withColumnRenamed("sid", "set"), "set").collect()} == set(range(90, 130))
+
+
+def test_pipeline_stage_drops_near_copies_only(spark, corpus):
+    rows, tables = corpus
+    got = jaccard_join.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in got.collect()) == list(range(91))
+    assert tables["clusters"].count() == 40
