@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import bloom_of, has
-from .common import binary, bounded_batches, hot_keys, over_batches, spare, spread_join, stage, text_hash
+from .common import binary, bounded_batches, hot_keys, over_batches, spare, spread_join, stage, text_hash, unstage
 from .components import components
 from .shingles import SHINGLE, WordCodes, shingle_set
 
@@ -232,7 +232,9 @@ def clusters_of(part: DataFrame, columns: DataFrame, sets: DataFrame, percent: i
     met = sketches.join(routes.hint("merge"), "sid").select("block", "i", "j", "n", "sid", "sketch")
     bounded_batches(part.sparkSession)
     open_ = met.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j", "n", "sid").mapInArrow(run, "a long, b long")
-    return components(open_).select(F.col("node").alias("sid"), F.col("label").alias("cluster"))
+    tied = components(open_).select(F.col("node").alias("sid"), F.col("label").alias("cluster"))
+    unstage(members, blocks)
+    return tied
 
 
 def products(pairs: DataFrame, percent: int) -> DataFrame:
@@ -417,9 +419,12 @@ def labelled_sets(docs: DataFrame, size: int, percent: int, *more: Column) -> tu
     apart = (F.col("a") < F.col("b")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & ~F.coalesce(F.col("ca") == F.col("cb"), F.lit(False))
     pairs = stage(products(left.join(right, "gram").filter(apart).select("a", "na", "b", "nb"), percent), "pairs")
 
+    unstage(part)
+
     wanted = clusters.select("sid").unionByName(pairs.select(F.col("a").alias("sid"))).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
     rows = full_rows(wanted, docs, names, size, shared)
     labels = components(verified(pairs, rows, percent).unionByName(cluster_links(clusters, rows, percent)))
+    unstage(rows)
     names = names.select(F.col("sid").alias("set"), "doc_id", F.col("n").alias("copies")).join(labels.hint("merge"), F.col("set") == F.col("node"), "left").drop("node")
     names = stage(names.withColumn("label", F.coalesce("label", "set")), "named")
     return sets.withColumnRenamed("sid", "set"), names, hot_keys(names.withColumnRenamed("copies", "n"), "set")
@@ -448,8 +453,18 @@ def drop_near_copies(docs: DataFrame, size: int = SHINGLE, percent: int = PERCEN
     judged = stage(judged.select(F.col("doc_id").alias(d), F.col("text_hash").alias(t), "kept"), "judged")
     repeated = stage(judged.filter("kept").drop("kept"), "repeated")
 
+    #: Texts are shuffled of those rows only whose names a bit set of the judged ones lets pass; what it rules out is not among them.
+    chosen = docs.sparkSession.sparkContext.broadcast(bloom_of(judged.select(F.xxhash64(d, t).alias("k")), "k", judged.count()))
+
+    @F.arrow_udf("boolean")
+    def may(keys: pa.Array) -> pa.Array:
+        return pa.array(has(chosen.value, keys.to_numpy(zero_copy_only=False)))
+
+    bounded_batches(docs.sparkSession)
     rows = docs.withColumn(th, text_hash("text"))
+    passes = may(F.xxhash64(F.col("doc_id").cast("long"), F.col(th)))
+    others, rows = rows.filter(~passes).drop(th), rows.filter(passes)
     same = F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.col(th) == F.col(t))
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
     once = rows.join(repeated, same, "left_semi").groupBy("doc_id", th).agg(F.min_by(row, F.to_json(row)).alias(d)).select(f"{d}.*")
-    return rows.join(judged.drop("kept"), same, "left_anti").drop(th).union(once)
+    return others.union(rows.join(judged.drop("kept"), same, "left_anti").drop(th)).union(once)
